@@ -1,8 +1,9 @@
 """The registered queries of this subpackage and, where SQL can say it, their SQL."""
 
-from . import topk
+from . import bpe, topk
 
 QUERIES = {
+    "op4_rank_array_bpe": bpe.op4_rank_array_bpe,
     "op2_segment_topk": topk.op2_segment_topk,
 }
 
