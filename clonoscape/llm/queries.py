@@ -1,9 +1,10 @@
 """The registered queries of this subpackage and, where SQL can say it, their SQL."""
 
-from . import bpe, topk
+from . import bpe, tokenfile, topk
 
 QUERIES = {
     "op4_rank_array_bpe": bpe.op4_rank_array_bpe,
+    "op10_seekable_tokens": tokenfile.op10_seekable_tokens,
     "op2_segment_topk": topk.op2_segment_topk,
 }
 
