@@ -1,8 +1,9 @@
 """The registered queries of this subpackage and, where SQL can say it, their SQL."""
 
-from . import bpe, tokenfile, topk
+from . import bpe, maintext, tokenfile, topk
 
 QUERIES = {
+    "op1_block_tree_text": maintext.op1_block_tree_text,
     "op4_rank_array_bpe": bpe.op4_rank_array_bpe,
     "op10_seekable_tokens": tokenfile.op10_seekable_tokens,
     "op2_segment_topk": topk.op2_segment_topk,
