@@ -1,10 +1,11 @@
 """The registered queries of this subpackage and, where SQL can say it, their SQL."""
 
-from . import bpe, decontaminate, maintext, tokenfile, topk
+from . import bpe, decontaminate, langid, maintext, tokenfile, topk
 
 QUERIES = {
     "op1_block_tree_text": maintext.op1_block_tree_text,
     "op4_rank_array_bpe": bpe.op4_rank_array_bpe,
+    "op5_kneser_ney_langid": langid.op5_kneser_ney_langid,
     "op9_prefix_decontamination": decontaminate.op9_prefix_decontamination,
     "op10_seekable_tokens": tokenfile.op10_seekable_tokens,
     "op2_segment_topk": topk.op2_segment_topk,
