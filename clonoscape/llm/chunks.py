@@ -13,6 +13,7 @@ from collections.abc import Callable
 
 #: Characters with the Unicode property White_Space (fixed values).
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
+ASCII_SPACE = WHITE_SPACE[:6]
 _ASCII = re.compile("[\t\n\x0b\x0c\r ]*[^\t\n\x0b\x0c\r ]+|[\t\n\x0b\x0c\r ]+")
 _ANY = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
 _WIDE = re.compile(f"[{WHITE_SPACE[6:]}]")

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunks import ChunkCache
+from .chunks import ASCII_SPACE, WHITE_SPACE, ChunkCache
 from .common import shared_dir, staged
 from .textbatch import slices
 
@@ -113,8 +113,17 @@ class FileReader:
             yield (None if self.docs[r, 1] else int(self.docs[r, 0])), ids[at : at + length[r]]
 
 
+_encoders: dict[str, tuple[ChunkCache, int]] = {}
+
+
 def library_encoder(path: str) -> tuple[ChunkCache, int]:
-    """The tokenizers library behind a bounded cache of chunks, and the bytes an id needs."""
+    """The tokenizers library behind a bounded cache of chunks, and the bytes an id needs; one for each worker process."""
+    if path not in _encoders:
+        _encoders[path] = _library_encoder(path)
+    return _encoders[path]
+
+
+def _library_encoder(path: str) -> tuple[ChunkCache, int]:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -122,10 +131,30 @@ def library_encoder(path: str) -> tuple[ChunkCache, int]:
     tok.no_truncation()
     tok.no_padding()
 
-    def encode(chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in tok.encode_batch_fast(chunks, add_special_tokens=False)]
+    size = np.zeros(tok.get_vocab_size(), np.int64)  # bytes of each token
+    for token, i in tok.get_vocab().items():
+        size[i] = len(token)
+
+    def ids_of(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    return ChunkCache(encode), 2 if tok.get_vocab_size() <= 1 << 16 else 4
+    def encode(chunks: list[str]) -> list[bytes]:
+        """Chunks that begin with white space may stand in one text: no token crosses into them, and token sizes tell them apart."""
+        out: list[bytes] = [b""] * len(chunks)
+        joined = [k for k, c in enumerate(chunks) if c[0] in ASCII_SPACE and c[-1] not in WHITE_SPACE]
+        alone = sorted(set(range(len(chunks))).difference(joined))
+        for k, ids in zip(alone, ids_of([chunks[k] for k in alone]), strict=True):
+            out[k] = ids.tobytes()
+        groups = [joined[k : k + 256] for k in range(0, len(joined), 256)]
+        for group, ids in zip(groups, ids_of(["".join([chunks[k] for k in g]) for g in groups]), strict=True):
+            ends = np.cumsum([len(chunks[k].encode()) for k in group])
+            cut = (np.searchsorted(np.cumsum(size[ids]), ends) + 1) * 4
+            raw, at = ids.tobytes(), 0
+            for k, to in zip(group, cut.tolist(), strict=True):
+                out[k], at = raw[at:to], to
+        return out
+
+    return ChunkCache(encode, most=1_000_000), 2 if tok.get_vocab_size() <= 1 << 16 else 4
 
 
 def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
