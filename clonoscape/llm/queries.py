@@ -1,11 +1,12 @@
 """The registered queries of this subpackage and, where SQL can say it, their SQL."""
 
-from . import bpe, decontaminate, langid, maintext, quality, tokenfile, topk
+from . import bpe, decontaminate, jaccard, langid, maintext, quality, tokenfile, topk
 
 QUERIES = {
     "op1_block_tree_text": maintext.op1_block_tree_text,
     "op4_rank_array_bpe": bpe.op4_rank_array_bpe,
     "op5_kneser_ney_langid": langid.op5_kneser_ney_langid,
+    "op7_partenum_jaccard": jaccard.op7_partenum_jaccard,
     "op8_bradley_terry_quality": quality.op8_bradley_terry_quality,
     "op9_prefix_decontamination": decontaminate.op9_prefix_decontamination,
     "op10_seekable_tokens": tokenfile.op10_seekable_tokens,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op7_partenum_jaccard": jaccard.SQL,
     "op9_prefix_decontamination": decontaminate.SQL,
     "op2_segment_topk": topk.SQL,
 }
