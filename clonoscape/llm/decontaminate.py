@@ -216,6 +216,30 @@ def _pass(source: DataFrame, rows: list, window: int, text_col: str, final: bool
     return source.withColumn("h", F.xxhash64("text_")).mapInArrow(run, f"doc_id {kind}, n_words long, spans array<struct<b:long,e:long>>, items array<string>, h long")
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """The documents in which no window of the benchmark occurs, with all their columns."""
+    items = benchmark.where("item_id is not null").selectExpr("cast(item_id as string) as item", "coalesce(text, '') as text")
+    total = items.agg(F.sum(F.length("text") / 2 + 1)).first()[0] or 0
+    n_blocks = max(1, int(-(-total // block_windows)))
+    at = docs.columns.index("text")
+    for k in range(n_blocks):
+        rows = items.where(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == k).collect()
+        win = item_windows([(r[0], r[1]) for r in rows], window)
+        if not len(win.shingle):
+            continue
+        sent = docs.sparkSession.sparkContext.broadcast((win, *prefixes(win, rarity(docs, win, "text"))))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches, "text"):
+                w = words(*buffers(b.column(at)), ALNUM)
+                clean = np.ones(b.num_rows, bool)
+                clean[np.searchsorted(w.first, hits(w, *sent.value)[0], "right") - 1] = False
+                yield b.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def op9_prefix_decontamination(spark, sf_dir):
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

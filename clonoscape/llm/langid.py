@@ -223,8 +223,9 @@ def sample(docs: DataFrame, training: Column) -> tuple[dict[str, list[str]], dic
     h = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(5)).alias("h")
     fit = docs.where(training & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= LONGEST)).select("lang", "doc_id", h)
     n = MODEL_DOCS + CALIBRATION_DOCS
-    by = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = fit.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= n).groupBy("lang", "doc_id").agg(F.min("rank").alias("rank"))
+    by, part = Window.partitionBy("lang").orderBy("h", "doc_id"), Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h", "doc_id")
+    few = fit.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= n).drop("rank")  # so that a common language isn't ranked in one task
+    chosen = few.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= n).groupBy("lang", "doc_id").agg(F.min("rank").alias("rank"))
     keyed = docs.where(training & (F.length("text") <= LONGEST)).select("lang", "doc_id", "text")
     rows = keyed.join(F.broadcast(chosen), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("rank").alias("rank"), F.min("text").alias("text")).collect()  # at most n rows a language
     model: dict[str, list[str]] = {}
@@ -262,6 +263,17 @@ def predict_language(docs: DataFrame, m: Models, keep: tuple[str, ...] = ("doc_i
     return docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("text_")).mapInArrow(run, schema)
 
 
+def keep_identified(docs: DataFrame, m: Models) -> DataFrame:
+    """The documents that identification doesn't reject, with all their columns."""
+    sent, at = docs.sparkSession.sparkContext.broadcast(m), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text", most_bytes=2 << 20):
+            yield b.filter(pa.array(~identify(sent.value, b.column(at).to_pylist())[2]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op5_kneser_ney_langid(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     out = predict_language(docs, train(docs, fold(F.col("doc_id"), 4) != 2))

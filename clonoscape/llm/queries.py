@@ -1,9 +1,10 @@
 """The registered queries of this subpackage and, where SQL can say it, their SQL."""
 
-from . import bpe, decontaminate, jaccard, langid, maintext, quality, tokenfile, topk
+from . import bpe, decontaminate, jaccard, langid, maintext, pitmanyor, quality, tokenfile, topk
 
 QUERIES = {
     "op1_block_tree_text": maintext.op1_block_tree_text,
+    "op3_pitman_yor_scores": pitmanyor.op3_pitman_yor_scores,
     "op4_rank_array_bpe": bpe.op4_rank_array_bpe,
     "op5_kneser_ney_langid": langid.op5_kneser_ney_langid,
     "op7_partenum_jaccard": jaccard.op7_partenum_jaccard,

@@ -1,9 +1,60 @@
-"""Corpus preparation in stages over ``documents``."""
+"""Corpus preparation over ``documents``: identify, rate, de-duplicate, decontaminate, tokenise.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
+kept; all but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from clonoscape.llm import bpe, decontaminate, jaccard, langid, quality
+from clonoscape.llm.common import staged, table
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that language identification rejects."""
+    return langid.keep_identified(docs, langid.train(docs, F.lit(True)))
+
+
+def rated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose quality score is below the threshold."""
+    return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels"), F.lit(True)))
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document, that of the smallest id, of each group of near duplicates.
+
+    Rows that repeat an id count as one document (the row of the smallest text
+    stays); documents without an id can't be named by a group and stay.
+    """
+    groups = jaccard.near_duplicate_groups(docs)
+    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    named = docs.join(kept, "doc_id", "left_semi").withColumn("row in id", first).where(F.col("row in id") == 1).select(*docs.columns)
+    return named.unionByName(docs.where("doc_id is null"))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a window of the benchmark."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of what is left."""
+    return bpe.bpe_digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("language", language), ("quality", rated), ("near_duplicates", distinct), ("decontamination", decontaminated), ("bpe", tokenised)]
+
+#: The language and quality stages are learned models, which SQL can't express; tests compare the rest with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return df
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
