@@ -55,4 +55,4 @@ def residue_vectors(dimensions: int = 16) -> dict[str, list[float]]:
     order = np.argsort(-values)[:dimensions]
     kept = vectors[:, order] * np.sqrt(np.maximum(values[order], 0))
     kept = kept * np.sign(kept[np.abs(kept).argmax(0), np.arange(kept.shape[1])])
-    return {a: [round(float(x), 8) for x in row] for a, row in zip(BLOSUM_ORDER, kept, strict=True)}
+    return {a: [round(float(x), 6) for x in row] for a, row in zip(BLOSUM_ORDER, kept, strict=True)}

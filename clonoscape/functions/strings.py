@@ -56,9 +56,14 @@ def kmers(c, k: int) -> Column:
     return F.when(n >= 1, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(col(c), i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
 
 
+def dotted(place: int):
+    """A function that puts a dot at one place."""
+    return lambda m: F.overlay(m, F.lit("."), F.lit(place))
+
+
 def masked_kmers(c, k: int) -> Column:
     """k-mers with each inner position in turn replaced by a dot."""
-    masks = [F.transform(kmers(c, k), lambda m, j=j: F.overlay(m, F.lit("."), F.lit(j))) for j in range(2, k)]
+    masks = [F.transform(kmers(c, k), dotted(j)) for j in range(2, k)]
     return F.flatten(F.array(*masks)) if masks else F.array().cast("array<string>")
 
 

@@ -176,7 +176,7 @@ def alignment_refined(members: DataFrame, key: str, seq: str = "cdr3", cluster:
 
 def dbscan(df: DataFrame, key: str, vector: str, eps: float = 0.5, least: int = 5, within: list[str] = ()) -> DataFrame:
     """key, cluster (smallest core key; null for noise). Border points go to the cluster of their smallest core neighbour."""
-    near = staged(vectors_within(df, key, vector, eps * eps + 1e-12, within), "near")
+    near = staged(vectors_within(df, key, vector, eps * eps + 1e-12, list(within)), "near")
     both = near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
     core = both.groupBy("a").agg((F.count("*") + 1).alias("n")).where(F.col("n") >= least).select("a")
     core_edges = near.select("a", "b").join(core, "a", "left_semi").join(core.withColumnRenamed("a", "b"), "b", "left_semi").select(F.col("a").alias("src"), F.col("b").alias("dst"))

@@ -132,10 +132,11 @@ def zip_rows(left: DataFrame, right: DataFrame, row_id: str) -> DataFrame:
 
 
 def pivot_chains(df: DataFrame, key: str, by: str, values: list[str], columns: list[str]) -> DataFrame:
-    """One row a key with the columns of each chain; raises on repeated (key, chain) pairs only when asked to run."""
+    """One row a key with the columns of each chain; raises, when run, on a key with several rows of one chain."""
     once = F.when(F.count("*") <= 1, F.lit(0)).otherwise(F.raise_error(F.lit("a key has several rows of one chain")).cast("int"))
     checked = df.groupBy(key, by).agg(*[F.first(c).alias(c) for c in columns], once.alias("checked"))
     wide = checked.groupBy(key).pivot(by, values).agg(*[F.first(c).alias(c) for c in columns], F.max("checked").alias("checked"))
+    wide = wide.where(" + ".join(f"coalesce(`{v}_checked`, 0)" for v in values) + " = 0")  # so that the check runs
     return wide.select(key, *[F.col(f"{v}_{c}") for v in values for c in columns])
 
 

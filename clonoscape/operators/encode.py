@@ -21,6 +21,10 @@ def _sum_arrays(rows: Column, dimensions: int) -> Column:
     return F.aggregate(rows, zero, lambda s, v: F.zip_with(s, v, lambda x, y: x + y))
 
 
+def in_block(n: Column, step: int):
+    return lambda i: (n - i + 1) % 6 == step
+
+
 def isometric(c, vectors: dict[str, list[float]] | None = None, trim: tuple[int, int] = (3, 2)) -> Column:
     """The isometric encoding of a sequence: six blocks, each the sum of the vectors of its residues.
 
@@ -34,8 +38,7 @@ def isometric(c, vectors: dict[str, list[float]] | None = None, trim: tuple[int,
     at = F.sequence(F.lit(1), n)
     parts = []
     for block in range(6):
-        step = BLOCKS.index(block)
-        mine = F.filter(at, lambda i, step=step: (n - i + 1) % 6 == step)
+        mine = F.filter(at, in_block(n, BLOCKS.index(block)))
         parts.append(_sum_arrays(F.transform(mine, lambda i: F.element_at(lookup, F.substring(s, i, F.lit(1)))), d))
     known = s.rlike(f"^[{''.join(sorted(vectors))}]+$")
     return F.when(known, F.concat(*parts))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clonoscape.functions import vectors as V
 
+from .similarity import squared_distances, vector_cells
+
 
 def accuracy(df: DataFrame, label: str, predicted: str) -> DataFrame:
     return df.agg(F.avg((F.col(label) == F.col(predicted)).cast("double")).alias("accuracy"))
@@ -66,16 +70,30 @@ def _scatter(df: DataFrame, label: str, vector: str) -> tuple[DataFrame, DataFra
 def silhouette(df: DataFrame, key: str, label: str, vector: str, within: list[str] = ()) -> DataFrame:
     """Mean silhouette by Euclidean distance; points alone in their label count 0.
 
-    Exact, so it compares all pairs of rows; meant for the sizes that cluster
-    indices are reported on.
+    Exact: all pairs of rows meet in blocks, and only sums by label leave them.
     """
-    x = df.where(F.col(label).isNotNull()).select(F.col(key).alias("a"), F.col(label).alias("la"), F.col(vector).alias("x"), *within)
-    y = x.select(F.col("a").alias("b"), F.col("la").alias("lb"), F.col("x").alias("y"), *within)
-    pairs = (x.join(y, list(within)) if within else x.crossJoin(y)).where("a <> b").select("a", "la", "lb", V.l2("x", "y").alias("d"), *within)
-    mean = pairs.groupBy(*within, "a", "la", "lb").agg(F.avg("d").alias("m"))
-    per = mean.groupBy(*within, "a").agg(F.min(F.when(F.col("la") == F.col("lb"), F.col("m"))).alias("own"), F.min(F.when(F.col("la") != F.col("lb"), F.col("m"))).alias("other"))
+    known = df.where(F.col(label).isNotNull())
+
+    def run(a, x, b, y) -> pd.DataFrame:
+        # The label rides along as the vector's last number.
+        lx, ly = x[:, -1].astype(int), y[:, -1].astype(int)
+        d = np.sqrt(squared_distances(x[:, :-1], y[:, :-1]))
+        other = a[:, None] != b[None, :]
+        out = []
+        for c in np.unique(ly):
+            m = other & (ly == c)[None, :]
+            out.append(pd.DataFrame({"a": a, "la": lx, "lb": c, "total": np.where(m, d, 0).sum(1), "n": m.sum(1)}))
+        return pd.concat(out)
+
+    codes = F.dense_rank().over(Window.orderBy(label))
+    labels = known.select(label).distinct().withColumn("code_", codes)  # one row a label
+    rows = known.join(F.broadcast(labels), label).select(F.col(key).cast("long").alias("a"), F.concat(F.col(vector).cast("array<double>"), F.array(F.col("code_").cast("double"))).alias("x"), *within)
+    sums = vector_cells(rows, rows.select(F.col("a").alias("b"), F.col("x").alias("y"), *within), list(within), run, "a long, la int, lb int, total double, n long")
+    mean = sums.groupBy("a", "la", "lb").agg((F.sum("total") / F.sum("n")).alias("m"), F.sum("n").alias("n")).where("n > 0")
+    per = mean.groupBy("a").agg(F.min(F.when(F.col("la") == F.col("lb"), F.col("m"))).alias("own"), F.min(F.when(F.col("la") != F.col("lb"), F.col("m"))).alias("other"))
     s = F.when(F.col("own").isNull() | F.col("other").isNull(), 0.0).otherwise((F.col("other") - F.col("own")) / F.greatest("own", "other"))
-    return per.groupBy(*within).agg(F.avg(s).alias("silhouette"))
+    joined = known.select(F.col(key).cast("long").alias("a"), *within).join(per, "a", "left")
+    return joined.groupBy(*within).agg(F.avg(F.coalesce(s, F.lit(0.0))).alias("silhouette"))
 
 
 def calinski_harabasz(df: DataFrame, label: str, vector: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clonoscape.functions import vectors as V
 from clonoscape.functions.alignment import smith_waterman
-from clonoscape.functions.strings import col, hamming, kmers, trim_ends, wildcards
+from clonoscape.functions.strings import col, dotted, hamming, kmers, trim_ends, wildcards
 
 
 def one_mismatch_pairs(df: DataFrame, key: str, region: str, also: list[str] = ()) -> DataFrame:
@@ -82,7 +83,7 @@ def motif_members(df: DataFrame, key: str, region: str, motifs: DataFrame, also:
     gapped = motifs.where(F.col("motif").contains(".")).select("motif").distinct()
     for k in sorted(r[0] for r in gapped.select(F.length("motif")).distinct().collect()):
         for j in range(2, k):
-            masked = rows.select(key, *also, F.posexplode(F.transform(kmers("r", k), lambda m, j=j: F.overlay(m, F.lit("."), F.lit(j)))).alias("at", "motif")).join(gapped, "motif")
+            masked = rows.select(key, *also, F.posexplode(F.transform(kmers("r", k), dotted(j))).alias("at", "motif")).join(gapped, "motif")
             found = masked if found is None else found.unionByName(masked)
     if found is None:
         return rows.select(F.lit("").alias("motif"), key, F.lit(0).alias("at"), *also).where(F.lit(False))
@@ -121,25 +122,72 @@ def shared_kmer_pairs(df: DataFrame, key: str, seq: str, k: int = 5, least: int
     return hits.groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
 
 
-def nearest_vectors(df: DataFrame, key: str, vector: str, k: int = 1, within: list[str] = (), queries: DataFrame | None = None, distance=V.squared_l2) -> DataFrame:
-    """Exact k nearest rows of the same ``within`` group: a, b, d, rank; ties to the smaller key.
+#: Rows of a block of vectors; a cell compares two blocks within one task.
+BLOCK_ROWS = 2048
 
-    With ``queries`` only those ask.  Blocks are the ``within`` groups; a stated
-    query set against all rows is what this is for.
+
+def vector_cells(asks: DataFrame, rows: DataFrame, within: list[str], run, schema: str) -> DataFrame:
+    """Meets every block of ``asks`` (a, x) with every block of ``rows`` (b, y) of the same group.
+
+    ``run(a, x, b, y)`` gets ids and matrices of one cell and returns columns of
+    ``schema``.  Blocks are bounded whatever the size of the tables; a row is
+    sent once for each block that it meets.
+    """
+    n_rows, n_asks = rows.count(), asks.count()
+    nb, na = max(1, -(-n_rows // BLOCK_ROWS)), max(1, -(-n_asks // BLOCK_ROWS))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asks.select(*within, block("a", na).alias("ba"), every(nb).alias("bb"), F.col("a").alias("id"), F.col("x").cast("array<double>").alias("v"), F.lit(True).alias("asks"))
+    right = rows.select(*within, every(na).alias("ba"), block("b", nb).alias("bb"), F.col("b").alias("id"), F.col("y").cast("array<double>").alias("v"), F.lit(False).alias("asks"))
+
+    def cell(t: pd.DataFrame) -> pd.DataFrame:
+        asking = t["asks"].to_numpy(bool)
+        v, ids = np.array(t["v"].tolist(), float).reshape(len(t), -1), t["id"].to_numpy()
+        order = np.argsort(ids, kind="stable")
+        left, right = order[asking[order]], order[~asking[order]]
+        if not len(left) or not len(right):
+            return pd.DataFrame({f.split()[0]: [] for f in schema.split(", ")})
+        return run(ids[left], v[left], ids[right], v[right])
+
+    return left.unionByName(right).groupBy(*within, "ba", "bb").applyInPandas(cell, schema)
+
+
+def squared_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0)
+
+
+def _ids(df: DataFrame, key: str, vector: str, a: str, x: str, within: list[str]) -> DataFrame:
+    return df.select(F.col(key).cast("long").alias(a), F.col(vector).alias(x), *within).where(F.col(x).isNotNull())
+
+
+def nearest_vectors(df: DataFrame, key: str, vector: str, k: int = 1, within: list[str] = (), queries: DataFrame | None = None) -> DataFrame:
+    """Exact k nearest rows of the same ``within`` group: a, b, d (squared distance), rank; ties to the smaller key.
+
+    With ``queries`` only those ask.
     """
-    rows = df.select(F.col(key).alias("b"), F.col(vector).alias("y"), *within)
-    asks = (df if queries is None else queries).select(F.col(key).alias("a"), F.col(vector).alias("x"), *within)
-    pairs = (asks.join(rows, list(within)) if within else asks.crossJoin(rows)).where("a <> b").select("a", "b", distance("x", "y").alias("d"))
+
+    def run(a, x, b, y) -> pd.DataFrame:
+        d = np.round(squared_distances(x, y), 12)
+        d[a[:, None] == b[None, :]] = np.inf
+        m = min(k, len(b))
+        at = np.argsort(d, axis=1, kind="stable")[:, :m]  # b is sorted, so ties keep the smaller key
+        out = pd.DataFrame({"a": np.repeat(a, m), "b": b[at].ravel(), "d": np.take_along_axis(d, at, 1).ravel()})
+        return out[np.isfinite(out["d"])]
+
+    best = vector_cells(_ids(df if queries is None else queries, key, vector, "a", "x", within), _ids(df, key, vector, "b", "y", within), list(within), run, "a long, b long, d double")
     order = Window.partitionBy("a").orderBy("d", "b")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def vectors_within(df: DataFrame, key: str, vector: str, radius: float, within: list[str] = ()) -> DataFrame:
+    """Pairs a < b of a group whose squared distance d is below the radius."""
 
+    def run(a, x, b, y) -> pd.DataFrame:
+        d = squared_distances(x, y)
+        i, j = np.nonzero((d < radius) & (a[:, None] < b[None, :]))
+        return pd.DataFrame({"a": a[i], "b": b[j], "d": d[i, j]})
 
-def vectors_within(df: DataFrame, key: str, vector: str, radius, within: list[str] = (), distance=V.squared_l2) -> DataFrame:
-    """Pairs a < b of a group whose distance is below the radius (a number or a column of the group)."""
-    x = df.select(F.col(key).alias("a"), F.col(vector).alias("x"), *within)
-    y = df.select(F.col(key).alias("b"), F.col(vector).alias("y"), *within)
-    pairs = (x.join(y, list(within)) if within else x.crossJoin(y)).where("a < b")
-    return pairs.withColumn("d", distance("x", "y")).where(F.col("d") < radius).select("a", "b", "d")
+    return vector_cells(_ids(df, key, vector, "a", "x", within), _ids(df, key, vector, "b", "y", within), list(within), run, "a long, b long, d double")
 
 
 def approximate_vectors_within(df: DataFrame, key: str, vector: str, radius: float, tables: int = 6, bucket: float = 2.0) -> DataFrame:
@@ -175,11 +223,11 @@ def cluster_alignments(members: DataFrame, cluster: str = "cluster", seq: str =
     """Mean local alignment score of each pair of clusters (own pairs too), ca <= cb."""
     x = members.select(F.col(cluster).alias("ca"), F.col(seq).alias("x"), F.monotonically_increasing_id().alias("i")) if "id" not in members.columns else members.select(F.col(cluster).alias("ca"), F.col(seq).alias("x"), F.col("id").alias("i"))
     y = x.select(F.col("ca").alias("cb"), F.col("x").alias("y"), F.col("i").alias("j"))
-    pairs = x.crossJoin(y).where("ca < cb or (ca = cb and i < j)")
-    distinct = pairs.groupBy("ca", "cb", "x", "y").agg(F.count("*").alias("n"))
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = x.repartition(parts, "i").crossJoin(y).where("ca < cb or (ca = cb and i < j)")  # all pairs are what is asked for
     score = smith_waterman(match, mismatch, gap)
-    scored = distinct.select("ca", "cb", "n", score("x", "y").alias("s"))
-    return scored.groupBy("ca", "cb").agg((F.sum(F.col("s") * F.col("n")) / F.sum("n")).alias("mean_score"), F.sum("n").alias("pairs"))
+    scored = pairs.select("ca", "cb", score("x", "y").alias("s"))
+    return scored.groupBy("ca", "cb").agg(F.avg("s").alias("mean_score"), F.count("*").alias("pairs"))
 
 
 def prefix_annotations(clones: DataFrame, annotations: DataFrame, clone: str, annotated: str, exact: bool = True) -> DataFrame:
