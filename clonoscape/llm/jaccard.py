@@ -4,10 +4,9 @@
    node), so that equal sets are one node from the start.
 2. PartEnum signatures go to buckets in packed blobs; nodes that share one form
    a list, and equal lists are kept once.
-3. Within a list, a parity sketch bounds from below how much two sets differ.
-   First a cover: each node meets the representatives found so far until one
-   may be similar.  These candidate pairs are verified on the whole sets, and
-   links joined into components.
+3. A parity sketch bounds from below how much two sets differ.  First each
+   list's smallest node meets the others of the list; pairs that the sketch
+   lets pass are verified on the whole sets, and links joined into components.
 4. Then pairs of one list that the sketch lets pass and that still lie in
    different components are verified too, and the components completed.
 
@@ -215,17 +214,6 @@ class Sketches:
         return np.concatenate(out) if out else others
 
 
-def cover(s: Sketches) -> Iterator[tuple[int, np.ndarray]]:
-    """Pairs (representative, members): every node that may link with a representative goes to the first such one."""
-    left = np.arange(len(s.size))
-    while len(left) > 1:
-        rep, left = int(left[0]), left[1:]
-        members = s.may_link(rep, left)
-        if len(members):
-            yield rep, members
-            left = np.setdiff1d(left, members, assume_unique=True)
-
-
 def across(s: Sketches, component: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Pairs that may link and lie in different components."""
     if len(component) and (component == component[0]).all():
@@ -239,8 +227,35 @@ def across(s: Sketches, component: np.ndarray) -> Iterator[tuple[int, np.ndarray
                 yield i, others
 
 
-def candidate_pairs(listed: DataFrame, nodes: DataFrame, groups: int, all_across: bool) -> DataFrame:
-    """Distinct candidate pairs (src < dst) of the lists. ``nodes``: node, n_shingles, sketch, component."""
+def star_pairs(lists: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Distinct pairs of each list's first node with its others, where sizes and sketches allow a link.
+
+    The first node is the smallest, so that lists of one group of copies mostly
+    agree on it.  ``nodes``: node, n_shingles, sketch.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            a, c = (b.column(i).to_numpy() for i in (2, 3))
+            keep = np.minimum(a, c) * pe.DEN >= np.maximum(a, c) * pe.NUM
+            x, y = b.column(4).to_pylist(), b.column(5).to_pylist()
+            wide = np.array([[len(p) // 8, len(q) // 8] for p, q in zip(x, y, strict=True)]).reshape(-1, 2)
+            for w in np.unique(wide[keep], axis=0):
+                i = np.flatnonzero(keep & (wide == w).all(axis=1))
+                n = int(w.min())
+                p, q = (fold_to(np.frombuffer(b"".join(z[k] for k in i), U64).reshape(len(i), -1), n) for z in (x, y))
+                keep[i] = np.bitwise_count(p ^ q).sum(axis=1, dtype=np.int64) <= pe.difference_bound(a[i], c[i])
+            yield pa.RecordBatch.from_arrays(b.columns[:2], ["src", "dst"]).filter(pa.array(keep))
+
+    star = lists.select(F.col("nodes")[0].alias("src"), F.explode(F.slice("nodes", F.lit(2), F.size("nodes"))).alias("dst")).distinct()
+    of_src = nodes.select(F.col("node").alias("src"), F.col("n_shingles").alias("a"), F.col("sketch").alias("x"))
+    of_dst = nodes.select(F.col("node").alias("dst"), F.col("n_shingles").alias("c"), F.col("sketch").alias("y"))
+    both = star.join(of_dst, "dst").join(of_src, "src").select("src", "dst", "a", "c", "x", "y")
+    return both.mapInArrow(run, "src long, dst long")
+
+
+def cross_pairs(listed: DataFrame, nodes: DataFrame, groups: int) -> DataFrame:
+    """Distinct pairs (src < dst) of one list in different components that may link. ``nodes``: node, n_shingles, sketch, component."""
 
     def run(t: pa.Table) -> pa.Table:
         lists, block = t.column("list").to_numpy(), t.column("block").combine_chunks().dictionary_encode()
@@ -252,10 +267,10 @@ def candidate_pairs(listed: DataFrame, nodes: DataFrame, groups: int, all_across
         edge = np.flatnonzero(np.concatenate([[True], (lists[1:] != lists[:-1]) | (block[1:] != block[:-1]), [True]]))
         src, dst = [], []
         for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            if all_across and (component[a:b] == component[a]).all():
+            if (component[a:b] == component[a]).all():
                 continue
             s = Sketches(size[a:b], [sketch[i] for i in order[a:b]])
-            for i, others in across(s, component[a:b]) if all_across else cover(s):
+            for i, others in across(s, component[a:b]):
                 src.append(np.full(len(others), node[a + i]))
                 dst.append(node[a + others])
         if not src:
@@ -316,13 +331,12 @@ def near_duplicate_groups(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     listed = listed_nodes(lists)
 
     slim = info.select("doc_id", "node")
-    first = candidate_pairs(listed, nodes.select("node", "n_shingles", "sketch", F.col("node").alias("component")), parts * LIST_GROUPS, all_across=False)
-    first = staged(first, "pairs")
+    first = staged(star_pairs(lists, nodes), "pairs")
     links = staged(verified(first, docs, slim, k), "links")
     found = staged(connected_components(links), "components")
 
     placed = nodes.join(found, "node", "left").select("node", "n_shingles", "sketch", F.coalesce("component", "node").alias("component"))
-    rest = candidate_pairs(listed, placed, parts * LIST_GROUPS, all_across=True).join(first, ["src", "dst"], "left_anti")
+    rest = cross_pairs(listed, placed, parts * LIST_GROUPS).join(first, ["src", "dst"], "left_anti")
     rest = staged(rest, "pairs")
     more = staged(verified(rest, docs, slim, k), "links")
     if more.limit(1).count():
