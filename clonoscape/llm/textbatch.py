@@ -129,7 +129,7 @@ def window_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(out + U64(k))
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``most_bytes`` of text, or one row."""
     for batch in batches:
         n = batch.num_rows
