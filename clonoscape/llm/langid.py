@@ -255,7 +255,7 @@ def predict_language(docs: DataFrame, m: Models, keep: tuple[str, ...] = ("doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for b in slices(batches, "text_", most_bytes=2 << 20):
+        for b in slices(batches, "text_", most_bytes=1 << 19):
             lang, score, rejected = identify(m, b.column(len(keep)).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], [*keep, "lang_pred", "score", "rejected"])
 
@@ -268,7 +268,7 @@ def keep_identified(docs: DataFrame, m: Models) -> DataFrame:
     sent, at = docs.sparkSession.sparkContext.broadcast(m), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", most_bytes=2 << 20):
+        for b in slices(batches, "text", most_bytes=1 << 19):
             yield b.filter(pa.array(~identify(sent.value, b.column(at).to_pylist())[2]))
 
     return docs.mapInArrow(run, docs.schema)
