@@ -1,12 +1,13 @@
 """The registered queries of this subpackage and, where SQL can say it, their SQL."""
 
-from . import bpe, decontaminate, jaccard, langid, maintext, pitmanyor, quality, tokenfile, topk
+from . import bpe, decontaminate, jaccard, langid, maintext, pitmanyor, quality, tokenfile, topk, viterbi
 
 QUERIES = {
     "op1_block_tree_text": maintext.op1_block_tree_text,
     "op3_pitman_yor_scores": pitmanyor.op3_pitman_yor_scores,
     "op4_rank_array_bpe": bpe.op4_rank_array_bpe,
     "op5_kneser_ney_langid": langid.op5_kneser_ney_langid,
+    "op6_viterbi_token_counts": viterbi.op6_viterbi_token_counts,
     "op7_partenum_jaccard": jaccard.op7_partenum_jaccard,
     "op8_bradley_terry_quality": quality.op8_bradley_terry_quality,
     "op9_prefix_decontamination": decontaminate.op9_prefix_decontamination,
