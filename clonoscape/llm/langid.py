@@ -104,9 +104,8 @@ class Models:
     dev: np.ndarray | None = None
     limit: np.ndarray | None = None
 
-    def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Log-probability (document, language), symbols of each document, whether it has a letter."""
-        x, doc, letters = ngrams(texts)
+    def of_symbols(self, x: np.ndarray) -> np.ndarray:
+        """Log-probability (symbol, language) of each symbol after the three before it, the columns of x."""
         value = np.zeros((x.shape[1], len(self.langs)), np.float32)
         rest = np.arange(x.shape[1])  # symbols whose n-gram isn't found yet, with the weights so far in value
         for n in range(ORDER, 0, -1):
@@ -123,6 +122,12 @@ class Models:
                 value[rest[hit]] += self.backoff[n - 2].values[at[hit]]
             else:
                 value[rest] += self.floor
+        return value
+
+    def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log-probability (document, language), symbols of each document, whether it has a letter."""
+        x, doc, letters = ngrams(texts)
+        value = self.of_symbols(x)
         size = np.bincount(doc, minlength=len(texts))
         total = np.zeros((len(texts), len(self.langs)))
         some = np.flatnonzero(size)
