@@ -7,11 +7,15 @@
 3. A parity sketch bounds from below how much two sets differ.  First each
    list's smallest node meets the others of the list; pairs that the sketch
    lets pass are verified on the whole sets, and links joined into components.
-4. Then pairs of one list that the sketch lets pass and that still lie in
-   different components are verified too, and the components completed.
-
-Step 3 keeps large groups of near copies from being compared pair by pair; step
-4 makes sure that no link between different components is lost.
+4. Then each node of a list meets the one of another component whose sketch is
+   nearest to its own; these pairs are verified likewise.
+5. At last the nodes that had such a partner get finer sketches; all their pairs
+   in one list that these let pass and that still lie in different components
+   are verified, and the components completed.
+
+Steps 3 and 4 give at most one pair for each node of a list, and join nearly all
+of a large group of near copies; step 5 makes sure that no link between
+different components is lost.
 """
 
 from __future__ import annotations
@@ -34,6 +38,8 @@ SHINGLE = 5
 LIST_BLOCK = 2048
 #: Signatures a task gathers before it writes blobs, and groups the lists are dealt to for each shuffle partition.
 FLUSH, LIST_GROUPS = 2_000_000, 4
+#: Bits an element and bits in all of the finer sketches.
+FINE_EACH, FINE_MOST = 16, 1 << 17
 #: Candidate nodes up to this count (8 bytes each) are broadcast to the scan that fetches their texts; beyond it they are shuffled.
 BROADCAST_NODES = 1_000_000
 
@@ -57,10 +63,10 @@ def node_of(elements: np.ndarray) -> int:
     return int(mix(np.array([total], U64))[0] >> U64(1))
 
 
-def sketch_of(elements: np.ndarray) -> bytes:
-    """Parity of the elements on a power of two of bits, at least twice the set's size (64 to 65,536 bits)."""
+def sketch_of(elements: np.ndarray, each: int = 2, most: int = 1 << 16) -> bytes:
+    """Parity of the elements on a power of two of bits, at least ``each`` times the set's size, from 64 to ``most``."""
     bits = 64
-    while bits < min(2 * len(elements), 1 << 16):
+    while bits < min(each * len(elements), most):
         bits *= 2
     at = (mix(elements ^ U64(0x2545F4914F6CDD1D)) & U64(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
@@ -199,32 +205,49 @@ class Sketches:
             self.place[rows] = np.arange(len(rows))
             self.bits[w] = np.frombuffer(b"".join(sketch[i] for i in rows), U64).reshape(-1, w)
 
-    def may_link(self, i: int, others: np.ndarray) -> np.ndarray:
-        """Those of ``others`` whose size and sketch allow a link with node i."""
+    def may_link(self, i: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of ``others`` whose size and sketch allow a link with node i, and in how many bits their sketches differ."""
         a, b = self.size[i], self.size[others]
         others = others[(np.minimum(a, b) * pe.DEN >= np.maximum(a, b) * pe.NUM)]
-        out = []
+        out, apart = [others[:0]], [others[:0]]
         for w in np.unique(self.width[others]).tolist():
             some = others[self.width[others] == w]
             n = min(w, int(self.width[i]))
             mine = fold_to(self.bits[int(self.width[i])][self.place[i]][None, :], n)
             theirs = fold_to(self.bits[w][self.place[some]], n)
             differ = np.bitwise_count(mine ^ theirs).sum(axis=1, dtype=np.int64)
-            out.append(some[differ <= pe.difference_bound(a, self.size[some])])
-        return np.concatenate(out) if out else others
-
-
-def across(s: Sketches, component: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Pairs that may link and lie in different components."""
-    if len(component) and (component == component[0]).all():
-        return
-    for i in range(len(s.size) - 1):
-        others = np.arange(i + 1, len(s.size))
+            keep = differ <= pe.difference_bound(a, self.size[some])
+            out.append(some[keep])
+            apart.append(differ[keep])
+        return np.concatenate(out), np.concatenate(apart)
+
+
+def across(s: Sketches, component: np.ndarray, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that may link and lie in different components: all of them, or each node's with its nearest other."""
+    n = len(s.size)
+    first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    best, least = np.full(n, -1), np.full(n, np.iinfo(np.int64).max)
+    for i in range(n - 1):
+        others = np.arange(i + 1, n)
         others = others[component[others] != component[i]]
-        if len(others):
-            others = s.may_link(i, others)
-            if len(others):
-                yield i, others
+        if not len(others):
+            continue
+        others, apart = s.may_link(i, others)
+        if not len(others):
+            continue
+        if nearest:
+            at = int(apart.argmin())
+            if apart[at] < least[i]:
+                best[i], least[i] = others[at], apart[at]
+            closer = apart < least[others]
+            best[others[closer]], least[others[closer]] = i, apart[closer]
+        else:
+            first.append(np.full(len(others), i))
+            second.append(others)
+    if nearest:
+        some = np.flatnonzero(best >= 0)
+        return np.minimum(some, best[some]), np.maximum(some, best[some])
+    return np.concatenate(first), np.concatenate(second)
 
 
 def star_pairs(lists: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -254,37 +277,38 @@ def star_pairs(lists: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "src long, dst long")
 
 
-def cross_pairs(listed: DataFrame, nodes: DataFrame, groups: int) -> DataFrame:
-    """Distinct pairs (src < dst) of one list in different components that may link. ``nodes``: node, n_shingles, sketch, component."""
+def cross_pairs(listed: DataFrame, nodes: DataFrame, groups: int, nearest: bool) -> DataFrame:
+    """Pairs (src < dst) of one list (list, block) in different components that may link: all, or each node's with its nearest other.
+
+    ``nodes``: node, n_shingles, sketch, component.  A pair comes once from each task, in the first of its lists there.
+    """
 
     def run(t: pa.Table) -> pa.Table:
         lists, block = t.column("list").to_numpy(), t.column("block").combine_chunks().dictionary_encode()
-        block = (block.chunk(0) if isinstance(block, pa.ChunkedArray) else block).indices.to_numpy(zero_copy_only=False)
+        block = block.chunk(0) if isinstance(block, pa.ChunkedArray) else block
+        name, block = block.dictionary, block.indices.to_numpy(zero_copy_only=False)
         node, size, component = (t.column(c).to_numpy() for c in ("node", "n_shingles", "component"))
         order = np.lexsort((node, block, lists))
         sketch = t.column("sketch").to_pylist()
         lists, block, node, size, component = lists[order], block[order], node[order], size[order], component[order]
         edge = np.flatnonzero(np.concatenate([[True], (lists[1:] != lists[:-1]) | (block[1:] != block[:-1]), [True]]))
-        src, dst = [], []
+        rows = [np.zeros((0, 4), np.int64)]
         for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
             if (component[a:b] == component[a]).all():
                 continue
-            s = Sketches(size[a:b], [sketch[i] for i in order[a:b]])
-            for i, others in across(s, component[a:b]):
-                src.append(np.full(len(others), node[a + i]))
-                dst.append(node[a + others])
-        if not src:
-            return pa.table({"src": pa.array([], pa.int64()), "dst": pa.array([], pa.int64())})
-        pairs = np.unique(np.column_stack([np.concatenate(src), np.concatenate(dst)]), axis=0)
-        return pa.table({"src": pa.array(pairs[:, 0]), "dst": pa.array(pairs[:, 1])})
+            i, j = across(Sketches(size[a:b], [sketch[k] for k in order[a:b]]), component[a:b], nearest)
+            rows.append(np.column_stack([node[a + i], node[a + j], np.full(len(i), lists[a]), np.full(len(i), block[a])]))
+        rows = np.concatenate(rows)
+        if not nearest:
+            rows = rows[np.unique(rows[:, :2], axis=0, return_index=True)[1]]
+        return pa.table({"src": rows[:, 0], "dst": rows[:, 1], "list": rows[:, 2], "block": name.take(pa.array(rows[:, 3]))})
 
     rows = listed.join(nodes, "node").withColumn("group", F.pmod(F.xxhash64("list", "block"), F.lit(groups)))
-    return rows.groupBy("group").applyInArrow(run, "src long, dst long").distinct()
+    return rows.groupBy("group").applyInArrow(run, "src long, dst long, list long, block string")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, info: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """Those pairs (src, dst of nodes) whose whole sets link; the texts are read again for the nodes in question."""
-    wanted = staged(pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "wanted")
+def whole_sets(wanted: DataFrame, docs: DataFrame, info: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """node, elements of the wanted nodes; their texts are read again."""
     few = wanted.count() <= BROADCAST_NODES
     holder = info.join(F.broadcast(wanted) if few else wanted, "node").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).getField("doc_id").alias("doc_id"))
 
@@ -298,7 +322,22 @@ def verified(pairs: DataFrame, docs: DataFrame, info: DataFrame, k: int = SHINGL
     texts = docs.select("doc_id", F.col("text").alias("text_"))
     texts = texts.join(F.broadcast(ids) if few else ids, texts["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
     sets = texts.select("text_").mapInArrow(run, "node long, elements binary").join(wanted, "node").groupBy("node").agg(F.first("elements").alias("elements"))
-    sets = staged(sets, "sets")
+    return staged(sets, "sets")
+
+
+def fine_sketches(sets: DataFrame) -> DataFrame:
+    """node, n_shingles and the finer sketch of whole sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            elements = [np.frombuffer(x, U64) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in elements], pa.int64()), pa.array([sketch_of(x, FINE_EACH, FINE_MOST) for x in elements], pa.binary())], ["node", "n_shingles", "sketch"])
+
+    return sets.select("node", "elements").mapInArrow(run, "node long, n_shingles long, sketch binary")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those pairs (src, dst of nodes) whose whole sets link."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -328,17 +367,28 @@ def near_duplicate_groups(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     info = staged(document_sets(docs, k), "sets-of-documents")
     nodes = staged(info.where("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id")), "nodes")
     lists = staged(shared_lists(signature_blobs(docs, parts, k)).groupBy("list").agg(F.first("nodes").alias("nodes")), "lists")
-    listed = listed_nodes(lists)
-
     slim = info.select("doc_id", "node")
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return staged(pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "wanted")
+
+    def placed(sketched: DataFrame) -> DataFrame:
+        return sketched.join(found, "node", "left").select("node", "n_shingles", "sketch", F.coalesce("component", "node").alias("component"))
+
     first = staged(star_pairs(lists, nodes), "pairs")
-    links = staged(verified(first, docs, slim, k), "links")
+    links = staged(verified(first, whole_sets(ends(first), docs, slim, k)), "links")
+    found = staged(connected_components(links), "components")
+
+    met = staged(cross_pairs(listed_nodes(lists), placed(nodes), parts * LIST_GROUPS, nearest=True), "met")
+    second = staged(met.select("src", "dst").distinct().join(first, ["src", "dst"], "left_anti"), "pairs")
+    links = links.unionByName(staged(verified(second, whole_sets(ends(second), docs, slim, k)), "links"))
     found = staged(connected_components(links), "components")
 
-    placed = nodes.join(found, "node", "left").select("node", "n_shingles", "sketch", F.coalesce("component", "node").alias("component"))
-    rest = cross_pairs(listed, placed, parts * LIST_GROUPS).join(first, ["src", "dst"], "left_anti")
-    rest = staged(rest, "pairs")
-    more = staged(verified(rest, docs, slim, k), "links")
+    # Nodes without a nearest other have no pair left in that list.
+    left = staged(met.select("list", "block", F.explode(F.array("src", "dst")).alias("node")).distinct(), "listed")
+    sets = whole_sets(staged(left.select("node").distinct(), "wanted"), docs, slim, k)
+    rest = cross_pairs(left, placed(fine_sketches(sets)), parts * LIST_GROUPS, nearest=False).select("src", "dst").distinct()
+    more = staged(verified(rest.join(first.unionByName(second), ["src", "dst"], "left_anti"), sets), "links")
     if more.limit(1).count():
         found = staged(connected_components(links.unionByName(more)), "components")
 
