@@ -12,7 +12,7 @@ import re
 from collections.abc import Callable
 
 #: Characters with the Unicode property White_Space (fixed values).
-WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 ASCII_SPACE = WHITE_SPACE[:6]
 _ASCII = re.compile("[\t\n\x0b\x0c\r ]*[^\t\n\x0b\x0c\r ]+|[\t\n\x0b\x0c\r ]+")
 _ANY = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
@@ -30,7 +30,7 @@ class ChunkCache:
     At most ``most`` short chunks are held; longer chunks are encoded each time.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 600_000, longest: int = 48):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 400_000, longest: int = 48):
         self.encode, self.most, self.longest, self.held = encode, most, longest, {}
 
     def ids(self, texts: list[str]) -> list[bytes]:

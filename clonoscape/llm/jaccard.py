@@ -37,7 +37,7 @@ SHINGLE = 5
 #: Nodes of a list that one task compares; longer lists are cut into blocks that meet in pairs.
 LIST_BLOCK = 2048
 #: Signatures a task gathers before it writes blobs, and groups the lists are dealt to for each shuffle partition.
-FLUSH, LIST_GROUPS = 2_000_000, 4
+FLUSH, LIST_GROUPS = 1_000_000, 4
 #: Bits an element and bits in all of the finer sketches.
 FINE_EACH, FINE_MOST = 16, 1 << 17
 #: Candidate nodes up to this count (8 bytes each) are broadcast to the scan that fetches their texts; beyond it they are shuffled.
