@@ -199,6 +199,47 @@ def merge_reference(spark, sf):
     return cu.merge_reference(q, r, ["id", "seg"])
 
 
+@query("select count(*) as n, round(avg(p_retailprice), 6) as mean, round(stddev_samp(p_retailprice), 6) as deviation, min(p_retailprice) as low, round(quantile_cont(p_retailprice, 0.25), 6) as q1, round(quantile_cont(p_retailprice, 0.5), 6) as q2, round(quantile_cont(p_retailprice, 0.75), 6) as q3, max(p_retailprice) as high from part")
+def numeric_summary(spark, sf):
+    x = "p_retailprice"
+    quartiles = [F.round(F.percentile(x, p), 6).alias(f"q{i}") for i, p in ((1, 0.25), (2, 0.5), (3, 0.75))]
+    return t(spark, sf, "part").agg(F.count(x).alias("n"), F.round(F.avg(x), 6).alias("mean"), F.round(F.stddev_samp(x), 6).alias("deviation"), F.min(x).alias("low"), *quartiles, F.max(x).alias("high"))
+
+
+@query("select p_brand, count(*) as n from part group by 1 order by 2 desc, 1 limit 1")
+def most_frequent_value(spark, sf):
+    return cu.top_values(t(spark, sf, "part"), "p_brand", 1)
+
+
+# strings
+
+
+@query(f"with {CTE} select min(length(cdr3)) as shortest, max(length(cdr3)) as longest from rep")
+def length_range(spark, sf):
+    n = F.length("cdr3").cast("long")
+    return repertoire(spark, sf).agg(F.min(n).alias("shortest"), F.max(n).alias("longest"))
+
+
+@query(f"with {CTE} select distinct substring(cdr3, i::int, 1) as letter from (select cdr3, unnest(range(1, length(cdr3) + 1)) as i from rep)")
+def alphabet_found(spark, sf):
+    return repertoire(spark, sf).select(F.explode(F.split("cdr3", "")).alias("letter")).where("letter <> ''").distinct()
+
+
+@query(f"with {CTE} select distinct cdr3, substring(cdr3, (length(cdr3) // 2 - 2)::int, 6) as mid from rep")
+def middle_six(spark, sf):
+    return repertoire(spark, sf).select("cdr3", st.middle("cdr3").alias("mid")).distinct()
+
+
+@query(f"{REP}, {EDGES} select a, b, hamming(substring(a, 4, length(a) - 6), substring(b, 4, length(b) - 6)) as d from e")
+def contact_distances(spark, sf):
+    return _edges(spark, sf).select("a", "b", st.contact_distance("a", "b").cast("long").alias("d"))
+
+
+@query(f"with {CTE} select patient, substring(cdr3, i::int, 2) as kmer, count(*) as n from (select patient, cdr3, unnest(range(1, length(cdr3))) as i from rep) group by 1, 2")
+def kmer_totals_by_patient(spark, sf):
+    return en.kmer_counts_by_row(repertoire(spark, sf), "patient", "cdr3", 2)
+
+
 # encoders
 
 
