@@ -53,8 +53,10 @@ BOILER_NAMES = frozenset(
     "ad ads adbox advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs masthead "
     "footer sidebar aside widget cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup login share sharing "
     "social related recommended comment comments disqus respond reply replies pagination pager toolbar copyright legal disclaimer contentinfo complementary search "
-    "dialog hidden skip".split()
+    "dialog skip".split()
 )
+#: Words that may stand beside those names in one class, as in site-footer; any other word (has-sidebar, no-ads) makes it another class.
+NEUTRAL = frozenset("site page main top bottom left right list item items box bar area wrap wrapper inner container section block link links widget form text global".split())
 CONTENT_NAMES = frozenset("article content entry main post story".split())
 SILENT = frozenset("script style noscript template svg math iframe object embed canvas audio video head title select option datalist textarea button".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -70,7 +72,7 @@ TOKEN = re.compile(
     rf"<!--.*?(?:-->|$)|<({_RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
-MARKS = re.compile(r"(?:\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))|\b(hidden)\b(?!\s*=\s*\"?until)|style\s*=\s*[\"'][^\"']*(display\s*:\s*none)", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 NAME = re.compile(r"[a-z]+")
 
 
@@ -100,6 +102,21 @@ def judge(tree, x) -> float:
     return tree
 
 
+def is_hidden(name: str, value: str) -> bool:
+    """Whether an attribute hides its element."""
+    if name == "style":
+        declared = {k.strip(): v.replace("!important", "").strip() for k, _, v in (x.partition(":") for x in value.split(";"))}
+        return declared.get("display") == "none" or declared.get("visibility") == "hidden"
+    return name == "hidden" and not value.startswith("until") or name == "aria-hidden" and value == "true"
+
+
+def is_boiler(token: str, in_content: bool) -> bool:
+    """Whether a whole class, id or role says boilerplate: all its words do, or stand beside one that does."""
+    names = set(NAME.findall(token))
+    marks = BOILER_NAMES if in_content else BOILER_NAMES | {"header"}
+    return token == "hidden" or bool(names & marks) and names <= marks | NEUTRAL
+
+
 def element_marks(tag: str, attributes: str, in_content: bool) -> tuple[bool, bool]:
     """(content, boilerplate) of one opening tag."""
     if tag in ("html", "body"):
@@ -107,14 +124,14 @@ def element_marks(tag: str, attributes: str, in_content: bool) -> tuple[bool, bo
     if tag in ("article", "main"):
         return True, False
     content, boiler = False, tag in BOILER_TAGS or (tag == "header" and not in_content)
-    if attributes:
-        for m in MARKS.finditer(attributes):
-            if m[4] or m[5]:
-                boiler = True
-                continue
-            names = set(NAME.findall((m[1] or m[2] or m[3] or "").lower()))
-            content |= bool(names & CONTENT_NAMES)
-            boiler |= bool(names & BOILER_NAMES) or ("header" in names and not in_content and not names & CONTENT_NAMES)
+    for m in ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), htmllib.unescape(m[2] or m[3] or m[4] or "").strip().lower()
+        if name in ("class", "id", "role"):
+            named = bool(set(NAME.findall(value)) & CONTENT_NAMES)
+            content |= named
+            boiler |= any(is_boiler(token, in_content or named) for token in value.split())
+        else:
+            boiler |= is_hidden(name, value)
     return content and not boiler, boiler
 
 

@@ -42,3 +42,13 @@ def test_table(spark):
     assert [r["n_chars"] for r in sorted(got, key=lambda r: r["n_chars"])] == [0, 1, 1, 99999]
     assert all(r["n_chars"] == len(r["text"]) for r in got)
     assert mt.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+@pytest.mark.parametrize("mark", ["style='overflow:hidden'", "aria-hidden=false", "class='overflow-hidden row'", "class=has-sidebar", "class='no-comments wide'", "data-hidden=1", "title='nothing hidden here'", "hidden=until-found"])
+def test_wrapper_that_hides_nothing_keeps_the_article(mark):
+    assert text(f"<body><div {mark}><article><p>Some text</p></article></div></body>") == "Some text"
+
+
+@pytest.mark.parametrize("mark", ["hidden", "hidden=''", "aria-hidden='true'", "style='color:red; display : none'", "style='visibility:hidden!important'", "class='box hidden'", "class=site-footer", "id=comment-12", "class='cookie-notice'"])
+def test_hidden_and_boilerplate_elements_are_left_out(mark):
+    assert text(f"<body><article><p>Some text</p></article><div {mark}><p>Other words</p></div></body>") == "Some text"
