@@ -36,6 +36,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove what staged() wrote, once nothing reads it any more."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def buckets(spark: SparkSession) -> int:
     """Buckets for packed blobs: a few for each shuffle partition, so that uneven hashing evens out."""
     return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -1,27 +1,33 @@
 """Language-model scores from a hierarchical Pitman-Yor process.
 
-Three levels: a restaurant for each context (the previous word, hashed into
-2**18 contexts), one restaurant of single words that is the parent they share,
-and a uniform base over the vocabulary and one unknown word.  The customers of
-a context restaurant are the training bigrams; each of its tables sends one
-customer to the parent.  Seating is sampled by Gibbs: customers leave their
-table and sit down again by the Chinese-restaurant rule.  Scores average the
-predictive probabilities of several sampled seatings.
+Three levels: a restaurant for each context (the previous word, by its 64-bit
+hash), one restaurant of single words that is the parent they share, and a
+uniform base over the vocabulary and one unknown word.  The customers of a
+context restaurant are the training bigrams; each of its tables sends one
+customer to the parent.  Seating is sampled by Gibbs sweeps.  A sweep reseats
+all customers of every bigram type at once, and all customers of every word at
+the parent, from the distribution of their number of tables given the others;
+that number is all that scores need.  Scores average the predictive
+probabilities of several sampled seatings.
 
 Distribution.  Occurrences (word, context, document) go once to buckets by
 their word, in packed blobs, so that everything about a word is in one place;
-words that hold a large share of the corpus are split further by context.  What
-crosses buckets is bounded: totals of the contexts, of the parent, and of the
-split words, summed between passes.  Pass 1 gathers totals, pass 2 samples
-seatings and sums their tables, pass 3 repeats the same sampling (same seeds)
-and scores.  Within a pass the totals of the pass before stand still, as usual
-when Gibbs sampling is distributed.
+words that hold a large share of the corpus are split further by context.
+Totals of contexts grow with the input and never pass the driver: a bucket
+sends its part for each of its contexts, packed by shard of the context hash,
+and a shard answers with the totals of those contexts.  The driver holds only
+the totals of the parent and those of the split words.  Each sweep is a pass
+over the types with more than one customer; it takes the totals that the sweep
+before gave, which stand still within it, as usual when Gibbs sampling is
+distributed.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +35,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, staged, table
+from .common import discard, fold, staged, table
 from .textbatch import U64, buffers, mix, slices, words
 
-CONTEXTS = 1 << 18
+#: Contexts are 64-bit hashes modulo this.
+CONTEXTS = (1 << 64) - 1
 BURN_IN, SAMPLES, APART = 6, 3, 2
+ROUNDS = BURN_IN + SAMPLES * APART
 THETA_CONTEXT, THETA_ROOT = 1.0, 1.0
-#: Tokens a task gathers before it writes blobs; documents of such a chunk (their places take 16 bits); pieces in which totals travel.
-CHUNK_TOKENS, CHUNK_DOCS, PIECES = 600_000, 60_000, 8
+#: Tokens a task gathers before it writes blobs; documents of such a chunk (their places take 16 bits).
+CHUNK_TOKENS, CHUNK_DOCS = 600_000, 60_000
+#: Up to so many customers the number of tables is drawn exactly, above that by so many Metropolis steps.
+EXACT, MOVES = 512, 20
 #: Bytes of text that are hashed at once.
 SLICE = 1 << 20
 #: Hash slots in which words are counted to find those with a large share.
@@ -58,7 +68,7 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     before = np.empty(len(out), U64)
     before[1:] = out[:-1]
     before[first[:-1]] = START
-    return out, (mix(before) % U64(CONTEXTS)).astype(np.uint32), first
+    return out, mix(before) % U64(CONTEXTS), first
 
 
 def large_shares(docs: DataFrame, parts: int) -> np.ndarray:
@@ -78,6 +88,16 @@ def large_shares(docs: DataFrame, parts: int) -> np.ndarray:
     return np.array(sorted(r["slot"] for r in rows if r["slot"] >= 0 and r["n"] > every / (2 * parts) * 0.5), np.int64)
 
 
+def planes(x: np.ndarray) -> bytes:
+    """All lowest bytes, then the next ones: sorted and small numbers then compress well."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def from_planes(blob: bytes, kind: str, n: int, at: int) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8, width * n, at).reshape(width, n).T).view(kind)[:, 0]
+
+
 def pack(docs: DataFrame, parts: int, large: np.ndarray) -> DataFrame:
     """bucket, chunk, blob: occurrences by bucket (from 0), and the documents of each chunk (negative buckets)."""
 
@@ -92,19 +112,22 @@ def pack(docs: DataFrame, parts: int, large: np.ndarray) -> DataFrame:
         bucket = (mix(word) % U64(parts)).astype(np.int64)
         if len(large):
             split = np.isin((word % U64(SHARE_SLOTS)).astype(np.int64), large)
-            bucket[split] = (mix(word[split] + mix(context[split].astype(U64))) % U64(parts)).astype(np.int64)
+            bucket[split] = (mix(word[split] + mix(context[split])) % U64(parts)).astype(np.int64)
         order = np.argsort(word, kind="stable")
         order = order[np.argsort(bucket[order], kind="stable")]
         word, doc = word[order], doc[order]
-        slot = np.ascontiguousarray(context[order]).view(np.uint8).reshape(-1, 4)[:, :3]
+        names, place = np.unique(context, return_inverse=True)
+        place = place.astype(np.int32)[order]
         cuts = np.searchsorted(bucket[order], np.arange(parts + 1))
         for i in range(parts):
             a, b = cuts[i], cuts[i + 1]
             if b > a:
                 first = np.flatnonzero(np.concatenate([[True], word[a + 1 : b] != word[a : b - 1]]))
                 count = np.diff(np.append(first, b - a)).astype("<u4")
-                head = np.array([len(first), b - a, n], "<u4").tobytes()
-                yield i, chunk, head + word[a:b][first].tobytes() + count.tobytes() + doc[a:b].tobytes() + slot[a:b].tobytes() + train.tobytes()
+                own, slot = np.unique(place[a:b], return_inverse=True)
+                head = np.array([len(first), b - a, n, len(own)], "<u4").tobytes()
+                slot = slot.astype("<u2" if len(own) <= 1 << 16 else "<u4")
+                yield i, chunk, head + word[a:b][first].tobytes() + planes(count) + names[own].tobytes() + planes(doc[a:b]) + slot.tobytes() + train.tobytes()
         yield -1 - chunk % parts, chunk, np.array([n], "<u4").tobytes() + ids.tobytes() + size.astype("<i8").tobytes() + null.tobytes() + train.tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,36 +160,44 @@ class Bucket:
     """The bigram types of a bucket: word, context, training customers; and the occurrences by chunk and document."""
 
     def __init__(self, chunks: list[int], blobs: list[bytes]):
-        names, word, doc, slot, train = [], [], [], [], []
+        names, word, doc, contexts, slot, train = [], [], [], [], [], []
         self.chunks = []
-        base = 0
+        base = context_base = 0
         for c, blob in zip(chunks, blobs, strict=True):
-            n, m, d = (int(x) for x in np.frombuffer(blob, "<u4", 3))
-            at = 12
+            n, m, d, k = (int(x) for x in np.frombuffer(blob, "<u4", 4))
+            at = 16
             names.append(np.frombuffer(blob, "<u8", n, at))
-            word.append(np.repeat(np.arange(base, base + n, dtype=np.int32), np.frombuffer(blob, "<u4", n, at + 8 * n)))
+            word.append(np.repeat(np.arange(base, base + n, dtype=np.int32), from_planes(blob, "<u4", n, at + 8 * n)))
             at, base = at + 12 * n, base + n
-            doc.append(np.frombuffer(blob, "<u2", m, at))
-            raw = np.frombuffer(blob, np.uint8, 3 * m, at + 2 * m).reshape(-1, 3)
-            wide = np.zeros((m, 4), np.uint8)
-            wide[:, :3] = raw
-            slot.append(wide.view("<u4")[:, 0])
-            train.append(np.frombuffer(blob, np.uint8, d, at + 5 * m)[doc[-1]].astype(bool))
+            contexts.append(np.frombuffer(blob, "<u8", k, at))
+            at += 8 * k
+            doc.append(from_planes(blob, "<u2", m, at))
+            wide = "<u2" if k <= 1 << 16 else "<u4"
+            slot.append(np.frombuffer(blob, wide, m, at + 2 * m).astype(np.int32) + np.int32(context_base))
+            at, context_base = at + (2 + int(wide[2])) * m, context_base + k
+            train.append(np.frombuffer(blob, np.uint8, d, at)[doc[-1]].astype(bool))
             self.chunks.append((c, d, m))
         self.word, index = np.unique(np.concatenate(names), return_inverse=True)
         pair = index.astype(np.int64)[np.concatenate(word)]
         del word, names, index
-        pair *= CONTEXTS
-        pair += np.concatenate(slot)
-        del slot
+        self.context, index = np.unique(np.concatenate(contexts), return_inverse=True)
+        k = len(self.context)
+        pair *= k
+        pair += index.astype(np.int32)[np.concatenate(slot)]
+        del slot, contexts, index
         pair, inverse = np.unique(pair, return_inverse=True)
         self.type_of = inverse.astype(np.int32)
         del inverse
         self.doc, train = np.concatenate(doc), np.concatenate(train)
-        self.type_word, self.type_slot = (pair // CONTEXTS).astype(np.int32), (pair % CONTEXTS).astype(np.int32)
+        self.type_word, self.type_context = (pair // k).astype(np.int32), (pair % k).astype(np.int32)
         self.customers = np.bincount(self.type_of[train], minlength=len(pair)).astype(np.int32)
         self.word_count = np.bincount(self.type_word, self.customers, minlength=len(self.word)).astype(np.int64)
 
+    @property
+    def type_slot(self) -> np.ndarray:
+        """The context hash of each type."""
+        return self.context[self.type_context]
+
     def split(self, large: np.ndarray) -> np.ndarray:
         """Which words are spread over buckets."""
         return np.isin((self.word % U64(SHARE_SLOTS)).astype(np.int64), large)
@@ -174,210 +205,364 @@ class Bucket:
 
 @dataclass
 class Totals:
-    """What crosses buckets; every part of it is bounded by the number of contexts, samples or split words."""
+    """What crosses buckets: small totals here, and the frames that hold what grows with the input."""
 
-    context: np.ndarray  # training customers of each context
-    tables: np.ndarray  # (sample or the start, context): tables
     n: int  # training tokens
     vocabulary: int
     discount: float  # of contexts
     discount_root: float
-    root: np.ndarray  # (sample or the start, 2): customers and tables of the parent
-    split: dict[int, np.ndarray] = field(default_factory=dict)  # word: training tokens, then its customers at the parent
-
-
-def seat_root(customers: np.ndarray, rate: float, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of each word in the parent: customers sit down in turn, in blocks of an eighth of those seated."""
-    tables, seated = (customers > 0).astype(np.int64), (customers > 0).astype(np.int64)
-    live = np.flatnonzero(customers > 1)
-    while len(live):
-        n = seated[live]
-        block = np.minimum(np.maximum(1, n // 8), customers[live] - n)
-        tables[live] += rng.binomial(block, np.clip(rate / (n - discount * tables[live] + rate), 0, 1))
-        seated[live] += block
-        live = live[seated[live] < customers[live]]
-    return tables
-
-
-def seatings(b: Bucket, t: Totals, large: np.ndarray, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Sampled seatings of a bucket: tables of each type, and of each word its customers and tables at the parent.
-
-    In every round each type takes one of its customers, chosen at random, from
-    their table and seats them again: at a table with n others by n - discount,
-    at a new one by (theta + discount * tables of the context) * parent's
-    probability of the word.
-    """
-    rng = np.random.default_rng(seed)
-    split = b.split(large)
-    known = np.array([t.split[int(w)][1] if s else 0 for w, s in zip(b.word, split, strict=True)]) if split.any() else np.zeros(len(b.word), np.int64)
-    p0 = 1 / (t.vocabulary + 1)
-    root_customers, root_tables = t.root[0]
-    rate_root = (THETA_ROOT + t.discount_root * root_tables) * p0
-    d, c = t.discount, b.customers
-    tables = (c > 0).astype(np.int32)
-
-    def parent(tables: np.ndarray, root: np.ndarray) -> np.ndarray:
-        customers = np.where(split, known, np.bincount(b.type_word, tables, minlength=len(b.word)))
-        return (np.maximum(customers - t.discount_root * root, 0) + rate_root) / (THETA_ROOT + root_customers)
-
-    many = np.flatnonzero(c > 1)
-    pull = THETA_CONTEXT + d * t.tables[0][b.type_slot[many]]
-    root = np.where(b.word_count > 0, 1, 0)
-    rate = pull * parent(tables, root)[b.type_word[many]]
-    cm = c[many].astype(np.int64)
-    start = np.clip(np.round(1 + rate * np.log1p(cm / (rate + 1))), 1, cm).astype(np.int64)  # near the mean to begin with
-    owner = np.repeat(np.arange(len(many)), start)
-    place = np.arange(len(owner)) - np.repeat(np.cumsum(start) - start, start)
-    n = cm[owner] // start[owner] + (place < cm[owner] % start[owner])
-    first_customer = np.cumsum(cm) - cm
-    for r in range(BURN_IN + SAMPLES * APART):
-        if len(many):
-            pick = first_customer + np.minimum((rng.random(len(many)) * cm).astype(np.int64), cm - 1)
-            n[np.searchsorted(np.cumsum(n), pick, "right")] -= 1
-            live = n > 0
-            owner, n = owner[live], n[live]
-            count = np.bincount(owner, minlength=len(many))
-            weight = np.cumsum(n - d)
-            last = np.cumsum(count) - 1
-            before = np.where(last - count >= 0, weight[np.maximum(last - count, 0)], 0.0)
-            mass = np.where(count > 0, weight[np.maximum(last, 0)] - before, 0.0)
-            new = rng.random(len(many)) * (mass + rate) >= mass
-            sit = np.flatnonzero(~new)
-            at = np.searchsorted(weight, before[sit] + rng.random(len(sit)) * mass[sit], "right")
-            n[np.clip(at, last[sit] - count[sit] + 1, last[sit])] += 1
-            opened = np.flatnonzero(new)
-            owner, n = np.append(owner, opened), np.append(n, np.ones(len(opened), np.int64))
-            order = np.argsort(owner, kind="stable")
-            owner, n = owner[order], n[order]
-            tables[many] = np.bincount(owner, minlength=len(many))
-        sampled = r >= BURN_IN and (r - BURN_IN) % APART == APART - 1
-        if sampled or r == BURN_IN - 1:
-            customers = np.bincount(b.type_word, tables, minlength=len(b.word)).astype(np.int64)
-            root = seat_root(np.where(split, known, customers), rate_root, t.discount_root, rng)
-            rate = pull * parent(tables, root)[b.type_word[many]]
-            if sampled:
-                yield tables.copy(), customers, root
+    root: tuple[int, int]  # customers and tables of the parent
+    split: dict[int, np.ndarray] = field(default_factory=dict)  # word: training tokens, then customers and tables at the parent of the last round and of each sample
+    roots: list[tuple[int, int]] = field(default_factory=list)  # root of each sample
+    shards: int = 1
+    frame: DataFrame | None = None  # bucket, kind, shard, v: what the last pass staged
+    contexts: DataFrame | None = None  # bucket, kind, shard, v: totals of all contexts of each bucket
 
+    def small(self) -> Totals:
+        """Without frames, for tasks."""
+        return replace(self, frame=None, contexts=None)
 
-def _sum(t: pa.Table) -> pa.Table:
-    total = np.sum([np.frombuffer(x, "<i8") for x in t.column("v").to_pylist()], axis=0)
-    return pa.table({"part": t.column("part").slice(0, 1), "word": t.column("word").slice(0, 1), "v": pa.array([total.astype("<i8").tobytes()])})
 
+#: Kinds of rows that a pass stages: all contexts of a bucket, its state, its sums, a split word's sums, tables in its contexts (in the last round by sample).
+ALL, STATE, SUMS, SPLIT, SENT = range(5)
+STAGED = "bucket long, kind int, shard long, v binary"
 
-def summed(rows: DataFrame, one) -> dict[tuple[int, int], np.ndarray]:
-    """Sum vectors named (part, word) that ``one(bucket, number)`` gives for each bucket; tasks add up theirs first."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple[int, int], np.ndarray] = {}
-        for b in batches:
-            for k in range(b.num_rows):
-                for key, v in one(Bucket(b.column(1)[k].as_py(), b.column(2)[k].as_py()), b.column(0)[k].as_py()):
-                    total[key] = total[key] + v if key in total else v
-        for (part, word), v in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([word], pa.int64()), pa.array([v.astype("<i8").tobytes()], pa.binary())], ["part", "word", "v"])
+def gammaln(x: np.ndarray) -> np.ndarray:
+    """Logarithm of the gamma function of positive numbers."""
+    low = x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5) * (x + 6) * (x + 7)
+    z = x + 8
+    return (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + (1 / 12 - (1 / 360 - 1 / (1260 * z * z)) / (z * z)) / z - np.log(low)
+
+
+@lru_cache(4)
+def stirling(discount: float, most: int) -> np.ndarray:
+    """Logarithms of generalised Stirling numbers: [customers, tables] up to ``most``."""
+    s = np.full((most + 1, most + 1), -np.inf)
+    s[0, 0] = 0
+    t = np.arange(1, most + 1)
+    for c in range(most):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            stay = np.where(t <= c, np.log(np.maximum(c - discount * t, 1e-300)) + s[c, 1:], -np.inf)
+        s[c + 1, 1:] = np.logaddexp(s[c, :-1], stay)
+    return s
+
 
-    found = rows.where("bucket >= 0").mapInArrow(run, "part long, word long, v binary").groupBy("part", "word").applyInArrow(_sum, "part long, word long, v binary").collect()
-    return {(r["part"], r["word"]): np.frombuffer(r["v"], "<i8") for r in found}
+def seatings(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """Logarithms of generalised Stirling numbers for many customers, less what depends on c alone.
 
+    The number is c! / (t! d**t) times the chance that t Sibuya variables sum to
+    c.  For few tables that chance is its alternating series, which then cancels
+    little; for more, where many tables share the customers, its saddle point.
+    """
+    c, t = c.astype(float), t.astype(float)
+    spread = np.exp((np.log(t) - d * np.log(c)) / (1 - d))
+    out = np.empty(len(c))
+    few = (1 - d) * spread <= 12
+    for i in np.array_split(np.flatnonzero(few), max(1, few.sum() // 256)):
+        if not len(i):
+            continue
+        k = np.arange(1, int(min(t[i].max(), 60 + 5 * spread[i].max())) + 1)[:, None]
+        ci, ti = c[i], t[i]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            size = np.where(k <= ti, gammaln(ti + 1) - gammaln(k + 1.0) - gammaln(np.maximum(ti - k, 0) + 1) + gammaln(1 + k * d) + gammaln(np.maximum(ci - k * d, 0.5)) - gammaln(ci + 1), -np.inf)
+            most = size.max(axis=0)
+            total = (np.where(k % 2 == 1, 1, -1) * np.sin(np.pi * k * d) * np.exp(size - most)).sum(axis=0) / np.pi
+            out[i] = np.log(np.maximum(total, 1e-300)) + most
+    i = np.flatnonzero(~few)
+    if len(i):
+        ci, ti = c[i], t[i]
+        low, high = np.full(len(i), np.log(1e-9)), np.full(len(i), np.log(600.0))
+        slope = lambda y: -np.expm1(y) * d * np.exp((d - 1) * y) / -np.expm1(d * y)  # noqa: E731  mean of a table, y = log(1 - x)
+        for _ in range(50):
+            mid = (low + high) / 2
+            over = slope(-np.exp(mid)) > ci / ti
+            low, high = np.where(over, low, mid), np.where(over, mid, high)
+        y = -np.exp((low + high) / 2)
+        x, m = -np.expm1(y), slope(y)
+        variance = ti * (m + x * (1 - d) * np.exp(-y) * m - m * m)
+        out[i] = ti * np.log(-np.expm1(d * y)) - ci * np.log(x) - 0.5 * np.log(2 * np.pi * np.maximum(variance, 1e-9))
+    return np.where(t == c, t * np.log(d), out) - gammaln(t + 1) - t * np.log(d)
+
+
+def moved(c: np.ndarray, tables: np.ndarray, theta: np.ndarray, p: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of many customers after MOVES Metropolis steps, each of which proposes a seating of all at another number of tables."""
+    weight = lambda t: t * np.log(p) + t * np.log(d) + gammaln(theta / d + t) - gammaln(theta / d) + seatings(c, t, d)
+    t = np.clip(tables, 1, c).astype(np.int64)
+    scale = 1 + 2 * np.sqrt(np.minimum(1 + theta / d * p / np.maximum(1 - p, 1e-3), c / 4))
+    now = weight(t)
+    for _ in range(MOVES):
+        new = t + np.rint(scale * rng.standard_normal(len(t))).astype(np.int64)
+        fits = (new >= 1) & (new <= c)
+        then = weight(np.where(fits, new, t))
+        take = fits & (np.log(rng.random(len(t))) < then - now)
+        t, now = np.where(take, new, t), np.where(take, then, now)
+    return t
+
+
+def reseat(c: np.ndarray, theta: np.ndarray, p: np.ndarray, d: float, rng: np.random.Generator, tables: np.ndarray | None = None) -> np.ndarray:
+    """Tables of c customers each after all of them left and sat down again.
+
+    The weight of t tables is p ** t * prod(theta + d * j for j < t) times the
+    seatings of c customers at t tables, where theta counts the other tables of
+    the restaurant and p is the parent's probability.  ``tables`` are those
+    before, from which the Metropolis steps of many customers start.
+    """
+    out = np.minimum(c, 1).astype(np.int64)
+    theta, p = np.broadcast_to(theta, c.shape).astype(float), np.broadcast_to(p, c.shape).astype(float)
+    exact = np.flatnonzero((c > 1) & (c <= EXACT))
+    if len(exact):
+        known = stirling(d, EXACT)
+        exact = exact[np.argsort(c[exact], kind="stable")]
+        sizes, first = np.unique(c[exact], return_index=True)
+        for size, group in zip(sizes.tolist(), np.split(exact, first[1:]), strict=True):
+            for at in range(0, len(group), max(1, 1_000_000 // size)):
+                i = group[at : at + max(1, 1_000_000 // size)]
+                w = np.cumsum(np.log((theta[i, None] + d * np.arange(size)) * p[i, None]), axis=1) + known[size, 1 : size + 1]
+                w = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
+                out[i] = 1 + np.minimum((w < rng.random((len(i), 1)) * w[:, -1:]).sum(axis=1), size - 1)
+    large = np.flatnonzero(c > EXACT)
+    if len(large):
+        out[large] = moved(c[large].astype(np.int64), out[large] if tables is None else tables[large], theta[large], p[large], d, rng)
+    return out
+
+
+def by_shard(context: np.ndarray, values: list[np.ndarray], shards: int) -> Iterator[tuple[int, bytes]]:
+    """Packed contexts and their values for each shard; contexts are in the order of in_shards()."""
+    cuts = np.searchsorted(context % U64(shards), np.arange(shards + 1, dtype=U64))
+    for k in range(shards):
+        a, b = cuts[k], cuts[k + 1]
+        if b > a:
+            yield k, np.array([b - a, len(values)], "<u4").tobytes() + context[a:b].tobytes() + np.array([v[a:b] for v in values], "<i4").tobytes()
+
+
+def in_shards(context: np.ndarray, shards: int) -> np.ndarray:
+    return np.lexsort((context, context % U64(shards)))
+
+
+def answered(sent: DataFrame, width: int) -> DataFrame:
+    """For rows of packed contexts: the totals over all rows, for the contexts of each, in their order.
+
+    With rows of kind ALL among them only those are answered: customers, tables
+    of single customers, types, then the tables that each other kind sent, in
+    ``width`` columns.
+    """
 
-def _pieces(v: np.ndarray) -> Iterator[tuple[tuple[int, int], np.ndarray]]:
-    for k, x in enumerate(np.split(v, PIECES, axis=-1)):
-        yield (k, 0), x.ravel()
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("kind", "ascending"), ("bucket", "ascending")])
+        kinds = t.column("kind").to_pylist()
+        rounds = sorted(set(kinds) - {ALL})
+        keys, values = [], []
+        for v in t.column("v").to_pylist():
+            n, k = (int(x) for x in np.frombuffer(v, "<u4", 2))
+            keys.append(np.frombuffer(v, "<u8", n, 8))
+            values.append(np.frombuffer(v, "<i4", n * k, 8 + 8 * n).reshape(k, n))
+        unique, index = np.unique(np.concatenate(keys), return_inverse=True)
+        at = np.cumsum([0, *map(len, keys)])
+        columns = []
+        for kind in ([ALL] if ALL in kinds else []) + rounds:
+            mine = [i for i, x in enumerate(kinds) if x == kind]
+            own = np.concatenate([index[at[i] : at[i + 1]] for i in mine])
+            columns += [np.bincount(own, x, minlength=len(unique)) for x in np.concatenate([values[i] for i in mine], axis=1)]
+        columns += [np.zeros(len(unique))] * (width - len(columns))  # no tables were sent here
+        total = np.array(columns).astype("<i8")
+        out = [(b, kinds[i], s, total[:, index[at[i] : at[i + 1]]].tobytes()) for i, (b, s) in enumerate(zip(t.column("bucket").to_pylist(), t.column("shard").to_pylist(), strict=True)) if kinds[i] == ALL or ALL not in kinds]
+        return pa.table([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.int64()), pa.array([x[3] for x in out], pa.binary())], ["bucket", "kind", "shard", "v"])
+
+    return sent.select("bucket", "kind", "shard", "v").groupBy("shard").applyInArrow(run, STAGED)
+
+
+def answer(rows: list[tuple[int, bytes]], columns: int) -> np.ndarray:
+    """(column, context): the answers of all shards to one bucket."""
+    found = [np.frombuffer(v, "<i8").reshape(columns, -1) for _, v in sorted(rows)]
+    return np.concatenate(found, axis=1) if found else np.zeros((columns, 0), np.int64)
 
 
 def _signed(word: int) -> int:
     return word - (1 << 64) if word >= 1 << 63 else word
 
 
+def _staged_rows(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    b, k, s, v = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(k, pa.int32()), pa.array(s, pa.int64()), pa.array(v, pa.binary())], ["bucket", "kind", "shard", "v"])
+
+
+def _sums(frame: DataFrame) -> tuple[np.ndarray | None, dict[int, np.ndarray]]:
+    """Sums of the buckets, and of each split word; a row for each bucket, and for each bucket and split word."""
+
+    def add(t: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(x, "<i8") for x in t.column("v").to_pylist()], axis=0)
+        return pa.table({"kind": t.column("kind").slice(0, 1), "shard": t.column("shard").slice(0, 1), "v": pa.array([total.astype("<i8").tobytes()])})
+
+    rows = frame.where(f"kind in ({SUMS}, {SPLIT})").select("kind", "shard", "v").groupBy("kind", "shard").applyInArrow(add, "kind int, shard long, v binary").collect()
+    got = {(r["kind"], r["shard"]): np.frombuffer(r["v"], "<i8") for r in rows}
+    return got.get((SUMS, 0)), {w % (1 << 64): v for (k, w), v in got.items() if k == SPLIT}
+
+
 def first_totals(rows: DataFrame, large: np.ndarray) -> Totals:
-    def one(b: Bucket, _: int):
-        seen = b.customers > 0
-        v = np.stack([np.bincount(b.type_slot, b.customers, minlength=CONTEXTS), np.bincount(b.type_slot[seen], minlength=CONTEXTS)]).astype(np.int64)
-        yield from _pieces(v)
-        split = b.split(large)
-        own = b.word_count[~split]
+    """Counts, and the state of each bucket before the first round: one table for each type."""
+    shards = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def one(b: Bucket, number: int) -> Iterator[tuple[int, int, int, bytes]]:
+        c, split, k = b.customers, b.split(large), len(b.context)
+        single, many, seen = c == 1, np.flatnonzero(c > 1), c > 0
+        order = in_shards(b.context, shards)
+        context = b.context[order]
+        count = lambda which, w=None: np.bincount(b.type_context[which], w, minlength=k)[order]
+        for shard, v in by_shard(context, [count(seen, c[seen]), count(single), count(seen)], shards):
+            yield number, ALL, shard, v
+        place = np.empty(k, np.int32)
+        place[order] = np.arange(k)
+        active, at = np.unique(place[b.type_context[many]], return_inverse=True)
         kinds = np.bincount(b.type_word[seen], minlength=len(b.word))
-        mine = kinds[~split]
-        c = b.customers
-        yield (-1, 0), np.array([c.sum(), (own > 0).sum(), (c == 1).sum(), (c == 2).sum(), seen.sum(), (mine == 1).sum(), (mine == 2).sum()], np.int64)
+        state = {
+            "word": b.word[split], "split": np.flatnonzero(split), "ones": np.bincount(b.type_word[single], minlength=len(b.word)).astype(np.int32), "root": np.minimum(kinds, 1).astype(np.int32),
+            "context": context[active], "active": active.astype(np.int32), "type_word": b.type_word[many], "type_context": at.astype(np.int32), "customers": c[many], "tables": np.ones(len(many), np.int32), "samples": [],
+        }
+        yield number, STATE, 0, pickle.dumps(state, 5)
+        own, mine = b.word_count[~split], kinds[~split]
+        yield number, SUMS, 0, np.array([c.sum(), (own > 0).sum(), single.sum(), (c == 2).sum(), seen.sum(), (mine == 1).sum(), (mine == 2).sum()], "<i8").tobytes()
         for w in np.flatnonzero(split):
-            yield (-2, _signed(int(b.word[w]))), np.array([b.word_count[w], kinds[w]], np.int64)
+            yield number, SPLIT, _signed(int(b.word[w])), np.array([b.word_count[w], kinds[w]], "<i8").tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                yield _staged_rows(list(one(Bucket(b.column(1)[k].as_py(), b.column(2)[k].as_py()), b.column(0)[k].as_py())))
 
-    got = summed(rows, one)
-    both = np.concatenate([got.get((k, 0), np.zeros(2 * CONTEXTS // PIECES, np.int64)).reshape(2, -1) for k in range(PIECES)], axis=1)
-    n, vocabulary, c1, c2, types, k1, k2 = got.get((-1, 0), np.zeros(7, np.int64)).tolist()
-    split = {w % (1 << 64): v for (p, w), v in got.items() if p == -2}
+    frame = staged(rows.where("bucket >= 0").mapInArrow(run, STAGED), "first")
+    sums, split = _sums(frame)
+    n, vocabulary, c1, c2, types, k1, k2 = np.zeros(7, np.int64).tolist() if sums is None else sums.tolist()
     vocabulary += sum(v[0] > 0 for v in split.values())
     d = lambda a, b: float(np.clip(a / max(1, a + 2 * b), 0.1, 0.95))  # noqa: E731  the usual estimate from singletons and doubletons
-    return Totals(both[0], both[1:], int(n), int(vocabulary), d(c1, c2), d(k1, k2), np.array([[types, vocabulary]]), split)
+    held = {w: np.array([v[0], v[1], min(v[1], 1)]) for w, v in split.items()}
+    return Totals(int(n), int(vocabulary), d(c1, c2), d(k1, k2), (int(types), int(vocabulary)), held, [], shards, frame)
+
+
+def sweep(state: dict, total: np.ndarray, number: int, r: int, t: Totals) -> np.ndarray:
+    """Reseat all customers of a bucket given the totals of the round before; gives the customers at the parent of each word."""
+    rng = np.random.default_rng([number, r])
+    p0, (root_customers, root_tables) = 1 / (t.vocabulary + 1), t.root
+    word, split = state["word"], state["split"]
+    count = lambda: state["ones"] + np.bincount(state["type_word"], state["tables"], minlength=len(state["ones"])).astype(np.int64)
+    customers, root = count(), state["root"].astype(np.int64)
+    for w, i in zip(word, split, strict=True):
+        customers[i], root[i] = t.split[int(w)][1:3]
+    parent = (np.maximum(customers - t.discount_root * root, 0) + (THETA_ROOT + t.discount_root * root_tables) * p0) / (THETA_ROOT + root_customers)
+    others = np.maximum(total[state["type_context"]] - state["tables"], 0)
+    state["tables"] = reseat(state["customers"], THETA_CONTEXT + t.discount * others, parent[state["type_word"]], t.discount, rng, state["tables"]).astype(np.int32)
+    customers = count()
+    theta = THETA_ROOT + t.discount_root * np.maximum(root_tables - root, 0)
+    own = customers.copy()
+    own[split] = 0
+    state["root"] = reseat(own, theta, p0, t.discount_root, rng, root).astype(np.int32)
+    return customers
+
+
+def round_of(small: Totals, r: int, sampled: bool):
+    """The pass over one bucket in round r."""
+    first = r == 0
+
+    def run(g: pa.Table) -> pa.Table:
+        found = list(zip(g.column("kind").to_pylist(), g.column("shard").to_pylist(), g.column("v").to_pylist(), strict=True))
+        number = g.column("bucket")[0].as_py()
+        state = pickle.loads(next(v for k, _, v in found if k == STATE))
+        got = answer([(s, v) for k, s, v in found if k != STATE], 3 if first else 1)
+        if first:
+            got = got[:, state.pop("active")]
+            state["single"], total = got[1].astype(np.int32), got[2]
+        else:
+            total = state["single"] + got[0]
+        customers = sweep(state, total, number, r, small)
+        if sampled:
+            state["samples"].append((state["tables"], customers.astype(np.int32), state["root"]))
+        sends = [x[0] for x in state["samples"]] if r == ROUNDS - 1 else [state["tables"]]
+        out = [(number, STATE, 0, pickle.dumps(state, 5)), (number, SUMS, 0, np.array([customers.sum(), state["root"].sum()], "<i8").tobytes())]
+        for k, tables in enumerate(sends):
+            tables = np.bincount(state["type_context"], tables, minlength=len(state["context"]))
+            out += [(number, SENT + k, s, v) for s, v in by_shard(state["context"], [tables], small.shards)]
+        out += [(number, SPLIT, _signed(int(w)), np.array([customers[i]], "<i8").tobytes()) for w, i in zip(state["word"], state["split"], strict=True)]
+        return pa.Table.from_batches([_staged_rows(out)])
+
+    return run
 
 
 def sampled_totals(rows: DataFrame, start: Totals, large: np.ndarray) -> Totals:
-    sent = rows.sparkSession.sparkContext.broadcast(start)
-
-    def one(b: Bucket, number: int):
-        split = b.split(large)
-        tables, root, parent = [], [], []
-        for t, customers, root_tables in seatings(b, sent.value, large, number):
-            tables.append(np.bincount(b.type_slot, t, minlength=CONTEXTS))
-            root.append([customers.sum(), root_tables[~split].sum()])
-            parent.append(customers)
-        yield from _pieces(np.array(tables).astype(np.int64))
-        yield (-1, 0), np.array(root, np.int64).ravel()
-        for w in np.flatnonzero(split):
-            yield (-2, _signed(int(b.word[w]))), np.array([p[w] for p in parent], np.int64)
-
-    got = summed(rows, one)
-    tables = np.concatenate([got.get((k, 0), np.zeros(SAMPLES * CONTEXTS // PIECES, np.int64)).reshape(SAMPLES, -1) for k in range(PIECES)], axis=1)
-    root = got.get((-1, 0), np.zeros(2 * SAMPLES, np.int64)).reshape(SAMPLES, 2).copy()
-    split = {w % (1 << 64): np.concatenate([start.split[w % (1 << 64)][:1], v]) for (p, w), v in got.items() if p == -2}
-    for w, v in split.items():
-        root[:, 1] += split_root(start, w, v)
-    return Totals(start.context, tables, start.n, start.vocabulary, start.discount, start.discount_root, root, split)
-
-
-def split_root(start: Totals, word: int, v: np.ndarray) -> np.ndarray:
-    """Tables at the parent of a word that is spread over buckets, the same wherever it is asked."""
-    rate = (THETA_ROOT + start.discount_root * start.root[0][1]) / (start.vocabulary + 1)
-    return np.array([seat_root(v[1 + s : 2 + s], rate, start.discount_root, np.random.default_rng([word, s]))[0] for s in range(SAMPLES)])
-
-
-def log_scores(b: Bucket, number: int, start: Totals, t: Totals, large: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each type: log10 of the base's and of the averaged predictive probability, and whether its word is known."""
+    """All rounds: each is one pass that reseats every customer and sums the tables for the next."""
+    spark = rows.sparkSession
+    t = start
+    requests = start.frame.where(f"kind = {ALL}")
+    for r in range(ROUNDS):
+        sampled = r >= BURN_IN and (r - BURN_IN) % APART == APART - 1
+        first = r == 0
+        asked = requests if first else t.frame.where(f"kind >= {SENT}")
+        frame = staged(t.frame.where(f"kind = {STATE}").unionByName(answered(asked, 3 if first else 1)).groupBy("bucket").applyInArrow(round_of(t.small(), r, sampled), STAGED), "round")
+        sums, split = _sums(frame)
+        root, held = [0, 0] if sums is None else sums.tolist(), {}
+        for w, v in split.items():
+            before = t.split[w]
+            theta = THETA_ROOT + t.discount_root * max(t.root[1] - before[2], 0)
+            seat = reseat(v[:1], np.array([theta]), np.array([1 / (t.vocabulary + 1)]), t.discount_root, np.random.default_rng([w, r]), before[2:3])[0]
+            held[w] = np.concatenate([before[:1], [v[0], seat], before[3:], [v[0], seat] if sampled else []]).astype(np.int64)
+            root[1] += int(seat)
+        if not first:
+            discard(t.frame)
+        t = replace(t, root=tuple(root), split=held, roots=t.roots + ([tuple(root)] if sampled else []), frame=frame)
+        spark.sparkContext._jvm.System.gc()  # lets Spark remove the shuffle files of rounds that are over
+    return replace(t, contexts=answered(requests.unionByName(t.frame.where(f"kind >= {SENT}")), 3 + SAMPLES))
+
+
+def log_scores(b: Bucket, number: int, start: Totals, t: Totals, large: np.ndarray, found: tuple[bytes, list] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each type: log10 of the base's and of the averaged predictive probability, and whether its word is known.
+
+    ``found`` holds the state of the bucket and the answers about its contexts; without it they are read.
+    """
+    if found is None:
+        (state,) = t.frame.where(f"kind = {STATE} and bucket = {number}").collect()
+        found = state["v"], [(r["shard"], r["v"]) for r in t.contexts.where(f"bucket = {number}").collect()]
+    state, got = pickle.loads(found[0]), answer(found[1], 3 + SAMPLES)
+    totals = np.empty_like(got)
+    totals[:, in_shards(b.context, t.shards)] = got
     split = b.split(large)
     total = b.word_count.copy()
     for w in np.flatnonzero(split):
         total[w] = t.split[int(b.word[w])][0]
     p = np.zeros(len(b.type_word))
     p0 = 1 / (t.vocabulary + 1)
-    for s, (tables, customers, root) in enumerate(seatings(b, start, large, number)):
+    many = np.flatnonzero(b.customers > 1)
+    for s, (drawn, customers, root) in enumerate(state["samples"]):
+        tables = np.minimum(b.customers, 1)
+        tables[many] = drawn
+        customers, root = customers.astype(np.int64), root.astype(np.int64)
         for w in np.flatnonzero(split):
-            v = t.split[int(b.word[w])]
-            customers[w], root[w] = v[1 + s], split_root(start, int(b.word[w]), v)[s]
-        parent = (customers - t.discount_root * root + (THETA_ROOT + t.discount_root * t.root[s][1]) * p0) / (THETA_ROOT + t.root[s][0])
-        up = (THETA_CONTEXT + t.discount * t.tables[s][b.type_slot]) * parent[b.type_word]
-        p += (b.customers - t.discount * tables + up) / (THETA_CONTEXT + t.context[b.type_slot])
+            customers[w], root[w] = t.split[int(b.word[w])][3 + 2 * s : 5 + 2 * s]
+        parent = (customers - t.discount_root * root + (THETA_ROOT + t.discount_root * t.roots[s][1]) * p0) / (THETA_ROOT + t.roots[s][0])
+        up = (THETA_CONTEXT + t.discount * (totals[1] + totals[3 + s])[b.type_context]) * parent[b.type_word]
+        p += (b.customers - t.discount * tables + up) / (THETA_CONTEXT + totals[0][b.type_context])
     base = np.log10((total + 0.5) / (t.n + 0.5 * (t.vocabulary + 1)))
     return base[b.type_word], np.log10(p / SAMPLES), (total > 0)[b.type_word]
 
 
 def scored(rows: DataFrame, start: Totals, t: Totals, large: np.ndarray) -> DataFrame:
     """chunk, v: sums over a bucket for each document of a chunk (base, model, known tokens)."""
-    sent = rows.sparkSession.sparkContext.broadcast((start, t))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                b = Bucket(batch.column(1)[k].as_py(), batch.column(2)[k].as_py())
-                base, model, known = log_scores(b, batch.column(0)[k].as_py(), *sent.value, large)
-                at = 0
-                for chunk, d, m in b.chunks:
-                    doc, kind = b.doc[at : at + m], b.type_of[at : at + m]
-                    sums = [np.bincount(doc, x[kind], minlength=d) for x in (base, model, known)]
-                    at += m
-                    yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([np.concatenate(sums).tobytes()], pa.binary())], ["chunk", "v"])
-
-    return rows.where("bucket >= 0").mapInArrow(run, "chunk long, v binary")
+    small, begin = t.small(), start.small()
+
+    def run(g: pa.Table) -> pa.Table:
+        kinds, shards = g.column("kind").to_pylist(), g.column("shard").to_pylist()
+        values = g.column("v").to_pylist()
+        blobs = sorted((shards[i], i) for i, k in enumerate(kinds) if k < 0)
+        b = Bucket([c for c, _ in blobs], [values[i] for _, i in blobs])
+        state = next(v for k, v in zip(kinds, values, strict=True) if k == STATE)
+        base, model, known = log_scores(b, g.column("bucket")[0].as_py(), begin, small, large, (state, [(shards[i], values[i]) for i, k in enumerate(kinds) if k == ALL]))
+        at, out = 0, []
+        for _, d, m in b.chunks:
+            doc, kind = b.doc[at : at + m], b.type_of[at : at + m]
+            out.append(np.concatenate([np.bincount(doc, x[kind], minlength=d) for x in (base, model, known)]).tobytes())
+            at += m
+        return pa.table([pa.array([c for c, _, _ in b.chunks], pa.int64()), pa.array(out, pa.binary())], ["chunk", "v"])
+
+    blobs = rows.where("bucket >= 0").select("bucket", F.explode(F.arrays_zip("chunks", "blobs")).alias("x")).select("bucket", F.lit(-1).alias("kind"), F.col("x.chunks").alias("shard"), F.col("x.blobs").alias("v"))
+    return blobs.unionByName(t.frame.where(f"kind = {STATE}")).unionByName(t.contexts).groupBy("bucket").applyInArrow(run, "chunk long, v binary")
 
 
 def document_scores(rows: DataFrame, partial: DataFrame, n_train: int) -> DataFrame:
@@ -412,7 +597,8 @@ def pitman_yor_scores(docs: DataFrame, training, text_col: str = "text") -> Data
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col("doc_id").cast("long").alias("id_"), F.col(text_col).alias("text_"), F.coalesce(training, F.lit(False)).alias("train_"))
     large = large_shares(source, parts)
-    rows = staged(pack(source, parts, large).groupBy("bucket").applyInArrow(gather, "bucket long, chunks array<long>, blobs array<binary>"), "occurrences")
+    rows = staged(pack(source, parts, large).repartition(parts, "bucket").groupBy("bucket").applyInArrow(gather, "bucket long, chunks array<long>, blobs array<binary>"), "occurrences")
+    spark.sparkContext._jvm.System.gc()  # the shuffle files of the occurrences can go
     start = first_totals(rows, large)
     t = sampled_totals(rows, start, large)
     return document_scores(rows, scored(rows, start, t, large), start.n)

@@ -133,3 +133,19 @@ def test_predictive_probabilities_sum_to_one(spark, monkeypatch, docs, split_wor
 def test_better_than_the_base_on_held_out_rows(spark):
     got = pitmanyor.op3_pitman_yor_scores(spark, SF).where("held_out").toPandas()
     assert got["score"].sum() > got["base_score"].sum()
+
+
+def test_each_previous_word_has_its_own_context():
+    texts = __import__("pyarrow").array([" ".join(f"w{i}" for i in range(20_000))])
+    word, context, _ = pitmanyor.tokens(texts)
+    assert len(np.unique(context)) == len(np.unique(word)) == 20_001  # the start is a context, the end a word
+
+
+def test_totals_of_contexts_go_by_the_whole_hash(spark):
+    """Buckets send parts for overlapping contexts, and each gets the totals of its own."""
+    a, b = np.array([5, 5 + (1 << 18), (1 << 63) + 5], np.uint64), np.array([5 + (1 << 18), 7], np.uint64)
+    sent = [(n, pitmanyor.SENT, s, v) for n, x, y in ((0, a, [1, 2, 3]), (1, b, [10, 20])) for o in [pitmanyor.in_shards(x, 4)] for s, v in pitmanyor.by_shard(x[o], [np.array(y)[o]], 4)]
+    got = pitmanyor.answered(spark.createDataFrame(sent, pitmanyor.STAGED), 1).collect()
+    for n, x, want in ((0, a, [1, 12, 3]), (1, b, [12, 20])):
+        total = pitmanyor.answer([(r["shard"], r["v"]) for r in got if r["bucket"] == n], 1)[0]
+        assert dict(zip(x[pitmanyor.in_shards(x, 4)].tolist(), total.tolist(), strict=True)) == dict(zip(x.tolist(), want, strict=True))
