@@ -149,3 +149,44 @@ def test_totals_of_contexts_go_by_the_whole_hash(spark):
     for n, x, want in ((0, a, [1, 12, 3]), (1, b, [12, 20])):
         total = pitmanyor.answer([(r["shard"], r["v"]) for r in got if r["bucket"] == n], 1)[0]
         assert dict(zip(x[pitmanyor.in_shards(x, 4)].tolist(), total.tolist(), strict=True)) == dict(zip(x.tolist(), want, strict=True))
+
+
+def table_weights(c, theta, p, d):
+    """Of 1 to c tables, by all customers in turn: each opens a table or joins one, at n - d."""
+    w = {(1,): theta * p}
+    for _ in range(c - 1):
+        new = Counter()
+        for sizes, x in w.items():
+            new[tuple(sorted((*sizes, 1)))] += x * (theta + d * len(sizes)) * p
+            for i, n in enumerate(sizes):
+                new[tuple(sorted((*sizes[:i], n + 1, *sizes[i + 1 :])))] += x * (n - d)
+        w = new
+    t = np.zeros(c)
+    for sizes, x in w.items():
+        t[len(sizes) - 1] += x
+    return t / t.sum()
+
+
+def test_a_sweep_reseats_every_customer():
+    """Table counts follow their distribution given the rest."""
+    rng = np.random.default_rng(1)
+    n = 20_000
+    for c, theta, p, d in ((6, 3.0, 0.2, 0.5), (8, 40.0, 0.1, 0.7)):
+        drawn = pitmanyor.reseat(np.full(n, c), np.full(n, theta), np.full(n, p), d, rng)
+        assert np.bincount(drawn, minlength=c + 1)[1:] / n == pytest.approx(table_weights(c, theta, p, d), abs=0.02)
+
+
+def test_seatings_of_many_customers(monkeypatch):
+    for d in (0.1, 0.5, 0.6, 0.8, 0.95):
+        t = np.arange(1, 513)
+        want, got = pitmanyor.stirling(d, 512)[512, 1:], pitmanyor.seatings(np.full(512, 512), t, d)
+        gap = (got - want) - (got - want)[0]
+        assert np.abs(np.diff(gap)).max() < 0.3 and np.abs(np.diff(gap))[:400].max() < 0.05
+    c, theta, p, d = np.full(3000, 512), np.full(3000, 200.0), np.full(3000, 0.05), 0.6
+    rng = np.random.default_rng(2)
+    drawn = pitmanyor.reseat(c, theta, p, d, rng)
+    monkeypatch.setattr(pitmanyor, "EXACT", 1)
+    steps = np.ones(3000, np.int64)
+    for _ in range(3):
+        steps = pitmanyor.reseat(c, theta, p, d, rng, steps)
+    assert steps.mean() == pytest.approx(drawn.mean(), rel=0.02) and steps.std() == pytest.approx(drawn.std(), rel=0.06)
