@@ -1,231 +1,205 @@
 """Language-model scores from a hierarchical Pitman-Yor process.
 
-Three levels: a restaurant for each context (the previous word, by its 64-bit
-hash), one restaurant of single words that is the parent they share, and a
-uniform base over the vocabulary and one unknown word.  The customers of a
-context restaurant are the training bigrams; each of its tables sends one
-customer to the parent.  Seating is sampled by Gibbs sweeps.  A sweep reseats
-all customers of every bigram type at once, and all customers of every word at
-the parent, from the distribution of their number of tables given the others;
-that number is all that scores need.  Scores average the predictive
-probabilities of several sampled seatings.
-
-Distribution.  Occurrences (word, context, document) go once to buckets by
-their word, in packed blobs, so that everything about a word is in one place;
-words that hold a large share of the corpus are split further by context.
-Totals of contexts grow with the input and never pass the driver: a bucket
-sends its part for each of its contexts, packed by shard of the context hash,
-and a shard answers with the totals of those contexts.  The driver holds only
-the totals of the parent and those of the split words.  Each sweep is a pass
-over the types with more than one customer; it takes the totals that the sweep
-before gave, which stand still within it, as usual when Gibbs sampling is
-distributed.
+Three levels: a restaurant for each context (the previous word), one restaurant
+of single words that is the parent they share, and a uniform base over the
+vocabulary and one unknown word.  The customers of a context restaurant are the
+training bigrams; each of its tables sends one customer to the parent.  Seating
+is sampled by Gibbs sweeps.  A sweep reseats all customers of every bigram type,
+then all customers of every word at the parent, from the distribution of their
+number of tables given the others; that number is all that scores need.  Scores
+average the predictive probabilities of several sampled seatings.
+
+Distribution.  Texts are tokenised once, into chunks: the sorted words of a
+bounded number of tokens, and their order.  Three kinds of groups exchange packed
+columns of integers, and all of them hold a bounded share of the corpus:
+
+* a chunk asks for its distinct words and bigrams, each once, so that a word or
+  pair that fills a third of the corpus is one entry of each chunk;
+* a shard of words numbers them and holds their counts, the tables and customers
+  of their context restaurants, and their seats at the parent;
+* a bucket of bigrams (by hash) holds the seats of those with more than one
+  customer; one customer has one table.
+
+Shards and buckets grow in number with the bytes of text, never with the settings
+of the session, and random numbers hang on a bigram's or word's number and the
+sweep, so that scores are the same on any cluster.  Within a sweep the totals of
+the one before stand still, as usual when Gibbs sampling is distributed.  The
+driver holds one number for each shard, and sums.
 """
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Iterator
-from dataclasses import dataclass, field, replace
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import discard, fold, staged, table
 from .textbatch import U64, buffers, mix, slices, words
 
-#: Contexts are 64-bit hashes modulo this.
-CONTEXTS = (1 << 64) - 1
-BURN_IN, SAMPLES, APART = 6, 3, 2
-ROUNDS = BURN_IN + SAMPLES * APART
+#: Sweeps before the first sample, samples, and sweeps for each of them.
+SWEEPS = (6, 3, 2)
 THETA_CONTEXT, THETA_ROOT = 1.0, 1.0
-#: Tokens a task gathers before it writes blobs; documents of such a chunk (their places take 16 bits).
-CHUNK_TOKENS, CHUNK_DOCS = 600_000, 60_000
+#: Tokens after which a chunk ends (with its document), and bytes of text that are hashed at once.
+CHUNK_TOKENS, SLICE = 800_000, 1 << 20
+#: Bytes of text for each shard of words and each bucket of bigrams.
+SHARE = 16 << 20
 #: Up to so many customers the number of tables is drawn exactly, above that by so many Metropolis steps.
 EXACT, MOVES = 512, 20
-#: Bytes of text that are hashed at once.
-SLICE = 1 << 20
-#: Hash slots in which words are counted to find those with a large share.
-SHARE_SLOTS = 1 << 20
 END, START = U64(0x0E4D0E4D0E4D0E4D), U64(0x57A257A257A257A2)
+LOW = U64(0xFFFFFFFF)
 
+#: Rows that are exchanged: a kind, the group they go to, the one they come from, packed columns, and numbers to sum.
+ROWS = "kind int, key long, other long, v binary, a long, b long, c long, d long"
+CHUNK, WORDS, NUMBERS, ANSWER, BIGRAMS, SEATS, SINGLE, TABLES = range(8)
+Row = tuple[int, int, int, bytes, int, int, int, int]
 
-def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes with an end token after each text, the context of each, and the first token of each text."""
+
+# packed columns
+
+
+@lru_cache(1)
+def _zstd() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns of non-negative integers: all lowest bytes, then the next ones, as few as are needed, compressed."""
+    out = [bytes([len(columns)])]
+    for x in columns:
+        top = int(x.max()) if len(x) else 0
+        width = next(w for w in (1, 2, 4, 8) if top >> (8 * w) == 0)
+        out += [bytes([width]), len(x).to_bytes(8, "little"), np.ascontiguousarray(x.astype(f"<u{width}")).view(np.uint8).reshape(-1, width).T.tobytes()]
+    return _zstd()[0].compress(b"".join(out))
+
+
+def unpacked(blob: bytes) -> list[np.ndarray]:
+    """The columns again, as 64-bit integers (words' hashes unsigned)."""
+    raw = _zstd()[1].decompress(blob)
+    at, out = 1, []
+    for _ in range(raw[0]):
+        width, n = raw[at], int.from_bytes(raw[at + 1 : at + 9], "little")
+        at += 9
+        x = np.ascontiguousarray(np.frombuffer(raw, np.uint8, width * n, at).reshape(width, n).T).view(f"<u{width}")[:, 0] if n else np.zeros(0, np.uint8)
+        out.append(x.astype(U64 if width == 8 else np.int64))
+        at += width * n
+    return out
+
+
+def steps(rising: np.ndarray) -> np.ndarray:
+    """A rising column by its differences."""
+    return np.diff(rising, prepend=rising.dtype.type(0))
+
+
+def rows_of(t: pa.Table, kind: int) -> list[tuple[int, bytes]]:
+    """(other, v) of the rows of one kind, in order."""
+    t = t.filter(pc.equal(t.column("kind"), kind))
+    return sorted(zip(t.column("other").to_pylist(), t.column("v").to_pylist(), strict=True))
+
+
+def arrow_rows(rows: list[Row]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 4]
+    columns = zip(*rows, strict=True) if rows else [[]] * 8
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [f.split()[0] for f in ROWS.split(", ")])
+
+
+def exchanged(frame: DataFrame, group: Callable[[int, pa.Table], Iterator[Row]]) -> DataFrame:
+    """The rows that each group makes of those that were sent to it."""
+
+    def run(t: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([arrow_rows(list(group(t.column("key")[0].as_py(), t)))])
+
+    return frame.select("kind", "key", "other", "v").groupBy("key").applyInArrow(run, ROWS)
+
+
+def summed(frame: DataFrame, name: str) -> tuple[DataFrame, list[int]]:
+    """The frame, staged, and the sums of its numbers."""
+    seen = Observation()
+    out = staged(frame.observe(seen, *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in "abcd"]), name)
+    return out, [int(seen.get[c]) for c in "abcd"]
+
+
+# chunks
+
+
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes with an end token after each text, and how many tokens each text has."""
     w = words(*buffers(texts))
-    n = len(w.first) - 1
-    first = w.first + np.arange(n + 1)
-    out = np.empty(first[-1], U64)
-    ends = first[1:] - 1
+    size = np.diff(w.first) + 1
+    ends = np.cumsum(size) - 1
+    out = np.empty(int(size.sum()), U64)
     inside = np.ones(len(out), bool)
     inside[ends] = False
     out[inside] = w.hashes
     out[ends] = END
-    before = np.empty(len(out), U64)
-    before[1:] = out[:-1]
-    before[first[:-1]] = START
-    return out, mix(before) % U64(CONTEXTS), first
+    return out, size
 
 
-def large_shares(docs: DataFrame, parts: int) -> np.ndarray:
-    """Hash slots of words (sorted) that hold a large share of all tokens: all above 1 / (2 * parts), none below half of it."""
+def chunks(docs: DataFrame) -> DataFrame:
+    """A row for each chunk of id_, text_, train_: its documents, its sorted words and its tokens by place among them."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SHARE_SLOTS, np.int64)
-        for b in slices(batches, "text_", SLICE):
-            total += np.bincount((tokens(b.column(0))[0] % U64(SHARE_SLOTS)).astype(np.int64), minlength=SHARE_SLOTS)
-        # A word with a share s of all has that share in some task, so slots below the bound in every task can't reach it.
-        k = np.flatnonzero(total > total.sum() / (4 * parts))
-        rest = total.sum()
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(k, -1)), pa.array(np.append(total[k], rest))], ["slot", "n"])
-
-    rows = docs.select("text_").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()  # at most 4 * parts a task, summed by slot
-    every = sum(r["n"] for r in rows if r["slot"] == -1)
-    return np.array(sorted(r["slot"] for r in rows if r["slot"] >= 0 and r["n"] > every / (2 * parts) * 0.5), np.int64)
-
-
-def planes(x: np.ndarray) -> bytes:
-    """All lowest bytes, then the next ones: sorted and small numbers then compress well."""
-    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
-
-
-def from_planes(blob: bytes, kind: str, n: int, at: int) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(blob, np.uint8, width * n, at).reshape(width, n).T).view(kind)[:, 0]
-
-
-def pack(docs: DataFrame, parts: int, large: np.ndarray) -> DataFrame:
-    """bucket, chunk, blob: occurrences by bucket (from 0), and the documents of each chunk (negative buckets)."""
-
-    def blobs(chunk: int, held: list) -> Iterator[tuple[int, int, bytes]]:
-        word, context = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-        size = np.concatenate([h[2] for h in held])
-        train = np.concatenate([h[3] for h in held]).astype(np.uint8)
-        ids = np.concatenate([h[4] for h in held])
-        null = np.concatenate([h[5] for h in held]).astype(np.uint8)
-        n = len(size)
-        doc = np.repeat(np.arange(n), size).astype(np.uint16)
-        bucket = (mix(word) % U64(parts)).astype(np.int64)
-        if len(large):
-            split = np.isin((word % U64(SHARE_SLOTS)).astype(np.int64), large)
-            bucket[split] = (mix(word[split] + mix(context[split])) % U64(parts)).astype(np.int64)
-        order = np.argsort(word, kind="stable")
-        order = order[np.argsort(bucket[order], kind="stable")]
-        word, doc = word[order], doc[order]
-        names, place = np.unique(context, return_inverse=True)
-        place = place.astype(np.int32)[order]
-        cuts = np.searchsorted(bucket[order], np.arange(parts + 1))
-        for i in range(parts):
-            a, b = cuts[i], cuts[i + 1]
-            if b > a:
-                first = np.flatnonzero(np.concatenate([[True], word[a + 1 : b] != word[a : b - 1]]))
-                count = np.diff(np.append(first, b - a)).astype("<u4")
-                own, slot = np.unique(place[a:b], return_inverse=True)
-                head = np.array([len(first), b - a, n, len(own)], "<u4").tobytes()
-                slot = slot.astype("<u2" if len(own) <= 1 << 16 else "<u4")
-                yield i, chunk, head + word[a:b][first].tobytes() + planes(count) + names[own].tobytes() + planes(doc[a:b]) + slot.tobytes() + train.tobytes()
-        yield -1 - chunk % parts, chunk, np.array([n], "<u4").tobytes() + ids.tobytes() + size.astype("<i8").tobytes() + null.tobytes() + train.tobytes()
+    def blob(held: list) -> bytes:
+        word, size, ids, null, train = (np.concatenate(x) for x in zip(*held, strict=True))
+        names, place = np.unique(np.append(word, START), return_inverse=True)
+        return packed(names, place, size, ids.view(U64), null, train)  # the last place is that of the start
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, held, n, d = TaskContext.get().partitionId() << 20, [], 0, 0
+        at, held, n = TaskContext.get().partitionId() << 32, [], 0
         for b in slices(batches, "text_", SLICE):
-            for at in range(0, b.num_rows, CHUNK_DOCS):
-                part = b.slice(at, CHUNK_DOCS)
-                word, context, first = tokens(part.column(1))
-                ids = part.column(0)
-                held.append((word, context, np.diff(first), part.column(2).to_numpy(zero_copy_only=False).astype(bool), ids.fill_null(0).to_numpy().astype("<i8"), ids.is_null().to_numpy(zero_copy_only=False)))
-                n, d = n + len(word), d + part.num_rows
-                if n >= CHUNK_TOKENS or d + CHUNK_DOCS > 65_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*blobs(chunk, held), strict=True)], ["bucket", "chunk", "blob"])
-                    chunk, held, n, d = chunk + 1, [], 0, 0
+            word, size = tokens(b.column(1))
+            ids, train = b.column(0), b.column(2).to_numpy(zero_copy_only=False)
+            held.append((word, size, ids.fill_null(0).to_numpy().astype(np.int64), ids.is_null().to_numpy(zero_copy_only=False), train))
+            n += len(word)
+            if n >= CHUNK_TOKENS:
+                yield arrow_rows([(CHUNK, at, 0, blob(held), 0, 0, 0, 0)])
+                at, held, n = at + 1, [], 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*blobs(chunk, held), strict=True)], ["bucket", "chunk", "blob"])
-
-    return docs.select("id_", "text_", "train_").mapInArrow(run, "bucket long, chunk long, blob binary")
-
-
-def gather(t: pa.Table) -> pa.Table:
-    """All blobs of a bucket in one row, so that later passes need no shuffle."""
-    t = t.sort_by("chunk")
-    one = pa.array([len(t)], pa.int32())
-    offs = pa.array([0, one[0].as_py()], pa.int32())
-    return pa.table({"bucket": t.column("bucket").slice(0, 1), "chunks": pa.ListArray.from_arrays(offs, t.column("chunk").combine_chunks()), "blobs": pa.ListArray.from_arrays(offs, t.column("blob").combine_chunks())})
-
-
-class Bucket:
-    """The bigram types of a bucket: word, context, training customers; and the occurrences by chunk and document."""
-
-    def __init__(self, chunks: list[int], blobs: list[bytes]):
-        names, word, doc, contexts, slot, train = [], [], [], [], [], []
-        self.chunks = []
-        base = context_base = 0
-        for c, blob in zip(chunks, blobs, strict=True):
-            n, m, d, k = (int(x) for x in np.frombuffer(blob, "<u4", 4))
-            at = 16
-            names.append(np.frombuffer(blob, "<u8", n, at))
-            word.append(np.repeat(np.arange(base, base + n, dtype=np.int32), from_planes(blob, "<u4", n, at + 8 * n)))
-            at, base = at + 12 * n, base + n
-            contexts.append(np.frombuffer(blob, "<u8", k, at))
-            at += 8 * k
-            doc.append(from_planes(blob, "<u2", m, at))
-            wide = "<u2" if k <= 1 << 16 else "<u4"
-            slot.append(np.frombuffer(blob, wide, m, at + 2 * m).astype(np.int32) + np.int32(context_base))
-            at, context_base = at + (2 + int(wide[2])) * m, context_base + k
-            train.append(np.frombuffer(blob, np.uint8, d, at)[doc[-1]].astype(bool))
-            self.chunks.append((c, d, m))
-        self.word, index = np.unique(np.concatenate(names), return_inverse=True)
-        pair = index.astype(np.int64)[np.concatenate(word)]
-        del word, names, index
-        self.context, index = np.unique(np.concatenate(contexts), return_inverse=True)
-        k = len(self.context)
-        pair *= k
-        pair += index.astype(np.int32)[np.concatenate(slot)]
-        del slot, contexts, index
-        pair, inverse = np.unique(pair, return_inverse=True)
-        self.type_of = inverse.astype(np.int32)
-        del inverse
-        self.doc, train = np.concatenate(doc), np.concatenate(train)
-        self.type_word, self.type_context = (pair // k).astype(np.int32), (pair % k).astype(np.int32)
-        self.customers = np.bincount(self.type_of[train], minlength=len(pair)).astype(np.int32)
-        self.word_count = np.bincount(self.type_word, self.customers, minlength=len(self.word)).astype(np.int64)
-
-    @property
-    def type_slot(self) -> np.ndarray:
-        """The context hash of each type."""
-        return self.context[self.type_context]
-
-    def split(self, large: np.ndarray) -> np.ndarray:
-        """Which words are spread over buckets."""
-        return np.isin((self.word % U64(SHARE_SLOTS)).astype(np.int64), large)
-
-
-@dataclass
-class Totals:
-    """What crosses buckets: small totals here, and the frames that hold what grows with the input."""
-
-    n: int  # training tokens
-    vocabulary: int
-    discount: float  # of contexts
-    discount_root: float
-    root: tuple[int, int]  # customers and tables of the parent
-    split: dict[int, np.ndarray] = field(default_factory=dict)  # word: training tokens, then customers and tables at the parent of the last round and of each sample
-    roots: list[tuple[int, int]] = field(default_factory=list)  # root of each sample
-    shards: int = 1
-    frame: DataFrame | None = None  # bucket, kind, shard, v: what the last pass staged
-    contexts: DataFrame | None = None  # bucket, kind, shard, v: totals of all contexts of each bucket
-
-    def small(self) -> Totals:
-        """Without frames, for tasks."""
-        return replace(self, frame=None, contexts=None)
-
-
-#: Kinds of rows that a pass stages: all contexts of a bucket, its state, its sums, a split word's sums, tables in its contexts (in the last round by sample).
-ALL, STATE, SUMS, SPLIT, SENT = range(5)
-STAGED = "bucket long, kind int, shard long, v binary"
+            yield arrow_rows([(CHUNK, at, 0, blob(held), 0, 0, 0, 0)])
+
+    return docs.select("id_", "text_", "train_").mapInArrow(run, ROWS)
+
+
+class Chunk:
+    def __init__(self, blob: bytes):
+        self.names, place, self.size, ids, null, train = unpacked(blob)
+        self.names = self.names.astype(U64)
+        self.ids, self.null, self.train = ids.view(np.int64), null.astype(bool), train.astype(bool)
+        self.word = place[:-1]
+        self.first = np.cumsum(self.size) - self.size
+        self.context = np.empty_like(self.word)
+        self.context[1:] = self.word[:-1]
+        self.context[self.first] = place[-1]
+        self.learnt = np.repeat(self.train, self.size)
+
+    def by_shard(self, shards: int) -> tuple[np.ndarray, np.ndarray]:
+        """The order of words by shard, and where each shard begins in it."""
+        shard = (self.names % U64(shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        return order, np.searchsorted(shard[order], np.arange(shards + 1))
+
+    def bigrams(self, numbers: list[tuple[int, bytes]], at: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct bigrams by bucket: their keys, where each bucket begins, the local (context, word) of each; and the bigram of each token."""
+        order, _ = self.by_shard(len(at) - 1)
+        number = np.empty(len(order), np.int64)
+        number[order] = np.concatenate([at[s] + np.cumsum(unpacked(v)[0]) for s, v in numbers])
+        local, place = np.unique(self.context.astype(U64) << U64(32) | self.word.astype(U64), return_inverse=True)
+        pair = np.stack([(local >> U64(32)).astype(np.int64), (local & LOW).astype(np.int64)])
+        key = number[pair[0]].astype(U64) << U64(32) | number[pair[1]].astype(U64)
+        bucket = (mix(key) % U64(buckets)).astype(np.int64)
+        order = np.lexsort((key, bucket))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        return key[order], np.searchsorted(bucket[order], np.arange(buckets + 1)), pair[:, order], rank[place]
+
+
+# seats
 
 
 def gammaln(x: np.ndarray) -> np.ndarray:
@@ -285,22 +259,28 @@ def seatings(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
     return np.where(t == c, t * np.log(d), out) - gammaln(t + 1) - t * np.log(d)
 
 
-def moved(c: np.ndarray, tables: np.ndarray, theta: np.ndarray, p: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+def uniform(key: np.ndarray, draw: int) -> np.ndarray:
+    """A number in (0, 1) for each key and draw."""
+    return ((mix(mix(key.astype(U64) + U64(1)) + U64(draw * 0x9E3779B97F4A7C15 % 2**64)) >> U64(12)).astype(float) + 0.5) * 2.0**-52
+
+
+def moved(c: np.ndarray, tables: np.ndarray, theta: np.ndarray, p: np.ndarray, d: float, key: np.ndarray, draw: int) -> np.ndarray:
     """Tables of many customers after MOVES Metropolis steps, each of which proposes a seating of all at another number of tables."""
     weight = lambda t: t * np.log(p) + t * np.log(d) + gammaln(theta / d + t) - gammaln(theta / d) + seatings(c, t, d)
     t = np.clip(tables, 1, c).astype(np.int64)
     scale = 1 + 2 * np.sqrt(np.minimum(1 + theta / d * p / np.maximum(1 - p, 1e-3), c / 4))
     now = weight(t)
-    for _ in range(MOVES):
-        new = t + np.rint(scale * rng.standard_normal(len(t))).astype(np.int64)
+    for k in range(draw + 1, draw + 1 + 3 * MOVES, 3):
+        normal = np.sqrt(-2 * np.log(uniform(key, k))) * np.cos(2 * np.pi * uniform(key, k + 1))
+        new = t + np.rint(scale * normal).astype(np.int64)
         fits = (new >= 1) & (new <= c)
         then = weight(np.where(fits, new, t))
-        take = fits & (np.log(rng.random(len(t))) < then - now)
+        take = fits & (np.log(uniform(key, k + 2)) < then - now)
         t, now = np.where(take, new, t), np.where(take, then, now)
     return t
 
 
-def reseat(c: np.ndarray, theta: np.ndarray, p: np.ndarray, d: float, rng: np.random.Generator, tables: np.ndarray | None = None) -> np.ndarray:
+def reseat(c: np.ndarray, theta: np.ndarray, p: np.ndarray, d: float, key: np.ndarray, sweep: int, tables: np.ndarray | None = None) -> np.ndarray:
     """Tables of c customers each after all of them left and sat down again.
 
     The weight of t tables is p ** t * prod(theta + d * j for j < t) times the
@@ -310,298 +290,283 @@ def reseat(c: np.ndarray, theta: np.ndarray, p: np.ndarray, d: float, rng: np.ra
     """
     out = np.minimum(c, 1).astype(np.int64)
     theta, p = np.broadcast_to(theta, c.shape).astype(float), np.broadcast_to(p, c.shape).astype(float)
+    draw = sweep * (3 * MOVES + 1)
     exact = np.flatnonzero((c > 1) & (c <= EXACT))
     if len(exact):
         known = stirling(d, EXACT)
         exact = exact[np.argsort(c[exact], kind="stable")]
+        u = uniform(key[exact], draw)
         sizes, first = np.unique(c[exact], return_index=True)
-        for size, group in zip(sizes.tolist(), np.split(exact, first[1:]), strict=True):
-            for at in range(0, len(group), max(1, 1_000_000 // size)):
-                i = group[at : at + max(1, 1_000_000 // size)]
+        for size, a, b in zip(sizes.tolist(), first.tolist(), [*first[1:].tolist(), len(exact)], strict=True):
+            much = max(1, 1_000_000 // size)
+            for at in range(a, b, much):
+                i = exact[at : min(b, at + much)]
+                if size == 2:  # one table, or two
+                    out[i] = 1 + (u[at : at + len(i)] * (1 - d + (theta[i] + d) * p[i]) >= 1 - d)
+                    continue
                 w = np.cumsum(np.log((theta[i, None] + d * np.arange(size)) * p[i, None]), axis=1) + known[size, 1 : size + 1]
                 w = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
-                out[i] = 1 + np.minimum((w < rng.random((len(i), 1)) * w[:, -1:]).sum(axis=1), size - 1)
+                out[i] = 1 + np.minimum((w < u[at : at + len(i), None] * w[:, -1:]).sum(axis=1), size - 1)
     large = np.flatnonzero(c > EXACT)
     if len(large):
-        out[large] = moved(c[large].astype(np.int64), out[large] if tables is None else tables[large], theta[large], p[large], d, rng)
+        out[large] = moved(c[large].astype(np.int64), out[large] if tables is None else tables[large], theta[large], p[large], d, key[large], draw)
     return out
 
 
-def by_shard(context: np.ndarray, values: list[np.ndarray], shards: int) -> Iterator[tuple[int, bytes]]:
-    """Packed contexts and their values for each shard; contexts are in the order of in_shards()."""
-    cuts = np.searchsorted(context % U64(shards), np.arange(shards + 1, dtype=U64))
-    for k in range(shards):
-        a, b = cuts[k], cuts[k + 1]
-        if b > a:
-            yield k, np.array([b - a, len(values)], "<u4").tobytes() + context[a:b].tobytes() + np.array([v[a:b] for v in values], "<i4").tobytes()
+@dataclass(frozen=True)
+class Model:
+    """What the driver knows: sums and where each shard's words begin."""
 
+    at: np.ndarray  # first number of each shard's words
+    buckets: int
+    n: int  # training tokens
+    vocabulary: int
+    discount: float = 0.5  # of contexts
+    discount_root: float = 0.5
+    roots: tuple[tuple[int, int], ...] = ()  # customers and tables of the parent, after each sweep
+    sweeps: tuple[int, int, int] = SWEEPS
 
-def in_shards(context: np.ndarray, shards: int) -> np.ndarray:
-    return np.lexsort((context, context % U64(shards)))
+    def is_sample(self, sweep: int) -> bool:
+        burn_in, _, apart = self.sweeps
+        return sweep > burn_in and (sweep - burn_in) % apart == 0
 
+    def parent(self, customers: np.ndarray, tables: np.ndarray, root: tuple[int, int]) -> np.ndarray:
+        """Probability of words at the parent."""
+        return (np.maximum(customers - self.discount_root * tables, 0) + (THETA_ROOT + self.discount_root * root[1]) / (self.vocabulary + 1)) / (THETA_ROOT + root[0])
 
-def answered(sent: DataFrame, width: int) -> DataFrame:
-    """For rows of packed contexts: the totals over all rows, for the contexts of each, in their order.
 
-    With rows of kind ALL among them only those are answered: customers, tables
-    of single customers, types, then the tables that each other kind sent, in
-    ``width`` columns.
-    """
+def by_number(m: Model, kind: int, own: int, context: tuple, word: tuple) -> Iterator[Row]:
+    """Columns of contexts and of words, each led by their rising numbers, cut by shard."""
+    cuts = [np.searchsorted(x[0], m.at) for x in (context, word)]
+    for s in range(len(m.at) - 1):
+        parts = [[x[a:b] for x in xs] for xs, c in zip((context, word), cuts, strict=True) for a, b in [(c[s], c[s + 1])]]
+        if any(len(p[0]) for p in parts):
+            yield kind, s, own, packed(*[y for numbers, *rest in parts for y in (steps(numbers - m.at[s]), *rest)]), 0, 0, 0, 0
 
-    def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("kind", "ascending"), ("bucket", "ascending")])
-        kinds = t.column("kind").to_pylist()
-        rounds = sorted(set(kinds) - {ALL})
-        keys, values = [], []
-        for v in t.column("v").to_pylist():
-            n, k = (int(x) for x in np.frombuffer(v, "<u4", 2))
-            keys.append(np.frombuffer(v, "<u8", n, 8))
-            values.append(np.frombuffer(v, "<i4", n * k, 8 + 8 * n).reshape(k, n))
-        unique, index = np.unique(np.concatenate(keys), return_inverse=True)
-        at = np.cumsum([0, *map(len, keys)])
-        columns = []
-        for kind in ([ALL] if ALL in kinds else []) + rounds:
-            mine = [i for i, x in enumerate(kinds) if x == kind]
-            own = np.concatenate([index[at[i] : at[i + 1]] for i in mine])
-            columns += [np.bincount(own, x, minlength=len(unique)) for x in np.concatenate([values[i] for i in mine], axis=1)]
-        columns += [np.zeros(len(unique))] * (width - len(columns))  # no tables were sent here
-        total = np.array(columns).astype("<i8")
-        out = [(b, kinds[i], s, total[:, index[at[i] : at[i + 1]]].tobytes()) for i, (b, s) in enumerate(zip(t.column("bucket").to_pylist(), t.column("shard").to_pylist(), strict=True)) if kinds[i] == ALL or ALL not in kinds]
-        return pa.table([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.int64()), pa.array([x[3] for x in out], pa.binary())], ["bucket", "kind", "shard", "v"])
-
-    return sent.select("bucket", "kind", "shard", "v").groupBy("shard").applyInArrow(run, STAGED)
-
-
-def answer(rows: list[tuple[int, bytes]], columns: int) -> np.ndarray:
-    """(column, context): the answers of all shards to one bucket."""
-    found = [np.frombuffer(v, "<i8").reshape(columns, -1) for _, v in sorted(rows)]
-    return np.concatenate(found, axis=1) if found else np.zeros((columns, 0), np.int64)
-
-
-def _signed(word: int) -> int:
-    return word - (1 << 64) if word >= 1 << 63 else word
-
-
-def _staged_rows(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-    b, k, s, v = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(k, pa.int32()), pa.array(s, pa.int64()), pa.array(v, pa.binary())], ["bucket", "kind", "shard", "v"])
-
-
-def _sums(frame: DataFrame) -> tuple[np.ndarray | None, dict[int, np.ndarray]]:
-    """Sums of the buckets, and of each split word; a row for each bucket, and for each bucket and split word."""
-
-    def add(t: pa.Table) -> pa.Table:
-        total = np.sum([np.frombuffer(x, "<i8") for x in t.column("v").to_pylist()], axis=0)
-        return pa.table({"kind": t.column("kind").slice(0, 1), "shard": t.column("shard").slice(0, 1), "v": pa.array([total.astype("<i8").tobytes()])})
-
-    rows = frame.where(f"kind in ({SUMS}, {SPLIT})").select("kind", "shard", "v").groupBy("kind", "shard").applyInArrow(add, "kind int, shard long, v binary").collect()
-    got = {(r["kind"], r["shard"]): np.frombuffer(r["v"], "<i8") for r in rows}
-    return got.get((SUMS, 0)), {w % (1 << 64): v for (k, w), v in got.items() if k == SPLIT}
-
-
-def first_totals(rows: DataFrame, large: np.ndarray) -> Totals:
-    """Counts, and the state of each bucket before the first round: one table for each type."""
-    shards = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def one(b: Bucket, number: int) -> Iterator[tuple[int, int, int, bytes]]:
-        c, split, k = b.customers, b.split(large), len(b.context)
-        single, many, seen = c == 1, np.flatnonzero(c > 1), c > 0
-        order = in_shards(b.context, shards)
-        context = b.context[order]
-        count = lambda which, w=None: np.bincount(b.type_context[which], w, minlength=k)[order]
-        for shard, v in by_shard(context, [count(seen, c[seen]), count(single), count(seen)], shards):
-            yield number, ALL, shard, v
-        place = np.empty(k, np.int32)
-        place[order] = np.arange(k)
-        active, at = np.unique(place[b.type_context[many]], return_inverse=True)
-        kinds = np.bincount(b.type_word[seen], minlength=len(b.word))
-        state = {
-            "word": b.word[split], "split": np.flatnonzero(split), "ones": np.bincount(b.type_word[single], minlength=len(b.word)).astype(np.int32), "root": np.minimum(kinds, 1).astype(np.int32),
-            "context": context[active], "active": active.astype(np.int32), "type_word": b.type_word[many], "type_context": at.astype(np.int32), "customers": c[many], "tables": np.ones(len(many), np.int32), "samples": [],
-        }
-        yield number, STATE, 0, pickle.dumps(state, 5)
-        own, mine = b.word_count[~split], kinds[~split]
-        yield number, SUMS, 0, np.array([c.sum(), (own > 0).sum(), single.sum(), (c == 2).sum(), seen.sum(), (mine == 1).sum(), (mine == 2).sum()], "<i8").tobytes()
-        for w in np.flatnonzero(split):
-            yield number, SPLIT, _signed(int(b.word[w])), np.array([b.word_count[w], kinds[w]], "<i8").tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def sums_by(numbers: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers, and the sum of the values of each."""
+    names, place = np.unique(numbers, return_inverse=True)
+    return names, np.bincount(place, values, minlength=len(names)).astype(np.int64)
+
+
+def numbered(store: DataFrame, shards: int) -> tuple[DataFrame, np.ndarray, int, int]:
+    """WORDS of each shard (counts as word and as context) and NUMBERS of each chunk's words; first numbers, training tokens, vocabulary."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(b.num_rows):
-                yield _staged_rows(list(one(Bucket(b.column(1)[k].as_py(), b.column(2)[k].as_py()), b.column(0)[k].as_py())))
-
-    frame = staged(rows.where("bucket >= 0").mapInArrow(run, STAGED), "first")
-    sums, split = _sums(frame)
-    n, vocabulary, c1, c2, types, k1, k2 = np.zeros(7, np.int64).tolist() if sums is None else sums.tolist()
-    vocabulary += sum(v[0] > 0 for v in split.values())
-    d = lambda a, b: float(np.clip(a / max(1, a + 2 * b), 0.1, 0.95))  # noqa: E731  the usual estimate from singletons and doubletons
-    held = {w: np.array([v[0], v[1], min(v[1], 1)]) for w, v in split.items()}
-    return Totals(int(n), int(vocabulary), d(c1, c2), d(k1, k2), (int(types), int(vocabulary)), held, [], shards, frame)
-
-
-def sweep(state: dict, total: np.ndarray, number: int, r: int, t: Totals) -> np.ndarray:
-    """Reseat all customers of a bucket given the totals of the round before; gives the customers at the parent of each word."""
-    rng = np.random.default_rng([number, r])
-    p0, (root_customers, root_tables) = 1 / (t.vocabulary + 1), t.root
-    word, split = state["word"], state["split"]
-    count = lambda: state["ones"] + np.bincount(state["type_word"], state["tables"], minlength=len(state["ones"])).astype(np.int64)
-    customers, root = count(), state["root"].astype(np.int64)
-    for w, i in zip(word, split, strict=True):
-        customers[i], root[i] = t.split[int(w)][1:3]
-    parent = (np.maximum(customers - t.discount_root * root, 0) + (THETA_ROOT + t.discount_root * root_tables) * p0) / (THETA_ROOT + root_customers)
-    others = np.maximum(total[state["type_context"]] - state["tables"], 0)
-    state["tables"] = reseat(state["customers"], THETA_CONTEXT + t.discount * others, parent[state["type_word"]], t.discount, rng, state["tables"]).astype(np.int32)
-    customers = count()
-    theta = THETA_ROOT + t.discount_root * np.maximum(root_tables - root, 0)
-    own = customers.copy()
-    own[split] = 0
-    state["root"] = reseat(own, theta, p0, t.discount_root, rng, root).astype(np.int32)
-    return customers
-
-
-def round_of(small: Totals, r: int, sampled: bool):
-    """The pass over one bucket in round r."""
-    first = r == 0
-
-    def run(g: pa.Table) -> pa.Table:
-        found = list(zip(g.column("kind").to_pylist(), g.column("shard").to_pylist(), g.column("v").to_pylist(), strict=True))
-        number = g.column("bucket")[0].as_py()
-        state = pickle.loads(next(v for k, _, v in found if k == STATE))
-        got = answer([(s, v) for k, s, v in found if k != STATE], 3 if first else 1)
-        if first:
-            got = got[:, state.pop("active")]
-            state["single"], total = got[1].astype(np.int32), got[2]
+            for key, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                c = Chunk(v)
+                order, cuts = c.by_shard(shards)
+                seen = [np.bincount(x[c.learnt], minlength=len(order))[order] for x in (c.word, c.context)]
+                hashes = c.names[order]
+                yield arrow_rows([(WORDS, s, key, packed(hashes[a:b], *[x[a:b] for x in seen]), 0, 0, 0, 0) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a])
+
+    def count(shard: int, t: pa.Table) -> Iterator[Row]:
+        asked = rows_of(t, WORDS)
+        parts = [unpacked(v) for _, v in asked]
+        names, place = np.unique(np.concatenate([p[0].astype(U64) for p in parts]), return_inverse=True)
+        word, context = (np.bincount(place, np.concatenate([p[k] for p in parts]), minlength=len(names)).astype(np.int64) for k in (1, 2))
+        yield WORDS, shard, 0, packed(word, context), int(word.sum()), int((word > 0).sum()), len(names), 0
+        at = 0
+        for (chunk, _), p in zip(asked, parts, strict=True):
+            yield NUMBERS, chunk, shard, packed(steps(place[at : at + len(p[0])])), 0, 0, 0, 0
+            at += len(p[0])
+
+    frame, (n, vocabulary, _, _) = summed(exchanged(store.select("key", "v").mapInArrow(ask, ROWS), count), "words")
+    size = np.zeros(shards, np.int64)
+    for r in frame.where(f"kind = {WORDS}").select("key", "c").collect():  # a number for each shard
+        size[r["key"]] = r["c"]
+    at = np.concatenate([[0], np.cumsum(size)])
+    if at[-1] > 1 << 32:
+        raise OverflowError(f"{at[-1]} distinct words; numbers of words have 32 bits")
+    return frame, at, n, vocabulary
+
+
+def counted(store: DataFrame, frame: DataFrame, m: Model) -> tuple[DataFrame, list[int]]:
+    """SEATS of each bucket, its BIGRAMS of each chunk, and for shards the SINGLE tables and the first other TABLES; bigrams once and twice seen."""
+
+    def ask(chunk: int, t: pa.Table) -> Iterator[Row]:
+        c = Chunk(rows_of(t, CHUNK)[0][1])
+        key, cuts, _, place = c.bigrams(rows_of(t, NUMBERS), m.at, m.buckets)
+        seen = np.bincount(place[c.learnt], minlength=len(key))
+        for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            if y > x:
+                yield BIGRAMS, b, chunk, packed(steps(key[x:y]), seen[x:y]), 0, 0, 0, 0
+
+    def count(bucket: int, t: pa.Table) -> Iterator[Row]:
+        asked = rows_of(t, BIGRAMS)
+        parts = [unpacked(v) for _, v in asked]
+        keys = [np.cumsum(p[0].astype(U64), dtype=U64) for p in parts]
+        key, place = np.unique(np.concatenate(keys), return_inverse=True)
+        seen = np.bincount(place, np.concatenate([p[1] for p in parts]), minlength=len(key)).astype(np.int64)
+        code = np.minimum(seen, 2)
+        many = np.flatnonzero(code == 2)
+        index = np.cumsum(code == 2) - 1
+        at = 0
+        for (chunk, _), k in zip(asked, keys, strict=True):
+            mine = place[at : at + len(k)]
+            yield BIGRAMS, bucket, chunk, packed(code[mine], steps(index[mine[code[mine] == 2]])), 0, 0, 0, 0
+            at += len(k)
+        one = seen == 1
+        yield SEATS, bucket, 0, packed(steps(key[many]), seen[many], np.ones(len(many), np.int64), np.zeros(len(many), np.int64)), int(one.sum()), int((seen == 2).sum()), 0, 0
+        for kind, which in ((SINGLE, one), (TABLES, many)):
+            ones = np.ones(len(key[which]), np.int64)
+            yield from by_number(m, kind, bucket, sums_by((key[which] >> U64(32)).astype(np.int64), ones), sums_by((key[which] & LOW).astype(np.int64), ones))
+
+    both = store.unionByName(frame.where(f"kind = {NUMBERS}"))
+    return summed(exchanged(exchanged(both, ask), count), "bigrams")
+
+
+def shard_pass(m: Model, sweep: int) -> Callable[[int, pa.Table], Iterator[Row]]:
+    """Sums the tables of a shard's words and contexts, reseats the words at the parent, and answers the buckets that sent them.
+
+    WORDS holds word and context counts, single tables by context and by word,
+    tables at the parent; then context tables, customers and tables at the parent
+    of each sample.
+    """
+
+    def run(shard: int, t: pa.Table) -> Iterator[Row]:
+        held = unpacked(rows_of(t, WORDS)[0][1])
+        n = len(held[0])
+        if sweep == 0:
+            held += [np.zeros(n, np.int64) for _ in range(3)]
+            for _, v in rows_of(t, SINGLE):
+                x = unpacked(v)
+                for k in (0, 1):
+                    held[2 + k][np.cumsum(x[2 * k])] += x[2 * k + 1]
+        context, word = held[2].astype(np.int64), held[3].astype(np.int64)
+        sent = [(b, unpacked(v)) for b, v in rows_of(t, TABLES)]
+        for _, x in sent:
+            context[np.cumsum(x[0])] += x[1]
+            word[np.cumsum(x[2])] += x[3]
+        if sweep == 0:
+            held[4] = np.minimum(word, 1)
         else:
-            total = state["single"] + got[0]
-        customers = sweep(state, total, number, r, small)
-        if sampled:
-            state["samples"].append((state["tables"], customers.astype(np.int32), state["root"]))
-        sends = [x[0] for x in state["samples"]] if r == ROUNDS - 1 else [state["tables"]]
-        out = [(number, STATE, 0, pickle.dumps(state, 5)), (number, SUMS, 0, np.array([customers.sum(), state["root"].sum()], "<i8").tobytes())]
-        for k, tables in enumerate(sends):
-            tables = np.bincount(state["type_context"], tables, minlength=len(state["context"]))
-            out += [(number, SENT + k, s, v) for s, v in by_shard(state["context"], [tables], small.shards)]
-        out += [(number, SPLIT, _signed(int(w)), np.array([customers[i]], "<i8").tobytes()) for w, i in zip(state["word"], state["split"], strict=True)]
-        return pa.Table.from_batches([_staged_rows(out)])
+            theta = THETA_ROOT + m.discount_root * np.maximum(m.roots[-1][1] - held[4].astype(np.int64), 0)
+            held[4] = reseat(word, theta, 1 / (m.vocabulary + 1), m.discount_root, np.arange(m.at[shard], m.at[shard] + n).astype(U64) << U64(32) | LOW, sweep, held[4].astype(np.int64))
+        if m.is_sample(sweep):
+            held += [context, word, held[4]]
+        yield WORDS, shard, 0, packed(*held), int(word.sum()), int(held[4].sum()), int((word == 1).sum()), int((word == 2).sum())
+        for b, x in sent:
+            w = np.cumsum(x[2])
+            yield ANSWER, b, shard, packed(context[np.cumsum(x[0])], word[w], held[4][w]), 0, 0, 0, 0
 
     return run
 
 
-def sampled_totals(rows: DataFrame, start: Totals, large: np.ndarray) -> Totals:
-    """All rounds: each is one pass that reseats every customer and sums the tables for the next."""
-    spark = rows.sparkSession
-    t = start
-    requests = start.frame.where(f"kind = {ALL}")
-    for r in range(ROUNDS):
-        sampled = r >= BURN_IN and (r - BURN_IN) % APART == APART - 1
-        first = r == 0
-        asked = requests if first else t.frame.where(f"kind >= {SENT}")
-        frame = staged(t.frame.where(f"kind = {STATE}").unionByName(answered(asked, 3 if first else 1)).groupBy("bucket").applyInArrow(round_of(t.small(), r, sampled), STAGED), "round")
-        sums, split = _sums(frame)
-        root, held = [0, 0] if sums is None else sums.tolist(), {}
-        for w, v in split.items():
-            before = t.split[w]
-            theta = THETA_ROOT + t.discount_root * max(t.root[1] - before[2], 0)
-            seat = reseat(v[:1], np.array([theta]), np.array([1 / (t.vocabulary + 1)]), t.discount_root, np.random.default_rng([w, r]), before[2:3])[0]
-            held[w] = np.concatenate([before[:1], [v[0], seat], before[3:], [v[0], seat] if sampled else []]).astype(np.int64)
-            root[1] += int(seat)
-        if not first:
-            discard(t.frame)
-        t = replace(t, root=tuple(root), split=held, roots=t.roots + ([tuple(root)] if sampled else []), frame=frame)
-        spark.sparkContext._jvm.System.gc()  # lets Spark remove the shuffle files of rounds that are over
-    return replace(t, contexts=answered(requests.unionByName(t.frame.where(f"kind >= {SENT}")), 3 + SAMPLES))
-
-
-def log_scores(b: Bucket, number: int, start: Totals, t: Totals, large: np.ndarray, found: tuple[bytes, list] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each type: log10 of the base's and of the averaged predictive probability, and whether its word is known.
-
-    ``found`` holds the state of the bucket and the answers about its contexts; without it they are read.
-    """
-    if found is None:
-        (state,) = t.frame.where(f"kind = {STATE} and bucket = {number}").collect()
-        found = state["v"], [(r["shard"], r["v"]) for r in t.contexts.where(f"bucket = {number}").collect()]
-    state, got = pickle.loads(found[0]), answer(found[1], 3 + SAMPLES)
-    totals = np.empty_like(got)
-    totals[:, in_shards(b.context, t.shards)] = got
-    split = b.split(large)
-    total = b.word_count.copy()
-    for w in np.flatnonzero(split):
-        total[w] = t.split[int(b.word[w])][0]
-    p = np.zeros(len(b.type_word))
-    p0 = 1 / (t.vocabulary + 1)
-    many = np.flatnonzero(b.customers > 1)
-    for s, (drawn, customers, root) in enumerate(state["samples"]):
-        tables = np.minimum(b.customers, 1)
-        tables[many] = drawn
-        customers, root = customers.astype(np.int64), root.astype(np.int64)
-        for w in np.flatnonzero(split):
-            customers[w], root[w] = t.split[int(b.word[w])][3 + 2 * s : 5 + 2 * s]
-        parent = (customers - t.discount_root * root + (THETA_ROOT + t.discount_root * t.roots[s][1]) * p0) / (THETA_ROOT + t.roots[s][0])
-        up = (THETA_CONTEXT + t.discount * (totals[1] + totals[3 + s])[b.type_context]) * parent[b.type_word]
-        p += (b.customers - t.discount * tables + up) / (THETA_CONTEXT + totals[0][b.type_context])
-    base = np.log10((total + 0.5) / (t.n + 0.5 * (t.vocabulary + 1)))
-    return base[b.type_word], np.log10(p / SAMPLES), (total > 0)[b.type_word]
-
-
-def scored(rows: DataFrame, start: Totals, t: Totals, large: np.ndarray) -> DataFrame:
-    """chunk, v: sums over a bucket for each document of a chunk (base, model, known tokens)."""
-    small, begin = t.small(), start.small()
-
-    def run(g: pa.Table) -> pa.Table:
-        kinds, shards = g.column("kind").to_pylist(), g.column("shard").to_pylist()
-        values = g.column("v").to_pylist()
-        blobs = sorted((shards[i], i) for i, k in enumerate(kinds) if k < 0)
-        b = Bucket([c for c, _ in blobs], [values[i] for _, i in blobs])
-        state = next(v for k, v in zip(kinds, values, strict=True) if k == STATE)
-        base, model, known = log_scores(b, g.column("bucket")[0].as_py(), begin, small, large, (state, [(shards[i], values[i]) for i, k in enumerate(kinds) if k == ALL]))
-        at, out = 0, []
-        for _, d, m in b.chunks:
-            doc, kind = b.doc[at : at + m], b.type_of[at : at + m]
-            out.append(np.concatenate([np.bincount(doc, x[kind], minlength=d) for x in (base, model, known)]).tobytes())
-            at += m
-        return pa.table([pa.array([c for c, _, _ in b.chunks], pa.int64()), pa.array(out, pa.binary())], ["chunk", "v"])
-
-    blobs = rows.where("bucket >= 0").select("bucket", F.explode(F.arrays_zip("chunks", "blobs")).alias("x")).select("bucket", F.lit(-1).alias("kind"), F.col("x.chunks").alias("shard"), F.col("x.blobs").alias("v"))
-    return blobs.unionByName(t.frame.where(f"kind = {STATE}")).unionByName(t.contexts).groupBy("bucket").applyInArrow(run, "chunk long, v binary")
-
-
-def document_scores(rows: DataFrame, partial: DataFrame, n_train: int) -> DataFrame:
-    """One row for each document of the chunks."""
+def bucket_pass(m: Model, sweep: int) -> Callable[[int, pa.Table], Iterator[Row]]:
+    """Reseats all customers of a bucket's bigrams, given the totals of the sweep before, and sends their tables to shards."""
+
+    def run(bucket: int, t: pa.Table) -> Iterator[Row]:
+        key, c, tables, total = (x.astype(np.int64) for x in unpacked(rows_of(t, SEATS)[0][1]))
+        key = np.cumsum(key.astype(U64), dtype=U64)
+        contexts, context = np.unique((key >> U64(32)).astype(np.int64), return_inverse=True)
+        names, word = np.unique((key & LOW).astype(np.int64), return_inverse=True)
+        if len(key):
+            got = [unpacked(v) for _, v in rows_of(t, ANSWER)]
+            there, customers, seats = (np.concatenate([g[k] for g in got]).astype(np.int64) for k in range(3))
+            others = np.maximum(there[context] - tables, 0)
+            tables = reseat(c, THETA_CONTEXT + m.discount * others, m.parent(customers, seats, m.roots[-1])[word], m.discount, key, sweep, tables)
+        if m.is_sample(sweep):
+            total = total + tables
+        yield SEATS, bucket, 0, packed(steps(key), c, tables, total), 0, 0, 0, 0
+        yield from by_number(m, TABLES, bucket, (contexts, np.bincount(context, tables).astype(np.int64)), (names, np.bincount(word, tables).astype(np.int64)))
+
+    return run
 
-    def finish(t: pa.Table) -> pa.Table:
-        blobs, total = t.column("v").to_pylist(), 0
-        (head,) = [x for x, is_head in zip(blobs, t.column("head").to_pylist(), strict=True) if is_head]
-        n = int(np.frombuffer(head, "<u4", 1)[0])
-        ids, size = np.frombuffer(head, "<i8", n, 4), np.frombuffer(head, "<i8", n, 4 + 8 * n)
-        null, train = np.frombuffer(head, np.uint8, n, 4 + 16 * n).astype(bool), np.frombuffer(head, np.uint8, n, 4 + 17 * n).astype(bool)
-        for x, is_head in zip(blobs, t.column("head").to_pylist(), strict=True):
-            if not is_head:
-                total = total + np.frombuffer(x, "<f8").reshape(3, n)
-        return pa.table({"doc_id": pa.array(ids, mask=null), "held_out": ~train, "n_tokens": size, "n_known": np.rint(total[2]).astype(np.int64), "train_tokens": np.full(n, n_train), "base_score": total[0], "score": total[1]})
 
-    heads = rows.where("bucket < 0").select(F.explode(F.arrays_zip("chunks", "blobs")).alias("x")).select(F.col("x.chunks").alias("chunk"), F.col("x.blobs").alias("v"), F.lit(True).alias("head"))
-    both = heads.unionByName(partial.withColumn("head", F.lit(False)))
-    return both.groupBy("chunk").applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+def estimated(once: int, twice: int) -> float:
+    """A discount, by the usual estimate from what was seen once and twice."""
+    return float(np.clip(once / max(1, once + 2 * twice), 0.1, 0.95))
 
 
-def pitman_yor_scores(docs: DataFrame, training, text_col: str = "text") -> DataFrame:
+def sampled(frame: DataFrame, bigrams: DataFrame, seen: list[int], m: Model) -> tuple[DataFrame, DataFrame, Model]:
+    """WORDS and SEATS after all sweeps."""
+    spark = frame.sparkSession
+    m = replace(m, discount=estimated(*seen[:2]))
+    shards, (customers, tables, once, twice) = summed(exchanged(frame.where(f"kind = {WORDS}").unionByName(bigrams.where(f"kind in ({SINGLE}, {TABLES})")), shard_pass(m, 0)), "shards")
+    m = replace(m, discount_root=estimated(once, twice), roots=((customers, tables),))
+    buckets = bigrams
+    for sweep in range(1, m.sweeps[0] + m.sweeps[1] * m.sweeps[2] + 1):
+        seats = staged(exchanged(buckets.where(f"kind = {SEATS}").unionByName(shards.where(f"kind = {ANSWER}")), bucket_pass(m, sweep)), "buckets")
+        after, (customers, tables, _, _) = summed(exchanged(shards.where(f"kind = {WORDS}").unionByName(seats.where(f"kind = {TABLES}")), shard_pass(m, sweep)), "shards")
+        if buckets is not bigrams:
+            discard(buckets)
+        discard(shards)
+        buckets, shards = seats, after
+        m = replace(m, roots=(*m.roots, (customers, tables)))
+        spark.sparkContext._jvm.System.gc()  # lets Spark remove the shuffle files of sweeps that are over
+    return shards, buckets, m
+
+
+def scored(store: DataFrame, frame: DataFrame, bigrams: DataFrame, shards: DataFrame, buckets: DataFrame, m: Model) -> DataFrame:
+    """One row for each document of the chunks."""
+    roots = [r for s, r in enumerate(m.roots) if m.is_sample(s)]
+    samples = len(roots)
+
+    def answer_words(shard: int, t: pa.Table) -> Iterator[Row]:
+        held = [x for k, x in enumerate(unpacked(rows_of(t, WORDS)[0][1])) if k not in (2, 3, 4)]
+        for chunk, v in rows_of(t, NUMBERS):
+            i = np.cumsum(unpacked(v)[0])
+            yield WORDS, chunk, shard, packed(*[x[i] for x in held]), 0, 0, 0, 0
+
+    def answer_bigrams(bucket: int, t: pa.Table) -> Iterator[Row]:
+        _, c, _, total = unpacked(rows_of(t, SEATS)[0][1])
+        for chunk, v in rows_of(t, BIGRAMS):
+            code, index = unpacked(v)
+            index = np.cumsum(index)
+            yield SEATS, chunk, bucket, packed(code, c[index], total[index]), 0, 0, 0, 0
+
+    def score(t: pa.Table) -> pa.Table:
+        c = Chunk(rows_of(t, CHUNK)[0][1])
+        _, _, (context, word), place = c.bigrams(rows_of(t, NUMBERS), m.at, m.buckets)
+        got = [unpacked(v) for _, v in rows_of(t, WORDS)]
+        order, _ = c.by_shard(len(m.at) - 1)
+        held = np.empty((2 + 3 * samples, len(order)))
+        for k in range(len(held)):
+            held[k, order] = np.concatenate([g[k] for g in got])
+        got = [unpacked(v) for _, v in rows_of(t, SEATS)]
+        code = np.concatenate([g[0] for g in got])
+        p = (1 - m.discount) * (code == 1).astype(float)
+        p[code == 2] = np.concatenate([g[1] - m.discount / samples * g[2].astype(float) for g in got])
+        for s, root in enumerate(roots):
+            tables, customers, seats = held[2 + 3 * s : 5 + 3 * s]
+            p += (THETA_CONTEXT + m.discount * tables)[context] * m.parent(customers, seats, root)[word] / samples
+        model = np.log10(p / (THETA_CONTEXT + held[1][context]))[place]
+        base = np.log10((held[0] + 0.5) / (m.n + 0.5 * (m.vocabulary + 1)))[c.word]
+        add = lambda x: np.add.reduceat(x, c.first)  # noqa: E731  no text is without its end
+        return pa.table({"doc_id": pa.array(c.ids, mask=c.null), "held_out": ~c.train, "n_tokens": c.size.astype(np.int64), "n_known": add((held[0] > 0)[c.word].astype(np.int64)), "train_tokens": np.full(len(c.ids), m.n), "base_score": add(base), "score": add(model)})
+
+    numbers = frame.where(f"kind = {NUMBERS}")
+    asked = numbers.selectExpr("kind", "other as key", "key as other", "v", "a", "b", "c", "d")
+    words = exchanged(shards.where(f"kind = {WORDS}").unionByName(asked), answer_words)
+    pairs = exchanged(buckets.where(f"kind = {SEATS}").unionByName(bigrams.where(f"kind = {BIGRAMS}")), answer_bigrams)
+    every = store.unionByName(numbers).unionByName(words).unionByName(pairs).select("kind", "key", "other", "v")
+    return every.groupBy("key").applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def pitman_yor_scores(docs: DataFrame, training, text_col: str = "text", share: int = SHARE, sweeps: tuple[int, int, int] = SWEEPS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) of every whole text.
 
-    Learns from the rows for which ``training`` holds (null: not).  A null text
-    reads as empty, that is one end token.  Repeated rows are scored, and
-    counted, each; with no training rows every probability is the uniform one
-    over the unknown word; an empty table gives no rows.  Other columns are
-    ignored.
+    Learns from the rows for which ``training`` holds (null: not).  ``share`` is
+    the bytes of text for each shard and bucket; ``sweeps`` are those before the
+    first sample, the samples, and the sweeps for each of them.  A null text reads as empty, that
+    is one end token.  Repeated rows are scored, and counted, each; with no
+    training rows every probability is the uniform one over the unknown word; an
+    empty table gives no rows.  Other columns are ignored.  A very long text is
+    never cut: it makes a chunk of its own, of some 60 bytes of memory a token.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col("doc_id").cast("long").alias("id_"), F.col(text_col).alias("text_"), F.coalesce(training, F.lit(False)).alias("train_"))
-    large = large_shares(source, parts)
-    rows = staged(pack(source, parts, large).repartition(parts, "bucket").groupBy("bucket").applyInArrow(gather, "bucket long, chunks array<long>, blobs array<binary>"), "occurrences")
-    spark.sparkContext._jvm.System.gc()  # the shuffle files of the occurrences can go
-    start = first_totals(rows, large)
-    t = sampled_totals(rows, start, large)
-    return document_scores(rows, scored(rows, start, t, large), start.n)
+    shards = 1 + (source.agg(F.sum(F.octet_length("text_")).alias("n")).first()["n"] or 0) // share
+    store = staged(chunks(source), "chunks")
+    frame, at, n, vocabulary = numbered(store, shards)
+    m = Model(at, shards, n, vocabulary, sweeps=sweeps)
+    bigrams, seen = counted(store, frame, m)
+    spark.sparkContext._jvm.System.gc()  # the shuffle files of the bigrams can go
+    words, seats, m = sampled(frame, bigrams, seen, m)
+    return scored(store, frame, bigrams, words, seats, m)
 
 
 def op3_pitman_yor_scores(spark, sf_dir):
