@@ -2,15 +2,17 @@
 
 A page becomes a flat row of text blocks.  Each block has its word count and
 link density, those of the blocks before and after it, and marks of the
-elements around it.  A decision tree, grown on the small labelled table below,
-says which blocks are main text.
+elements around it.  A decision tree, grown on a small labelled table (drawn
+from the kinds of blocks below), says which blocks are main text.
 """
 
 from __future__ import annotations
 
 import html as htmllib
 import re
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -20,32 +22,56 @@ from .textbatch import slices
 
 FEATURES = ("words_before", "words", "words_after", "links_before", "links", "links_after", "content", "boiler", "heading")
 
-#: Labelled blocks: words before/own/after, link density before/own/after, inside an
-#: article element, inside a boilerplate element, a heading; then 1 for main text.
-LABELLED = [
-    # menus, breadcrumbs and link lists
-    (0, 1, 1, 0, 1, 1, 0, 1, 0, 0), (1, 1, 1, 1, 1, 1, 0, 1, 0, 0), (1, 2, 9, 1, 1, 0, 0, 1, 0, 0), (3, 2, 2, 1, 1, 1, 0, 0, 0, 0),
-    (2, 4, 3, 1, 1, 1, 0, 0, 0, 0), (0, 5, 4, 0, 0.8, 1, 0, 0, 0, 0), (4, 6, 80, 1, 1, 0, 0, 0, 0, 0), (30, 7, 6, 0, 1, 1, 0, 0, 0, 0),
-    (12, 14, 13, 1, 1, 1, 0, 0, 0, 0), (60, 9, 0, 0, 0.9, 0, 0, 0, 0, 0), (8, 20, 9, 1, 0.7, 1, 0, 0, 0, 0),
-    # advertisements, notices, sidebars, footers, comments: long or short, marked by their element
-    (1, 8, 11, 1, 0, 0, 0, 1, 0, 0), (1, 12, 60, 1, 0, 0, 0, 1, 0, 0), (90, 10, 0, 0, 0, 0, 0, 1, 0, 0), (40, 45, 50, 0, 0, 0, 0, 1, 0, 0),
-    (70, 80, 0, 0, 0, 0, 0, 1, 0, 0), (120, 25, 30, 0, 0, 0, 1, 1, 0, 0), (60, 6, 70, 0, 0, 0, 1, 1, 0, 0), (55, 40, 8, 0, 0.1, 0, 1, 1, 0, 0),
-    (20, 90, 30, 0, 0, 0, 1, 1, 0, 0), (0, 30, 12, 0, 0.2, 0, 0, 1, 0, 0), (14, 3, 25, 0, 0, 0, 0, 1, 1, 0), (80, 2, 20, 0, 0, 0, 1, 1, 1, 0),
-    (5, 3, 3, 1, 1, 1, 1, 1, 0, 0), (100, 60, 100, 0, 0, 0, 0, 1, 0, 0), (1, 1, 1, 0, 0, 0, 0, 1, 0, 0), (1, 1, 1, 0, 0, 0, 1, 1, 0, 0),
-    # stray short lines outside an article
-    (0, 2, 3, 0, 0, 1, 0, 0, 0, 0), (3, 3, 2, 1, 0, 1, 0, 0, 0, 0), (2, 4, 4, 0, 0, 0, 0, 0, 0, 0), (5, 6, 2, 0, 0, 0, 0, 0, 0, 0), (9, 2, 0, 1, 0, 0, 0, 0, 0, 0),
-    # link lists inside an article
-    (50, 5, 6, 0, 1, 1, 1, 0, 0, 0), (5, 6, 5, 1, 1, 1, 1, 0, 0, 0), (6, 5, 0, 1, 1, 0, 1, 0, 0, 0),
-    # article text, of any length
-    (10, 11, 30, 0, 0, 0, 1, 0, 1, 1), (11, 40, 60, 0, 0, 0, 1, 0, 0, 1), (40, 60, 50, 0, 0, 0, 1, 0, 0, 1), (60, 1, 70, 0, 0, 0, 1, 0, 0, 1),
-    (1, 1, 1, 0, 0, 0, 1, 0, 0, 1), (2, 2, 10, 0, 0, 0, 1, 0, 0, 1), (80, 5, 9, 0, 0, 0, 1, 0, 0, 1), (3, 90, 12, 0, 0.1, 0, 1, 0, 0, 1),
-    (50, 30, 40, 0, 0.3, 0, 1, 0, 0, 1), (70, 120, 8, 0, 0, 1, 1, 0, 0, 1), (40, 4, 40, 0, 1, 0, 1, 0, 0, 1), (8, 9, 1, 1, 0, 0, 1, 0, 1, 1),
-    (1, 10, 20, 1, 0, 0, 1, 0, 1, 1), (20, 3, 40, 0, 0, 0, 1, 0, 1, 1), (30, 200, 30, 0, 0.4, 0, 1, 0, 0, 1), (9, 2, 0, 0, 0, 0, 1, 0, 0, 1),
-    # text of pages without an article element
-    (10, 40, 60, 1, 0, 0, 0, 0, 0, 1), (40, 60, 50, 0, 0, 0, 0, 0, 0, 1), (60, 25, 4, 0, 0.1, 0, 0, 0, 0, 1), (50, 18, 60, 0, 0, 0, 0, 0, 0, 1),
-    (70, 5, 80, 0, 0, 0, 0, 0, 0, 1), (30, 8, 45, 0, 0, 0, 0, 0, 0, 1), (4, 35, 10, 1, 0.2, 1, 0, 0, 0, 1), (2, 6, 40, 1, 0, 0, 0, 0, 1, 1),
-    (45, 4, 50, 0, 0, 0, 0, 0, 1, 1), (0, 120, 0, 0, 0, 0, 0, 0, 0, 1), (0, 20, 0, 0, 0, 0, 0, 0, 0, 1), (90, 150, 2, 0, 0.05, 1, 0, 0, 0, 1),
-]
+#: Kinds of labelled blocks: ranges of words and of link density of the block before, the block and the one after, whether
+#: inside an article element, inside boilerplate, a heading (2: either); then 1 for main text.
+KINDS = """
+0-150 0-1   1-150 0-1   0-150 0-1   2 1 2  0
+0-0   0-0   1-8   .8-1  1-8   .8-1  0 0 0  0
+1-8   .8-1  1-8   .8-1  1-8   .8-1  2 0 0  0
+1-8   .8-1  1-8   .8-1  0-0   0-0   2 0 0  0
+1-8   .8-1  1-8   .8-1  1-150 0-.3  2 0 2  0
+5-150 0-.3  1-8   .8-1  1-8   .8-1  2 0 0  0
+1-30  .6-1  9-30  .6-1  1-30  .6-1  0 0 0  0
+0-150 0-.3  1-40  .7-1  0-150 0-.3  0 0 0  0
+1-8   .8-1  1-6   0-.2  1-8   .8-1  0 0 0  0
+1-8   .8-1  1-6   0-.2  0-0   0-0   0 0 0  0
+1-8   .8-1  1-14  0-.3  5-150 0-.3  0 0 1  1
+0-150 0-.3  1-14  0-.3  1-150 0-.3  2 0 1  1
+0-150 0-.3  1-20  0-.5  0-150 0-.3  1 0 0  1
+0-150 0-1   12-250 0-.5 0-150 0-1   1 0 0  1
+1-8   .8-1  1-12  0-.3  1-8   .8-1  1 0 2  1
+1-8   .8-1  1-12  0-.3  0-150 0-.3  1 0 2  1
+0-150 0-.3  1-12  0-.3  1-8   .8-1  1 0 2  1
+0-150 0-.3  1-40  .5-1  0-150 0-.3  1 0 2  1
+0-150 0-1   12-250 0-.4 0-150 0-1   0 0 0  1
+0-150 0-.2  1-12  0-.3  0-150 0-.2  0 0 0  1
+0-0   0-0   1-12  0-.3  0-150 0-.3  0 0 2  1
+0-150 0-1   1-150 0-1   0-0   0-0   2 1 2  0
+0-0   0-0   1-150 0-1   0-0   0-0   2 1 2  0
+0-150 0-.3  1-250 0-.5  0-0   0-0   1 0 2  1
+0-0   0-0   1-250 0-.5  0-0   0-0   1 0 2  1
+0-150 0-.3  1-40  .5-1  0-0   0-0   1 0 2  1
+0-0   0-0   1-40  .5-1  0-0   0-0   1 0 2  1
+1-8   .8-1  1-250 0-.4  0-0   0-0   1 0 2  1
+0-150 0-.2  1-250 0-.3  0-0   0-0   0 0 2  1
+0-0   0-0   1-250 0-.3  0-0   0-0   0 0 2  1
+1-8   .8-1  12-250 0-.3 0-0   0-0   0 0 2  1
+"""
+
+
+def labelled(kinds: str = KINDS, each: int = 24, seed: int = 7) -> np.ndarray:
+    """The labelled table: ``each`` blocks of every kind, numbers drawn within its ranges, by FEATURES and label."""
+    rng, out = np.random.default_rng(seed), []
+    for line in kinds.split("\n"):
+        if cells := line.split():
+            ranges = [tuple(map(float, x.split("-"))) for x in cells[:6]]
+            drawn = np.array([rng.uniform(a, b, each) for a, b in ranges])
+            drawn[::2] = np.rint(drawn[::2])
+            drawn[1::2][drawn[::2] == 0] = 0  # no words, no links
+            flags = [rng.integers(0, 2, each) if x == "2" else np.full(each, int(x)) for x in cells[6:]]
+            out.append(np.array([*drawn[[0, 2, 4]], *drawn[[1, 3, 5]], *flags]).T)
+    return np.concatenate(out)
+
 
 #: Names that mark boilerplate in tags, classes, ids and roles, and tags that hold no text (fixed values).
 BOILER_TAGS = frozenset("nav footer aside form dialog menu".split())
@@ -55,9 +81,13 @@ BOILER_NAMES = frozenset(
     "social related recommended comment comments disqus respond reply replies pagination pager toolbar copyright legal disclaimer contentinfo complementary search "
     "dialog skip".split()
 )
+#: Of these, those that hold articles of their own, which stay boilerplate; and tags that stay so.
+READERS = frozenset("comment comments disqus respond reply replies related recommended".split())
+KEPT_OUT = frozenset("nav footer aside dialog menu".split())
 #: Words that may stand beside those names in one class, as in site-footer; any other word (has-sidebar, no-ads) makes it another class.
 NEUTRAL = frozenset("site page main top bottom left right list item items box bar area wrap wrapper inner container section block link links widget form text global".split())
 CONTENT_NAMES = frozenset("article content entry main post story".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SILENT = frozenset("script style noscript template svg math iframe object embed canvas audio video head title select option datalist textarea button".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -69,14 +99,31 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "d
 
 _RAW = r"script|style|noscript|template|iframe|textarea|title"
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|$)|<({_RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
+    rf"<!--.*?(?:-->|$)|<({_RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(?P<end>/?)(?P<odd>[a-zA-Z][a-zA-Z0-9:-]*)[^>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
 ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 NAME = re.compile(r"[a-z]+")
 
 
-def grow(rows: np.ndarray, depth: int = 6):
+class Marks(NamedTuple):
+    """Inside an article or the like; inside boilerplate; inside boilerplate that no article lifts."""
+
+    content: bool = False
+    boiler: bool = False
+    out: bool = False
+
+
+class Block(NamedTuple):
+    text: str
+    words: int
+    linked: int  # words inside links
+    content: bool
+    boiler: bool
+    heading: bool
+
+
+def grow(rows: np.ndarray, depth: int = 10, least: int = 4):
     """A binary tree by Gini impurity: (feature, threshold, left, right) or a leaf's share of main text."""
     x, y = rows[:, :-1], rows[:, -1]
     share = float(y.mean())
@@ -87,13 +134,15 @@ def grow(rows: np.ndarray, depth: int = 6):
         values = np.unique(x[:, f])
         for cut in (values[1:] + values[:-1]) / 2:
             left = x[:, f] <= cut
+            if min(left.sum(), (~left).sum()) < least:
+                continue
             impurity = sum(m.sum() * y[m].mean() * (1 - y[m].mean()) for m in (left, ~left))
             if best is None or impurity < best[0] - 1e-12:
                 best = (impurity, f, float(cut), left)
     if best is None:
         return share
     _, f, cut, left = best
-    return (f, cut, grow(rows[left], depth - 1), grow(rows[~left], depth - 1))
+    return (f, cut, grow(rows[left], depth - 1, least), grow(rows[~left], depth - 1, least))
 
 
 def judge(tree, x) -> float:
@@ -117,115 +166,135 @@ def is_boiler(token: str, in_content: bool) -> bool:
     return token == "hidden" or bool(names & marks) and names <= marks | NEUTRAL
 
 
-def element_marks(tag: str, attributes: str, in_content: bool) -> tuple[bool, bool]:
-    """(content, boilerplate) of one opening tag."""
+def element_marks(tag: str, attributes: str, around: Marks) -> Marks:
+    """What holds inside an element, by its tag and attributes and what holds around it.
+
+    An article inside a wrapper with a boilerplate name is an article still,
+    unless it, or the comments or asides that it stands in, are boilerplate.
+    """
     if tag in ("html", "body"):
-        return False, False
-    if tag in ("article", "main"):
-        return True, False
-    content, boiler = False, tag in BOILER_TAGS or (tag == "header" and not in_content)
+        return Marks()
+    article = tag in ("article", "main")
+    named, boiler, out = article, tag in BOILER_TAGS or (tag == "header" and not around.content), tag in KEPT_OUT
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), htmllib.unescape(m[2] or m[3] or m[4] or "").strip().lower()
         if name in ("class", "id", "role"):
-            named = bool(set(NAME.findall(value)) & CONTENT_NAMES)
-            content |= named
-            boiler |= any(is_boiler(token, in_content or named) for token in value.split())
-        else:
-            boiler |= is_hidden(name, value)
-    return content and not boiler, boiler
-
-
-def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
-    """Flat text blocks: text, words, words inside links, in content, in boilerplate, is a heading."""
-    out: list = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, content, boilerplate; the marks hold for all inside
-    text: list[str] = []
-    linked: list[bool] = []
-    silent = 0
-
-    def close_block() -> None:
-        if text:
-            joined = " ".join(htmllib.unescape("".join(text)).split())
-            if joined:
-                n = joined.count(" ") + 1
-                in_links = sum(len(t.split()) for t, a in zip(text, linked, strict=True) if a)
-                top = stack[-1] if stack else ("", False, False)
-                heading = any(s[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for s in stack[-3:])
-                out.append((joined, n, min(n, in_links), top[1], top[2], heading))
-            text.clear()
-            linked.clear()
-
-    def close_to(depth: int) -> None:
-        nonlocal silent
-        silent -= sum(s[0] in SILENT for s in stack[depth:])
-        del stack[depth:]
-
-    at = 0
+            named |= bool(set(NAME.findall(value)) & CONTENT_NAMES)
+            for token in value.split():
+                if is_boiler(token, around.content or named):
+                    boiler, out = True, out or bool(set(NAME.findall(token)) & READERS)
+        elif is_hidden(name, value):
+            boiler = out = True
+    lifted = article and not boiler and not around.out
+    return Marks(around.content or named and not boiler, not lifted and (around.boiler or boiler), around.out or out)
+
+
+class Page:
+    """Open elements of a page and its flat text blocks so far; each step takes the same time however deep they nest."""
+
+    def __init__(self):
+        self.blocks: list[Block] = []
+        self.stack: list[tuple[str, Marks]] = []
+        self.open: Counter[str] = Counter()
+        self.silent = 0  # open elements without text
+        self.text: list[str] = []
+        self.linked = 0  # words inside links
+
+    def add(self, text: str) -> None:
+        if text and not self.silent:
+            self.text.append(text)
+            if self.open["a"]:
+                self.linked += len(text.split())
+
+    def end_block(self) -> None:
+        joined = " ".join(htmllib.unescape("".join(self.text)).split())
+        if joined:
+            n = joined.count(" ") + 1
+            heading = any(tag in HEADINGS for tag, _ in self.stack[-3:])
+            inside = self.stack[-1][1] if self.stack else Marks()
+            self.blocks.append(Block(joined, n, min(n, self.linked), inside.content, inside.boiler, heading))
+        self.text, self.linked = [], 0
+
+    def close_to(self, depth: int) -> None:
+        for tag, _ in self.stack[depth:]:
+            self.open[tag] -= 1
+            self.silent -= tag in SILENT
+        del self.stack[depth:]
+
+    def close_one(self, tags: set[str] | frozenset[str], within: set[str] | frozenset[str]) -> None:
+        """Ends the innermost open one of ``tags``, but none outside an element of ``within``."""
+        if not any(self.open[t] for t in tags):
+            return
+        for i in range(len(self.stack) - 1, -1, -1):
+            if self.stack[i][0] in tags:
+                self.close_to(i)
+                return
+            if self.stack[i][0] in within:
+                return
+
+    def start(self, tag: str, attributes: str) -> None:
+        if tag in BLOCK:
+            self.end_block()
+            if tag not in VOID:
+                self.close_one({"p"}, BLOCK - {"p"})  # an open paragraph ends before a block
+        if tag in VOID:
+            return
+        if tag in CLOSES:
+            self.close_one(*CLOSES[tag])
+        if tag == "a":
+            self.close_one({"a"}, BLOCK)  # links don't nest
+        if not attributes.rstrip().endswith("/") or tag in BLOCK:
+            self.stack.append((tag, element_marks(tag, attributes, self.stack[-1][1] if self.stack else Marks())))
+            self.open[tag] += 1
+            self.silent += tag in SILENT
+
+    def end(self, tag: str) -> None:
+        if tag in BLOCK:
+            self.end_block()
+        self.close_one({tag}, frozenset())
+
+
+def blocks(page: str) -> list[Block]:
+    """The flat text blocks of a page."""
+    p, at = Page(), 0
     for m in TOKEN.finditer(page):
-        if m.start() > at and not silent:
-            text.append(page[at : m.start()])
-            linked.append(any(s[0] == "a" for s in stack))
+        p.add(page[at : m.start()])
         at = m.end()
-        if not m[3]:
-            if m[1] and m[1].lower() == "title":
-                close_block()
-            continue
-        tag = m[3].lower()
-        if tag in BLOCK:
-            close_block()
-        if m[2]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    close_to(i)
-                    break
-        elif tag not in VOID:
-            if tag in BLOCK:
-                for i in range(len(stack) - 1, -1, -1):  # an open paragraph ends before a block
-                    if stack[i][0] == "p":
-                        close_to(i)
-                        break
-                    if stack[i][0] in BLOCK:
-                        break
-            if tag in CLOSES:
-                ends, within = CLOSES[tag]
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in ends:
-                        close_to(i)
-                        break
-                    if stack[i][0] in within:
-                        break
-            if not m[4].rstrip().endswith("/") or tag in BLOCK:
-                _, inside, bad = stack[-1] if stack else ("", False, False)
-                content, boiler = element_marks(tag, m[4], inside)
-                stack.append((tag, inside or content, bad or boiler))
-                silent += tag in SILENT
-    if at < len(page) and not silent:
-        text.append(page[at:])
-        linked.append(any(s[0] == "a" for s in stack))
-    close_block()
-    return out
+        if m["odd"]:  # a quote that never ends: the tag ends at its first bracket
+            (p.end if m["end"] else lambda t: p.start(t, ""))(m["odd"].lower())
+        elif m[3]:
+            p.end(m[3].lower()) if m[2] else p.start(m[3].lower(), m[4])
+        elif m[1] and m[1].lower() == "title":
+            p.end_block()
+    p.add(page[at:])
+    p.end_block()
+    return p.blocks
+
+
+def features(found: list[Block]) -> Iterator[tuple]:
+    """FEATURES of each block, with those of its neighbours."""
+    none = Block("", 0, 0, False, False, False)
+    density = lambda b: b.linked / max(1, b.words)
+    for p, b, n in zip([none, *found], found, [*found[1:], none], strict=False):
+        yield p.words, b.words, n.words, density(p), density(b), density(n), b.content, b.boiler, b.heading
 
 
 def main_text(page: str | None, tree) -> str:
     found = blocks(page or "")
-    none = ("", 0, 0, False, False, False)
-    kept = []
-    for i, b in enumerate(found):
-        p, n = found[i - 1] if i else none, found[i + 1] if i + 1 < len(found) else none
-        x = (p[1], b[1], n[1], p[2] / max(1, p[1]), b[2] / b[1], n[2] / max(1, n[1]), b[3], b[4], b[5])
-        if judge(tree, x) >= 0.5:
-            kept.append(b[0])
-    return " ".join(kept)
+    return " ".join(b.text for b, x in zip(found, features(found), strict=True) if judge(tree, x) >= 0.5)
 
 
-def extract_main_text(pages: DataFrame, labelled=LABELLED, html_col: str = "html") -> DataFrame:
+def extract_main_text(pages: DataFrame, rows: np.ndarray | None = None, html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every page; other columns are ignored.
 
+    ``rows`` are labelled blocks (FEATURES, then 1 for main text) to grow the tree on.
+
     A null or empty page, or one with no main text, has an empty text; a page cut
-    off in a tag or comment ends there.  Repeated rows stay repeated, null ids
+    off in a tag or comment ends there.  Very long pages are read whole, in time in
+    proportion to their length.  Repeated rows stay repeated, null ids
     and urls stay null, and an empty table gives no rows.  No shuffle.
     """
-    tree = grow(np.array(labelled, float))
+    tree = grow(labelled() if rows is None else rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "html_"):
