@@ -22,7 +22,7 @@ from .common import fold, table
 from .textbatch import U64, slices
 
 ORDER = 4
-#: Documented bounds of the training sample: documents a language for the model and for the calibration, and their length.
+#: Documented bounds of the training sample: documents a language for the model and for the calibration, and characters of each.
 MODEL_DOCS, CALIBRATION_DOCS, LONGEST = 400, 200, 20_000
 #: Rejected when the cross-entropy is above the language's calibrated limit by this many deviations of so short a text.
 REJECT_Z = 6.0
@@ -136,6 +136,12 @@ class Models:
         return total, size, letters
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different columns of symbols, as rows, and the count of each; told apart by their hashes."""
+    _, first, count = np.unique(keys(x, len(x)), return_index=True, return_counts=True)
+    return np.ascontiguousarray(x[:, first].T), count
+
+
 def fit_models(texts: dict[str, list[str]]) -> Models:
     """Interpolated Kneser-Ney of order 4 for each language."""
     langs = sorted(texts)
@@ -146,27 +152,22 @@ def fit_models(texts: dict[str, list[str]]) -> Models:
         x = grams[lang]
         levels = []  # per order: unique n-grams (columns of symbols), counts
         for n in range(1, ORDER + 1):
-            rows, count = np.unique(x[:n].T, axis=0, return_counts=True) if x.shape[1] else (np.zeros((0, n), U64), np.zeros(0, np.int64))
-            levels.append([rows, count])
+            levels.append(distinct(x[:n]))
         for n in range(ORDER - 1, 0, -1):  # lower orders count the different symbols before
-            longer = levels[n][0]
-            rows, count = np.unique(longer[:, :n], axis=0, return_counts=True) if len(longer) else (np.zeros((0, n), U64), np.zeros(0, np.int64))
-            levels[n - 1] = [rows, count]
+            levels[n - 1] = distinct(levels[n][0][:, :n].T)
         per.append({n: levels[n - 1] for n in range(1, ORDER + 1)})
     alphabet = max(2, len(np.unique(np.concatenate([p[1][0][:, 0] for p in per]))) + 1)
     m.floor = np.zeros(len(langs), np.float32)
     lower: list = [None] * len(langs)  # log-probabilities found so far are looked up in the merged tables
     for n in range(1, ORDER + 1):
-        all_rows = np.unique(np.concatenate([p[n][0] for p in per]), axis=0)
+        all_rows, _ = distinct(np.concatenate([p[n][0] for p in per]).T)
         h = keys(all_rows.T, n)
         order = np.argsort(h)
         all_rows, h = all_rows[order], h[order]
         prob = np.zeros((len(h), len(langs)))
-        contexts = np.unique(all_rows[:, 1:], axis=0) if n > 1 else None
         if n > 1:
-            ch = keys(contexts.T, n - 1)
-            by = np.argsort(ch)
-            ch, back = ch[by], np.zeros((len(by), len(langs)))
+            ch = np.unique(keys(all_rows[:, 1:].T, n - 1))
+            back = np.zeros((len(ch), len(langs)))
         for k in range(len(langs)):
             rows, count = per[k][n]
             if n == 1:
@@ -224,15 +225,20 @@ def identify(m: Models, texts: list[str | None]) -> tuple[list[str], np.ndarray,
 
 
 def sample(docs: DataFrame, training: Column) -> tuple[dict[str, list[str]], dict[str, list[str]]]:
-    """Bounded samples for the model and its calibration: the first documents of each language by a hash of the id."""
-    h = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(5)).alias("h")
-    fit = docs.where(training & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= LONGEST)).select("lang", "doc_id", h)
+    """Bounded samples for the model and its calibration: the first documents of each language by a hash of the id.
+
+    Documents of up to LONGEST characters come before longer ones, of which so
+    many characters are learnt.
+    """
+    h = F.struct(F.length("text") > LONGEST, F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(5))).alias("h")
+    fit = docs.where(training & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "doc_id", h)
     n = MODEL_DOCS + CALIBRATION_DOCS
-    by, part = Window.partitionBy("lang").orderBy("h", "doc_id"), Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h", "doc_id")
+    by, part = Window.partitionBy("lang").orderBy("h", "doc_id"), Window.partitionBy("lang", F.pmod("h.col2", F.lit(64))).orderBy("h", "doc_id")
     few = fit.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= n).drop("rank")  # so that a common language isn't ranked in one task
     chosen = few.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= n).groupBy("lang", "doc_id").agg(F.min("rank").alias("rank"))
-    keyed = docs.where(training & (F.length("text") <= LONGEST)).select("lang", "doc_id", "text")
-    rows = keyed.join(F.broadcast(chosen), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("rank").alias("rank"), F.min("text").alias("text")).collect()  # at most n rows a language
+    keyed = docs.where(training).select("lang", "doc_id", F.substring("text", 1, LONGEST).alias("text"))
+    chosen = chosen.select(F.col("lang").alias("of"), F.col("doc_id").alias("id"), "rank")
+    rows = keyed.join(F.broadcast(chosen), (keyed["lang"] == chosen["of"]) & keyed["doc_id"].eqNullSafe(chosen["id"])).groupBy("lang", "doc_id").agg(F.min("rank").alias("rank"), F.min("text").alias("text")).collect()  # at most n rows a language
     model: dict[str, list[str]] = {}
     held: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["rank"])):
@@ -253,7 +259,9 @@ def predict_language(docs: DataFrame, m: Models, keep: tuple[str, ...] = ("doc_i
 
     Null texts and texts without a letter are ``und`` with score 0 and rejected;
     between languages of equal cross-entropy the first by name wins; repeated
-    rows are predicted each; an empty table gives no rows.  No shuffle.
+    rows are predicted each; an empty table gives no rows.  Very long texts are
+    scored whole, in about 50 bytes of memory a character.  Other columns, whatever
+    their names, are not read.  No shuffle.
     """
     sent = docs.sparkSession.sparkContext.broadcast(m)  # bounded by the training sample
     kinds = dict(docs.dtypes)
@@ -269,7 +277,11 @@ def predict_language(docs: DataFrame, m: Models, keep: tuple[str, ...] = ("doc_i
 
 
 def keep_identified(docs: DataFrame, m: Models) -> DataFrame:
-    """The documents that identification doesn't reject, with all their columns."""
+    """The documents that identification doesn't reject, with all their columns.
+
+    Null and empty texts and texts without a letter are rejected; repeated rows
+    are kept or dropped alike; an empty table stays empty.
+    """
     sent, at = docs.sparkSession.sparkContext.broadcast(m), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -43,6 +43,15 @@ def test_language_of_odd_rows(spark, odd, docs):
     assert {r["lang_pred"] for r in langid.predict_language(odd, empty).collect()} == {"und"}
 
 
+def test_languages_of_long_texts_and_rows_without_ids(spark, docs):
+    words = {"en": "the cat and the dog and the house ", "de": "der hund und die katze und das haus "}
+    rows = docs([words["en"]] * 10 + [words["de"] * 2_000] * 10, ["en"] * 10 + ["de"] * 10)
+    anonymous = docs(["le chat et le chien et la maison"] * 10, ["fr"] * 10).withColumn("doc_id", F.lit(None).cast("long"))
+    m = langid.train(rows.unionByName(anonymous), F.lit(True))
+    assert m.langs == ["de", "en", "fr"]
+    assert langid.identify(m, ["die katze und der hund", "the dog and the house", "la maison et le chat"])[0] == ["de", "en", "fr"]
+
+
 def test_held_out_languages(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     got = langid.op5_kneser_ney_langid(spark, SF).join(d.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
