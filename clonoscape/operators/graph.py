@@ -4,14 +4,21 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one is set only where the session has none (tests)."""
+    """The folder in spark.checkpoint.dir, which driver and executors share.
+
+    Where the session has none, a local one is set if everything runs on one
+    machine (tests); on a cluster that raises, as executors would each write to
+    their own disk.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = f"file:///tmp/clonoscape-{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at
@@ -24,10 +31,12 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _signature(edges: DataFrame) -> tuple:
-    """Equal for equal edge sets, whatever their order."""
-    mixed = F.xxhash64("src", "dst")
-    return tuple(edges.agg(F.count("*"), F.sum(F.pmod(mixed, F.lit(1 << 40))), F.sum(F.pmod(mixed, F.lit((1 << 40) - 87)))).first())
+def _signed(edges: DataFrame) -> tuple[DataFrame, tuple[int, ...]]:
+    """The edges, staged, and numbers that are equal for equal edge sets, whatever their order."""
+    seen, mixed = Observation(), F.xxhash64("src", "dst")
+    sums = [F.coalesce(F.sum(F.pmod(mixed, F.lit(m))), F.lit(0)).alias(f"s{m}") for m in (1 << 40, (1 << 40) - 87)]
+    out = staged(edges.observe(seen, F.count(F.lit(1)).alias("n"), *sums), "components")
+    return out, tuple(int(x) for _, x in sorted(seen.get.items()))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -46,7 +55,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return links.unionByName(low.select("src", F.col("low").alias("dst"))).distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """Components of undirected edges (src, dst): one row (node, component) for each node on an edge.
 
     ``component`` is the smallest node of the component.  Alternates large-star
@@ -54,19 +63,18 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     side combining and an equi-join, so that no group is gathered in one place
     and the number of rounds grows with the logarithm of the diameter.  Null
     ends and self-loops: nulls are dropped, a node with only a self-loop is its
-    own component; repeated edges count once.
+    own component; repeated edges count once.  Raises if the labels still change
+    after ``max_rounds``.
     """
     known = edges.select("src", "dst").where("src is not null and dst is not null")
-    current = staged(_small_star(known), "components")
-    before = _signature(current)
+    current, before = _signed(_small_star(known))
     for _ in range(max_rounds):
-        if not before[0]:
-            break
-        current = staged(_small_star(_large_star(current)), "components")
-        now = _signature(current)
+        current, now = _signed(_small_star(_large_star(current)))
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components still change after {max_rounds} rounds")
     roots = current.select(F.col("dst").alias("node"), F.col("dst").alias("component"))
     loops = known.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))
     found = current.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionByName(roots)
