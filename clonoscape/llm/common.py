@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clonoscape.operators.graph import shared_folder, staged  # noqa: F401  also for the modules beside this one
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -17,25 +17,6 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set to a local one only where the session has none (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = f"file:///tmp/clonoscape-{spark.sparkContext.applicationId}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(at)
-    return at
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back, which cuts its lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def discard(df: DataFrame) -> None:
     """Remove what staged() wrote, once nothing reads it any more."""
     spark = df.sparkSession
@@ -44,6 +25,6 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def buckets(spark: SparkSession) -> int:
-    """Buckets for packed blobs: a few for each shuffle partition, so that uneven hashing evens out."""
-    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+def shares(texts: DataFrame, column: str, most_bytes: int) -> int:
+    """How many groups of up to about ``most_bytes`` of text there are: their number follows the data, not the session's settings."""
+    return 1 + (texts.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0) // most_bytes

@@ -30,14 +30,14 @@ from pyspark.sql import functions as F
 from clonoscape.operators.graph import connected_components
 
 from . import partenum as pe
-from .common import staged, table
+from .common import shares, staged, table
 from .textbatch import U64, buffers, mix, slices, window_hashes, words
 
 SHINGLE = 5
 #: Nodes of a list that one task compares; longer lists are cut into blocks that meet in pairs.
 LIST_BLOCK = 2048
-#: Signatures a task gathers before it writes blobs, and groups the lists are dealt to for each shuffle partition.
-FLUSH, LIST_GROUPS = 1_000_000, 4
+#: Bytes of text for each bucket of signatures; signatures a task gathers before it writes blobs, and groups the lists are dealt to for each shuffle partition.
+SHARE, FLUSH, LIST_GROUPS = 4 << 20, 1_000_000, 4
 #: Bits an element and bits in all of the finer sketches.
 FINE_EACH, FINE_MOST = 16, 1 << 17
 #: Candidate nodes up to this count (8 bytes each) are broadcast to the scan that fetches their texts; beyond it they are shuffled.
@@ -183,9 +183,15 @@ def shared_lists(blobs: DataFrame) -> DataFrame:
     return blobs.groupBy("bucket").applyInArrow(run, "list long, nodes array<long>")
 
 
-def listed_nodes(lists: DataFrame) -> DataFrame:
-    """One row for each node of a list, and for each pair of blocks it takes part in if the list is long: (list, block, node)."""
+def listed_nodes(lists: DataFrame, found: DataFrame) -> DataFrame:
+    """One row for each node of a list, and for each pair of blocks it takes part in if the list is long: (list, block, node).
+
+    Lists whose nodes already are in one component (``found``: node, component) are left out, before anything is paired.
+    """
     each = lists.select("list", F.size("nodes").alias("n"), F.posexplode("nodes").alias("pos", "node"))
+    placed = each.select("list", "node").join(found, "node", "left").select("list", F.coalesce("component", "node").alias("component"))
+    open_ = placed.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("list")
+    each = each.join(open_, "list", "left_semi")
     short = each.where(f"n <= {2 * LIST_BLOCK}").select("list", F.lit("").alias("block"), "node")
     own = F.floor(F.col("pos") / LIST_BLOCK)
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / LIST_BLOCK)))
@@ -360,13 +366,14 @@ def near_duplicate_groups(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     nothing: their component is their own id, as is that of any single
     document.  Repeated rows and equal texts share a component; a null doc_id
     never names a component unless it stands alone.  An empty table gives no
-    rows; other columns are ignored.
+    rows; other columns are ignored.  A very long text is read whole, in about 40
+    bytes of memory a character.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     info = staged(document_sets(docs, k), "sets-of-documents")
     nodes = staged(info.where("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id")), "nodes")
-    lists = staged(shared_lists(signature_blobs(docs, parts, k)).groupBy("list").agg(F.first("nodes").alias("nodes")), "lists")
+    lists = staged(shared_lists(signature_blobs(docs, shares(docs, "text", SHARE), k)).groupBy("list").agg(F.first("nodes").alias("nodes")), "lists")
     slim = info.select("doc_id", "node")
 
     def ends(pairs: DataFrame) -> DataFrame:
@@ -379,10 +386,12 @@ def near_duplicate_groups(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     links = staged(verified(first, whole_sets(ends(first), docs, slim, k)), "links")
     found = staged(connected_components(links), "components")
 
-    met = staged(cross_pairs(listed_nodes(lists), placed(nodes), parts * LIST_GROUPS, nearest=True), "met")
+    met = staged(cross_pairs(listed_nodes(lists, found), placed(nodes), parts * LIST_GROUPS, nearest=True), "met")
     second = staged(met.select("src", "dst").distinct().join(first, ["src", "dst"], "left_anti"), "pairs")
-    links = links.unionByName(staged(verified(second, whole_sets(ends(second), docs, slim, k)), "links"))
-    found = staged(connected_components(links), "components")
+    more = staged(verified(second, whole_sets(ends(second), docs, slim, k)), "links")
+    links = links.unionByName(more)
+    if more.limit(1).count():
+        found = staged(connected_components(links), "components")
 
     # Nodes without a nearest other have no pair left in that list.
     left = staged(met.select("list", "block", F.explode(F.array("src", "dst")).alias("node")).distinct(), "listed")

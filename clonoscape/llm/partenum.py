@@ -91,13 +91,3 @@ def signatures(elements: np.ndarray) -> np.ndarray:
             full = count[:, rest].sum(axis=1) > 0
             out.append(sig if sparse else sig[full])
     return np.concatenate(out)
-
-
-SKETCH_WORDS = 8
-
-
-def sketch(elements: np.ndarray) -> np.ndarray:
-    """Parity of the elements that fall on each of 512 bits: two sketches differ in no more bits than the sets in elements."""
-    bit = (mix(elements ^ U64(0x2545F4914F6CDD1D)) & U64(64 * SKETCH_WORDS - 1)).astype(np.int64)
-    parity = (np.bincount(bit, minlength=64 * SKETCH_WORDS) & 1).astype(np.uint8)
-    return np.packbits(parity, bitorder="little").view(U64)

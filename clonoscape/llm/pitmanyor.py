@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import discard, fold, staged, table
+from .common import discard, fold, shares, staged, table
 from .textbatch import U64, buffers, mix, slices, words
 
 #: Sweeps before the first sample, samples, and sweeps for each of them.
@@ -559,7 +559,7 @@ def pitman_yor_scores(docs: DataFrame, training, text_col: str = "text", share:
     """
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("id_"), F.col(text_col).alias("text_"), F.coalesce(training, F.lit(False)).alias("train_"))
-    shards = 1 + (source.agg(F.sum(F.octet_length("text_")).alias("n")).first()["n"] or 0) // share
+    shards = shares(source, "text_", share)
     store = staged(chunks(source), "chunks")
     frame, at, n, vocabulary = numbered(store, shards)
     m = Model(at, shards, n, vocabulary, sweeps=sweeps)

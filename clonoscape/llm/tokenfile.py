@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunks import ASCII_SPACE, WHITE_SPACE, ChunkCache
-from .common import shared_dir, staged
+from .common import shared_folder, staged
 from .textbatch import slices
 
 #: Magic numbers of the seekable format and the largest number of tokens gathered in a frame (fixed values).
@@ -220,6 +220,6 @@ def op10_seekable_tokens(spark, sf_dir):
 
     from .common import table
 
-    folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     manifest = write_token_files(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return read_token_files(manifest, folder)
