@@ -147,13 +147,15 @@ def gene_split(members: DataFrame, key: str, cluster: str = "cluster", gene: str
     return joined.where(F.col("component").isNotNull() | alone).withColumn(cluster, F.coalesce("component", F.col(key))).drop("component")
 
 
-def alignment_refined(members: DataFrame, key: str, seq: str = "cdr3", cluster: str = "cluster", least: float = 3.5, small: int = 3) -> DataFrame:
+def alignment_refined(members: DataFrame, key: str, seq: str = "cdr3", cluster: str = "cluster", least: float = 3.5, small: int = 3, gene: str | None = None, scores: DataFrame | None = None) -> DataFrame:
     """Clusters refined by alignment: key, cluster.
 
     In clusters of up to ``small`` members, those stay whose best mean gapless
     score over the trimmed sequence reaches the bound; larger ones are split
     into components of pairs that share a 5-mer up to one substitution and
-    align well.
+    align well.  With ``gene``, the genes' part of the alignment score is 4 for
+    the same gene and else a twentieth of their score in ``scores`` (v1, v2,
+    score; a reference table of gene pairs); without, all count as the same.
     """
     sized = members.withColumn("size_", F.count("*").over(Window.partitionBy(cluster)))
     few = sized.where(F.col("size_") <= small)
@@ -164,9 +166,14 @@ def alignment_refined(members: DataFrame, key: str, seq: str = "cdr3", cluster:
     kept = kept.withColumn("left_", F.count("*").over(Window.partitionBy(cluster))).where("left_ > 1").select(F.col("a").alias(key), cluster)
     many = sized.where(F.col("size_") > small)
     near = shared_kmer_pairs(many, key, seq)
-    seqs = many.select(key, seq, cluster)
-    joined = near.join(seqs.select(F.col(key).alias("a"), F.col(seq).alias("x"), F.col(cluster).alias("ca")), "a").join(seqs.select(F.col(key).alias("b"), F.col(seq).alias("y"), F.col(cluster).alias("cb")), "b").where("ca = cb")
-    edges = joined.where(full_alignment("x", "y", F.lit("v"), F.lit("v"), F.lit(None).cast("double")) >= least + 4).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    seqs = many.select(key, seq, cluster, (F.col(gene) if gene else F.lit("")).alias("v"))
+    joined = near.join(seqs.select(F.col(key).alias("a"), F.col(seq).alias("x"), F.col(cluster).alias("ca"), F.col("v").alias("v1")), "a").join(seqs.select(F.col(key).alias("b"), F.col(seq).alias("y"), F.col(cluster).alias("cb"), F.col("v").alias("v2")), "b").where("ca = cb")
+    if scores is None:
+        known = joined.withColumn("known", F.lit(None).cast("double"))
+    else:
+        both = scores.select("v1", "v2", "score").unionByName(scores.select(F.col("v2").alias("v1"), F.col("v1").alias("v2"), "score")).groupBy("v1", "v2").agg(F.max("score").cast("double").alias("known"))
+        known = joined.join(both, ["v1", "v2"], "left")
+    edges = known.where(full_alignment("x", "y", "v1", "v2", F.col("known")) >= least + 4).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     found = connected_components(edges).select(F.col("node").alias(key), F.col("component").alias(cluster))
     return kept.unionByName(found.select(key, cluster))
 

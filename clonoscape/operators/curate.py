@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clonoscape.functions.residues import ALPHABET
-from clonoscape.functions.strings import col
+from clonoscape.functions.strings import col, numbers
+
+from .ordered import numbered
 
 
 # flags and filters
@@ -88,6 +90,47 @@ def keep_top(df: DataFrame, c: str, k: int) -> DataFrame:
     return df.join(F.broadcast(top_values(df, c, k).select(c)), c, "left_semi")  # at most k rows
 
 
+def drop_null_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Rows without a null in the columns (all, if none are named)."""
+    return df.na.drop(subset=columns)
+
+
+def parsed_vectors(df: DataFrame, c: str, out: str = "vector") -> DataFrame:
+    """Numbers in a text as an array; rows in which there are none are dropped."""
+    return df.withColumn(out, numbers(c)).where(F.size(out) > 0)
+
+
+def reordered(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """The named columns only, in that order, under their new names."""
+    return df.select(*[F.col(f"`{old}`").alias(new) for old, new in columns.items()])
+
+
+def copied(df: DataFrame, source: str, target: str) -> DataFrame:
+    """A column's values, trimmed, in place of another's."""
+    return df.withColumn(target, F.trim(source))
+
+
+def pair_text(df: DataFrame, a: str, b: str, out: str = "pair") -> DataFrame:
+    """Two columns as one text "a,b", without brackets and quotes."""
+    bare = lambda c: F.trim(F.regexp_replace(F.col(c).cast("string"), r"""[\[\]()'"]""", ""))
+    return df.withColumn(out, F.concat_ws(",", bare(a), bare(b)))
+
+
+def by_number_in(df: DataFrame, c: str, place: int = 0) -> DataFrame:
+    """Rows in the order of a number in a text; texts without one last, ties by the text."""
+    n = F.get(numbers(c), F.lit(place))
+    return df.orderBy(n.asc_nulls_last(), c)
+
+
+def exploded_labels(df: DataFrame, c: str, sep: str = " ") -> DataFrame:
+    """A row for each of the labels that a text holds; rows without any are dropped."""
+    return df.withColumn(c, F.explode(F.split(c, sep))).where(F.col(c) != "")
+
+
+def fill_nulls(df: DataFrame, values: dict) -> DataFrame:
+    return df.na.fill(values)
+
+
 def drop_named(df: DataFrame, pattern: str = "^Unnamed") -> DataFrame:
     import re
 
@@ -196,11 +239,16 @@ def pivot_mean(df: DataFrame, row: str, column: str, value: str, values: list) -
 def middle_ranked(df: DataFrame, group: str, k: int = 5) -> DataFrame:
     """The k groups of middling size, by size and name."""
     sizes = df.groupBy(group).agg(F.count("*").alias("n"))
-    ranked = sizes.withColumn("at", F.row_number().over(Window.orderBy("n", group))).join(F.broadcast(sizes.agg(F.count("*").alias("all"))))
+    ranked = numbered(sizes, ["n", group]).join(F.broadcast(sizes.agg(F.count("*").alias("all"))))  # one row
     start = F.greatest(F.floor(F.col("all") / 2) - k // 2, F.lit(0))
     return ranked.where((F.col("at") > start) & (F.col("at") <= start + k)).select(group, "n")
 
 
+def intersection(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Distinct rows of both sides."""
+    return a.intersect(b)
+
+
 def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """Distinct rows of one side only."""
     return a.subtract(b).unionByName(b.subtract(a))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clonoscape.functions.residues import ALPHABET, residue_vectors
 from clonoscape.functions.strings import col, kmers, trim_ends
 
+from .ordered import numbered
+
 #: Block that a residue's vector is added to, by (length - place + 1) mod 6: the sixth-order cyclic map applied so often (fixed values).
 BLOCKS = (0, 4, 2, 3, 1, 5)
 
@@ -45,16 +47,19 @@ def isometric(c, vectors: dict[str, list[float]] | None = None, trim: tuple[int,
 
 
 def additive(c, vectors: dict[str, list[float]] | None = None) -> Column:
-    """Sum of the residue vectors, whatever their order."""
+    """Sum of the residue vectors, whatever their order, without the zeros that end it."""
     vectors = vectors or residue_vectors()
     d = len(next(iter(vectors.values())))
     lookup, s = vector_map(vectors), col(c)
     rows = F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.element_at(lookup, F.substring(s, i, F.lit(1))))
-    return F.when(s.rlike(f"^[{''.join(sorted(vectors))}]+$"), _sum_arrays(rows, d))
+    total = _sum_arrays(rows, d)
+    kept = F.array_max(F.transform(total, lambda x, i: F.when(x != 0, i + 1).otherwise(0)))
+    return F.when(s.rlike(f"^[{''.join(sorted(vectors))}]+$"), F.slice(total, F.lit(1), kept))
 
 
-def paired(first: Column, second: Column) -> Column:
-    return F.concat(first, second)
+def paired(*parts: Column) -> Column:
+    """Features side by side: chains, genes, classes, clusters, each an array of numbers; null with a null."""
+    return F.concat(*[p.cast("array<double>") for p in parts])
 
 
 def one_hot(c, length: int, alphabet: str = ALPHABET) -> Column:
@@ -66,14 +71,14 @@ def one_hot(c, length: int, alphabet: str = ALPHABET) -> Column:
 
 def label_codes(df: DataFrame, label: str, code: str = "code") -> DataFrame:
     """Codes from 0 in the order of the labels."""
-    ranked = df.where(col(label).isNotNull()).select(label).distinct().withColumn(code, F.row_number().over(Window.orderBy(label)) - 1)
+    ranked = numbered(df.where(col(label).isNotNull()).select(label).distinct(), [label], code, 0).withColumn(code, F.col(code).cast("int"))
     return df.join(ranked, label, "left")
 
 
 def first_seen_codes(df: DataFrame, label: str, order: str, code: str = "code", offset: int = 0) -> DataFrame:
     """Codes in the order in which labels first occur."""
     first = df.where(col(label).isNotNull()).groupBy(label).agg(F.min(order).alias("at"))
-    ranked = first.select(label, (F.row_number().over(Window.orderBy("at", label)) - 1 + offset).alias(code))
+    ranked = numbered(first, ["at", label], code, offset).select(label, F.col(code).cast("int").alias(code))
     return df.join(ranked, label, "left")
 
 
@@ -92,6 +97,14 @@ def kmer_counts_by_row(df: DataFrame, key: str, c: str, k: int) -> DataFrame:
     return df.select(key, F.explode(kmers(c, k)).alias("kmer")).groupBy(key, "kmer").agg(F.count("*").alias("n"))
 
 
+def wide_totals(df: DataFrame, key: list[str], label: str, sums: list[str] = (), firsts: list[str] = (), order: str | None = None) -> DataFrame:
+    """One row a key: its sorted distinct labels, the sum of some columns and the first value (by ``order``) of others."""
+    first = F.min_by if order else None
+    return df.groupBy(*key).agg(
+        F.array_sort(F.collect_set(label)).alias("labels"), *[F.sum(c).alias(c) for c in sums], *[(first(c, order) if first else F.min(c)).alias(c) for c in firsts]
+    )
+
+
 def embed(df: DataFrame, fn, c: str = "cdr3", out: str = "embedding") -> DataFrame:
     """Vectors of sequences by a function from a list of texts to a list of lists, called on Arrow batches."""
     import pandas as pd

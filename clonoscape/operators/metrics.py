@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from clonoscape.functions import vectors as V
 
+from .ordered import running
 from .similarity import squared_distances, vector_cells
 
 
@@ -36,9 +37,10 @@ def macro_scores(df: DataFrame, label: str, predicted: str) -> DataFrame:
 def _ranked(df: DataFrame, label: str, score: str, by: list[str]) -> DataFrame:
     """Distinct scores of each group with their positives, negatives, and those of higher scores."""
     n = df.groupBy(*by, score).agg(F.sum(F.col(label).cast("double")).alias("p"), F.sum(1.0 - F.col(label).cast("double")).alias("q"))
-    above = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy(*by)
-    return n.select(*by, score, "p", "q", F.coalesce(F.sum("p").over(above), F.lit(0.0)).alias("p_above"), F.coalesce(F.sum("q").over(above), F.lit(0.0)).alias("q_above"), F.sum("p").over(every).alias("p_all"), F.sum("q").over(every).alias("q_all"))
+    r = running(n, [*by, F.desc(score)], {"p_above": F.col("p"), "q_above": F.col("q")})
+    every = r.groupBy(*by).agg(F.sum("p").alias("p_all"), F.sum("q").alias("q_all"), F.min("p_above").alias("p_first"), F.min("q_above").alias("q_first"))
+    both = r.join(every, [*by]) if by else r.crossJoin(F.broadcast(every))  # one row
+    return both.withColumns({c: F.col(c) - F.col(f"{c[0]}_first") for c in ("p_above", "q_above")})
 
 
 def auroc(df: DataFrame, label: str, score: str, by: list[str] = ()) -> DataFrame:
@@ -55,18 +57,33 @@ def average_precision(df: DataFrame, label: str, score: str, by: list[str] = ())
     return r.groupBy(*by).agg(F.when(F.max("p_all") > 0, F.sum(F.col("p") * at) / F.max("p_all")).alias("average_precision"))
 
 
+def macro_auroc(df: DataFrame, label: str, scores: dict[str, str], mode: str = "ovr") -> DataFrame:
+    """Mean AUROC over classes; ``scores`` names the score column of each class.
+
+    ``ovr`` sets each class against all others; ``ovo`` takes the mean over pairs
+    of classes, each pair both ways, on the rows of the two alone.
+    """
+    classes = sorted(scores)
+    cases = [(c, None) for c in classes] if mode == "ovr" else [(c, d) for c in classes for d in classes if c != d]
+    case = F.explode(F.array(*[F.struct(F.lit(i).alias("case"), F.lit(c).alias("of"), F.lit(d).cast("string").alias("against"), F.col(scores[c]).cast("double").alias("s")) for i, (c, d) in enumerate(cases)]))
+    rows = df.select(F.col(label).cast("string").alias("l"), case.alias("x")).select("l", "x.*").where("against is null or l = of or l = against")
+    each = auroc(rows.withColumn("y", (F.col("l") == F.col("of")).cast("int")), "y", "s", ["case"])
+    return each.agg(F.avg("auroc").alias("auroc"))
+
+
+def binary_scores(df: DataFrame, label: str, predicted: str) -> DataFrame:
+    """Precision, recall and F1 of class 1; 0 where a denominator is 0."""
+    hit, said, true = (F.count_if(x) for x in ((F.col(label) == 1) & (F.col(predicted) == 1), F.col(predicted) == 1, F.col(label) == 1))
+    over = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    return df.agg(over(hit, said).alias("precision"), over(hit, true).alias("recall"), over(2.0 * hit, said + true).alias("f1"))
+
+
 def knn_vote(neighbours: DataFrame, labels: DataFrame, key: str, label: str) -> DataFrame:
     """a, predicted: most frequent label among the neighbours (a, b), ties to the smaller label."""
     n = neighbours.join(labels.select(F.col(key).alias("b"), label), "b").groupBy("a", label).agg(F.count("*").alias("n"))
     return n.withColumn("at", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), label))).where("at = 1").select("a", F.col(label).alias("predicted"))
 
 
-def _scatter(df: DataFrame, label: str, vector: str) -> tuple[DataFrame, DataFrame]:
-    """Centre and size of each label, in long form (label, i, c, n), and rows in long form."""
-    rows = df.where(F.col(label).isNotNull()).select(F.monotonically_increasing_id().alias("row"), label, F.posexplode(vector).alias("i", "x")).withColumn("x", F.col("x").cast("double"))
-    return rows.groupBy(label, "i").agg(F.avg("x").alias("c"), F.count("*").alias("n")), rows
-
-
 def silhouette(df: DataFrame, key: str, label: str, vector: str, within: list[str] = ()) -> DataFrame:
     """Mean silhouette by Euclidean distance; points alone in their label count 0.
 
@@ -96,19 +113,34 @@ def silhouette(df: DataFrame, key: str, label: str, vector: str, within: list[st
     return joined.groupBy(*within).agg(F.avg(F.coalesce(s, F.lit(0.0))).alias("silhouette"))
 
 
-def calinski_harabasz(df: DataFrame, label: str, vector: str) -> DataFrame:
-    centres, rows = _scatter(df, label, vector)
-    whole = rows.groupBy("i").agg(F.avg("x").alias("g"))
-    between = centres.join(F.broadcast(whole), "i").agg(F.sum(F.col("n") * (F.col("c") - F.col("g")) * (F.col("c") - F.col("g"))).alias("between"), F.count_distinct(label).alias("k"))
-    inside = rows.join(centres.select(label, "i", "c"), [label, "i"]).agg(F.sum((F.col("x") - F.col("c")) * (F.col("x") - F.col("c"))).alias("inside"), F.sum(F.when(F.col("i") == 0, 1).otherwise(0)).alias("n"))
-    return between.join(F.broadcast(inside)).select(((F.col("between") / (F.col("k") - 1)) / (F.col("inside") / (F.col("n") - F.col("k")))).alias("calinski_harabasz"))
-
-
-def davies_bouldin(df: DataFrame, label: str, vector: str) -> DataFrame:
-    x = df.where(F.col(label).isNotNull()).select(label, F.col(vector).cast("array<double>").alias("x"))
-    long = x.select(label, F.posexplode("x").alias("i", "v")).groupBy(label, "i").agg(F.avg("v").alias("c"))
-    centres = long.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda s: s["c"]).alias("c"))
-    spread = x.join(centres, label).groupBy(label).agg(F.avg(V.l2("x", "c")).alias("s"), F.first("c").alias("c"))
-    a, b = spread.select(F.col(label).alias("la"), F.col("s").alias("sa"), F.col("c").alias("ca")), spread.select(F.col(label).alias("lb"), F.col("s").alias("sb"), F.col("c").alias("cb"))
-    worst = a.crossJoin(b).where("la <> lb").groupBy("la").agg(F.max((F.col("sa") + F.col("sb")) / V.l2("ca", "cb")).alias("r"))  # pairs of labels
-    return worst.agg(F.avg("r").alias("davies_bouldin"))
+def _groups(df: DataFrame, label: str, vector: str, by: list[str]) -> DataFrame:
+    """Rows of groups with two labels at least."""
+    known = df.where(F.col(label).isNotNull()).select(*by, label, F.col(vector).cast("array<double>").alias("x"))
+    if not by:
+        return known
+    several = known.groupBy(*by).agg(F.min(label).alias("low"), F.max(label).alias("high")).where("low <> high").select(*by)
+    return known.join(several, by, "left_semi")
+
+
+def calinski_harabasz(df: DataFrame, label: str, vector: str, by: list[str] = ()) -> DataFrame:
+    """Between over within scatter of the labels, of each group if there are any; groups with one label are left out."""
+    by = list(by)
+    rows = _groups(df, label, vector, by).select(*by, label, F.posexplode("x").alias("i", "x"))
+    centres = rows.groupBy(*by, label, "i").agg(F.avg("x").alias("c"), F.count("*").alias("n"), (F.sum(F.col("x") * F.col("x")) - F.sum("x") * F.avg("x")).alias("inside"))
+    whole = centres.groupBy(*by, "i").agg((F.sum(F.col("n") * F.col("c")) / F.sum("n")).alias("g"))
+    joined = centres.join(whole, [*by, "i"])
+    sums = joined.groupBy(*by).agg(F.sum(F.col("n") * (F.col("c") - F.col("g")) * (F.col("c") - F.col("g"))).alias("between"), F.sum("inside").alias("inside"), F.count_distinct(label).alias("k"), F.sum(F.when(F.col("i") == 0, F.col("n"))).alias("n"))
+    return sums.select(*by, ((F.col("between") / (F.col("k") - 1)) / (F.col("inside") / (F.col("n") - F.col("k")))).alias("calinski_harabasz"))
+
+
+def davies_bouldin(df: DataFrame, label: str, vector: str, by: list[str] = ()) -> DataFrame:
+    """Mean over labels of their worst ratio of spreads to the distance of centres, of each group if there are any."""
+    by = list(by)
+    x = _groups(df, label, vector, by)
+    long = x.select(*by, label, F.posexplode("x").alias("i", "v")).groupBy(*by, label, "i").agg(F.avg("v").alias("c"))
+    centres = long.groupBy(*by, label).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda s: s["c"]).alias("c"))
+    spread = x.join(centres, [*by, label]).groupBy(*by, label).agg(F.avg(V.l2("x", "c")).alias("s"), F.first("c").alias("c"))
+    a, b = spread.select(*by, F.col(label).alias("la"), F.col("s").alias("sa"), F.col("c").alias("ca")), spread.select(*by, F.col(label).alias("lb"), F.col("s").alias("sb"), F.col("c").alias("cb"))
+    both = a.join(b, by) if by else a.crossJoin(b)  # pairs of labels
+    worst = both.where("la <> lb").groupBy(*by, "la").agg(F.max((F.col("sa") + F.col("sb")) / V.l2("ca", "cb")).alias("r"))
+    return worst.groupBy(*by).agg(F.avg("r").alias("davies_bouldin"))

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from clonoscape.functions.strings import joined_key
 
+from .graph import staged
+from .ordered import numbered
+
 
 def bucket(*cols, seed: str = "", of: int = 100) -> Column:
     """A number from 0 to ``of`` - 1 from the md5 of the columns."""
@@ -40,23 +43,32 @@ def subset(df: DataFrame, key: str, n: int, seed: str = "") -> DataFrame:
 
 
 def negatives(positives: DataFrame, key: str, epitope: str, chains: tuple[str, str], per: int = 5, pool: int = 60, seed: str = "") -> DataFrame:
-    """For each positive, up to ``per`` donors of other epitopes none of whose chains binds its epitope.
+    """For each positive, ``per`` donors of other epitopes none of whose chains binds its epitope; all there are, if fewer.
 
     Donors are offered by hash, so that each positive meets a bounded number of
-    them: every donor goes to one of ``slots`` and a positive looks through
-    slots holding about ``pool`` donors.  key, epitope, donor, rank.
+    them at a time: every donor goes to one of several slots, each of about
+    ``pool`` donors, and a positive looks through one slot.  Positives that found
+    too few go on to slots of twice, four times as many donors and so on, at last
+    of all.  key, epitope, donor, rank.
     """
     a, b = chains
     n = positives.count()
-    slots = max(1, n // pool)
-    donors = positives.select(F.col(key).alias("donor"), F.col(epitope).alias("donor_epitope"), F.col(a).alias("donor_a"), F.col(b).alias("donor_b"), bucket(key, seed="slot", of=slots).alias("slot"))
-    asks = positives.select(key, epitope, bucket(key, seed=f"ask{seed}", of=slots).alias("slot"))
-    offered = asks.join(donors, "slot").where(F.col(epitope) != F.col("donor_epitope"))
     known_a = positives.select(epitope, F.col(a).alias("donor_a")).distinct()
     known_b = positives.select(epitope, F.col(b).alias("donor_b")).distinct()
-    free = offered.join(known_a, [epitope, "donor_a"], "left_anti").join(known_b, [epitope, "donor_b"], "left_anti")
     w = Window.partitionBy(key).orderBy(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.col("donor").cast("string"), F.lit(seed))), "donor")
-    return free.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per).select(key, epitope, "donor", "rank")
+    asking, done, slots = positives.select(key, epitope), None, max(1, n // pool)
+    while True:
+        donors = positives.select(F.col(key).alias("donor"), F.col(epitope).alias("donor_epitope"), F.col(a).alias("donor_a"), F.col(b).alias("donor_b"), bucket(key, seed="slot", of=slots).alias("slot"))
+        offered = asking.withColumn("slot", bucket(key, seed=f"ask{seed}", of=slots)).join(donors, "slot").where(F.col(epitope) != F.col("donor_epitope"))
+        free = offered.join(known_a, [epitope, "donor_a"], "left_anti").join(known_b, [epitope, "donor_b"], "left_anti")
+        drawn = staged(free.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per).select(key, epitope, "donor", "rank"), "negatives")
+        short = shortfall(asking, drawn, key, per).select(key)
+        enough = drawn if slots == 1 else drawn.join(short, key, "left_anti")
+        done = enough if done is None else done.unionByName(enough)
+        asking = staged(asking.join(short, key, "left_semi"), "asking")
+        if slots == 1 or not asking.limit(1).count():
+            return done
+        slots = max(1, slots // 2)
 
 
 def shortfall(positives: DataFrame, drawn: DataFrame, key: str, per: int = 5) -> DataFrame:
@@ -67,8 +79,21 @@ def shortfall(positives: DataFrame, drawn: DataFrame, key: str, per: int = 5) ->
 
 def permuted(df: DataFrame, key: str, column: str, seed: str = "") -> DataFrame:
     """key and the column's values, shuffled among the rows by hashed order."""
-    at = lambda s: F.row_number().over(Window.orderBy(F.md5(F.concat_ws("|", F.lit(s), F.col(key).cast("string"))), key))
-    return df.select(key, at("").alias("at")).join(df.select(F.col(column), at(seed or column).alias("at")), "at").select(key, column)
+    by = lambda s: [F.md5(F.concat_ws("|", F.lit(s), F.col(key).cast("string"))), F.col(key)]
+    ids, values = numbered(df.select(key), by("")), numbered(df.select(key, column), by(seed or column))
+    return ids.join(values.select("at", column), "at").select(key, column)
+
+
+def permuted_columns(df: DataFrame, key: str, columns: list[str], times: int = 5, seed: str = "") -> DataFrame:
+    """Negatives by shuffling each column on its own, so many times over: key, time, and the columns."""
+    out = None
+    for i in range(times):
+        rows = df.select(key)
+        for c in columns:
+            rows = rows.join(permuted(df, key, c, f"{seed}{i}{c}"), key)
+        rows = rows.select(key, F.lit(i).alias("time"), *columns)
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def group_split(df: DataFrame, columns: list[str], percents: dict[str, int], seed: str = "") -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from clonoscape.functions.strings import ln_choose
 
-from .motif import draw_order
+from .motif import draw_order, first_drawn
+from .sample import bucket
 
 
 def frequency_product(df: DataFrame, group: str, category: str, digits: int | None = 3) -> DataFrame:
@@ -15,7 +16,7 @@ def frequency_product(df: DataFrame, group: str, category: str, digits: int | No
     n = df.groupBy(group, category).agg(F.count("*").alias("n"))
     total = n.withColumn("all", F.sum("n").over(Window.partitionBy(group)))
     out = total.groupBy(group).agg(F.exp(F.sum(F.ln(F.col("n") / F.col("all")))).alias("score"), F.max("all").alias("members"))
-    return out if digits is None else out.withColumn("score", F.round("score", digits))
+    return out if digits is None else out.withColumn("score", F.round(F.round("score", 9), digits))
 
 
 def cumulative_frequencies(reference: DataFrame, category: str) -> DataFrame:
@@ -25,7 +26,7 @@ def cumulative_frequencies(reference: DataFrame, category: str) -> DataFrame:
     return n.withColumn("high", to).withColumn("low", F.coalesce(F.lag("high").over(Window.orderBy(category)), F.lit(0.0))).select(category, "low", "high")
 
 
-def category_enrichment(groups: DataFrame, reference: DataFrame, group: str, category: str, depth: int = 1000, version: int = 2, seed: int = 1) -> DataFrame:
+def category_enrichment(groups: DataFrame, reference: DataFrame, group: str, category: str, depth: int = 1000, version: int = 2, seed: str = "") -> DataFrame:
     """Monte-Carlo p of each group's frequency product against draws from the reference's shares.
 
     Version 1 counts draws that reach the observed score, version 2 those above
@@ -34,10 +35,10 @@ def category_enrichment(groups: DataFrame, reference: DataFrame, group: str, cat
     observed = frequency_product(groups, group, category)
     shares = cumulative_frequencies(reference, category)
     draws = observed.select(group, F.explode(F.sequence(F.lit(1), F.lit(depth))).alias("sim"), "members").withColumn("pick", F.explode(F.sequence(F.lit(1), F.col("members").cast("int"))))
-    u = F.pmod(F.xxhash64(F.lit(seed), group, "sim", "pick"), F.lit(1 << 53)) / float(1 << 53)
-    drawn = draws.withColumn("u", u).join(F.broadcast(shares), (F.col("u") >= F.col("low")) & (F.col("u") < F.col("high")))
+    u = bucket(group, "sim", "pick", seed=seed, of=1 << 32) / float(1 << 32)
+    drawn = draws.withColumn("u", u).join(F.broadcast(shares), (F.col("u") >= F.col("low")) & (F.col("u") < F.col("high")))  # some tens of categories
     n = drawn.groupBy(group, "sim", "members", category).agg(F.count("*").alias("n"))
-    sims = n.groupBy(group, "sim").agg(F.round(F.exp(F.sum(F.ln(F.col("n") / F.col("members")))), 3).alias("s"))
+    sims = n.groupBy(group, "sim").agg(F.round(F.round(F.exp(F.sum(F.ln(F.col("n") / F.col("members")))), 9), 3).alias("s"))
     reach = F.col("s") >= F.col("score") if version == 1 else F.col("s") > F.col("score")
     p = sims.join(observed, group).groupBy(group).agg((F.count_if(reach) / F.lit(float(depth))).alias("p"))
     return p.withColumn("p", F.when(F.col("p") == 0, 1.0 / depth).otherwise(F.col("p")))
@@ -46,9 +47,10 @@ def category_enrichment(groups: DataFrame, reference: DataFrame, group: str, cat
 def expansion_enrichment(groups: DataFrame, sample: DataFrame, group: str, count: str, key: str, depth: int = 1000, seed: str = "") -> DataFrame:
     """p of each group's mean count against the mean of as many records drawn from the sample without replacement."""
     observed = groups.groupBy(group).agg(F.avg(count).alias("mean"), F.count("*").alias("size"))
+    most = int(observed.agg(F.max("size").alias("n")).first()["n"] or 0)
     sims = sample.select(key, count).crossJoin(F.broadcast(sample.sparkSession.range(1, depth + 1).select(F.col("id").cast("int").alias("sim"))))
-    order = Window.partitionBy("sim").orderBy(draw_order(F.col(key), F.col("sim"), seed), key)
-    running = sims.withColumn("at", F.row_number().over(order)).withColumn("total", F.sum(count).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    order = Window.partitionBy("sim").orderBy("order_", key)
+    running = first_drawn(sims.withColumn("order_", draw_order(F.col(key), F.col("sim"), seed)), most, sample.count(), depth).withColumn("at", F.row_number().over(order)).withColumn("total", F.sum(count).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     sizes = observed.select(F.col("size").alias("at")).distinct()
     drawn = running.join(F.broadcast(sizes), "at").select(F.col("at").alias("size"), "sim", (F.col("total") / F.col("at")).alias("drawn"))  # a row for each size and draw
     p = observed.join(drawn, "size").groupBy(group).agg((F.count_if(F.col("drawn") >= F.col("mean")) / F.lit(float(depth))).alias("p"))

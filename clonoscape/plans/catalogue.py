@@ -70,13 +70,14 @@ def singletons(spark, sf):
 
 
 @query(
-    "with recursive m as (select distinct l_orderkey as cluster, l_partkey as member from lineitem where l_shipdate < timestamp '1992-03-01'), "
+    "with recursive m as (select c_custkey as cluster, cast(floor(c_acctbal) as bigint) as member from customer union select c_custkey, cast(floor(c_acctbal + 0.5) as bigint) from customer), "
     "p as (select distinct a.cluster as x, b.cluster as y from m a join m b using (member)), r as (select cluster as s, cluster as c from m union select p.y, r.c from r join p on p.x = r.s), "
     "k as (select s, min(c) as component from r group by s) select distinct member, component from m join k on m.cluster = k.s"
 )
 def merge_overlaps(spark, sf):
-    m = t(spark, sf, "lineitem").where("l_shipdate < timestamp '1992-03-01'").select(F.col("l_orderkey").alias("cluster"), F.col("l_partkey").alias("member"))
-    return cl.merge_overlaps(m)
+    """Customers whose balances round to a common number."""
+    member = F.explode(F.array_distinct(F.array(F.floor("c_acctbal"), F.floor(F.col("c_acctbal") + 0.5))))
+    return cl.merge_overlaps(t(spark, sf, "customer").select(F.col("c_custkey").alias("cluster"), member.alias("member")))
 
 
 @query(f"{REP}, {EDGES}, {REACH} select s as node, c as component from comp where s in (select a from e union select b from e)")
@@ -191,10 +192,10 @@ def lookup_last(spark, sf):
     return cu.lookup(s, t(spark, sf, "nation"), "n_regionkey", "n_name", "n_nationkey").select("s_suppkey", "n_name")
 
 
-@query("with q as (select c_custkey as id, c_mktsegment as seg, c_nationkey as cluster from customer where c_custkey % 10 = 0), r as (select c_custkey + 1 as id, c_mktsegment as seg, c_nationkey + 100 as cluster from customer), h as (select distinct r.cluster from r join q using (id, seg)) select distinct id, seg, cluster from (select * from q union all select r.* from r where cluster in (select cluster from h))")
+@query("with q as (select c_custkey as id, c_mktsegment as seg, c_nationkey as cluster from customer where c_nationkey = 3), r as (select c_custkey + 1 as id, c_mktsegment as seg, c_nationkey + 100 as cluster from customer), h as (select distinct r.cluster from r join q using (id, seg)) select distinct id, seg, cluster from (select * from q union all select r.* from r where cluster in (select cluster from h))")
 def merge_reference(spark, sf):
     c = t(spark, sf, "customer")
-    q = c.where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("seg"), F.col("c_nationkey").alias("cluster"))
+    q = c.where("c_nationkey = 3").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("seg"), F.col("c_nationkey").alias("cluster"))
     r = c.select((F.col("c_custkey") + 1).alias("id"), F.col("c_mktsegment").alias("seg"), (F.col("c_nationkey") + 100).alias("cluster"))
     return cu.merge_reference(q, r, ["id", "seg"])
 
@@ -281,7 +282,7 @@ def iso_encoding(spark, sf):
 
 
 _ISO_NN = _iso_sql(
-    """, w as (select cdr3, length(cdr3) as n, (select min(id) from rep r where r.cdr3 = u.cdr3) as id from u), full_ as (select cdr3, dim, value from g),
+    """, w as (select cdr3, length(cdr3) as n, (select min(id) from rep r where r.cdr3 = u.cdr3) as id, (select bool_or(patient = 'BUILDING') from rep r where r.cdr3 = u.cdr3) as query from u), full_ as (select cdr3, dim, value from g),
   d as (select a.cdr3 as x, b.cdr3 as y, sum((coalesce(fa.value, 0) - coalesce(fb.value, 0)) ** 2) as d from w a join w b on a.n = b.n and a.id <> b.id cross join range(0, 96) k(dim)
         left join full_ fa on fa.cdr3 = a.cdr3 and fa.dim = k.dim left join full_ fb on fb.cdr3 = b.cdr3 and fb.dim = k.dim group by 1, 2),
   k as (select a.id as a, round(d, 6) as d, row_number() over (partition by a.id order by round(d, 9), b.id) as rank from d join w a on a.cdr3 = d.x join w b on b.cdr3 = d.y)
@@ -290,8 +291,8 @@ _ISO_NN = _iso_sql(
 
 
 def _iso_rows(spark, sf):
-    u = repertoire(spark, sf).groupBy("cdr3").agg(F.min("id").alias("id"))
-    return u.select("id", "cdr3", F.length("cdr3").alias("n"), en.isometric("cdr3").alias("x"))
+    u = repertoire(spark, sf).groupBy("cdr3").agg(F.min("id").alias("id"), F.bool_or(F.col("patient") == "BUILDING").alias("query"))
+    return u.select("id", "cdr3", F.length("cdr3").alias("n"), en.isometric("cdr3").alias("x"), "query")
 
 
 @query(_ISO_NN)
@@ -299,10 +300,10 @@ def iso_nearest_neighbour(spark, sf):
     return si.nearest_vectors(_iso_rows(spark, sf), "id", "x", 1, ["n"]).select("a", F.round("d", 6).alias("d"))
 
 
-@query(_ISO_NN.replace("select a, d from k where rank = 1", "select a, d from k where rank = 1 and a % 10 = 0"))
+@query(_ISO_NN.replace("select a, d from k where rank = 1", "select a, d from k where rank = 1 and a in (select id from w where query)"))
 def iso_query_mode(spark, sf):
     rows = _iso_rows(spark, sf)
-    return si.nearest_vectors(rows, "id", "x", 1, ["n"], queries=rows.where("id % 10 = 0")).select("a", F.round("d", 6).alias("d"))
+    return si.nearest_vectors(rows, "id", "x", 1, ["n"], queries=rows.where("query")).select("a", F.round("d", 6).alias("d"))
 
 
 @query()
@@ -310,7 +311,7 @@ def iso_clusters(spark, sf):
     u = repertoire(spark, sf).groupBy("cdr3", "v_gene").agg(F.min("id").alias("id"), (F.count("*") - 1).alias("extra"))
     found = cl.isometric_clusters(u, "id").join(u, "id")
     by_gene = cl.gene_split(found, "id", multiplicity="extra")
-    return cl.alignment_refined(by_gene, "id")
+    return cl.alignment_refined(by_gene, "id", gene="v_gene")
 
 
 # similarity
@@ -331,13 +332,13 @@ def global_edges(spark, sf):
     return si.one_mismatch_pairs(unique_sequences(spark, sf), "cdr3", "region").select("a", "b")
 
 
-_K4 = "k as (select distinct cdr3, substring(region, i::int, 4) as motif, min(i) over (partition by cdr3, substring(region, i::int, 4)) as place from (select cdr3, region, unnest(range(1, length(region) - 2)) as i from u)), m as (select motif from k group by 1 having count(distinct cdr3) between 3 and 40)"
+_K4 = "k as (select distinct cdr3, substring(region, i::int, 4) as motif, min(i) over (partition by cdr3, substring(region, i::int, 4)) as place from (select cdr3, region, unnest(range(1, length(region) - 2)) as i from u)), m as (select motif from k group by 1 having count(distinct cdr3) >= 3)"
 
 
 def _motifs(spark, sf):
     u = unique_sequences(spark, sf)
     k = u.select("cdr3", F.explode(F.array_distinct(st.kmers("region", 4))).alias("motif")).groupBy("motif").agg(F.count("*").alias("n"))
-    return u, k.where("n between 3 and 40").select("motif")
+    return u, k.where("n >= 3").select("motif")
 
 
 @query(f"{REP}, {_K4} select distinct x.cdr3 as a, y.cdr3 as b from k x join k y using (motif) where x.cdr3 < y.cdr3 and motif in (select motif from m)")
@@ -558,8 +559,8 @@ def gapped_kmer_counts(spark, sf):
     return mf.kmer_counts(unique_sequences(spark, sf), "region", (3,), gapped=True)
 
 
-_DEPTH, _SIZE = 20, 50
-_ENRICH = f"""{REP}, o as (select *, row_number() over (order by md5('sample|0|' || cdr3), cdr3) as place from u), smp as (select cdr3, region from o where place <= {_SIZE}),
+_DEPTH, _SIZE = 1000, "(select count(*) from smp)"
+_ENRICH = f"""{REP}, smp as (select cdr3, region from u where cdr3 in (select cdr3 from rep where patient = 'BUILDING')),
   sims as (select sim, cdr3, region, row_number() over (partition by sim order by md5('|' || sim || '|' || cdr3), cdr3) as place from u cross join range(1, {_DEPTH + 1}) r(sim)),
   obs as (select motif, count(*) as n from (select substring(region, i::int, 3) as motif from (select region, unnest(range(1, length(region) - 1)) as i from smp)) group by 1),
   lg as (select sim, motif, count(*) as n from (select sim, substring(region, i::int, 3) as motif from (select sim, region, unnest(range(1, length(region) - 1)) as i from sims where place <= {_SIZE})) group by 1, 2),
@@ -573,10 +574,10 @@ _ENRICH = f"""{REP}, o as (select *, row_number() over (order by md5('sample|0|'
 @query(_ENRICH)
 def motif_enrichment_md5(spark, sf):
     u = unique_sequences(spark, sf)
-    smp = u.orderBy(mf.draw_order(F.col("cdr3"), F.lit(0), "sample"), "cdr3").limit(_SIZE)
-    observed = mf.kmer_counts(smp, "region", (3,))
-    log = mf.resample_log(mf.resamples(u, "cdr3", _SIZE, _DEPTH), "region", observed, (3,))
-    out = mf.enrichment(observed, log, _DEPTH, _SIZE)
+    smp = u.join(repertoire(spark, sf).where("patient = 'BUILDING'").select("cdr3").distinct(), "cdr3", "left_semi")
+    observed, size = mf.kmer_counts(smp, "region", (3,)), smp.count()
+    log = mf.resample_log(mf.resamples(u, "cdr3", size, _DEPTH), "region", observed, (3,))
+    out = mf.enrichment(observed, log, _DEPTH, size)
     return out.select("motif", "n", F.round("avg_ref", 6).alias("avg_ref"), "top_ref", F.round("ove", 6).alias("ove"), F.round("p", 6).alias("p"))
 
 
@@ -585,14 +586,14 @@ def frequency_product(spark, sf):
     return sc.frequency_product(repertoire(spark, sf), "patient", "v_gene", None).withColumn("score", F.round("score", 9))
 
 
-_HLA = "with h as (select distinct concat('d', cast(c_custkey % 40 as varchar(9))) as patient, concat('A', cast(c_custkey % 7 as varchar(9))) as allele from customer where c_custkey % 3 <> 0), g as (select distinct c_nationkey as grp, concat('d', cast(c_custkey % 40 as varchar(9))) as patient from customer where c_custkey % 11 = 0)"
+_HLA = "with h as (select distinct cast(floor(c_custkey / 4) as bigint) as patient, concat('A', cast(c_nationkey % 7 as varchar(9))) as allele from customer where c_mktsegment <> 'BUILDING'), g as (select distinct c_nationkey as grp, cast(floor(c_custkey / 4) as bigint) as patient from customer where c_mktsegment = 'MACHINERY')"
 
 
 def _hla(spark, sf):
     c = t(spark, sf, "customer")
-    donor = F.concat(F.lit("d"), (F.col("c_custkey") % 40).cast("string"))
-    h = c.where("c_custkey % 3 <> 0").select(donor.alias("patient"), F.concat(F.lit("A"), (F.col("c_custkey") % 7).cast("string")).alias("allele")).distinct()
-    return c.where("c_custkey % 11 = 0").select(F.col("c_nationkey").alias("grp"), donor.alias("patient")).distinct(), h
+    donor = F.floor(F.col("c_custkey") / 4)
+    h = c.where("c_mktsegment <> 'BUILDING'").select(donor.alias("patient"), F.concat(F.lit("A"), (F.col("c_nationkey") % 7).cast("string")).alias("allele")).distinct()
+    return c.where("c_mktsegment = 'MACHINERY'").select(F.col("c_nationkey").alias("grp"), donor.alias("patient")).distinct(), h
 
 
 @query(
@@ -615,7 +616,7 @@ def _groups(spark, sf):
     return cl.with_components(unique_sequences(spark, sf), edges, "cdr3").join(repertoire(spark, sf), "cdr3")
 
 
-@query(f"{REP}, {EDGES}, {REACH}, g as (select c as component, rep.* from comp join rep on rep.cdr3 = comp.s), n as (select component, v_gene, count(*) as n from g group by 1, 2), k as (select *, sum(n) over (partition by component) as a from n), f as (select component, round(exp(sum(ln(n / a::double))), 3) as v from k group by 1), z as (select component, least(count(distinct cdr3), 5) as size from g group by 1) select component, round(v * (1.0::double / (size * size)), 9) as score from f join z using (component)")
+@query(f"{REP}, {EDGES}, {REACH}, g as (select c as component, rep.* from comp join rep on rep.cdr3 = comp.s), n as (select component, v_gene, count(*) as n from g group by 1, 2), k as (select *, sum(n) over (partition by component) as a from n), f as (select component, round(round(exp(sum(ln(n / a::double))), 9), 3) as v from k group by 1), z as (select component, least(count(distinct cdr3), 5) as size from g group by 1) select component, round(v * (1.0::double / (size * size)), 9) as score from f join z using (component)")
 def group_scores_exact(spark, sf):
     g = _groups(spark, sf)
     sizes = spark.createDataFrame([(k, m, 1.0 / (k * k)) for k in range(1, 6) for m in (100, 100_000_000)], "size long, sample_size long, p double")
@@ -623,14 +624,26 @@ def group_scores_exact(spark, sf):
     return sc.total_score(parts, "component", ["v", "s"]).withColumn("score", F.round("score", 9))
 
 
-@query()
+_MC = f"{REP}, {EDGES}, {REACH}, g as (select c as component, rep.* from comp join rep on rep.cdr3 = comp.s)"
+
+
+@query(
+    f"{_MC}, n as (select component, v_gene, count(*) as n from g group by 1, 2), k as (select *, sum(n) over (partition by component) as a from n), o as (select component, round(round(exp(sum(ln(n / a::double))), 9), 3) as score, max(a) as members from k group by 1), "
+    "f as (select v_gene, sum(count(*)) over (order by v_gene) / (sum(count(*)) over ())::double as high from rep group by 1), s as (select v_gene, coalesce(lag(high) over (order by v_gene), 0.0) as low, high from f), "
+    "d as (select component, sim, ('0x' || substring(md5('|' || component || '|' || sim || '|' || pick), 1, 8))::bigint / 4294967296.0::double as u, members from (select component, sim, members, unnest(range(1, members::bigint + 1)) as pick from o cross join range(1, 1001) r(sim))), "
+    "c as (select component, sim, members, v_gene, count(*) as n from d join s on u >= low and u < high group by 1, 2, 3, 4), q as (select component, sim, round(round(exp(sum(ln(n / members::double))), 9), 3) as s from c group by 1, 2), "
+    "p as (select component, count(*) filter (q.s > o.score) / 1000.0::double as p from q join o using (component) group by 1) select component, case when p = 0 then 0.001 else p end as p from p"
+)
 def enrichment_p_mc(spark, sf):
-    return sc.category_enrichment(_groups(spark, sf), repertoire(spark, sf), "component", "v_gene", depth=100)
+    return sc.category_enrichment(_groups(spark, sf), repertoire(spark, sf), "component", "v_gene")
 
 
-@query()
+@query(
+    f"{_MC}, o as (select component, avg(counts) as mean, count(*) as size from g group by 1), s as (select sim, row_number() over w as k, sum(counts) over w as total from rep cross join range(1, 1001) r(sim) window w as (partition by sim order by md5('|' || sim || '|' || id), id rows unbounded preceding)), "
+    "p as (select component, count(*) filter (total / k::double >= mean) / 1000.0::double as p from o join s on k = size group by 1) select component, round(case when p = 0 then 0.001 else p end, 3) as p from p"
+)
 def expansion_p_mc(spark, sf):
-    return sc.expansion_enrichment(_groups(spark, sf), repertoire(spark, sf), "component", "counts", "id", depth=50)
+    return sc.expansion_enrichment(_groups(spark, sf), repertoire(spark, sf), "component", "counts", "id")
 
 
 @query(f"{REP}, {_K4} select v_gene, motif, count(*) as n from (select distinct v_gene, r.cdr3, motif from rep r join k on k.cdr3 = r.cdr3 where motif in (select motif from m)) group by 1, 2")
@@ -676,9 +689,10 @@ def _slots(n: str) -> str:
 
 
 @query(
-    f"with p as ({_POS} customer), n as (select greatest(1, count(*) // 60) as s from p), d as (select p.*, ('0x' || substring(md5('slot|' || id), 1, 8))::bigint % s as slot from p, n), q as (select p.id, p.epitope, ('0x' || substring(md5('ask|' || id), 1, 8))::bigint % s as slot from p, n), "
-    "o as (select q.id, q.epitope, d.id as donor, d.a, d.b from q join d using (slot) where q.epitope <> d.epitope), f as (select * from o where not exists (select 1 from p where p.epitope = o.epitope and p.a = o.a) and not exists (select 1 from p where p.epitope = o.epitope and p.b = o.b)) "
-    "select id, epitope, donor, rank from (select id, epitope, donor, row_number() over (partition by id order by md5(id || '|' || donor || '|'), donor) as rank from f) where rank <= 5"
+    f"with p as ({_POS} customer), n as (select distinct greatest(1, (count(*) // 60) >> unnest(range(0, 20))::int) as s from p), d as (select p.*, s, ('0x' || substring(md5('slot|' || id), 1, 8))::bigint % s as slot from p, n), q as (select p.id, p.epitope, s, ('0x' || substring(md5('ask|' || id), 1, 8))::bigint % s as slot from p, n), "
+    "o as (select q.id, q.epitope, s, d.id as donor, d.a, d.b from q join d using (s, slot) where q.epitope <> d.epitope), f as (select * from o where not exists (select 1 from p where p.epitope = o.epitope and p.a = o.a) and not exists (select 1 from p where p.epitope = o.epitope and p.b = o.b)), "
+    "r as (select id, epitope, s, donor, row_number() over (partition by id, s order by md5(id || '|' || donor || '|'), donor) as rank, count(*) over (partition by id, s) as n from f), b as (select id, max(case when n >= 5 then s else 1 end) as s from r group by 1) "
+    "select id, epitope, donor, rank from r join b using (id, s) where rank <= 5"
 )
 def negatives_hashed(spark, sf):
     p = spark.sql(_POS + "{c}", c=t(spark, sf, "customer"))

@@ -1,7 +1,8 @@
 """A deterministic repertoire derived from the ``customer`` table.
 
 The test tables hold no receptor sequences; this view gives sequences of 12 to
-16 residues that often differ by one substitution.
+16 residues.  Eight customers in a row share a core and differ from one another
+in one or two places, so that sequences and near pairs grow with the table.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ select id, v_gene, patient, counts,
 from (select c_custkey as id,
              concat('TRBV', cast(c_nationkey % 7 as varchar(9))) as v_gene,
              c_mktsegment as patient, 1 + c_custkey % 4 as counts,
-             substring(translate(md5(cast(c_nationkey as varchar(9))), '0123456789abcdef', 'ACDEFGHIKLMNPQRS'), 1, 4 + c_nationkey % 5) as core,
-             1 + c_custkey % (4 + c_nationkey % 5) as pos,
+             substring(translate(md5(cast(grp as varchar(12))), '0123456789abcdef', 'ACDEFGHIKLMNPQRS'), 1, cast(4 + grp % 5 as int)) as core,
+             cast(1 + c_custkey % 3 as int) as pos,
              substring('ACDEFGHIKLMNPQRSTVWY', cast(1 + (c_custkey * 7) % 20 as int), 1) as mut
-      from {customer}) t
+      from (select *, cast(floor(c_custkey / 8) as bigint) as grp from {customer}) c) t
 """
 
 

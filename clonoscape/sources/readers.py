@@ -53,16 +53,28 @@ def read_unmarked(spark: SparkSession, path, mark: str = "##") -> DataFrame:
     return spark.read.text(path).where(~F.col("value").startswith(mark))
 
 
+def fields_from(x, at: int):
+    """All fields from a place (1-based) on; none if there are fewer."""
+    return F.slice(x, F.lit(at), F.greatest(F.size(x) - (at - 1), F.lit(0)))
+
+
 def read_repertoire(spark: SparkSession, path, header: bool | None = None) -> DataFrame:
-    """cdr3, v_gene, info (further fields joined by tabs), file.
+    """cdr3, v_gene, info (further fields joined by tabs), file; sequences with ``*`` or ``_`` are left out.
 
-    With ``header`` None a line is a header if its first field doesn't begin
-    with C or has CDR3 in it; True drops lines like that too, False keeps all.
+    Only the first line of a file may be a header.  With ``header`` None it is
+    one if its first field doesn't begin with C or has CDR3 in it; True says
+    that it is, False that it isn't.
     """
     x = F.split("value", "\t")
-    rows = spark.read.text(path).select(F.get(x, F.lit(0)).alias("cdr3"), F.get(x, F.lit(1)).alias("v_gene"), F.array_join(F.slice(x, 3, 1000), "\t").alias("info"), F.input_file_name().alias("file"))
-    rows = rows.where("cdr3 <> ''")
-    return rows if header is False else rows.where(F.col("cdr3").startswith("C") & ~F.upper("cdr3").contains("CDR3"))
+    first = F.col("_metadata.file_block_start") == 0
+    rows = spark.read.text(path).select("value", first.alias("first"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"))
+    if header is not False:
+        heads = rows.where("first").groupBy("file").agg(F.min("line").alias("line"), F.min_by("value", "line").alias("value"))  # a line for each file
+        field = F.split("value", "\t")[0]
+        heads = heads if header else heads.where(~field.startswith("C") | F.upper(field).contains("CDR3"))
+        rows = rows.join(F.broadcast(heads.select("file", "value", "line")), ["file", "value", "line"], "left_anti")
+    rows = rows.select(F.get(x, F.lit(0)).alias("cdr3"), F.get(x, F.lit(1)).alias("v_gene"), F.array_join(fields_from(x, 3), "\t").alias("info"), "file")
+    return rows.where((F.col("cdr3") != "") & ~F.col("cdr3").rlike(r"[*_]"))
 
 
 def _numbered(spark: SparkSession, path) -> DataFrame:
@@ -116,7 +128,7 @@ def read_frequencies(spark: SparkSession, path) -> DataFrame:
 def read_hla(spark: SparkSession, path) -> DataFrame:
     """patient, allele (without what follows a colon) of a ragged table."""
     x = F.split("value", "\t")
-    rows = spark.read.text(path).select(x[0].alias("patient"), F.explode(F.slice(x, 2, 1000)).alias("allele"))
+    rows = spark.read.text(path).select(x[0].alias("patient"), F.explode(fields_from(x, 2)).alias("allele"))
     return rows.select("patient", F.regexp_replace("allele", ":.*", "").alias("allele")).where("allele <> ''").distinct()
 
 

@@ -4,11 +4,26 @@ from __future__ import annotations
 
 import dataclasses
 import json
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def write_unless_there(df: DataFrame, path: str, save: bool = True) -> bool:
+    """Parquet at the path, unless saving is off or an output is there already: then it warns and leaves everything as it is."""
+    if save and not exists(df.sparkSession, path):
+        df.write.parquet(path)
+        return True
+    warnings.warn(f"{path} is there already; it is kept" if save else f"{path} isn't written: saving is off", stacklevel=2)
+    return False
+
+
 def write_delimited(df: DataFrame, path: str, sep: str = "\t", mode: str = "errorifexists") -> None:
     """CSV or TSV with a header. ``mode`` ignore leaves an existing output as it is."""
     df.write.mode(mode).option("sep", sep).option("header", True).csv(path)
