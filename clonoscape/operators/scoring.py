@@ -26,6 +26,13 @@ def cumulative_frequencies(reference: DataFrame, category: str) -> DataFrame:
     return n.withColumn("high", to).withColumn("low", F.coalesce(F.lag("high").over(Window.orderBy(category)), F.lit(0.0))).select(category, "low", "high")
 
 
+def weighted_draws(rows: DataFrame, key: list[str], reference: DataFrame, category: str, seed: str = "") -> DataFrame:
+    """The rows with a category each, drawn with replacement by the shares of the reference."""
+    shares = cumulative_frequencies(reference, category)
+    drawn = rows.withColumn("u", bucket(*key, seed=seed, of=1 << 32) / float(1 << 32)).join(F.broadcast(shares), (F.col("u") >= F.col("low")) & (F.col("u") < F.col("high")))  # some tens of categories
+    return drawn.select(*rows.columns, category)
+
+
 def category_enrichment(groups: DataFrame, reference: DataFrame, group: str, category: str, depth: int = 1000, version: int = 2, seed: str = "") -> DataFrame:
     """Monte-Carlo p of each group's frequency product against draws from the reference's shares.
 
