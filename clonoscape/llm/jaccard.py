@@ -37,7 +37,7 @@ SHINGLE = 5
 #: Nodes of a list that one task compares; longer lists are cut into blocks that meet in pairs.
 LIST_BLOCK = 2048
 #: Bytes of text for each bucket of signatures; signatures a task gathers before it writes blobs, and groups the lists are dealt to for each shuffle partition.
-SHARE, FLUSH, LIST_GROUPS = 4 << 20, 1_000_000, 4
+SHARE, FLUSH, LIST_GROUPS = 16 << 20, 1_000_000, 4
 #: Bits an element and bits in all of the finer sketches.
 FINE_EACH, FINE_MOST = 16, 1 << 17
 #: Candidate nodes up to this count (8 bytes each) are broadcast to the scan that fetches their texts; beyond it they are shuffled.
@@ -115,7 +115,8 @@ def signature_blobs(docs: DataFrame, n_buckets: int, k: int = SHINGLE) -> DataFr
             a, b = cuts[i], cuts[i + 1]
             if b > a:
                 first = np.flatnonzero(np.concatenate([[True], node[a + 1 : b] != node[a : b - 1]]))
-                count = np.diff(np.append(first, b - a)).astype("<u4")
+                first = np.unique(np.concatenate([first, np.arange(0, b - a, 255)]))  # a count fits a byte; a node may be named again
+                count = np.diff(np.append(first, b - a)).astype(np.uint8)
                 yield i, np.array([len(first)], "<u4").tobytes() + node[a:b][first].astype("<i8").tobytes() + count.tobytes() + cut[a:b].tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,8 +149,8 @@ def shared_lists(blobs: DataFrame) -> DataFrame:
         sigs, nodes = [], []
         for blob in t.column("blob").to_pylist():
             n = int(np.frombuffer(blob, "<u4", 1)[0])
-            name, count = np.frombuffer(blob, "<i8", n, 4), np.frombuffer(blob, "<u4", n, 4 + 8 * n)
-            raw = np.frombuffer(blob, np.uint8, offset=4 + 12 * n).reshape(-1, 5)
+            name, count = np.frombuffer(blob, "<i8", n, 4), np.frombuffer(blob, np.uint8, n, 4 + 8 * n)
+            raw = np.frombuffer(blob, np.uint8, offset=4 + 9 * n).reshape(-1, 5)
             wide = np.zeros((len(raw), 8), np.uint8)
             wide[:, :5] = raw
             sigs.append(wide.view("<u8")[:, 0])
@@ -186,16 +187,16 @@ def shared_lists(blobs: DataFrame) -> DataFrame:
 def listed_nodes(lists: DataFrame, found: DataFrame) -> DataFrame:
     """One row for each node of a list, and for each pair of blocks it takes part in if the list is long: (list, block, node).
 
-    Lists whose nodes already are in one component (``found``: node, component) are left out, before anything is paired.
+    Long lists whose nodes already are in one component (``found``: node, component) are left out, before their blocks are paired.
     """
     each = lists.select("list", F.size("nodes").alias("n"), F.posexplode("nodes").alias("pos", "node"))
-    placed = each.select("list", "node").join(found, "node", "left").select("list", F.coalesce("component", "node").alias("component"))
-    open_ = placed.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("list")
-    each = each.join(open_, "list", "left_semi")
     short = each.where(f"n <= {2 * LIST_BLOCK}").select("list", F.lit("").alias("block"), "node")
+    many = each.where(f"n > {2 * LIST_BLOCK}")
+    placed = many.select("list", "node").join(found, "node", "left").select("list", F.coalesce("component", "node").alias("component"))
+    open_ = placed.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("list")
     own = F.floor(F.col("pos") / LIST_BLOCK)
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / LIST_BLOCK)))
-    long = each.where(f"n > {2 * LIST_BLOCK}").select("list", own.alias("own"), other.alias("other"), "node").where("own <> other")
+    long = many.join(open_, "list", "left_semi").select("list", own.alias("own"), other.alias("other"), "node").where("own <> other")
     return short.unionByName(long.select("list", F.concat_ws("-", F.least("own", "other"), F.greatest("own", "other")).alias("block"), "node"))
 
 
