@@ -222,7 +222,11 @@ def category_columns(spark, sf):
     return en.category_columns(t(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", list("FOP")).drop("o_orderstatus")
 
 
-_TOKENS = F.transform(F.array(*[F.lit(i) for i in (1, 17, 33, 49)]), lambda i: F.transform(F.slice("embedding", i, 16), lambda x: x.cast("double")))
+def _tokens():
+    """Four token vectors of sixteen numbers each."""
+    return F.transform(F.array(*[F.lit(i) for i in (1, 17, 33, 49)]), lambda i: F.transform(F.slice("embedding", i, 16), lambda x: x.cast("double")))
+
+
 _TOK = "with e as (select vec_id, k, [embedding[(k + 16 * r)::int]::double for r in range(0, 4)] as x from (select *, unnest(range(1, 17)) as k from embeddings))"
 
 
@@ -230,14 +234,14 @@ _TOK = "with e as (select vec_id, k, [embedding[(k + 16 * r)::int]::double for r
 def pooled_vectors(spark, sf):
     """Four token vectors pooled by first, maximum, mean and sum over the root, weighted into one number."""
     p = F.transform(V.pooled("tokens"), lambda x, i: x * (i % 16 + 1) * (F.floor(i / 16) + 1))
-    return t(spark, sf, "embeddings").select("vec_id", _TOKENS.alias("tokens")).select("vec_id", F.round(F.aggregate(p, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+    return t(spark, sf, "embeddings").select("vec_id", _tokens().alias("tokens")).select("vec_id", F.round(F.aggregate(p, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
 @query(f"{_TOK} select vec_id, round(sum(k * (x[2] + x[3]) / 2), 6) as total from e group by 1")
 def masked_mean(spark, sf):
     """The mean of the second and third of four token vectors."""
     p = F.transform(V.masked_mean("tokens", F.lit(2), F.lit(2)), lambda x, i: x * (i + 1))
-    return t(spark, sf, "embeddings").select("vec_id", _TOKENS.alias("tokens")).select("vec_id", F.round(F.aggregate(p, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+    return t(spark, sf, "embeddings").select("vec_id", _tokens().alias("tokens")).select("vec_id", F.round(F.aggregate(p, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
 @query(f"with {CTE}, c as (select id, substring(cdr3, greatest(instr(cdr3, 'SS') - 3, 1)::int, (instr(cdr3, 'SS') - greatest(instr(cdr3, 'SS') - 3, 1) + 5)::int) as s from rep) select id, length(s)::double as a, (length(s) - length(replace(s, 'S', '')))::double as b from c")
