@@ -30,14 +30,14 @@ from pyspark.sql import functions as F
 from clonoscape.operators.graph import connected_components
 
 from . import partenum as pe
-from .common import shares, staged, table
+from .common import discard, staged, table
 from .textbatch import U64, buffers, mix, slices, window_hashes, words
 
 SHINGLE = 5
 #: Nodes of a list that one task compares; longer lists are cut into blocks that meet in pairs.
 LIST_BLOCK = 2048
-#: Bytes of text for each bucket of signatures; signatures a task gathers before it writes blobs, and groups the lists are dealt to for each shuffle partition.
-SHARE, FLUSH, LIST_GROUPS = 16 << 20, 1_000_000, 4
+#: Shingles for each bucket of signatures; signatures a task gathers before it writes blobs, and groups the lists are dealt to for each shuffle partition.
+SHARE, FLUSH, LIST_GROUPS = 4_000_000, 1_000_000, 4
 #: Bits an element and bits in all of the finer sketches.
 FINE_EACH, FINE_MOST = 16, 1 << 17
 #: Candidate nodes up to this count (8 bytes each) are broadcast to the scan that fetches their texts; beyond it they are shuffled.
@@ -96,32 +96,49 @@ def document_sets(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", F.col("text").alias("text_")).mapInArrow(run, f"doc_id {kind}, n_shingles long, node long, sketch binary")
 
 
-def signature_blobs(docs: DataFrame, n_buckets: int, k: int = SHINGLE) -> DataFrame:
+def band_buckets(nodes: DataFrame, share: int) -> dict[int, tuple[int, int]]:
+    """First bucket and number of buckets of each band: one for every ``share`` shingles of the sets that sign in it.
+
+    There are at most some 70 bands, so this is small at any size of the input.
+    """
+    edges = pe.EDGES.tolist()
+    size = F.col("n_shingles")
+    own = sum((F.when(size >= e, 1).otherwise(0) for e in edges[1:]), F.lit(0))
+    above = F.element_at(F.array(*map(F.lit, edges)), own + 2)
+    bands = F.when(F.floor(size * pe.DEN / pe.NUM) >= above, F.array(own, own + 1)).otherwise(F.array(own))
+    weights = nodes.select("n_shingles", F.explode(bands).alias("band")).groupBy("band").agg(F.sum("n_shingles").alias("n")).collect()
+    out, start = {}, 0
+    for band, n in sorted(weights):
+        out[band] = start, 1 + n // share
+        start += out[band][1]
+    return out
+
+
+def signature_blobs(docs: DataFrame, buckets: dict[int, tuple[int, int]], k: int = SHINGLE) -> DataFrame:
     """Signatures in blobs by bucket: the nodes, how many signatures each has, and 40 bits of every signature.
 
-    Sets of equal nodes are signed once a task.  Cut signatures can only add
-    candidates, which are verified anyway.
+    A band has its own buckets, so that a node is named in few of them.  Sets of
+    equal nodes are signed once a task.  Cut signatures can only add candidates,
+    which are verified anyway.
     """
 
-    def blobs(nodes: list[int], sigs: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
+    def blobs(nodes: list[tuple[int, int]], sigs: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
         sig = np.concatenate(sigs)
-        node = np.repeat(np.array(nodes, np.int64), [len(s) for s in sigs])
-        bucket = (sig % U64(n_buckets)).astype(np.int64)
+        name, start, n = (np.repeat(np.array(c), [len(s) for s in sigs]) for c in zip(*((node, *buckets[band]) for node, band in nodes), strict=True))
+        bucket = start + (sig % n.astype(U64)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+        bucket, node = bucket[order], name[order]
         cut = np.ascontiguousarray(sig[order]).view(np.uint8).reshape(-1, 8)[:, 3:]
-        node = node[order]
-        for i in range(n_buckets):
-            a, b = cuts[i], cuts[i + 1]
-            if b > a:
-                first = np.flatnonzero(np.concatenate([[True], node[a + 1 : b] != node[a : b - 1]]))
-                first = np.unique(np.concatenate([first, np.arange(0, b - a, 255)]))  # a count fits a byte; a node may be named again
-                count = np.diff(np.append(first, b - a)).astype(np.uint8)
-                yield i, np.array([len(first)], "<u4").tobytes() + node[a:b][first].astype("<i8").tobytes() + count.tobytes() + cut[a:b].tobytes()
+        cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else np.zeros(0, np.int64)
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            first = np.flatnonzero(np.concatenate([[True], node[a + 1 : b] != node[a : b - 1]]))
+            first = np.unique(np.concatenate([first, np.arange(0, b - a, 255)]))  # a count fits a byte; a node may be named again
+            count = np.diff(np.append(first, b - a)).astype(np.uint8)
+            yield int(bucket[a]), np.array([len(first)], "<u4").tobytes() + node[a:b][first].astype("<i8").tobytes() + count.tobytes() + cut[a:b].tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        nodes: list[int] = []
+        nodes: list[tuple[int, int]] = []
         sigs: list[np.ndarray] = []
         held = 0
         for b in slices(batches, "text_"):
@@ -129,10 +146,10 @@ def signature_blobs(docs: DataFrame, n_buckets: int, k: int = SHINGLE) -> DataFr
                 if not len(s) or (node := node_of(s)) in seen:
                     continue
                 seen.add(node)
-                sig = pe.signatures(s)
-                nodes.append(node)
-                sigs.append(sig)
-                held += len(sig)
+                for band, sig in pe.banded_signatures(s):
+                    nodes.append((node, band))
+                    sigs.append(sig)
+                    held += len(sig)
             if held >= FLUSH:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*blobs(nodes, sigs), strict=True)], ["bucket", "blob"])
                 nodes, sigs, held = [], [], 0
@@ -374,22 +391,29 @@ def near_duplicate_groups(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     info = staged(document_sets(docs, k), "sets-of-documents")
     nodes = staged(info.where("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id")), "nodes")
-    lists = staged(shared_lists(signature_blobs(docs, shares(docs, "text", SHARE), k)).groupBy("list").agg(F.first("nodes").alias("nodes")), "lists")
+    lists = staged(shared_lists(signature_blobs(docs, band_buckets(nodes, SHARE), k)).groupBy("list").agg(F.first("nodes").alias("nodes")), "lists")
     slim = info.select("doc_id", "node")
 
     def ends(pairs: DataFrame) -> DataFrame:
         return staged(pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "wanted")
 
+    def linked(pairs: DataFrame) -> DataFrame:
+        sets = whole_sets(ends(pairs), docs, slim, k)
+        out = staged(verified(pairs, sets), "links")
+        discard(sets)
+        return out
+
     def placed(sketched: DataFrame) -> DataFrame:
         return sketched.join(found, "node", "left").select("node", "n_shingles", "sketch", F.coalesce("component", "node").alias("component"))
 
     first = staged(star_pairs(lists, nodes), "pairs")
-    links = staged(verified(first, whole_sets(ends(first), docs, slim, k)), "links")
+    links = linked(first)
     found = staged(connected_components(links), "components")
 
     met = staged(cross_pairs(listed_nodes(lists, found), placed(nodes), parts * LIST_GROUPS, nearest=True), "met")
     second = staged(met.select("src", "dst").distinct().join(first, ["src", "dst"], "left_anti"), "pairs")
-    more = staged(verified(second, whole_sets(ends(second), docs, slim, k)), "links")
+    more = linked(second)
+    discard(lists)
     links = links.unionByName(more)
     if more.limit(1).count():
         found = staged(connected_components(links), "components")
@@ -399,6 +423,7 @@ def near_duplicate_groups(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     sets = whole_sets(staged(left.select("node").distinct(), "wanted"), docs, slim, k)
     rest = cross_pairs(left, placed(fine_sketches(sets)), parts * LIST_GROUPS, nearest=False).select("src", "dst").distinct()
     more = staged(verified(rest.join(first.unionByName(second), ["src", "dst"], "left_anti"), sets), "links")
+    discard(sets)
     if more.limit(1).count():
         found = staged(connected_components(links.unionByName(more)), "components")
 

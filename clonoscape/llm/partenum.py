@@ -62,9 +62,14 @@ def bands_of(size: int) -> list[int]:
 
 def signatures(elements: np.ndarray) -> np.ndarray:
     """Signatures of a set given as sorted distinct 64-bit hashes (none for an empty set)."""
+    return np.concatenate([np.zeros(0, U64), *(sig for _, sig in banded_signatures(elements))])
+
+
+def banded_signatures(elements: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """The bands a set signs in, each with its signatures there; sets can only share signatures of one band."""
     size = len(elements)
     if not size:
-        return np.zeros(0, U64)
+        return []
     total = np.zeros(size + 1, U64)
     np.cumsum(mix(elements ^ U64(0x5851F42D4C957F2D)), out=total[1:])
     high = elements >> U64(32)
@@ -83,11 +88,13 @@ def signatures(elements: np.ndarray) -> np.ndarray:
         at = np.arange(used, dtype=U64) * U64(8) + U64(band) * U64(1 << 40)
         if n2 == 1:
             sig, full = mix(sums[:, 0] + mix(at)), count[:, 0] > 0
-            out.append(sig if sparse else sig[full])
+            out.append((band, sig if sparse else sig[full]))
             continue
+        parts = []
         for q in range(n2):  # the part that is left out
             rest = [r for r in range(n2) if r != q]
             sig = mix(sums[:, rest[0]] * _C[0] + sums[:, rest[1]] * _C[1] + mix(at + U64(q)))
             full = count[:, rest].sum(axis=1) > 0
-            out.append(sig if sparse else sig[full])
-    return np.concatenate(out)
+            parts.append(sig if sparse else sig[full])
+        out.append((band, np.concatenate(parts)))
+    return out
