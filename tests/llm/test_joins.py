@@ -105,6 +105,20 @@ def test_similar_sets_share_a_signature():
                 assert sa & sb, (len(a), len(b), len(a & b))
 
 
+def test_buckets_of_bands(spark):
+    sizes = [*range(1, 400), 1000, 99_999, 5_000_000]
+    got = jaccard.band_buckets(spark.createDataFrame([(n,) for n in sizes], "n_shingles long"), 1000)
+    weight = {}
+    for n in sizes:
+        for band in partenum.bands_of(n):
+            weight[band] = weight.get(band, 0) + n
+    start = 0
+    for band in sorted(weight):
+        assert got.pop(band) == (start, 1 + weight[band] // 1000)
+        start += 1 + weight[band] // 1000
+    assert not got
+
+
 def test_sketches_bound_differences():
     rng = np.random.default_rng(6)
     for _ in range(100):
