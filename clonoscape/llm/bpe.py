@@ -184,7 +184,8 @@ def bpe_digests(docs: DataFrame, path: str, text_col: str = "text", id_col: str
 
     Columns ``id_col``, n_tokens, ids_sha256 (decimal ids joined by commas),
     decoded_sha256 (UTF-8).  A null text reads as empty: no ids, the digest of
-    the empty string.  Repeated rows are encoded each; no shuffle.
+    the empty string.  Repeated rows are encoded each, very long texts whole; an
+    empty table gives no rows; other columns are not read; no shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -217,7 +217,12 @@ def _pass(source: DataFrame, rows: list, window: int, text_col: str, final: bool
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """The documents in which no window of the benchmark occurs, with all their columns."""
+    """The documents in which no window of the benchmark occurs, with all their columns.
+
+    Null and empty texts have no words and stay; repeated rows go or stay alike; very
+    long texts are read whole.  Items without an id are left out, those without words
+    have no window: a benchmark of such items, or an empty one, drops nothing.
+    """
     items = benchmark.where("item_id is not null").selectExpr("cast(item_id as string) as item", "coalesce(text, '') as text")
     total = items.agg(F.sum(F.length("text") / 2 + 1)).first()[0] or 0
     n_blocks = max(1, int(-(-total // block_windows)))

@@ -162,7 +162,8 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int, text
 
     Returns the manifest (shard, path, documents, tokens), one row a file, in the
     order of the ids.  A null text holds only the end id; null ids come first;
-    documents of one id are ordered by their text.  A retried task writes a file
+    documents of one id are ordered by their text; an empty table gives no
+    documents; other columns are not read.  A retried task writes a file
     of its own; only the files of the manifest count.
     """
     spark = docs.sparkSession

@@ -1,7 +1,8 @@
 import hashlib
 
 import corpus_pipeline as cp
-from clonoscape.llm import bpe, decontaminate, jaccard
+from clonoscape.llm import bpe, decontaminate, jaccard, langid, quality
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,3 +31,16 @@ def test_odd_rows_pass_every_stage(spark, odd):
     for _, stage in cp.STAGES:
         for df in (docs, docs.limit(0)):
             assert stage(spark, df, SF).count() <= df.count()
+
+
+def ids(df):
+    return sorted(r[0] for r in df.select("doc_id").collect())
+
+
+def test_language_and_quality_keep_what_is_not_rejected(spark):
+    docs = cp.table(spark, SF, "documents")
+    told = langid.predict_language(docs, langid.train(docs, F.lit(True)))
+    assert ids(cp.language(spark, docs, SF)) == ids(told.where("not rejected"))
+    scored = quality.score_quality(docs, quality.train(docs, cp.table(spark, SF, "labels"), F.lit(True)))
+    kept = ids(cp.rated(spark, docs, SF))
+    assert kept == ids(scored.where("not rejected")) and 0 < len(kept)
