@@ -15,12 +15,20 @@ from clonoscape.llm.common import staged, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that language identification rejects."""
+    """Drops documents that language identification rejects.
+
+    Null and empty texts and texts without a letter are rejected; a null lang is
+    not learned from; repeated rows go or stay alike; an empty table stays empty.
+    """
     return langid.keep_identified(docs, langid.train(docs, F.lit(True)))
 
 
 def rated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose quality score is below the threshold."""
+    """Drops documents whose quality score is below the threshold.
+
+    A null text is scored as an empty one, a very long one whole; repeated rows go
+    or stay alike; an empty table stays empty.
+    """
     return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels"), F.lit(True)))
 
 
@@ -38,12 +46,19 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a window of the benchmark."""
+    """Drops documents that hold a window of the benchmark.
+
+    Null and empty texts hold none and stay; repeated rows go or stay alike; an
+    empty table stays empty.
+    """
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of what is left."""
+    """Token counts and digests of what is left, one row a row, those without an id too.
+
+    A null text has no tokens and the digest of the empty string.
+    """
     return bpe.bpe_digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
