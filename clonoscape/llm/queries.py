@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and, where SQL can say it, their SQL."""
 
-from . import bpe, decontaminate, jaccard, langid, maintext, pitmanyor, quality, tokenfile, topk, viterbi
+from . import bpe, decontaminate, exactdedup, jaccard, langid, maintext, pitmanyor, quality, tokenfile, topk, viterbi
 
 QUERIES = {
     "op1_block_tree_text": maintext.op1_block_tree_text,
@@ -13,10 +13,12 @@ QUERIES = {
     "op9_prefix_decontamination": decontaminate.op9_prefix_decontamination,
     "op10_seekable_tokens": tokenfile.op10_seekable_tokens,
     "op2_segment_topk": topk.op2_segment_topk,
+    "op13_exact_dedup": exactdedup.op13_exact_dedup,
 }
 
 SQL = {
     "op7_partenum_jaccard": jaccard.SQL,
     "op9_prefix_decontamination": decontaminate.SQL,
     "op2_segment_topk": topk.SQL,
+    "op13_exact_dedup": exactdedup.SQL,
 }
