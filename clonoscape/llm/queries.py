@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and, where SQL can say it, their SQL."""
 
-from . import bpe, decontaminate, exactdedup, jaccard, langid, maintext, pitmanyor, quality, tokenfile, topk, viterbi
+from . import bpe, conversations, decontaminate, exactdedup, jaccard, langid, maintext, pitmanyor, quality, spelling, tokenfile, topk, viterbi
 
 QUERIES = {
     "op1_block_tree_text": maintext.op1_block_tree_text,
@@ -13,6 +13,8 @@ QUERIES = {
     "op9_prefix_decontamination": decontaminate.op9_prefix_decontamination,
     "op10_seekable_tokens": tokenfile.op10_seekable_tokens,
     "op2_segment_topk": topk.op2_segment_topk,
+    "op11_conversation_trie": conversations.op11_conversation_trie,
+    "op12_spelling_variants": spelling.op12_spelling_variants,
     "op13_exact_dedup": exactdedup.op13_exact_dedup,
 }
 
@@ -20,5 +22,7 @@ SQL = {
     "op7_partenum_jaccard": jaccard.SQL,
     "op9_prefix_decontamination": decontaminate.SQL,
     "op2_segment_topk": topk.SQL,
+    "op11_conversation_trie": conversations.SQL,
+    "op12_spelling_variants": spelling.SQL,
     "op13_exact_dedup": exactdedup.SQL,
 }
