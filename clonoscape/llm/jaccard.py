@@ -376,17 +376,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(of_dst, "dst").join(of_src, "src").select("src", "dst", "x", "y").mapInArrow(check, "src long, dst long")
 
 
-def near_duplicate_groups(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, the smallest doc_id reachable over links.
-
-    Documents link when their sets of k-word shingles have a Jaccard similarity
-    of at least 3/4.  Null and empty texts have no shingles and link with
-    nothing: their component is their own id, as is that of any single
-    document.  Repeated rows and equal texts share a component; a null doc_id
-    never names a component unless it stands alone.  An empty table gives no
-    rows; other columns are ignored.  A very long text is read whole, in about 40
-    bytes of memory a character.
-    """
+def linked_nodes(docs: DataFrame, k: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, node) of every document, and (node, doc_id, root): each node's smallest doc_id and its component."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     info = staged(document_sets(docs, k), "sets-of-documents")
@@ -428,11 +419,53 @@ def near_duplicate_groups(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
         found = staged(connected_components(links.unionByName(more)), "components")
 
     named = nodes.select("node", "doc_id").join(found, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    return info.select("doc_id", "n_shingles", "node"), named.select("node", "doc_id", "root")
+
+
+def near_duplicate_groups(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id, the smallest doc_id reachable over links.
+
+    Documents link when their sets of k-word shingles have a Jaccard similarity
+    of at least 3/4.  Null and empty texts have no shingles and link with
+    nothing: their component is their own id, as is that of any single
+    document.  Repeated rows and equal texts share a component; a null doc_id
+    never names a component unless it stands alone.  An empty table gives no
+    rows; other columns are ignored.  A very long text is read whole, in about 40
+    bytes of memory a character.
+    """
+    info, named = linked_nodes(docs, k)
     lowest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     by_node = named.join(lowest, "root").select("node", "component_id")
     return info.join(by_node, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def one_of_each_group(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs`` that stay: one of each group of near duplicates, and every row without words.
+
+    Of a group the row of the smallest doc_id stays (null ids come last), of rows
+    that share that id and the set of shingles the one of the smallest text.  Rows
+    are told apart by their texts, not by their ids: rows of one id and different
+    texts stay or go by themselves.  An empty table stays empty; very long texts are read whole.
+    """
+    names = [f"own {c}" for c in docs.columns]
+    kinds = ", ".join(f"`{n}` {t}" for n, (_, t) in zip(names, docs.dtypes, strict=True))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "own text"):
+            node = [node_of(s) if len(s) else None for s in shingle_sets(b.column(at), k)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(node, pa.int64())], [*names, "node"])
+
+    _, named = linked_nodes(docs, k)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("first")
+    keepers = named.groupBy("root").agg(first).select(F.col("first.node").alias("kept node"), F.col("first.doc_id").alias("kept id"))
+    same = (F.col("node") == F.col("kept node")) & F.col("own doc_id").eqNullSafe(F.col("kept id"))  # both are keys of the join: many copies of one text meet in many tasks
+    rows = docs.toDF(*names).mapInArrow(run, f"{kinds}, node long").join(keepers, same, "left_semi")
+    order = F.struct("own text", *[n for n in names if n != "own text"])
+    words = rows.groupBy("node").agg(F.min(order).alias("row")).select(*[F.col("row")[n].alias(c) for n, c in zip(names, docs.columns, strict=True)])
+    return words.unionByName(docs.where(~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")))
+
+
 def op7_partenum_jaccard(spark, sf_dir):
     return near_duplicate_groups(table(spark, sf_dir, "documents"))
 

@@ -22,8 +22,10 @@ from .common import fold, table
 from .textbatch import U64, slices
 
 ORDER = 4
-#: Documented bounds of the training sample: documents a language for the model and for the calibration, and characters of each.
-MODEL_DOCS, CALIBRATION_DOCS, LONGEST = 400, 200, 20_000
+#: Documented bounds of the training sample: documents a language for the model and for the calibration, each read whole.
+MODEL_DOCS, CALIBRATION_DOCS = 400, 200
+#: Characters counted or scored at once when fitting (a longer text by itself).
+PIECE = 1_000_000
 #: Rejected when the cross-entropy is above the language's calibrated limit by this many deviations of so short a text.
 REJECT_Z = 6.0
 #: The calibrated limit is the largest excess over the mean among held-back texts, widened by this factor, and at least one nat.
@@ -142,20 +144,37 @@ def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(x[:, first].T), count
 
 
+def pieces(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in runs of up to about PIECE characters."""
+    run, held = [], 0
+    for t in texts:
+        if run and held + len(t) > PIECE:
+            yield run
+            run, held = [], 0
+        run.append(t)
+        held += len(t)
+    if run:
+        yield run
+
+
+def counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Different n-grams of the highest order and the count of each."""
+    parts = [distinct(ngrams(run)[0][:ORDER]) for run in pieces(texts)]
+    rows, count = np.concatenate([r for r, _ in parts]), np.concatenate([c for _, c in parts])
+    _, first, at = np.unique(keys(rows.T, ORDER), return_index=True, return_inverse=True)
+    return np.ascontiguousarray(rows[first]), np.bincount(at, count, len(first)).astype(np.int64)
+
+
 def fit_models(texts: dict[str, list[str]]) -> Models:
     """Interpolated Kneser-Ney of order 4 for each language."""
     langs = sorted(texts)
-    grams = {lang: ngrams(texts[lang])[0] for lang in langs}
     m = Models(langs)
     per: list[dict] = []
     for lang in langs:
-        x = grams[lang]
-        levels = []  # per order: unique n-grams (columns of symbols), counts
-        for n in range(1, ORDER + 1):
-            levels.append(distinct(x[:n]))
+        levels = {ORDER: counted(texts[lang])}  # per order: unique n-grams (rows of symbols), counts
         for n in range(ORDER - 1, 0, -1):  # lower orders count the different symbols before
-            levels[n - 1] = distinct(levels[n][0][:, :n].T)
-        per.append({n: levels[n - 1] for n in range(1, ORDER + 1)})
+            levels[n] = distinct(levels[n + 1][0][:, :n].T)
+        per.append(levels)
     alphabet = max(2, len(np.unique(np.concatenate([p[1][0][:, 0] for p in per]))) + 1)
     m.floor = np.zeros(len(langs), np.float32)
     lower: list = [None] * len(langs)  # log-probabilities found so far are looked up in the merged tables
@@ -200,7 +219,7 @@ def calibrate(m: Models, texts: dict[str, list[str]]) -> None:
     """Of each language's held-back texts: mean cross-entropy, its deviation scaled by the root of the length, and the largest excess."""
     m.mean, m.dev, m.limit = np.zeros(len(m.langs)), np.ones(len(m.langs)), np.full(len(m.langs), LEAST_EXCESS)
     for k, lang in enumerate(m.langs):
-        total, size, _ = m.score(texts.get(lang) or [""])
+        total, size = (np.concatenate(x) for x in zip(*(m.score(run)[:2] for run in pieces(texts.get(lang) or [""])), strict=True))
         ok = size > 0
         if ok.sum() >= 5:
             entropy = -total[ok, k] / size[ok]
@@ -213,7 +232,11 @@ def calibrate(m: Models, texts: dict[str, list[str]]) -> None:
 
 
 def identify(m: Models, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Language, score in 0..1 and rejection of each text; without letters ``und``, 0 and rejected."""
+    """Language, score in 0..1 and rejection of each text; without letters ``und``, 0 and rejected.
+
+    The score, not the language, takes a text for at most 60 symbols long, as
+    evidence of neighbouring symbols isn't independent and would soon read 1.
+    """
     total, size, letters = m.score([t or "" for t in texts])
     entropy = -total / np.maximum(size, 1)[:, None]
     best = entropy.argmin(axis=1)
@@ -227,16 +250,15 @@ def identify(m: Models, texts: list[str | None]) -> tuple[list[str], np.ndarray,
 def sample(docs: DataFrame, training: Column) -> tuple[dict[str, list[str]], dict[str, list[str]]]:
     """Bounded samples for the model and its calibration: the first documents of each language by a hash of the id.
 
-    Documents of up to LONGEST characters come before longer ones, of which so
-    many characters are learnt.
+    Texts are taken whole, however long.
     """
-    h = F.struct(F.length("text") > LONGEST, F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(5))).alias("h")
+    h = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(5)).alias("h")
     fit = docs.where(training & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "doc_id", h)
     n = MODEL_DOCS + CALIBRATION_DOCS
-    by, part = Window.partitionBy("lang").orderBy("h", "doc_id"), Window.partitionBy("lang", F.pmod("h.col2", F.lit(64))).orderBy("h", "doc_id")
+    by, part = Window.partitionBy("lang").orderBy("h", "doc_id"), Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h", "doc_id")
     few = fit.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= n).drop("rank")  # so that a common language isn't ranked in one task
     chosen = few.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= n).groupBy("lang", "doc_id").agg(F.min("rank").alias("rank"))
-    keyed = docs.where(training).select("lang", "doc_id", F.substring("text", 1, LONGEST).alias("text"))
+    keyed = docs.where(training).select("lang", "doc_id", "text")
     chosen = chosen.select(F.col("lang").alias("of"), F.col("doc_id").alias("id"), "rank")
     rows = keyed.join(F.broadcast(chosen), (keyed["lang"] == chosen["of"]) & keyed["doc_id"].eqNullSafe(chosen["id"])).groupBy("lang", "doc_id").agg(F.min("rank").alias("rank"), F.min("text").alias("text")).collect()  # at most n rows a language
     model: dict[str, list[str]] = {}

@@ -44,3 +44,17 @@ def test_language_and_quality_keep_what_is_not_rejected(spark):
     scored = quality.score_quality(docs, quality.train(docs, cp.table(spark, SF, "labels"), F.lit(True)))
     kept = ids(cp.rated(spark, docs, SF))
     assert kept == ids(scored.where("not rejected")) and 0 < len(kept)
+
+
+def test_near_duplicates_keep_every_text_once(spark):
+    """Rows of one id with different texts, and rows without ids, neither lose a text nor keep two of a group."""
+    text = {x: " ".join(f"{x}{i}" for i in range(40)) for x in "ABCMZ"}
+    near = text["M"].rsplit(" ", 1)[0]  # one word less than M
+    rows = [(1, text["A"]), (1, text["C"]), (2, text["A"]), (3, text["M"]), (7, text["M"]), (7, text["Z"]), (None, text["B"]), (None, text["B"]), (9, near), (None, text["M"]), (5, None), (5, ""), (6, " ")]
+    rows += [(3, text["M"])] * 4
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    out = cp.distinct(spark, docs, SF)
+    assert out.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    want = [(1, text["A"]), (1, text["C"]), (3, text["M"]), (7, text["Z"]), (None, text["B"]), (5, None), (5, ""), (6, " ")]
+    assert got == sorted(want, key=str)
