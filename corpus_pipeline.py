@@ -35,14 +35,11 @@ def rated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, that of the smallest id, of each group of near duplicates.
 
-    Rows that repeat an id count as one document (the row of the smallest text
-    stays); documents without an id can't be named by a group and stay.
+    Null and empty texts are near nothing and stay; very long texts are compared
+    whole; rows that repeat an id, or have none, are told apart by their texts; an
+    empty table stays empty.
     """
-    groups = jaccard.near_duplicate_groups(docs)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    named = docs.join(kept, "doc_id", "left_semi").withColumn("row in id", first).where(F.col("row in id") == 1).select(*docs.columns)
-    return named.unionByName(docs.where("doc_id is null"))
+    return jaccard.one_of_each_group(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +54,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of what is left, one row a row, those without an id too.
 
-    A null text has no tokens and the digest of the empty string.
+    A null text has no tokens and the digest of the empty string; repeated rows
+    are encoded each, very long texts whole; an empty table gives no rows.
     """
     return bpe.bpe_digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
