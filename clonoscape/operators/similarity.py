@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from clonoscape.functions.alignment import smith_waterman
 from clonoscape.functions.strings import col, dotted, hamming, kmers, trim_ends, wildcards
 
+from . import pivots
+from .pivots import squared_distances  # noqa: F401
+
 
 def one_mismatch_pairs(df: DataFrame, key: str, region: str, also: list[str] = ()) -> DataFrame:
     """Pairs a < b of rows whose regions have equal length and at most one substitution.
@@ -152,53 +155,23 @@ def vector_cells(asks: DataFrame, rows: DataFrame, within: list[str], run, schem
     return left.unionByName(right).groupBy(*within, "ba", "bb").applyInPandas(cell, schema)
 
 
-def squared_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0)
-
-
-def _ids(df: DataFrame, key: str, vector: str, a: str, x: str, within: list[str]) -> DataFrame:
-    return df.select(F.col(key).cast("long").alias(a), F.col(vector).alias(x), *within).where(F.col(x).isNotNull())
+def _vectors(df: DataFrame, key: str, vector: str, within: list[str]) -> DataFrame:
+    return df.select(*within, F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
 
 
-def nearest_vectors(df: DataFrame, key: str, vector: str, k: int = 1, within: list[str] = (), queries: DataFrame | None = None) -> DataFrame:
+def nearest_vectors(df: DataFrame, key: str, vector: str, k: int = 1, within: list[str] = (), queries: DataFrame | None = None, **sizes: int) -> DataFrame:
     """Exact k nearest rows of the same ``within`` group: a, b, d (squared distance), rank; ties to the smaller key.
 
-    With ``queries`` only those ask.
+    With ``queries`` only those ask.  Rows meet by cells around pivots (``pivots``);
+    rows without a vector or a group take no part.
     """
+    own = list(within)
+    return pivots.nearest(_vectors(df, key, vector, own), None if queries is None else _vectors(queries, key, vector, own), k, own, **sizes)
 
-    def run(a, x, b, y) -> pd.DataFrame:
-        d = np.round(squared_distances(x, y), 12)
-        d[a[:, None] == b[None, :]] = np.inf
-        m = min(k, len(b))
-        at = np.argsort(d, axis=1, kind="stable")[:, :m]  # b is sorted, so ties keep the smaller key
-        out = pd.DataFrame({"a": np.repeat(a, m), "b": b[at].ravel(), "d": np.take_along_axis(d, at, 1).ravel()})
-        return out[np.isfinite(out["d"])]
-
-    best = vector_cells(_ids(df if queries is None else queries, key, vector, "a", "x", within), _ids(df, key, vector, "b", "y", within), list(within), run, "a long, b long, d double")
-    order = Window.partitionBy("a").orderBy("d", "b")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def vectors_within(df: DataFrame, key: str, vector: str, radius: float, within: list[str] = ()) -> DataFrame:
-    """Pairs a < b of a group whose squared distance d is below the radius."""
-
-    def run(a, x, b, y) -> pd.DataFrame:
-        d = squared_distances(x, y)
-        i, j = np.nonzero((d < radius) & (a[:, None] < b[None, :]))
-        return pd.DataFrame({"a": a[i], "b": b[j], "d": d[i, j]})
-
-    return vector_cells(_ids(df, key, vector, "a", "x", within), _ids(df, key, vector, "b", "y", within), list(within), run, "a long, b long, d double")
-
-
-def approximate_vectors_within(df: DataFrame, key: str, vector: str, radius: float, tables: int = 6, bucket: float = 2.0) -> DataFrame:
-    """Pairs within a radius by random projection buckets: scales past exact blocks, and may miss some."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
 
-    rows = df.select(F.col(key).alias("k"), array_to_vector(F.col(vector).cast("array<double>")).alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=1).fit(rows)
-    pairs = model.approxSimilarityJoin(rows, rows, radius, "d")
-    return pairs.select(F.col("datasetA.k").alias("a"), F.col("datasetB.k").alias("b"), "d").where("a < b")
+def vectors_within(df: DataFrame, key: str, vector: str, radius: float, within: list[str] = (), **sizes: int) -> DataFrame:
+    """Pairs a < b of a group whose squared distance d is below the radius, met by cells around pivots."""
+    return pivots.near_pairs(_vectors(df, key, vector, list(within)), radius, list(within), **sizes)
 
 
 def submatrix(distances: DataFrame, ids: DataFrame, key: str) -> DataFrame:
