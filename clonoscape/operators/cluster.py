@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from clonoscape.functions.alignment import full_alignment, gapless_score
 from clonoscape.functions.strings import trim_ends
+from clonoscape.functions.vectors import midpoint
 
 from .encode import isometric
 from .graph import connected_components, staged
-from .similarity import shared_kmer_pairs, vectors_within
+from .similarity import nearest_vectors, shared_kmer_pairs, vectors_within
 
 
 # groups of a graph
@@ -55,76 +56,72 @@ def length_threshold(length: Column, base: float = 7.0) -> Column:
     return F.lit(base) - 0.5 * (15 - length)
 
 
-#: Rows up to which one group's nearest neighbours are searched within a task; longer groups need a finer key.
-CHUNK = 2048
+def _set_marks(members: DataFrame, centres: DataFrame, within: list[str]) -> DataFrame:
+    """For each group: its number of centres, and numbers that are equal for equal sets of member sets."""
+    h = F.xxhash64("member")
+    sets = members.groupBy("id").agg(F.bit_xor(h).alias("x"), F.sum(F.pmod(h, F.lit((1 << 40) - 87))).alias("s"), F.count("*").alias("c")).join(centres.select("id", *within), "id")
+    count = sets.groupBy(*within).agg(F.count("*").alias("centres"))
+    marked = sets.select(*within, "x", "s", "c").distinct().groupBy(*within)
+    m = F.xxhash64("x", "s", "c")
+    return count.join(marked.agg(F.bit_xor(m).alias("sets_x"), F.sum(F.pmod(m, F.lit((1 << 40) - 87))).alias("sets_s"), F.count("*").alias("sets_n")), within)
 
 
-def _two_nearest(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The nearest other row and its squared distance, ties to the lower row, in blocks of bounded memory."""
-    norm = (x * x).sum(1)
-    near, dist = np.zeros(len(x), np.int64), np.full(len(x), np.inf)
-    for a in range(0, len(x), CHUNK):
-        for b in range(0, len(x), CHUNK):
-            d = np.maximum(norm[a : a + CHUNK, None] + norm[None, b : b + CHUNK] - 2 * x[a : a + CHUNK] @ x[b : b + CHUNK].T, 0)
-            if a == b:
-                np.fill_diagonal(d, np.inf)
-            i = d.argmin(1)
-            best = d[np.arange(len(d)), i]
-            better = best < dist[a : a + CHUNK] - 1e-12
-            near[a : a + CHUNK][better], dist[a : a + CHUNK][better] = i[better] + b, best[better]
-    return near, dist
+def centroid_clusters(rows: DataFrame, within: list[str], rounds: int = 100, **sizes: int) -> DataFrame:
+    """cluster, member of (within, id, x, t): every centre moves halfway to its nearest one of its group while that is within t.
 
-
-def centroid_rounds(x: np.ndarray, threshold: float, rounds: int = 100) -> list[list[int]]:
-    """Groups of rows: every centre moves halfway to its nearest one while that is within the threshold.
-
-    A centre with no near neighbour is done and its members are a group; pairs
-    that meet in the same midpoint become one centre.  Ends when nothing moves.
+    A round finds each centre's nearest other one by the pivot index (``pivots``; ties
+    to the smaller id) and writes the midpoints, named after the smallest centre that
+    moved there; centres that meet in one midpoint become one, with the members of
+    both. A centre without a near one is done, and its members are a cluster.
+    A group ends when nothing moves, when a round leaves its sets of members as they
+    were, or after ``rounds``.  Nothing is gathered: rounds are joins and grouped
+    minima. A cluster is named after its smallest member; single rows are none.
     """
-    members = [frozenset([i]) for i in range(len(x))]
-    done: list[frozenset] = []
+    centres = staged(rows.select(*within, "id", "x", "t"), "centres")
+    members = staged(centres.select("id", F.col("id").alias("member")), "members")
+    done, marks = [], None
     for r in range(rounds):
-        if len(x) < 2:
-            done += members if r else []
-            break
-        near, d = _two_nearest(x)
-        moving = np.flatnonzero(d <= threshold)
-        done += [members[i] for i in np.flatnonzero(d > threshold) if r or len(members[i]) > 1]
-        if not len(moving):
+        near = nearest_vectors(centres, "id", "x", 1, within, **sizes).select(F.col("a").alias("id"), F.col("b").alias("near"), "d")
+        moves = F.coalesce(F.col("d") <= F.col("t"), F.lit(False))
+        stepped = staged(centres.join(near, "id", "left").withColumn("moves", moves), "stepped")
+        if r:  # a row that never moved is no cluster
+            done.append(members.join(stepped.where("not moves").select("id"), "id", "left_semi").withColumn("round", F.lit(r)))
+        moving = stepped.where("moves")
+        if moving.isEmpty():
             break
-        seen: dict[tuple[int, int], int] = {}
-        for i in moving.tolist():
-            seen.setdefault((min(i, int(near[i])), max(i, int(near[i]))), i)
-        pairs = list(seen)
-        fresh = [members[a] | members[b] for a, b in pairs]
-        moved = np.array([(x[a] + x[b]) / 2 for a, b in pairs])
-        if len(fresh) == len(members) and set(fresh) == set(members):
-            done += fresh
-            break
-        members, x = fresh, moved
+        pairs = staged(moving.groupBy(F.least("id", "near").alias("low"), F.greatest("id", "near").alias("high")).agg(F.min("id").alias("id")), "pairs")
+        left, right = moving.select(*within, "t", F.col("id").alias("low"), "x"), moving.select(F.col("id").alias("high"), F.col("x").alias("y"))
+        centres = staged(pairs.join(left, "low").join(right, "high").select(*within, "id", midpoint("x", "y").alias("x"), "t"), "centres")
+        joined = pairs.select("id", F.explode(F.array("low", "high")).alias("old")).join(members.withColumnRenamed("id", "old"), "old")
+        members = staged(joined.select("id", "member").distinct(), "members")
+        now = staged(_set_marks(members, centres, within), "marks")
+        if marks is not None:
+            same = now.join(marks, now.columns, "left_semi").select(*within)
+            if not same.isEmpty():
+                ended = centres.join(same, within, "left_semi").select("id")
+                done.append(members.join(ended, "id", "left_semi").withColumn("round", F.lit(r)))
+                centres = staged(centres.join(same, within, "left_anti"), "centres")
+                members = staged(members.join(centres.select("id"), "id", "left_semi"), "members")
+        marks = now
     else:
-        done += members
-    return [sorted(g) for g in dict.fromkeys(done) if len(g) > 1]
+        done.append(members.withColumn("round", F.lit(rounds)))
+    if not done:
+        return rows.sparkSession.createDataFrame([], "cluster long, member long")
+    all_ = done[0]
+    for d in done[1:]:
+        all_ = all_.unionByName(d)
+    named = all_.groupBy("round", "id").agg(F.min("member").alias("cluster"), F.count("*").alias("n")).where("n > 1")
+    return all_.join(named, ["round", "id"]).select("cluster", "member").distinct()
 
 
-def isometric_clusters(df: DataFrame, key: str, seq: str = "cdr3", base: float = 7.0, vectors=None, block: str | None = None) -> DataFrame:
-    """key, cluster: nearest-neighbour clustering of isometric encodings within each length.
+def isometric_clusters(df: DataFrame, key: str, seq: str = "cdr3", base: float = 7.0, vectors=None, block: list[str] = (), **sizes: int) -> DataFrame:
+    """key, cluster: nearest-neighbour clustering of isometric encodings within each length (and ``block`` columns, if any).
 
-    Overlapping groups are merged.  One task holds the distinct sequences of a
-    length; where a length has too many, give ``block``, a column that splits
-    it (a V gene).  Rows in no cluster are left out.
+    Overlapping groups are merged.  Rows in no cluster are left out.
     """
-    blocks = ["n"] + ([block] if block else [])
-    rows = df.select(F.col(key).cast("long").alias("k"), F.length(seq).alias("n"), isometric(seq, vectors).alias("x"), length_threshold(F.length(seq), base).cast("double").alias("t"), *([block] if block else [])).where("x is not null")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("k")
-        groups = centroid_rounds(np.array(pdf["x"].tolist()), float(pdf["t"].iloc[0]))
-        keys = pdf["k"].to_numpy()
-        out = [(int(keys[g[0]]), int(keys[i])) for g in groups for i in g]
-        return pd.DataFrame(out, columns=["cluster", "member"]).astype("int64")
-
-    clusters = rows.groupBy(*blocks).applyInPandas(run, "cluster long, member long")
+    n = F.length(seq)
+    rows = df.select(F.col(key).cast("long").alias("id"), n.alias("n of"), isometric(seq, vectors).alias("x"), length_threshold(n, base).cast("double").alias("t"), *block).where("x is not null")
+    clusters = centroid_clusters(rows, ["n of", *block], **sizes)
     return merge_overlaps(staged(clusters, "clusters")).select(F.col("member").alias(key), F.col("component").alias("cluster"))
 
 

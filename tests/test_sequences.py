@@ -155,11 +155,6 @@ def test_vectors(spark):
     assert one(spark, V.pooled("a"), a=[[1.0, 2.0], [3.0, 0.0]])[:6] == [1.0, 2.0, 3.0, 2.0, 2.0, 1.0]
 
 
-def test_centroid_rounds_join_near_rows():
-    x = np.array([[0.0, 0], [0.1, 0], [5, 5], [5.1, 5], [20, 20]])
-    assert sorted(cl.centroid_rounds(x, 1.0)) == [[0, 1], [2, 3]]
-
-
 def test_dbscan(spark):
     pts = [(i, [float(i) * 0.1]) for i in range(6)] + [(9, [50.0])]
     got = {r["k"]: r["cluster"] for r in cl.dbscan(spark.createDataFrame(pts, ["k", "v"]), "k", "v", 0.25, 4).collect()}
