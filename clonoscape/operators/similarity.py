@@ -11,6 +11,7 @@ from clonoscape.functions.alignment import smith_waterman
 from clonoscape.functions.strings import col, dotted, hamming, kmers, trim_ends, wildcards
 
 from . import pivots
+from .graph import staged
 from .pivots import squared_distances  # noqa: F401
 
 
@@ -32,35 +33,60 @@ def one_mismatch_pairs(df: DataFrame, key: str, region: str, also: list[str] = (
     return left.join(pairs, ["r", *also]).join(right, ["s", *also]).where("a < b").select("a", "b", (F.col("r") != F.col("s")).cast("int").alias("d"))
 
 
+def interleaved(seq, m: int) -> Column:
+    """m pieces of a sequence, piece i of the residues at places i, i + m, ...; what all sequences begin or end with is spread over all."""
+    letters = F.split(col(seq), "")
+    piece = lambda i: F.array_join(F.filter(letters, lambda _, at: at % m == i), "")
+    return F.array(*[F.concat(F.lit(f"{i}:"), piece(i)) for i in range(m)])
+
+
+def _candidates(asks: DataFrame, rows: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a, x, b, y) of (k, s) that share one of ``radius`` + 1 interleaved pieces, as any two within the radius must."""
+    keyed = lambda df: df.select("k", "s", F.length("s").alias("n"), F.explode(interleaved("s", radius + 1)).alias("piece"))
+    x = keyed(asks).select(F.col("k").alias("a"), F.col("s").alias("x"), "n", "piece")
+    return x.join(keyed(rows).select(F.col("k").alias("b"), F.col("s").alias("y"), "n", "piece"), ["n", "piece"])
+
+
 def hamming_pairs(df: DataFrame, key: str, seq: str, most: int | None = None) -> DataFrame:
     """Pairs a < b of equal length with their Hamming distance; up to ``most`` if given.
 
     For one substitution use one_mismatch_pairs.  For more, sequences are first
-    joined on one of ``most + 1`` pieces that two close sequences must share;
-    without a bound, all pairs of a length are a matrix that grows with its
-    square.
+    joined on one of ``most + 1`` interleaved pieces that two close sequences must
+    share; without a bound, all pairs of a length are a matrix that grows with its
+    square (for the nearest only, see nearest_hamming).
     """
-    rows = df.select(F.col(key).alias("k"), F.col(seq).alias("s"), F.length(seq).alias("n"))
+    rows = df.select(F.col(key).alias("k"), F.col(seq).alias("s"))
     if most is None:
-        keys = rows.withColumn("piece", F.lit(""))
-    else:
-        cut = lambda i: F.floor(F.col("n") * i / (most + 1)).cast("int")
-        pieces = F.array(*[F.concat(F.lit(f"{i}:"), F.substring("s", cut(i) + 1, cut(i + 1) - cut(i))) for i in range(most + 1)])
-        keys = rows.withColumn("piece", F.explode(pieces))
-    x, y = keys.alias("x"), keys.alias("y")
-    pairs = x.join(y, (F.col("x.n") == F.col("y.n")) & (F.col("x.piece") == F.col("y.piece")) & (F.col("x.k") < F.col("y.k")))
-    pairs = pairs.select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), hamming("x.s", "y.s").alias("d"))
-    return pairs if most is None else pairs.where(F.col("d") <= most).distinct()
+        sized = rows.withColumn("n", F.length("s"))
+        x, y = sized.alias("x"), sized.alias("y")
+        pairs = x.join(y, (F.col("x.n") == F.col("y.n")) & (F.col("x.k") < F.col("y.k")))
+        return pairs.select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), hamming("x.s", "y.s").alias("d"))
+    pairs = _candidates(rows, rows, most).where("a < b").select("a", "b", hamming("x", "y").alias("d"))
+    return pairs.where(F.col("d") <= most).distinct()
+
 
+def nearest_hamming(df: DataFrame, key: str, seq: str) -> DataFrame:
+    """key, d: each sequence's distance to the nearest other of equal length; those alone in their length are left out.
 
-def nearest_distance(pairs: DataFrame) -> DataFrame:
-    """Smallest distance of each node of long pairs (a, b, d)."""
-    both = pairs.select(F.col("a").alias("node"), "d").unionByName(pairs.select(F.col("b").alias("node"), "d"))
-    return both.groupBy("node").agg(F.min("d").alias("d"))
+    Sequences look within radius 1, 2 and so on; only those without a hit go on.
+    """
+    rows = df.select(F.col(key).alias("k"), F.col(seq).alias("s")).where("s is not null")
+    sizes = rows.groupBy(F.length("s").alias("n")).agg(F.count("*").alias("count")).where("count > 1")
+    asks = staged(rows.join(F.broadcast(sizes.select("n")), F.length("s") == F.col("n"), "left_semi"), "asking")  # a row for each length
+    longest = sizes.agg(F.max("n").alias("n")).first()["n"] or 0
+    done, radius = None, 0
+    while radius < longest and not asks.isEmpty():
+        radius += 1
+        near = _candidates(asks, rows, radius).where("a <> b").select("a", hamming("x", "y").alias("d")).where(F.col("d") <= radius).groupBy("a").agg(F.min("d").alias("d"))
+        found = staged(near, "nearest")
+        done = found if done is None else done.unionByName(found)
+        asks = staged(asks.join(found.select(F.col("a").alias("k")), "k", "left_anti"), "asking")
+    out = rows.select("k", F.lit(0).alias("d")).limit(0) if done is None else done.withColumnRenamed("a", "k")
+    return out.select(F.col("k").alias(key), "d")
 
 
-def distance_histogram(pairs: DataFrame) -> DataFrame:
-    return nearest_distance(pairs).groupBy("d").agg(F.count("*").alias("n"))
+def distance_histogram(nearest: DataFrame) -> DataFrame:
+    return nearest.groupBy("d").agg(F.count("*").alias("n"))
 
 
 def motif_pairs(df: DataFrame, key: str, region: str, motifs: DataFrame, positional: bool = False, also: list[str] = ()) -> DataFrame:
@@ -156,7 +182,7 @@ def vector_cells(asks: DataFrame, rows: DataFrame, within: list[str], run, schem
 
 
 def _vectors(df: DataFrame, key: str, vector: str, within: list[str]) -> DataFrame:
-    return df.select(*within, F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    return df.select(*[F.col(c).alias(f"group {i}") for i, c in enumerate(within)], F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
 
 
 def nearest_vectors(df: DataFrame, key: str, vector: str, k: int = 1, within: list[str] = (), queries: DataFrame | None = None, **sizes: int) -> DataFrame:
@@ -165,13 +191,13 @@ def nearest_vectors(df: DataFrame, key: str, vector: str, k: int = 1, within: li
     With ``queries`` only those ask.  Rows meet by cells around pivots (``pivots``);
     rows without a vector or a group take no part.
     """
-    own = list(within)
-    return pivots.nearest(_vectors(df, key, vector, own), None if queries is None else _vectors(queries, key, vector, own), k, own, **sizes)
+    groups = [f"group {i}" for i in range(len(within))]
+    return pivots.nearest(_vectors(df, key, vector, within), None if queries is None else _vectors(queries, key, vector, within), k, groups, **sizes)
 
 
 def vectors_within(df: DataFrame, key: str, vector: str, radius: float, within: list[str] = (), **sizes: int) -> DataFrame:
     """Pairs a < b of a group whose squared distance d is below the radius, met by cells around pivots."""
-    return pivots.near_pairs(_vectors(df, key, vector, list(within)), radius, list(within), **sizes)
+    return pivots.near_pairs(_vectors(df, key, vector, within), radius, [f"group {i}" for i in range(len(within))], **sizes)
 
 
 def submatrix(distances: DataFrame, ids: DataFrame, key: str) -> DataFrame:

@@ -155,9 +155,11 @@ def first_per_key(spark, sf):
     return cu.first_per_key(repertoire(spark, sf), ["cdr3", "v_gene"], ["id"]).select("cdr3", "v_gene", "id", "patient")
 
 
-@query("select n as o_orderkey from range(1, 2995) r(n) where n not in (select o_orderkey from orders)")
+@query("with o as (select o_orderkey from orders where o_orderstatus = 'O') select n as o_orderkey from range(1, (select max(o_orderkey) from o)) r(n) where n not in (select o_orderkey from o)")
 def missing_ids(spark, sf):
-    return cu.missing_ids(t(spark, sf, "orders"), "o_orderkey", 1, 2995)
+    """Orders that aren't open, as gaps between the open ones."""
+    open_ = t(spark, sf, "orders").where("o_orderstatus = 'O'")
+    return cu.missing_ids(open_, "o_orderkey", 1, open_.agg(F.max("o_orderkey").alias("n")).first()["n"])
 
 
 @query("select p_partkey, (p_size - (select avg(p_size) from part)) / (select stddev_pop(p_size) from part) as p_size from part")
@@ -324,7 +326,7 @@ def hamming_pairs(spark, sf):
 
 @query(f"{REP}, p as (select a.cdr3 as a, hamming(a.cdr3, b.cdr3) as d from u a join u b on length(a.cdr3) = length(b.cdr3) and a.cdr3 <> b.cdr3), m as (select a, min(d) as d from p group by 1) select d, count(*) as n from m group by 1")
 def min_distance_histogram(spark, sf):
-    return si.distance_histogram(si.hamming_pairs(unique_sequences(spark, sf), "cdr3", "cdr3")).select(F.col("d").cast("long").alias("d"), "n")
+    return si.distance_histogram(si.nearest_hamming(unique_sequences(spark, sf), "cdr3", "cdr3")).select(F.col("d").cast("long").alias("d"), "n")
 
 
 @query(f"{REP} select a.cdr3 as a, b.cdr3 as b from u a join u b on length(a.region) = length(b.region) and a.cdr3 < b.cdr3 where hamming(a.region, b.region) <= 1")
@@ -412,9 +414,9 @@ def vector_knn(spark, sf):
     return si.nearest_vectors(t(spark, sf, "embeddings"), "vec_id", "embedding", 5).select("a", F.round("d", 6).alias("d"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"select a.vec_id as a, b.vec_id as b, round({_D2}, 6) as d from embeddings a join embeddings b on a.vec_id < b.vec_id where {_D2} < 0.5")
+@query(f"select a.vec_id as a, b.vec_id as b, round({_D2}, 6) as d from embeddings a join embeddings b on a.vec_id < b.vec_id where {_D2} < 1.3")
 def vector_radius(spark, sf):
-    return si.vectors_within(t(spark, sf, "embeddings"), "vec_id", "embedding", 0.5).withColumn("d", F.round("d", 6))
+    return si.vectors_within(t(spark, sf, "embeddings"), "vec_id", "embedding", 1.3).withColumn("d", F.round("d", 6))
 
 
 def _label_pairs(spark, sf):
@@ -530,12 +532,12 @@ def davies_bouldin(spark, sf):
 
 
 @query(
-    f"with recursive p as (select a.vec_id as a, b.vec_id as b from embeddings a join embeddings b on a.vec_id <> b.vec_id where {_D2} < 0.36 + 1e-12), k as (select a from p group by 1 having count(*) + 1 >= 5), ce as (select a, b from p where a in (from k) and b in (from k)), "
+    f"with recursive p as (select a.vec_id as a, b.vec_id as b from embeddings a join embeddings b on a.vec_id <> b.vec_id where {_D2} < 1.3456 + 1e-12), k as (select a from p group by 1 having count(*) + 1 >= 5), ce as (select a, b from p where a in (from k) and b in (from k)), "
     "r as (select a as s, a as c from k union select ce.b, r.c from r join ce on ce.a = r.s), m as (select s, min(c) as c from r group by 1), e as (select p.a, min_by(m.c, p.b) as c from p join m on m.s = p.b where p.a not in (from k) group by 1) "
     "select vec_id, coalesce(m.c, e.c) as cluster from embeddings left join m on m.s = vec_id left join e on e.a = vec_id"
 )
 def dbscan(spark, sf):
-    return cl.dbscan(t(spark, sf, "embeddings"), "vec_id", "embedding", 0.6, 5)
+    return cl.dbscan(t(spark, sf, "embeddings"), "vec_id", "embedding", 1.16, 5)
 
 
 # motifs and scores
