@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -103,9 +105,15 @@ def joined_key(*cols, sep: str = "__") -> Column:
 
 
 def ln_factorial(n) -> Column:
-    """ln(n!) of a small whole number."""
-    n = col(n)
-    return F.when(n < 2, F.lit(0.0)).otherwise(F.aggregate(F.sequence(F.lit(2).cast("long"), F.greatest(n, F.lit(2)).cast("long")), F.lit(0.0), lambda s, i: s + F.ln(i.cast("double"))))
+    """ln(n!) of a whole number of any size: Stirling's series of n + 9, less the logarithms up to there."""
+    z = col(n).cast("double") + 1
+    up = z + 8
+    product = z
+    for i in range(1, 8):
+        product = product * (z + i)
+    w = 1 / (up * up)
+    series = (1 / 12 - w * (1 / 360 - w * (1 / 1260 - w / 1680))) / up  # Bernoulli numbers over 2k(2k - 1)
+    return F.when(col(n) < 2, F.lit(0.0)).otherwise((up - 0.5) * F.ln(up) - up + 0.5 * math.log(2 * math.pi) + series - F.ln(product))
 
 
 def ln_choose(n, k) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from clonoscape.functions.strings import joined_key
 
 from .graph import staged
-from .ordered import numbered
+from .ordered import numbered, running
 
 
 def bucket(*cols, seed: str = "", of: int = 100) -> Column:
@@ -27,10 +27,12 @@ def split(df: DataFrame, key: str | list[str], percents: dict[str, int], seed: s
 
 
 def stratified_split(df: DataFrame, key: str, stratum: str, test_share: float = 0.2, seed: str = "") -> DataFrame:
-    """Adds ``part``: the first rows of each stratum in hashed order are test."""
-    w = Window.partitionBy(stratum).orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string"))), key)
-    n = F.count("*").over(Window.partitionBy(stratum))
-    return df.withColumn("part", F.when(F.row_number().over(w) <= F.round(n * test_share), "test").otherwise("train"))
+    """Adds ``part``: the first rows of each stratum in hashed order are test. A stratum may hold any share of the rows."""
+    order = [F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string"))), F.col(key)]
+    placed = numbered(df, order, "place_", 1, [stratum])
+    sizes = df.groupBy(F.col(stratum).alias("stratum_")).agg(F.round(F.count("*") * test_share).alias("tests_"))
+    joined = placed.join(sizes, F.col(stratum).eqNullSafe(F.col("stratum_")))
+    return joined.withColumn("part", F.when(F.col("place_") <= F.col("tests_"), "test").otherwise("train")).select(*df.columns, "part")
 
 
 def shuffled(df: DataFrame, key: str, seed: str = "") -> DataFrame:
@@ -42,33 +44,50 @@ def subset(df: DataFrame, key: str, n: int, seed: str = "") -> DataFrame:
     return shuffled(df, key, seed).limit(n)
 
 
-def negatives(positives: DataFrame, key: str, epitope: str, chains: tuple[str, str], per: int = 5, pool: int = 60, seed: str = "") -> DataFrame:
-    """For each positive, ``per`` donors of other epitopes none of whose chains binds its epitope; all there are, if fewer.
+def drawn_numbers(n: Column, per: int, key, seed: str = "") -> Column:
+    """``per`` different numbers from 0 to n - 1 (all, if there are no more) from the md5 of key and draw: Floyd's sampling."""
+    k = F.least(n, F.lit(per).cast("long"))
+    text = lambda i: F.concat_ws("|", F.lit(seed), key.cast("string"), i.cast("string"))
+    number = lambda i: F.conv(F.substring(F.md5(text(i)), 1, 15), 16, 10).cast("long")
 
-    Donors are offered by hash, so that each positive meets a bounded number of
-    them at a time: every donor goes to one of several slots, each of about
-    ``pool`` donors, and a positive looks through one slot.  Positives that found
-    too few go on to slots of twice, four times as many donors and so on, at last
-    of all.  key, epitope, donor, rank.
+    def draw(drawn: Column, i: Column) -> Column:
+        last = n - k + i
+        at = F.pmod(number(i), last + 1)
+        return F.concat(drawn, F.array(F.when(F.array_contains(drawn, at), last).otherwise(at)))
+
+    steps = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(per - 1).cast("long")), lambda i: i < k)
+    return F.aggregate(steps, F.array().cast("array<long>"), draw)
+
+
+def negatives(positives: DataFrame, key: str, epitope: str, chains: tuple[str, str], per: int = 5, seed: str = "") -> DataFrame:
+    """key, epitope, donor, rank: for each positive ``per`` donors neither of whose chains binds its epitope; all there are, if fewer.
+
+    Donors need both chains; a positive needs none of its own.  Donors are numbered in
+    the order of their chains, so that those an epitope forbids are a few runs: one for
+    each first chain that binds it, and one for each pair of chains of whose only the
+    second does.  What is left is numbered through (the runs before a number tell how
+    far to shift it), and a positive draws its numbers by hash, without meeting a
+    donor.  Chains and epitopes may be held by any share of the rows.
     """
     a, b = chains
-    n = positives.count()
-    known_a = positives.select(epitope, F.col(a).alias("donor_a")).distinct()
-    known_b = positives.select(epitope, F.col(b).alias("donor_b")).distinct()
-    w = Window.partitionBy(key).orderBy(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.col("donor").cast("string"), F.lit(seed))), "donor")
-    asking, done, slots = positives.select(key, epitope), None, max(1, n // pool)
-    while True:
-        donors = positives.select(F.col(key).alias("donor"), F.col(epitope).alias("donor_epitope"), F.col(a).alias("donor_a"), F.col(b).alias("donor_b"), bucket(key, seed="slot", of=slots).alias("slot"))
-        offered = asking.withColumn("slot", bucket(key, seed=f"ask{seed}", of=slots)).join(donors, "slot").where(F.col(epitope) != F.col("donor_epitope"))
-        free = offered.join(known_a, [epitope, "donor_a"], "left_anti").join(known_b, [epitope, "donor_b"], "left_anti")
-        drawn = staged(free.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per).select(key, epitope, "donor", "rank"), "negatives")
-        short = shortfall(asking, drawn, key, per).select(key)
-        enough = drawn if slots == 1 else drawn.join(short, key, "left_anti")
-        done = enough if done is None else done.unionByName(enough)
-        asking = staged(asking.join(short, key, "left_semi"), "asking")
-        if slots == 1 or not asking.limit(1).count():
-            return done
-        slots = max(1, slots // 2)
+    donors = positives.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(key).alias("donor"), F.col(a).alias("a_"), F.col(b).alias("b_"))
+    placed = staged(numbered(donors, ["a_", "b_", "donor"], "at_", 0), "donors")
+    total = placed.count()
+    binds = lambda c, name: positives.select(F.col(epitope).alias("e_"), F.col(c).alias(name)).where(F.col(name).isNotNull()).distinct()
+    first, second = binds(a, "a_"), binds(b, "b_")
+    run = [F.min("at_").alias("from_"), F.count("*").alias("long_")]
+    by_first = first.join(placed.groupBy("a_").agg(*run), "a_").select("e_", "from_", "long_")
+    by_second = second.join(placed.groupBy("a_", "b_").agg(*run), "b_").join(first, ["e_", "a_"], "left_anti").select("e_", "from_", "long_")
+    runs = staged(by_first.unionByName(by_second), "runs")
+    shifts = running(runs, ["from_"], {"gone_": F.col("long_")}, ["e_"]).select("e_", (F.col("from_") - F.col("gone_")).alias("place_"), F.col("long_").alias("shift_"))
+    left = positives.select(F.col(epitope).alias("e_")).where("e_ is not null").distinct().join(runs.groupBy("e_").agg(F.sum("long_").alias("gone_")), "e_", "left")
+    asked = positives.select(F.col(key).alias("key_"), F.col(epitope).alias("e_")).join(left.select("e_", (F.lit(total) - F.coalesce("gone_", F.lit(0))).alias("left_")), "e_")
+    drawn = asked.select("key_", "e_", F.posexplode(drawn_numbers(F.col("left_"), per, F.col("key_"), seed)).alias("rank", "place_"))
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    events = drawn.select("key_", "e_", "rank", "place_", F.lit(0).cast("long").alias("shift_")).unionByName(shifts.select(none("key_", dict(positives.dtypes)[key]), "e_", none("rank", "int"), "place_", "shift_"))
+    moved = running(events, ["place_", F.col("rank").asc_nulls_first()], {"by_": F.col("shift_")}, ["e_"]).where("rank is not null")
+    found = moved.select("key_", "e_", (F.col("rank") + 1).alias("rank"), (F.col("place_") + F.col("by_")).alias("at_")).join(placed.select("at_", "donor"), "at_")
+    return found.select(F.col("key_").alias(key), F.col("e_").alias(epitope), "donor", "rank")
 
 
 def shortfall(positives: DataFrame, drawn: DataFrame, key: str, per: int = 5) -> DataFrame:

@@ -75,9 +75,11 @@ def hla_association(groups: DataFrame, hla: DataFrame, group: str, patient: str
     hits = donors.join(hla.select(patient, allele).distinct(), patient).groupBy(group, allele).agg(F.count("*").alias("x")).where("x > 1")
     everyone = hla.agg(F.count_distinct(patient).alias("n"))
     x = hits.join(size, group).join(hla_carriers(hla, patient, allele), allele).join(F.broadcast(everyone))
-    tail = F.aggregate(
-        F.sequence(F.col("x"), F.col("k")), F.lit(0.0), lambda s, i: s + F.coalesce(F.exp(ln_choose("carriers", i) + ln_choose(F.col("n") - F.col("carriers"), F.col("k") - i) - ln_choose("n", "k")), F.lit(0.0))
-    )
+    begin = F.exp(ln_choose("carriers", "x") + ln_choose(F.col("n") - F.col("carriers"), F.col("k") - F.col("x")) - ln_choose("n", "k"))
+    more = F.filter(F.sequence(F.col("x"), F.least("k", "carriers")), lambda i: i < F.least("k", "carriers"))
+    ratio = lambda i: (F.col("carriers") - i) * (F.col("k") - i) / ((i + 1) * (F.col("n") - F.col("carriers") - F.col("k") + i + 1).cast("double"))  # noqa: E731  of a term to the one before
+    step = lambda s, i: F.struct((s["term"] * ratio(i)).alias("term"), (s["sum"] + s["term"] * ratio(i)).alias("sum"))
+    tail = F.aggregate(more, F.struct(begin.alias("term"), begin.alias("sum")), step, lambda s: s["sum"])
     return x.select(group, allele, F.col("x").alias("group_carriers"), F.col("k").alias("group_donors"), F.col("carriers"), F.col("n").alias("donors"), tail.alias("p"))
 
 

@@ -683,18 +683,20 @@ def random_subset(spark, sf):
     return sa.subset(t(spark, sf, "orders"), "o_orderkey", 200, "s").select("o_orderkey")
 
 
-_POS = "select c_custkey as id, concat('E', cast(c_nationkey % 9 as varchar(9))) as epitope, cast(c_custkey % 211 as int) as a, cast(c_custkey % 173 as int) as b from "
+#: Positives: chains shared by three or four customers each, one by a tenth of all, and some missing.
+_POS = "select c_custkey as id, concat('E', cast(c_nationkey % 9 as varchar(9))) as epitope, cast(case when c_custkey % 13 = 0 then null when c_custkey % 10 = 0 then -1 else floor(c_custkey / 3) end as bigint) as a, cast(case when c_custkey % 17 < 2 then null else floor(c_custkey * 3 / 10) end as bigint) as b from "
 
 
-def _slots(n: str) -> str:
-    return f"greatest(1, {n} // 60)"
+def _floyd(i: int) -> str:
+    at = f"(('0x' || substring(md5('|' || id || '|{i}'), 1, 15))::bigint % (m - k + {i + 1}))"
+    return f"f{i + 1} as (select id, epitope, m, k, case when k <= {i} then l when list_contains(l, {at}) then list_append(l, m - k + {i}) else list_append(l, {at}) end as l from f{i})"
 
 
 @query(
-    f"with p as ({_POS} customer), n as (select distinct greatest(1, (count(*) // 60) >> unnest(range(0, 20))::int) as s from p), d as (select p.*, s, ('0x' || substring(md5('slot|' || id), 1, 8))::bigint % s as slot from p, n), q as (select p.id, p.epitope, s, ('0x' || substring(md5('ask|' || id), 1, 8))::bigint % s as slot from p, n), "
-    "o as (select q.id, q.epitope, s, d.id as donor, d.a, d.b from q join d using (s, slot) where q.epitope <> d.epitope), f as (select * from o where not exists (select 1 from p where p.epitope = o.epitope and p.a = o.a) and not exists (select 1 from p where p.epitope = o.epitope and p.b = o.b)), "
-    "r as (select id, epitope, s, donor, row_number() over (partition by id, s order by md5(id || '|' || donor || '|'), donor) as rank, count(*) over (partition by id, s) as n from f), b as (select id, max(case when n >= 5 then s else 1 end) as s from r group by 1) "
-    "select id, epitope, donor, rank from r join b using (id, s) where rank <= 5"
+    f"with p as ({_POS} customer), d as (select id, a, b, row_number() over (order by a, b, id) as at_ from p where a is not null and b is not null), al as (select e.epitope, d.id as donor, row_number() over (partition by e.epitope order by at_) - 1 as r, count(*) over (partition by e.epitope) as m from (select distinct epitope from p) e, d "
+    "where not exists (select 1 from p where p.epitope = e.epitope and p.a = d.a) and not exists (select 1 from p where p.epitope = e.epitope and p.b = d.b)), f0 as (select id, p.epitope, m, least(m, 5) as k, []::bigint[] as l from p join (select distinct epitope, m from al) using (epitope)), "
+    + ", ".join(map(_floyd, range(5)))
+    + ", x as (select id, epitope, unnest(l) as r, generate_subscripts(l, 1) as rank from f5) select x.id, x.epitope, al.donor, x.rank from x join al using (epitope, r)"
 )
 def negatives_hashed(spark, sf):
     p = spark.sql(_POS + "{c}", c=t(spark, sf, "customer"))

@@ -14,6 +14,7 @@ from clonoscape.operators import encode as en
 from clonoscape.operators import metrics as me
 from clonoscape.operators import motif as mf
 from clonoscape.operators import sample as sa
+from clonoscape.operators import scoring as sc
 from clonoscape.operators import similarity as si
 from clonoscape.operators.graph import connected_components
 
@@ -120,14 +121,48 @@ def test_splits_are_disjoint_and_whole(spark):
     assert all(abs(r["t"] - 0.2) < 0.02 for r in s)
 
 
-def test_negatives_avoid_positives(spark):
-    rng = np.random.default_rng(3)
-    rows = [(i, f"E{rng.integers(4)}", int(rng.integers(30)), int(rng.integers(30))) for i in range(150)]
-    df = spark.createDataFrame(rows, ["id", "epitope", "a", "b"])
-    by = {r[0]: r for r in rows}
-    seen_a, seen_b = {(r[1], r[2]) for r in rows}, {(r[1], r[3]) for r in rows}
-    got = sa.negatives(df, "id", "epitope", ("a", "b"), per=3).collect()
-    assert got and all((r["epitope"], by[r["donor"]][2]) not in seen_a and (r["epitope"], by[r["donor"]][3]) not in seen_b for r in got)
+@pytest.mark.parametrize("values", [30, 6, 300])
+def test_negatives_are_drawn_from_all_that_are_free(spark, values):
+    """``per`` different free donors for each positive, or all there are; a chain of a third of the rows, rows that lack chains or an epitope."""
+    rng = np.random.default_rng(values)
+    rows = [(i, f"E{rng.integers(4)}" if i % 50 else None, int(rng.integers(values)) if i % 3 else 7, int(rng.integers(values)) if i % 11 else None) for i in range(150)]
+    rows += [(200 + i, "rare", None, None) for i in range(5)]
+    df = spark.createDataFrame(rows, "id long, epitope string, a long, b long").repartition(4)
+    got = {}
+    for r in sa.negatives(df, "id", "epitope", ("a", "b"), per=3).collect():
+        got.setdefault((r["id"], r["epitope"]), []).append((r["rank"], r["donor"]))
+    for i, e, _, _ in rows:
+        bound_a, bound_b = {r[2] for r in rows if r[1] == e}, {r[3] for r in rows if r[1] == e}
+        free = {r[0] for r in rows if None not in r[2:] and r[2] not in bound_a and r[3] not in bound_b} if e else set()
+        mine = sorted(got.pop((i, e), []))
+        assert [k for k, _ in mine] == list(range(1, 1 + min(3, len(free))))
+        assert len({d for _, d in mine}) == len(mine) and {d for _, d in mine} <= free
+    assert not got
+
+
+def test_drawn_numbers_are_different_and_even(spark):
+    df = spark.range(4000).select("id", sa.drawn_numbers(F.lit(8).cast("long"), 3, F.col("id")).alias("x"), sa.drawn_numbers(F.lit(2).cast("long"), 3, F.col("id")).alias("all"))
+    rows = df.collect()
+    assert all(len(set(r["x"])) == 3 and sorted(r["all"]) == [0, 1] for r in rows)
+    counts = np.bincount(np.concatenate([r["x"] for r in rows]), minlength=8)
+    assert len(counts) == 8 and abs(counts / 1500 - 1).max() < 0.1
+
+
+def test_tail_of_many_donors(spark):
+    """The tail from one term and ratios against exact whole numbers, also where factorials are far beyond a double."""
+    from math import comb
+
+    rows = []
+    for n, carriers, group, hits in ((40, 12, 9, 5), (3000, 800, 500, 150), (3000, 2900, 2950, 2851), (50, 50, 20, 20)):
+        g, tag = f"g{n}-{carriers}", f"{n}-{carriers}-"
+        rows.append((g, [f"{tag}{i}" for i in range(n)], carriers, group, hits))
+    for g, donors, carriers, group, hits in rows:
+        n = len(donors)
+        hla = spark.createDataFrame([(d, "A1" if i < carriers else "B") for i, d in enumerate(donors)], "patient string, allele string")
+        members = donors[:hits] + donors[carriers : carriers + group - hits]
+        got = [r for r in sc.hla_association(spark.createDataFrame([(g, d) for d in members], "grp string, patient string"), hla, "grp").collect() if r["allele"] == "A1"][0]
+        want = sum(comb(carriers, i) * comb(n - carriers, group - i) for i in range(hits, min(carriers, group) + 1)) / comb(n, group)
+        assert got["p"] == pytest.approx(want, rel=1e-9) and got["group_carriers"] == hits
 
 
 def test_kmer_totals_and_enrichment(spark):
