@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clonoscape.functions.strings import ln_choose
@@ -68,6 +68,16 @@ def hla_carriers(hla: DataFrame, patient: str = "patient", allele: str = "allele
     return hla.groupBy(allele).agg(F.count_distinct(patient).alias("carriers"))
 
 
+def hypergeometric_tail(x: Column, k: Column, marked: Column, n: Column) -> Column:
+    """Probability of ``x`` or more marked ones among ``k`` drawn from ``n`` without replacement: one term, and the ratios of those after it."""
+    most = F.least(k, marked)
+    begin = F.exp(ln_choose(marked, x) + ln_choose(n - marked, k - x) - ln_choose(n, k))
+    more = F.filter(F.sequence(x, F.greatest(most, x)), lambda i: i < most)
+    ratio = lambda i: (marked - i) * (k - i) / ((i + 1) * (n - marked - k + i + 1).cast("double"))
+    step = lambda s, i: F.struct((s["term"] * ratio(i)).alias("term"), (s["sum"] + s["term"] * ratio(i)).alias("sum"))
+    return F.aggregate(more, F.struct(begin.alias("term"), begin.alias("sum")), step, lambda s: s["sum"])
+
+
 def hla_association(groups: DataFrame, hla: DataFrame, group: str, patient: str = "patient", allele: str = "allele") -> DataFrame:
     """group, allele, carriers in the group, its donors, and the exact hypergeometric upper tail; alleles with several carriers only."""
     donors = groups.select(group, patient).distinct().join(hla.select(patient).distinct(), patient, "left_semi")
@@ -75,11 +85,7 @@ def hla_association(groups: DataFrame, hla: DataFrame, group: str, patient: str
     hits = donors.join(hla.select(patient, allele).distinct(), patient).groupBy(group, allele).agg(F.count("*").alias("x")).where("x > 1")
     everyone = hla.agg(F.count_distinct(patient).alias("n"))
     x = hits.join(size, group).join(hla_carriers(hla, patient, allele), allele).join(F.broadcast(everyone))
-    begin = F.exp(ln_choose("carriers", "x") + ln_choose(F.col("n") - F.col("carriers"), F.col("k") - F.col("x")) - ln_choose("n", "k"))
-    more = F.filter(F.sequence(F.col("x"), F.least("k", "carriers")), lambda i: i < F.least("k", "carriers"))
-    ratio = lambda i: (F.col("carriers") - i) * (F.col("k") - i) / ((i + 1) * (F.col("n") - F.col("carriers") - F.col("k") + i + 1).cast("double"))  # noqa: E731  of a term to the one before
-    step = lambda s, i: F.struct((s["term"] * ratio(i)).alias("term"), (s["sum"] + s["term"] * ratio(i)).alias("sum"))
-    tail = F.aggregate(more, F.struct(begin.alias("term"), begin.alias("sum")), step, lambda s: s["sum"])
+    tail = hypergeometric_tail(F.col("x"), F.col("k"), F.col("carriers"), F.col("n"))
     return x.select(group, allele, F.col("x").alias("group_carriers"), F.col("k").alias("group_donors"), F.col("carriers"), F.col("n").alias("donors"), tail.alias("p"))
 
 

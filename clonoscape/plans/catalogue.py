@@ -12,6 +12,7 @@ from clonoscape.functions.residues import ALPHABET, residue_vectors, substitutio
 from clonoscape.operators import cluster as cl
 from clonoscape.operators import curate as cu
 from clonoscape.operators import encode as en
+from clonoscape.operators import loops as lo
 from clonoscape.operators import metrics as me
 from clonoscape.operators import models as mo
 from clonoscape.operators import motif as mf
@@ -540,6 +541,37 @@ def dbscan(spark, sf):
     return cl.dbscan(t(spark, sf, "embeddings"), "vec_id", "embedding", 1.16, 5)
 
 
+#: The genes of the repertoire with two loops each, which agree but for three residues.
+_GENES = "select v_gene as name, concat('SNHY', substring(x, 1, 2)) as loop_1, concat('YDGEK', substring(x, 3, 1)) as loop_2 from (select distinct v_gene, translate(md5(v_gene), '0123456789abcdef', 'ACDEFGHIKLMNPQRS') as x from {rep}) g"
+
+
+def _receptors(spark, sf):
+    """Distinct receptors by their smallest id, and the gene table."""
+    rep = repertoire(spark, sf)
+    return rep.groupBy("cdr3", "v_gene").agg(F.min("id").alias("id")), spark.sql(_GENES, rep=rep)
+
+
+_COSTS = "c(p, c) as (values " + ", ".join(f"('{a}{b}', {min(4, 4 - v) if a != b else 0})" for (a, b), v in sorted(substitution_scores().items())) + ")"
+_LOOPS = f"""{REP}, {_COSTS}, rec as (select cdr3, v_gene, min(id) as id, length(cdr3) as n from rep group by 1, 2), gn as ({_GENES.replace("{rep}", "rep")}),
+  gp as (select x.name as g, y.name as h, sum(c) as gd from (select *, unnest(range(1, 13)) as i, loop_1 || loop_2 as l from gn) x join (select *, unnest(range(1, 13)) as i, loop_1 || loop_2 as l from gn) y using (i) join c on p = substring(x.l, i::int, 1) || substring(y.l, i::int, 1) group by 1, 2),
+  pr as (select x.id as a, y.id as b, x.cdr3 as s, y.cdr3 as l, x.n as sn, y.n as ln, gd from rec x join rec y on x.n < y.n or x.n = y.n and x.id < y.id join gp on g = x.v_gene and h = y.v_gene where y.n - x.n <= 4),
+  gaps as (select *, unnest(case when sn = ln then [sn] else range(5 - greatest(0, ceil((10 - sn) / 2.0)::bigint), sn - 5 + greatest(0, ceil((10 - sn) / 2.0)::bigint) + 1) end) as g from pr),
+  cut as (select a, b, gd, sn, ln, g, substring(s, 4, (sn - 5)::int) as x, case when sn = ln then substring(l, 4, (ln - 5)::int) else substring(l, 4, (g - 3)::int) || substring(l, (g + ln - sn + 1)::int, (sn - 2 - g)::int) end as y from gaps),
+  each as (select a, b, gd, sn, ln, g, sum(c) as cost from (select *, unnest(range(1, sn - 4)) as i from cut) join c on p = substring(x, i::int, 1) || substring(y, i::int, 1) group by all),
+  nb as (select least(a, b) as i, greatest(a, b) as j, (gd + 3 * (min(cost) + 4 * (ln - sn)))::bigint as d from each group by a, b, gd, sn, ln having gd + 3 * (min(cost) + 4 * (ln - sn)) <= 50)"""
+
+
+def _neighbours(spark, sf):
+    receptors, genes = _receptors(spark, sf)
+    return lo.loop_neighbours(receptors, "id", "v_gene", "cdr3", genes, "name", ["loop_1", "loop_2"], 50)
+
+
+@query(f"{_LOOPS} select i, j, d from nb")
+def loop_neighbours(spark, sf):
+    """Sparse distances of all receptors within 50."""
+    return _neighbours(spark, sf)
+
+
 # motifs and scores
 
 
