@@ -34,6 +34,8 @@ from .common import discard, staged, table
 from .textbatch import U64, buffers, mix, slices, window_hashes, words
 
 SHINGLE = 5
+#: Bytes of text that a task looks at together.
+SLICE = 1 << 19
 #: Nodes of a list that one task compares; longer lists are cut into blocks that meet in pairs.
 LIST_BLOCK = 2048
 #: Shingles for each bucket of signatures; signatures a task gathers before it writes blobs, and groups the lists are dealt to for each shuffle partition.
@@ -84,7 +86,7 @@ def document_sets(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, node (null for an empty set), sketch of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text_"):
+        for b in slices(batches, "text_", SLICE):
             sets = shingle_sets(b.column(1), k)
             node = [node_of(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
@@ -141,7 +143,7 @@ def signature_blobs(docs: DataFrame, buckets: dict[int, tuple[int, int]], k: int
         nodes: list[tuple[int, int]] = []
         sigs: list[np.ndarray] = []
         held = 0
-        for b in slices(batches, "text_"):
+        for b in slices(batches, "text_", SLICE):
             for s in shingle_sets(b.column(0), k):
                 if not len(s) or (node := node_of(s)) in seen:
                     continue
@@ -337,7 +339,7 @@ def whole_sets(wanted: DataFrame, docs: DataFrame, info: DataFrame, k: int = SHI
     holder = info.join(F.broadcast(wanted) if few else wanted, "node").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).getField("doc_id").alias("doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text_"):
+        for b in slices(batches, "text_", SLICE):
             sets = shingle_sets(b.column(0), k)
             yield pa.RecordBatch.from_arrays([pa.array([node_of(s) if len(s) else -1 for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "elements"])
 
@@ -452,7 +454,7 @@ def one_of_each_group(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "own text"):
+        for b in slices(batches, "own text", SLICE):
             node = [node_of(s) if len(s) else None for s in shingle_sets(b.column(at), k)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(node, pa.int64())], [*names, "node"])
 
@@ -460,10 +462,14 @@ def one_of_each_group(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("first")
     keepers = named.groupBy("root").agg(first).select(F.col("first.node").alias("kept node"), F.col("first.doc_id").alias("kept id"))
     same = (F.col("node") == F.col("kept node")) & F.col("own doc_id").eqNullSafe(F.col("kept id"))  # both are keys of the join: many copies of one text meet in many tasks
-    rows = docs.toDF(*names).mapInArrow(run, f"{kinds}, node long").join(keepers, same, "left_semi")
-    order = F.struct("own text", *[n for n in names if n != "own text"])
-    words = rows.groupBy("node").agg(F.min(order).alias("row")).select(*[F.col("row")[n].alias(c) for n, c in zip(names, docs.columns, strict=True)])
-    return words.unionByName(docs.where(~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")))
+    rows = staged(docs.toDF(*names).mapInArrow(run, f"{kinds}, node long").join(keepers, same, "left_semi"), "kept")
+    again = staged(rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node"), "again")
+    one = rows.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
+    if not again.isEmpty():  # rows that repeat the smallest id of their group
+        order = F.struct("own text", *[n for n in names if n != "own text"])
+        least = rows.join(again, "node", "left_semi").groupBy("node").agg(F.min(order).alias("row")).select("row.*")
+        one = rows.join(again, "node", "left_anti").select(*names).unionByName(least.select(*names)).toDF(*docs.columns)
+    return one.unionByName(docs.where(~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")))
 
 
 def op7_partenum_jaccard(spark, sf_dir):
