@@ -120,3 +120,15 @@ def ln_choose(n, k) -> Column:
     """ln of the binomial coefficient; null where k is outside 0..n."""
     n, k = col(n), col(k)
     return F.when((k >= 0) & (k <= n), ln_factorial(n) - ln_factorial(k) - ln_factorial(n - k))
+
+
+def normal_tail(z) -> Column:
+    """Upper tail of the standard normal distribution: a power series near 0, a continued fraction beyond 3."""
+    z = col(z).cast("double")
+    x = F.abs(z)
+    terms = F.sequence(F.lit(1), F.lit(40))
+    step = lambda s, i: F.struct((s["term"] * x * x / (2 * i + 1)).alias("term"), (s["sum"] + s["term"] * x * x / (2 * i + 1)).alias("sum"))
+    near = 0.5 - F.aggregate(terms, F.struct(x.alias("term"), x.alias("sum")), step, lambda s: s["sum"]) * F.exp(-x * x / 2) / math.sqrt(2 * math.pi)
+    far = F.exp(-x * x / 2) / math.sqrt(2 * math.pi) / F.aggregate(F.sequence(F.lit(60), F.lit(1), F.lit(-1)), x, lambda s, i: x + i / s)
+    tail = F.when(x < 3, near).otherwise(far)
+    return F.when(z >= 0, tail).otherwise(1 - tail)

@@ -15,6 +15,7 @@ from clonoscape.functions.vectors import midpoint
 
 from .encode import isometric
 from .graph import connected_components, staged
+from .ordered import numbered
 from .similarity import nearest_vectors, shared_kmer_pairs, vectors_within
 
 
@@ -39,6 +40,11 @@ def group_table(members: DataFrame, seq: str, least: int = 1, prefix: str = "CRG
     return g.where(F.size("m") >= least).select(F.concat(F.lit(prefix), F.element_at("m", 1)).alias("tag"), F.size("m").alias("size"), F.array_join("m", " ").alias("members"))
 
 
+def distinct_tags(groups: DataFrame, tag: str, order: list[str]) -> DataFrame:
+    """The groups with tags told apart: from the second of a tag on, in this order, its number is added."""
+    return numbered(groups, order, "place_", 1, [tag]).withColumn(tag, F.when(F.col("place_") == 1, F.col(tag)).otherwise(F.concat_ws("-", tag, "place_"))).drop("place_")
+
+
 def merge_overlaps(clusters: DataFrame, cluster: str = "cluster", member: str = "member") -> DataFrame:
     """member, component: clusters that share a member become one."""
     chained = clusters.select(cluster, member).distinct()

@@ -84,6 +84,19 @@ def knn_vote(neighbours: DataFrame, labels: DataFrame, key: str, label: str) ->
     return n.withColumn("at", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), label))).where("at = 1").select("a", F.col(label).alias("predicted"))
 
 
+def mean_distances(df: DataFrame, key: str, label: str, vector: str) -> DataFrame:
+    """label, mean_distance, pairs: mean Euclidean distance over all n(n - 1) pairs of each label, which meet in blocks; only sums leave them."""
+
+    def run(a, x, b, y) -> pd.DataFrame:
+        d = np.sqrt(squared_distances(x, y))
+        other = a[:, None] != b[None, :]
+        return pd.DataFrame({"total": [np.where(other, d, 0).sum()], "n": [int(other.sum())]})
+
+    rows = df.where(F.col(label).isNotNull()).select(label, F.col(key).cast("long").alias("a"), F.col(vector).cast("array<double>").alias("x")).where("x is not null")
+    sums = vector_cells(rows, rows.select(label, F.col("a").alias("b"), F.col("x").alias("y")), [label], run, f"`{label}` {dict(df.dtypes)[label]}, total double, n long", keep=label)
+    return sums.groupBy(label).agg((F.sum("total") / F.sum("n")).alias("mean_distance"), F.floor(F.sum("n") / 2).alias("pairs")).where("pairs > 0")
+
+
 def silhouette(df: DataFrame, key: str, label: str, vector: str, within: list[str] = ()) -> DataFrame:
     """Mean silhouette by Euclidean distance; points alone in their label count 0.
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clonoscape.functions.strings import kmers, masked_kmers
+from clonoscape.functions.strings import kmers, masked_kmers, normal_tail
+
+from .graph import staged
 
 
 def kmer_counts(df: DataFrame, region: str, lengths: tuple[int, ...] = (2, 3, 4), gapped: bool = False, least: int = 1, by: list[str] = ()) -> DataFrame:
@@ -35,19 +37,38 @@ def first_drawn(sims: DataFrame, size: int, n: int, depth: int) -> DataFrame:
 def resamples(reference: DataFrame, key: str, size: int, depth: int, strata: list[str] = (), quotas: DataFrame | None = None, seed: str = "") -> DataFrame:
     """``depth`` samples without replacement: the reference's columns and sim (from 1).
 
-    With strata, ``quotas`` (strata, quota) says how many each gives; if a
-    stratum is too small the sample is topped up from the rest.
+    With strata, ``quotas`` (strata, quota) says how many each gives; if strata are
+    too small the sample is topped up from all that is left, in the same order.  Only
+    rows whose order is so low that they may be drawn are ranked.
     """
     sims = reference.crossJoin(F.broadcast(reference.sparkSession.range(1, depth + 1).select(F.col("id").cast("int").alias("sim"))))  # ``depth`` rows
     sims = sims.withColumn("order_", draw_order(F.col(key), F.col("sim"), seed))
-    whole = Window.partitionBy("sim").orderBy("order_", key)
     if not strata:
+        whole = Window.partitionBy("sim").orderBy("order_", key)
         sims = first_drawn(sims, size, reference.count(), depth)
         return sims.withColumn("at_", F.row_number().over(whole)).where(F.col("at_") <= size).drop("at_", "order_")
-    part = Window.partitionBy("sim", *strata).orderBy("order_", key)
-    ranked = sims.join(F.broadcast(quotas), list(strata), "left").withColumn("in_", F.row_number().over(part) <= F.coalesce(F.col("quota"), F.lit(0)))
-    top_up = Window.partitionBy("sim").orderBy(F.col("in_").cast("int").desc(), "order_", key)
-    return ranked.withColumn("at_", F.row_number().over(top_up)).where(F.col("at_") <= size).drop("at_", "order_", "in_", "quota")
+    sizes = reference.groupBy(*strata).agg(F.count("*").alias("n_")).join(quotas.select(*strata, "quota"), strata)
+    share = F.least((F.col("quota") + 8 * F.sqrt("quota") + 20) / F.col("n_"), F.lit(1.0))
+    bounds = staged(sizes.withColumn("below_", F.when(share < 1, F.lpad(F.lower(F.hex(F.floor(share * 16**8).cast("long"))), 8, "0")).otherwise("g")), "quotas")
+    few = sims.join(bounds, list(strata)).where(F.col("order_") < F.col("below_"))
+    got = few.groupBy("sim", *strata).agg(F.count("*").alias("got_")).join(bounds, list(strata))
+    wanted = F.least("quota", "n_")
+    if got.where(F.col("got_") >= wanted).count() < depth * bounds.count():  # a draw fell below its bound, which hardly ever happens
+        few = sims.join(bounds, list(strata))
+    part = Window.partitionBy("sim", *strata).orderBy("order_", key)  # little more than the quota
+    taken = few.withColumn("at_", F.row_number().over(part)).where(F.col("at_") <= F.col("quota")).select(*reference.columns, "sim")
+    missing = size - int(bounds.agg(F.sum(wanted).alias("n")).first()["n"] or 0)
+    if missing <= 0:
+        return taken
+    rest = sims.join(staged(taken, "taken").select(key, "sim"), [key, "sim"], "left_anti")
+    return taken.unionByName(smallest(rest, ["sim"], ["order_", key], missing).select(*reference.columns, "sim"))
+
+
+def smallest(df: DataFrame, by: list[str], order: list[str], most: int, parts: int = 32) -> DataFrame:
+    """The first ``most`` rows of each group: the first of each of its parts, and then of those."""
+    part = F.pmod(F.xxhash64(*order), F.lit(parts))
+    own = df.withColumn("part_", part).withColumn("at_", F.row_number().over(Window.partitionBy(*by, "part_").orderBy(*order))).where(F.col("at_") <= most)
+    return own.withColumn("at_", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("at_") <= most).drop("at_", "part_")
 
 
 def stratum_quotas(sample: DataFrame, strata: list[str]) -> DataFrame:
@@ -91,10 +112,10 @@ def motif_occurrences(members: DataFrame, motifs: DataFrame, group: str, seq: st
     return motif_members(rows.select("row_", seq).distinct(), "row_", seq, motifs).groupBy(F.col(f"row_.{group}").alias(group), "motif").agg(F.count("*").alias("n"))
 
 
-def edge_count_p(n_edges: float, n: int) -> float:
-    """Upper tail of the normal null model of the number of global edges (fitted constants are fixed values)."""
-    import math
-
-    mean = 9.786049e-06 * n**2
-    sd = 1.421e-07 * n**2 + 3.176e-03 * n
-    return 0.5 * math.erfc((n_edges - mean) / (sd * math.sqrt(2)))
+def edge_count_null(edges: DataFrame, sequences: DataFrame) -> DataFrame:
+    """n, edges, mean, sd, z, p: the number of global edges against its normal null model (fitted constants are fixed values)."""
+    n = F.col("n").cast("double")
+    counts = sequences.agg(F.count("*").alias("n")).crossJoin(edges.agg(F.count("*").alias("edges")))  # a row each
+    told = counts.withColumn("mean", 9.786049e-06 * n * n).withColumn("sd", 1.421e-07 * n * n + 3.176e-03 * n)
+    told = told.withColumn("z", F.when(F.col("sd") > 0, (F.col("edges") - F.col("mean")) / F.col("sd")))
+    return told.withColumn("p", normal_tail("z"))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,6 +69,61 @@ def expansion_enrichment(groups: DataFrame, sample: DataFrame, group: str, count
     return p.withColumn("p", F.round(F.when(F.col("p") == 0, 1.0 / depth).otherwise(F.col("p")), 3))
 
 
+def category_p(groups: DataFrame, reference: DataFrame, group: str, category: str, depth: int = 1000, version: int = 2, seed: int = 1) -> DataFrame:
+    """category_enrichment on counts: a draw is how often each category comes among a group's members, not the members themselves.
+
+    Counts are multinomial, drawn category by category from binomials, so that a
+    group costs ``depth`` times the categories (V genes or lengths: some tens),
+    whatever its size. Draws hang on the group's name alone.
+    """
+    observed = frequency_product(groups, group, category)
+    shares = reference.groupBy(category).agg(F.count("*").alias("n")).agg(F.transform(F.array_sort(F.collect_list(F.struct(category, "n"))), lambda x: x["n"]).alias("shares"))
+    rows = observed.select(group, F.col("score").alias("score_"), F.col("members").cast("long").alias("members_")).crossJoin(F.broadcast(shares))  # one row of some tens of counts
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for g, score, members, n in zip(b[group], b["score_"], b["members_"], b["shares"], strict=True):
+                share = np.array(n, float)
+                drawn = np.random.default_rng([seed, zlib.crc32(str(g).encode())]).multinomial(members, share / share.sum(), depth)
+                logs = np.log(np.maximum(drawn, 1) / members)
+                s = np.round(np.round(np.exp(np.where(drawn > 0, logs, 0).sum(1)), 9), 3)
+                out.append(max(1, int((s >= score).sum() if version == 1 else (s > score).sum())) / depth)
+            yield pd.DataFrame({group: b[group], "p": out})
+
+    return rows.mapInPandas(run, f"`{group}` {dict(groups.dtypes)[group]}, p double")
+
+
+#: Rows up to which numbers are drawn without replacement; beyond, a share of the rows so small that it makes no difference is drawn with.
+MOST_WITHOUT = 1_000_000_000
+
+
+def expansion_p(groups: DataFrame, sample: DataFrame, group: str, count: str, depth: int = 1000, seed: int = 1) -> DataFrame:
+    """expansion_enrichment on counts: a draw is how many records of each count value come among as many records as a group has.
+
+    These are multivariate hypergeometric, drawn value by value; groups of one size
+    share their draws, so that a row a size is written.  The values (clone counts) are
+    sent to each task, some thousands.
+    """
+    observed = groups.groupBy(group).agg(F.avg(count).alias("mean_"), F.count("*").alias("size_"))
+    values = sample.groupBy(F.col(count).cast("double").alias("v")).agg(F.count("*").alias("n")).agg(F.array_sort(F.collect_list(F.struct("v", "n"))).alias("values"))
+    sizes = observed.select("size_").distinct().crossJoin(F.broadcast(values))  # one row
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for size, pairs in zip(b["size_"], b["values"], strict=True):
+                v, n = np.array([x["v"] for x in pairs], float), np.array([x["n"] for x in pairs], np.int64)
+                rng = np.random.default_rng([seed, size])
+                drawn = rng.multivariate_hypergeometric(n, size, depth, method="marginals") if n.sum() < MOST_WITHOUT else rng.multinomial(size, n / n.sum(), depth)
+                out.append((drawn @ v / size).tolist())
+            yield pd.DataFrame({"size_": b["size_"], "drawn": out})
+
+    drawn = sizes.mapInPandas(run, "size_ long, drawn array<double>")
+    reached = F.size(F.filter("drawn", lambda x: x >= F.col("mean_") - 1e-12))
+    return observed.join(drawn, "size_").select(group, (F.greatest(reached, F.lit(1)) / F.lit(float(depth))).alias("p"))
+
+
 def hla_carriers(hla: DataFrame, patient: str = "patient", allele: str = "allele") -> DataFrame:
     return hla.groupBy(allele).agg(F.count_distinct(patient).alias("carriers"))
 

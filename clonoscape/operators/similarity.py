@@ -7,11 +7,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clonoscape.functions.alignment import smith_waterman
+from clonoscape.functions.alignment import local_scores
 from clonoscape.functions.strings import col, dotted, hamming, kmers, trim_ends, wildcards
 
 from . import pivots
 from .graph import staged
+from .ordered import numbered
 from .pivots import squared_distances  # noqa: F401
 
 
@@ -155,12 +156,13 @@ def shared_kmer_pairs(df: DataFrame, key: str, seq: str, k: int = 5, least: int
 BLOCK_ROWS = 2048
 
 
-def vector_cells(asks: DataFrame, rows: DataFrame, within: list[str], run, schema: str) -> DataFrame:
+def vector_cells(asks: DataFrame, rows: DataFrame, within: list[str], run, schema: str, keep: str | None = None) -> DataFrame:
     """Meets every block of ``asks`` (a, x) with every block of ``rows`` (b, y) of the same group.
 
     ``run(a, x, b, y)`` gets ids and matrices of one cell and returns columns of
     ``schema``.  Blocks are bounded whatever the size of the tables; a row is
-    sent once for each block that it meets.
+    sent once for each block that it meets.  ``keep`` names a group column that the
+    result has too.
     """
     n_rows, n_asks = rows.count(), asks.count()
     nb, na = max(1, -(-n_rows // BLOCK_ROWS)), max(1, -(-n_asks // BLOCK_ROWS))
@@ -176,7 +178,8 @@ def vector_cells(asks: DataFrame, rows: DataFrame, within: list[str], run, schem
         left, right = order[asking[order]], order[~asking[order]]
         if not len(left) or not len(right):
             return pd.DataFrame({f.split()[0]: [] for f in schema.split(", ")})
-        return run(ids[left], v[left], ids[right], v[right])
+        out = run(ids[left], v[left], ids[right], v[right])
+        return out if keep is None else out.assign(**{keep: t[keep].iloc[0]})
 
     return left.unionByName(right).groupBy(*within, "ba", "bb").applyInPandas(cell, schema)
 
@@ -218,15 +221,39 @@ def mean_pair_distance(distances: DataFrame, labels: DataFrame, key: str, label:
     return x.groupBy(label).agg((F.sum("d") / F.count("*")).alias("mean_distance"), F.count("*").alias("pairs"))
 
 
+def pair_alignments(members: DataFrame, cluster: str, key: str, seq: str, match: int = 3, mismatch: int = -3, gap: int = -2, block: int = 512) -> DataFrame:
+    """ca, cb, i, j, score: local alignment of all pairs of sequences, within and between clusters, ca <= cb.
+
+    Sequences are numbered by cluster and key and cut into blocks; two blocks meet in
+    one group, each pair of blocks once, so that a block is sent once a row and column of the triangle.
+    """
+    rows = staged(numbered(members.select(F.col(cluster).alias("c"), F.col(key).alias("k"), F.col(seq).alias("s")).where("s is not null"), ["c", "k"], "at", 0), "sequences")
+    blocks = -(-rows.count() // block)
+    own = F.floor(F.col("at") / block)
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, blocks - 1)).cast("long")))
+    met = rows.withColumn("own", own).withColumn("other", every)
+    met = met.select(F.least("own", "other").alias("row"), F.greatest("own", "other").alias("column"), "own", "at", "c", "k", "s")
+    kinds = dict(members.dtypes)
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("at")
+        row, column = t["row"].iloc[0], t["column"].iloc[0]
+        left, right = t[t["own"] == row], t[t["own"] == column]
+        out = []
+        for r in left.itertuples():
+            some = right[right["at"] > r.at]
+            if len(some):
+                out.append(pd.DataFrame({"ca": r.c, "cb": some["c"], "i": r.k, "j": some["k"], "score": local_scores([r.s] * len(some), some["s"].tolist(), match, mismatch, gap)}))
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("ca", "cb", "i", "j", "score")})
+
+    return met.groupBy("row", "column").applyInPandas(run, f"ca {kinds[cluster]}, cb {kinds[cluster]}, i {kinds[key]}, j {kinds[key]}, score long")
+
+
 def cluster_alignments(members: DataFrame, cluster: str = "cluster", seq: str = "cdr3", match: int = 3, mismatch: int = -3, gap: int = -2) -> DataFrame:
     """Mean local alignment score of each pair of clusters (own pairs too), ca <= cb."""
-    x = members.select(F.col(cluster).alias("ca"), F.col(seq).alias("x"), F.monotonically_increasing_id().alias("i")) if "id" not in members.columns else members.select(F.col(cluster).alias("ca"), F.col(seq).alias("x"), F.col("id").alias("i"))
-    y = x.select(F.col("ca").alias("cb"), F.col("x").alias("y"), F.col("i").alias("j"))
-    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = x.repartition(parts, "i").crossJoin(y).where("ca < cb or (ca = cb and i < j)")  # all pairs are what is asked for
-    score = smith_waterman(match, mismatch, gap)
-    scored = pairs.select("ca", "cb", score("x", "y").alias("s"))
-    return scored.groupBy("ca", "cb").agg(F.avg("s").alias("mean_score"), F.count("*").alias("pairs"))
+    rows = members if "id" in members.columns else members.withColumn("id", F.xxhash64(seq))
+    scored = pair_alignments(rows, cluster, "id", seq, match, mismatch, gap)
+    return scored.groupBy("ca", "cb").agg(F.avg("score").alias("mean_score"), F.count("*").alias("pairs"))
 
 
 def prefix_annotations(clones: DataFrame, annotations: DataFrame, clone: str, annotated: str, exact: bool = True) -> DataFrame:

@@ -200,8 +200,9 @@ def output_is_kept(spark, sf):
     return spark.read.parquet(path)
 
 
-@query("select * from (values ('cutoff', '7.0'), ('rounds', '3'), ('v_gene', 'True')) v(name, value)")
+@query("select r_name as name, r_regionkey::varchar as value from region")
 def parameter_file(spark, sf):
+    """Names and values of a table, written as a file of parameters and read as such."""
     path = fresh(spark, "parameters")
-    sk.parameter_table(spark, {"cutoff": 7.0, "rounds": 3, "v_gene": True}).coalesce(1).write.option("sep", "\t").csv(path)
+    t(spark, sf, "region").select(F.col("r_name").alias("name"), F.col("r_regionkey").cast("string").alias("value")).write.option("sep", "\t").csv(path)
     return sk.parameter_table(spark, sk.read_parameters(spark, path))

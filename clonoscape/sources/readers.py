@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clonoscape.operators.ordered import numbered, running
+
 #: Columns of a chain table (fixed values).
 CHAIN_COLUMNS = (
     "complex.id:int gene:string cdr3:string v.segm:string j.segm:string species:string mhc.a:string mhc.b:string mhc.class:string antigen.epitope:string "
@@ -78,18 +80,22 @@ def read_repertoire(spark: SparkSession, path, header: bool | None = None) -> Da
 
 
 def _numbered(spark: SparkSession, path) -> DataFrame:
-    """Lines with their file and place in it; each file is one row until its lines are taken apart, so the order is its own."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", "\r?\n").alias("lines"))
-    return whole.select("file", F.posexplode("lines").alias("line", "value"))
+    """file, line (from 0), value of all lines; a file may be read by many tasks, whose places are added up."""
+    at = [F.col("start"), F.col("id")]
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"), "value")
+    return numbered(rows, at, "line", 0, ["file"]).select("file", "line", "value")
 
 
 def read_fasta(spark: SparkSession, path, upper: bool = False) -> DataFrame:
-    """name, sequence: lines below a header joined; the name is the header, or its second field if it has several."""
+    """name, sequence: lines below a header joined; the name is the header, or its second field if it has several.
+
+    Files are split among tasks; a record may begin in one and end in another.
+    """
     lines = _numbered(spark, path).where("trim(value) <> ''")
     is_header = F.col("value").startswith(">")
-    order = Window.partitionBy("file").orderBy("line")
-    numbered = lines.withColumn("record", F.sum(F.when(is_header, 1).otherwise(0)).over(order)).where("record > 0")
-    parts = numbered.groupBy("file", "record").agg(
+    begun = running(lines, ["line"], {"before": is_header.cast("long")}, ["file"])
+    records = begun.withColumn("record", F.col("before") + is_header.cast("long")).where("record > 0")
+    parts = records.groupBy("file", "record").agg(
         F.max(F.when(is_header, F.substring("value", F.lit(2), F.length("value")))).alias("header"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~is_header, F.struct("line", F.trim("value").alias("s"))))), lambda x: x["s"]), "").alias("sequence"),
     )

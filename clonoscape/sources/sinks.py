@@ -35,6 +35,18 @@ def write_clusters(clusters: DataFrame, path: str, parameters: dict, mode: str =
     clusters.sparkSession.createDataFrame([(json.dumps(parameters, sort_keys=True),)], "parameters string").coalesce(1).write.mode(mode).text(f"{path}/parameters")
 
 
+def write_cluster_text(clusters: DataFrame, path: str, parameters: dict, mode: str = "errorifexists") -> None:
+    """Cluster rows as tab-separated lines below two lines that begin with ##: the parameters, and the names of the columns.
+
+    Parts are in order, so that the first one begins with these two lines.
+    """
+    spark = clusters.sparkSession
+    told = " ".join(f"{k}={v}" for k, v in sorted(parameters.items()))
+    head = spark.createDataFrame([(0, f"##{told}"), (1, "##" + "\t".join(clusters.columns))], "at int, value string")
+    rows = clusters.select(F.lit(2).alias("at"), F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in clusters.columns]).alias("value"))
+    head.unionByName(rows).orderBy("at", "value").select("value").write.mode(mode).text(path)
+
+
 def write_encodings(encoded: DataFrame, path: str, per_file: int = 50_000, mode: str = "errorifexists") -> None:
     """Vectors as an array column, so many rows a file."""
     encoded.write.mode(mode).option("maxRecordsPerFile", per_file).parquet(path)

@@ -1,6 +1,6 @@
 import pytest
 
-from clonoscape.plans import catalogue, layouts, wider  # noqa: F401
+from clonoscape.plans import catalogue, deeper, layouts, wider  # noqa: F401
 
 from .duck import compare, connect
 

@@ -173,7 +173,17 @@ def test_kmer_totals_and_enrichment(spark):
     got = {r["motif"]: r for r in mf.enrichment(obs, log, 4, 10).collect()}
     assert got["AB"]["p"] == 0.25 and got["AB"]["avg_ref"] == 1.5 and got["AB"]["top_ref"] == 5
     assert got["CD"]["p"] == 0.25 and got["CD"]["avg_ref"] == 0 and got["CD"]["ove"] == pytest.approx(1 / 40)
-    assert 0 < mf.edge_count_p(10, 1000) < 1
+
+
+def test_normal_tail_and_null_model(spark):
+    from math import erfc, sqrt
+
+    z = [-30.0, -7.5, -3.1, -2.9, -1.0, -0.01, 0.0, 0.5, 1.96, 2.99, 3.0, 3.01, 5.0, 12.0, 30.0]
+    for r in spark.createDataFrame([(x,) for x in z], "z double").select("z", st.normal_tail("z").alias("p")).collect():
+        assert r["p"] == pytest.approx(0.5 * erfc(r["z"] / sqrt(2)), rel=1e-9)
+    got = mf.edge_count_null(spark.range(25), spark.range(1000)).first()
+    mean, sd = 9.786049e-06 * 1000**2, 1.421e-07 * 1000**2 + 3.176e-03 * 1000
+    assert got["z"] == pytest.approx((25 - mean) / sd) and got["p"] == pytest.approx(0.5 * erfc((25 - mean) / sd / sqrt(2)), rel=1e-9)
 
 
 def test_metrics(spark):

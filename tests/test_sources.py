@@ -1,5 +1,6 @@
 """Readers and sinks on small files."""
 
+import numpy as np
 import pytest
 
 from clonoscape.sources import readers as rd
@@ -79,3 +80,25 @@ def test_stream_of_repertoires(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert rows(spark.read.parquet(f"{tmp_path}/out/batch=0"), "id", "matched") == [(1, "CASSLGQYF")]
+
+
+def test_files_are_split_among_tasks(spark, tmp_path):
+    """FASTA records and numbered lines of a file that many tasks read, with records across their borders, blank lines and Windows line ends."""
+    rng = np.random.default_rng(1)
+    records = [(f"gene{i}", ["".join(rng.choice(list("ACDE"), int(rng.integers(1, 70)))) for _ in range(int(rng.integers(0, 6)))]) for i in range(300)]
+    fasta, lines = tmp_path / "f", tmp_path / "l"
+    fasta.mkdir()
+    lines.mkdir()
+    for k, part in enumerate((records[:250], records[250:])):
+        (fasta / f"{k}.fa").write_text("".join(f">x|{n}|y\r\n" + "".join(f"{s}\n" + "\n" * (len(s) % 3 == 0) for s in ss) for n, ss in part))
+    (lines / "c.txt").write_text("".join((", ".join(f"m{i}-{j}" for j in range(i % 4 + 1)) if i % 7 != 3 else "") + "\n" for i in range(900)))
+    keep = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    try:
+        assert spark.read.text(str(fasta)).rdd.getNumPartitions() > 4
+        got = {r["name"]: r["sequence"] for r in rd.read_fasta(spark, str(fasta)).collect()}
+        members = sorted((r["cluster"], r["member"]) for r in rd.read_cluster_lines(spark, str(lines)).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", keep)
+    assert got == {n: "".join(ss) for n, ss in records}
+    assert members == sorted((i, f"m{i}-{j}") for i in range(900) if i % 7 != 3 for j in range(i % 4 + 1))
