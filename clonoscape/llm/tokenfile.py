@@ -33,6 +33,10 @@ from .textbatch import slices
 SKIPPABLE, DOC_INDEX, SEEKABLE = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
 FRAME_TOKENS = 1 << 15
 LEVEL = 3
+#: A file is ended, and the next one of the task begun, after so many tokens or documents.
+FILE_TOKENS, FILE_DOCS = 1 << 26, 1 << 18
+#: Documents that a reader hands on at once.
+READ_DOCS = 1 << 15
 
 
 class FileWriter:
@@ -157,13 +161,14 @@ def _library_encoder(path: str) -> tuple[ChunkCache, int]:
     return ChunkCache(encode, most=1_000_000), 2 if tok.get_vocab_size() <= 1 << 16 else 4
 
 
-def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Encode all documents and write them in ascending id order, one file for each range of ids.
+def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int, text_col: str = "text", id_col: str = "doc_id", file_tokens: int = FILE_TOKENS, file_docs: int = FILE_DOCS) -> DataFrame:
+    """Encode all documents and write them in ascending id order, each range of ids as files of bounded size.
 
-    Returns the manifest (shard, path, documents, tokens), one row a file, in the
+    Returns the manifest (shard, piece, path, documents, tokens), one row a file, in the
     order of the ids.  A null text holds only the end id; null ids come first;
-    documents of one id are ordered by their text; an empty table gives no
-    documents; other columns are not read.  A retried task writes a file
+    documents of one id are ordered by their text; repeated rows are written each; a very long
+    text is one document, which a file holds whole; an empty table gives no
+    documents; other columns are not read.  A retried task writes files
     of its own; only the files of the manifest count.
     """
     spark = docs.sparkSession
@@ -172,34 +177,47 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int, text
         cache, width = library_encoder(path)
         task = TaskContext.get()
         fs, base = pafs.FileSystem.from_uri(folder)
-        name = f"{base}/part-{task.partitionId():06d}-{task.taskAttemptId()}.zst"
-        out, writer, n, total = None, None, 0, 0
         end = np.array([end_id], np.uint32)
+        out, writer, name, piece, total = None, None, "", 0, 0
+
+        def ended() -> pa.RecordBatch:
+            writer.finish()
+            out.close()
+            row = [pa.array([task.partitionId()], pa.int32()), pa.array([piece], pa.int32()), pa.array([name]), pa.array([len(writer.docs)], pa.int64()), pa.array([total], pa.int64())]
+            return pa.RecordBatch.from_arrays(row, ["shard", "piece", "path", "documents", "tokens"])
+
         for b in slices(batches, "text_"):
-            if out is None:
-                fs.create_dir(base, recursive=True)
-                out = fs.open_output_stream(name, compression=None)
-                writer = FileWriter(out, width if end_id < 1 << 16 else 4)
             for doc_id, raw in zip(b.column(0).to_pylist(), cache.ids([t or "" for t in b.column(1).to_pylist()]), strict=True):
                 ids = np.concatenate([np.frombuffer(raw, np.uint32), end])
+                if out is not None and (total + len(ids) > file_tokens or len(writer.docs) >= file_docs):
+                    yield ended()
+                    out, piece, total = None, piece + 1, 0
+                if out is None:
+                    fs.create_dir(base, recursive=True)
+                    name = f"{base}/part-{task.partitionId():06d}-{task.taskAttemptId()}-{piece:06d}.zst"
+                    out = fs.open_output_stream(name, compression=None)
+                    writer = FileWriter(out, width if end_id < 1 << 16 else 4)
                 writer.add(doc_id, ids)
-                n, total = n + 1, total + len(ids)
+                total += len(ids)
         if out is not None:
-            writer.finish()
-            out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int32()), pa.array([name]), pa.array([n], pa.int64()), pa.array([total], pa.int64())], ["shard", "path", "documents", "tokens"])
+            yield ended()
 
     keyed = docs.select(F.col(id_col).cast("long").alias("id_"), F.col(text_col).alias("text_"), F.xxhash64(text_col).alias("h_"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = keyed.repartitionByRange(parts, "id_", "h_").sortWithinPartitions("id_", "h_", "text_").select("id_", "text_")
-    return staged(ordered.mapInArrow(run, "shard int, path string, documents long, tokens long"), "token-manifest")
+    return staged(ordered.mapInArrow(run, "shard int, piece int, path string, documents long, tokens long"), "token-manifest")
 
 
 def read_token_files(manifest: DataFrame, folder: str, id_col: str = "doc_id") -> DataFrame:
-    """Per document of the files: id, start (ids of all documents before it), n_tokens, ids_crc32 (of little-endian uint32)."""
+    """Per document of the files: id, start (ids of all documents before it), n_tokens, ids_crc32 (of little-endian uint32).
+
+    Null ids, repeated and empty documents come back as they were written; a manifest
+    without files gives no rows.  A task holds a frame, a file's index and READ_DOCS results.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = pafs.FileSystem.from_uri(folder)
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], [id_col, "start", "n_tokens", "ids_crc32"])
         for b in batches:
             for name, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 with fs.open_input_file(name) as src:
@@ -207,10 +225,13 @@ def read_token_files(manifest: DataFrame, folder: str, id_col: str = "doc_id") -
                     for doc_id, ids in FileReader(src).documents():
                         rows.append((doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                         start += len(ids)
-                    columns = list(zip(*rows, strict=True)) or [[]] * 4
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [id_col, "start", "n_tokens", "ids_crc32"])
+                        if len(rows) == READ_DOCS:
+                            yield made(rows)
+                            rows = []
+                    if rows:
+                        yield made(rows)
 
-    before = F.coalesce(F.sum("tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("tokens").over(Window.orderBy("shard", "piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = manifest.select("path", before.alias("start"))  # one row a file
     files = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return placed.repartition(files, "path").mapInArrow(run, f"`{id_col}` long, start long, n_tokens long, ids_crc32 long")

@@ -50,9 +50,13 @@ def test_digests(spark, odd):
     assert round_trip == texts
 
 
-def test_files_in_order(spark, odd, tmp_path):
+@pytest.mark.parametrize("sizes", [{}, {"file_tokens": 20}, {"file_docs": 2}])
+def test_files_in_order(spark, odd, tmp_path, sizes):
     folder = f"file://{tmp_path}/tokens"
-    manifest = tokenfile.write_token_files(odd, folder, PATH, end_id=2)
+    manifest = tokenfile.write_token_files(odd, folder, PATH, end_id=2, **sizes)
+    files = manifest.collect()
+    assert len({r["path"] for r in files}) == len(files) and all(r["documents"] == 1 or r["tokens"] <= sizes.get("file_tokens", 1 << 30) for r in files)
+    assert max(r["documents"] for r in files) <= sizes.get("file_docs", 99) and (not sizes or any(r["piece"] > 0 for r in files))
     got = sorted(map(tuple, tokenfile.read_token_files(manifest, folder).collect()), key=lambda r: r[1])
     rows = sorted(((r["doc_id"] if r["doc_id"] is not None else -1), r["text"] or "") for r in odd.collect())
     start = 0
