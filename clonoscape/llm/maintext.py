@@ -81,7 +81,9 @@ BOILER_NAMES = frozenset(
     "social related recommended comment comments disqus respond reply replies pagination pager toolbar copyright legal disclaimer contentinfo complementary search "
     "dialog skip".split()
 )
-#: Of these, those that hold articles of their own, which stay boilerplate; and tags that stay so.
+#: Of these, those that may be what an article is about, and mark nothing on an article or main element itself.
+TOPICS = frozenset("social legal copyright alert search notice".split())
+#: Those that hold articles of their own, which stay boilerplate; and tags that stay so.
 READERS = frozenset("comment comments disqus respond reply replies related recommended".split())
 KEPT_OUT = frozenset("nav footer aside dialog menu".split())
 #: Words that may stand beside those names in one class, as in site-footer; any other word (has-sidebar, no-ads) makes it another class.
@@ -159,10 +161,11 @@ def is_hidden(name: str, value: str) -> bool:
     return name == "hidden" and not value.startswith("until") or name == "aria-hidden" and value == "true"
 
 
-def is_boiler(token: str, in_content: bool) -> bool:
+def is_boiler(token: str, in_content: bool, article: bool = False) -> bool:
     """Whether a whole class, id or role says boilerplate: all its words do, or stand beside one that does."""
     names = set(NAME.findall(token))
     marks = BOILER_NAMES if in_content else BOILER_NAMES | {"header"}
+    marks = marks - TOPICS if article else marks
     return token == "hidden" or bool(names & marks) and names <= marks | NEUTRAL
 
 
@@ -181,7 +184,7 @@ def element_marks(tag: str, attributes: str, around: Marks) -> Marks:
         if name in ("class", "id", "role"):
             named |= bool(set(NAME.findall(value)) & CONTENT_NAMES)
             for token in value.split():
-                if is_boiler(token, around.content or named):
+                if is_boiler(token, around.content or named, article):
                     boiler, out = True, out or bool(set(NAME.findall(token)) & READERS)
         elif is_hidden(name, value):
             boiler = out = True

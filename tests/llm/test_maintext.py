@@ -116,3 +116,14 @@ def test_generated_pages():
         some = lambda: "".join(c() for c in r.sample(clutter, r.randint(0, 4)))
         page = f"<!doctype html><html><head><title>{say(4)}</title></head><body>{some()}{around.format(''.join(body))}{some()}</body></html>"
         assert text(page) == " ".join(want), page
+
+
+@pytest.mark.parametrize("name", ["social", "legal", "search", "copyright notice"])
+def test_what_an_article_is_about_does_not_empty_it(name):
+    page = f"<body><nav><a href=x>Home</a></nav><article class='{name}'><h1>On {name}</h1><p>{'Plain words of the text. ' * 6}</p></article><div class='social'><a href=y>Share this</a></div></body>"
+    assert mt.main_text(page, TREE) == f"On {name} " + " ".join(["Plain words of the text."] * 6)
+
+
+def test_readers_comments_stay_out_even_as_articles():
+    page = f"<body><article><p>{'Words of the text itself. ' * 6}</p></article><section class='comments'><article class='comment'><p>{'I think that this is wrong. ' * 5}</p></article></section></body>"
+    assert mt.main_text(page, TREE) == " ".join(["Words of the text itself."] * 6)
