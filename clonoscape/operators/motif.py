@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clonoscape.functions.strings import kmers, masked_kmers, normal_tail
 
 from .graph import staged
+from .ordered import numbered
 
 
 def kmer_counts(df: DataFrame, region: str, lengths: tuple[int, ...] = (2, 3, 4), gapped: bool = False, least: int = 1, by: list[str] = ()) -> DataFrame:
@@ -24,14 +29,10 @@ def draw_order(key, sim, seed: str = "") -> Column:
     return F.md5(F.concat_ws("|", F.lit(seed), sim.cast("string"), key.cast("string")))
 
 
-def first_drawn(sims: DataFrame, size: int, n: int, depth: int) -> DataFrame:
-    """Of n rows a draw (sim, order_) those that may be among the first ``size``: the rest needs no sorting."""
+def first_drawn(sims: DataFrame, size: int, n: int) -> DataFrame:
+    """Of n rows a draw (sim, order_) those that may be among the first ``size``, as their order is so low: the rest needs no sorting."""
     share = (size + 8 * size**0.5 + 20) / max(1, n)
-    if share >= 0.5:
-        return sims
-    few = sims.where(F.col("order_") < format(int(share * 16**8), "08x"))
-    enough = few.groupBy("sim").agg(F.count("*").alias("n")).where(F.col("n") >= size).count() == depth
-    return few if enough else sims
+    return sims if share >= 0.5 else sims.where(F.col("order_") < format(int(share * 16**8), "08x"))
 
 
 def resamples(reference: DataFrame, key: str, size: int, depth: int, strata: list[str] = (), quotas: DataFrame | None = None, seed: str = "") -> DataFrame:
@@ -44,9 +45,10 @@ def resamples(reference: DataFrame, key: str, size: int, depth: int, strata: lis
     sims = reference.crossJoin(F.broadcast(reference.sparkSession.range(1, depth + 1).select(F.col("id").cast("int").alias("sim"))))  # ``depth`` rows
     sims = sims.withColumn("order_", draw_order(F.col(key), F.col("sim"), seed))
     if not strata:
-        whole = Window.partitionBy("sim").orderBy("order_", key)
-        sims = first_drawn(sims, size, reference.count(), depth)
-        return sims.withColumn("at_", F.row_number().over(whole)).where(F.col("at_") <= size).drop("at_", "order_")
+        n = reference.count()
+        ranked = lambda rows: rows.withColumn("at_", F.row_number().over(Window.partitionBy("sim").orderBy("order_", key))).where(F.col("at_") <= size).select(*reference.columns, "sim")
+        drawn = staged(ranked(first_drawn(sims, size, n)), "drawn")
+        return drawn if drawn.count() == depth * min(size, n) else ranked(sims)  # the latter if a draw fell below its bound, which hardly ever happens
     sizes = reference.groupBy(*strata).agg(F.count("*").alias("n_")).join(quotas.select(*strata, "quota"), strata)
     share = F.least((F.col("quota") + 8 * F.sqrt("quota") + 20) / F.col("n_"), F.lit(1.0))
     bounds = staged(sizes.withColumn("below_", F.when(share < 1, F.lpad(F.lower(F.hex(F.floor(share * 16**8).cast("long"))), 8, "0")).otherwise("g")), "quotas")
@@ -82,8 +84,12 @@ def resample_log(samples: DataFrame, region: str, observed: DataFrame, lengths=(
 
 
 def enrichment(observed: DataFrame, log: DataFrame, depth: int, n_sequences: int, floor_p: bool = True) -> DataFrame:
-    """motif, n, avg_ref, top_ref, ove, p of each observed motif over ``depth`` samples; absent counts as 0."""
+    """motif, n, avg_ref, top_ref, ove, p of each observed motif over ``depth`` samples (sim, motif, n); absent counts as 0."""
     stats = log.join(observed.withColumnRenamed("n", "seen"), "motif").groupBy("motif").agg(F.sum("n").alias("total"), F.max("n").alias("top"), F.count_if(F.col("n") >= F.col("seen")).alias("reached"))
+    return _enriched(observed, stats, depth, n_sequences, floor_p)
+
+
+def _enriched(observed: DataFrame, stats: DataFrame, depth: int, n_sequences: int, floor_p: bool) -> DataFrame:
     x = observed.join(stats, "motif", "left")
     mean = F.coalesce("total", F.lit(0)) / F.lit(float(depth))
     p = F.coalesce("reached", F.lit(0)) / F.lit(float(depth))
@@ -92,6 +98,44 @@ def enrichment(observed: DataFrame, log: DataFrame, depth: int, n_sequences: int
     return out.withColumn("p", F.when(F.col("p") == 0, 1.0 / depth).otherwise(F.col("p"))) if floor_p else out
 
 
+def resample_enrichment(sample: DataFrame, reference: DataFrame, key: str, region: str, depth: int = 1000, lengths: tuple[int, ...] = (2, 3, 4), gapped: bool = False, seed: str = "") -> DataFrame:
+    """enrichment of a sample's motifs against ``depth`` samples of its size from the reference.
+
+    Motifs are numbered once and each reference row keeps the numbers of its own, so
+    that a draw carries numbers.  A task counts one draw at a time, in one array as
+    long as there are motifs, and hands on three numbers for each motif it met, not a row a draw.
+    There are at most 20 ** k motifs of k residues (some more with a gap), which are sent to the tasks.
+    """
+    size = sample.count()
+    observed = staged(numbered(kmer_counts(sample, region, lengths, gapped), ["motif"], "number", 0), "motifs")
+    every = [kmers(region, k) for k in lengths] + ([masked_kmers(region, k + 1) for k in lengths] if gapped else [])
+    known = reference.select(key, F.explode(F.concat(*every)).alias("motif")).join(observed.select("motif", "number"), "motif").groupBy(key).agg(F.collect_list(F.col("number").cast("int")).alias("motifs"))
+    rows = staged(reference.select(key).join(known, key, "left"), "reference")
+    seen = np.array([r["n"] for r in observed.select("number", "n").orderBy("number").collect()], np.int64)  # a number for each motif
+    sent = sample.sparkSession.sparkContext.broadcast(seen)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = sent.value
+        total, top, reached, now = (np.zeros(len(seen), np.int64) for _ in range(4))
+        sim = None
+        for b in batches:
+            for k, g in b.groupby("sim", sort=False):
+                if k != sim:
+                    total, top, reached = total + now, np.maximum(top, now), reached + (now >= seen)
+                    now, sim = np.zeros(len(seen), np.int64), k
+                some = [x for x in g["motifs"] if x is not None]
+                if some:
+                    now = now + np.bincount(np.concatenate(some), minlength=len(seen))
+        total, top, reached = total + now, np.maximum(top, now), reached + (now >= seen)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"number": at, "total": total[at], "top": top[at], "reached": reached[at]})
+
+    drawn = resamples(rows, key, size, depth, seed=seed).repartition("sim").sortWithinPartitions("sim")
+    parts = drawn.select("sim", "motifs").mapInPandas(count, "number long, total long, top long, reached long")
+    stats = parts.groupBy("number").agg(F.sum("total").alias("total"), F.max("top").alias("top"), F.sum("reached").alias("reached")).join(observed.select("number", "motif"), "number").drop("number")
+    return _enriched(observed.select("motif", "n"), stats, depth, size, True)
+
+
 #: Least fold change for motifs of 2, 3 and 4 informative residues (fixed values).
 MIN_OVE = {2: 1000.0, 3: 100.0, 4: 10.0}
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from clonoscape.functions.strings import ln_choose
 
+from .graph import staged
 from .motif import draw_order, first_drawn
 from .sample import bucket
 
@@ -61,10 +62,18 @@ def expansion_enrichment(groups: DataFrame, sample: DataFrame, group: str, count
     observed = groups.groupBy(group).agg(F.avg(count).alias("mean"), F.count("*").alias("size"))
     most = int(observed.agg(F.max("size").alias("n")).first()["n"] or 0)
     sims = sample.select(key, count).crossJoin(F.broadcast(sample.sparkSession.range(1, depth + 1).select(F.col("id").cast("int").alias("sim"))))
+    sims = sims.withColumn("order_", draw_order(F.col(key), F.col("sim"), seed))
     order = Window.partitionBy("sim").orderBy("order_", key)
-    running = first_drawn(sims.withColumn("order_", draw_order(F.col(key), F.col("sim"), seed)), most, sample.count(), depth).withColumn("at", F.row_number().over(order)).withColumn("total", F.sum(count).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    sizes = observed.select(F.col("size").alias("at")).distinct()
-    drawn = running.join(F.broadcast(sizes), "at").select(F.col("at").alias("size"), "sim", (F.col("total") / F.col("at")).alias("drawn"))  # a row for each size and draw
+    sizes = staged(observed.select(F.col("size").alias("at")).distinct(), "sizes")
+
+    def at_sizes(rows: DataFrame) -> DataFrame:
+        running = rows.withColumn("at", F.row_number().over(order)).withColumn("total", F.sum(count).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        return running.join(F.broadcast(sizes), "at").select(F.col("at").alias("size"), "sim", (F.col("total") / F.col("at")).alias("drawn"))  # different sizes add up to the rows, so they are few
+
+    n = sample.count()
+    drawn = staged(at_sizes(first_drawn(sims, most, n)), "drawn")
+    if drawn.count() < depth * sizes.where(F.col("at") <= n).count():  # a draw fell below its bound, which hardly ever happens
+        drawn = at_sizes(sims)
     p = observed.join(drawn, "size").groupBy(group).agg((F.count_if(F.col("drawn") >= F.col("mean")) / F.lit(float(depth))).alias("p"))
     return p.withColumn("p", F.round(F.when(F.col("p") == 0, 1.0 / depth).otherwise(F.col("p")), 3))
 

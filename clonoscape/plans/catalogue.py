@@ -595,9 +595,10 @@ def gapped_kmer_counts(spark, sf):
 
 _DEPTH, _SIZE = 1000, "(select count(*) from smp)"
 _ENRICH = f"""{REP}, smp as (select cdr3, region from u where cdr3 in (select cdr3 from rep where patient = 'BUILDING')),
-  sims as (select sim, cdr3, region, row_number() over (partition by sim order by md5('|' || sim || '|' || cdr3), cdr3) as place from u cross join range(1, {_DEPTH + 1}) r(sim)),
-  obs as (select motif, count(*) as n from (select substring(region, i::int, 3) as motif from (select region, unnest(range(1, length(region) - 1)) as i from smp)) group by 1),
-  lg as (select sim, motif, count(*) as n from (select sim, substring(region, i::int, 3) as motif from (select sim, region, unnest(range(1, length(region) - 1)) as i from sims where place <= {_SIZE})) group by 1, 2),
+  mo as (select cdr3, substring(region, i::int, k::int) as motif from (select cdr3, region, k, unnest(range(1, length(region) - k + 2)) as i from (select *, unnest([2, 3, 4]) as k from u))),
+  sims as (select sim, cdr3, row_number() over (partition by sim order by md5('|' || sim || '|' || cdr3), cdr3) as place from u cross join range(1, {_DEPTH + 1}) r(sim)),
+  obs as (select motif, count(*) as n from mo where cdr3 in (select cdr3 from smp) group by 1),
+  lg as (select sim, motif, count(*) as n from sims join mo using (cdr3) where place <= {_SIZE} group by 1, 2),
   st as (select motif, sum(lg.n) as total, max(lg.n) as top, count(*) filter (lg.n >= obs.n) as reached from obs join lg using (motif) group by 1)
   select motif, obs.n, round(coalesce(total, 0) / {_DEPTH}.0::double, 6) as avg_ref, coalesce(top, 0) as top_ref,
          round(case when coalesce(total, 0) > 0 then obs.n / (total / {_DEPTH}.0::double) else 1.0 / ({_DEPTH} * {_SIZE}) end, 6) as ove,
@@ -605,14 +606,16 @@ _ENRICH = f"""{REP}, smp as (select cdr3, region from u where cdr3 in (select cd
   from obs left join st using (motif)"""
 
 
-@query(_ENRICH)
-def motif_enrichment_md5(spark, sf):
+def _enriched(spark, sf):
     u = unique_sequences(spark, sf)
     smp = u.join(repertoire(spark, sf).where("patient = 'BUILDING'").select("cdr3").distinct(), "cdr3", "left_semi")
-    observed, size = mf.kmer_counts(smp, "region", (3,)), smp.count()
-    log = mf.resample_log(mf.resamples(u, "cdr3", size, _DEPTH), "region", observed, (3,))
-    out = mf.enrichment(observed, log, _DEPTH, size)
-    return out.select("motif", "n", F.round("avg_ref", 6).alias("avg_ref"), "top_ref", F.round("ove", 6).alias("ove"), F.round("p", 6).alias("p"))
+    return mf.resample_enrichment(smp, u, "cdr3", "region", _DEPTH)
+
+
+@query(_ENRICH)
+def motif_enrichment_md5(spark, sf):
+    """Motifs of two to four residues of a patient against 1,000 samples of all sequences."""
+    return _enriched(spark, sf).select("motif", "n", F.round("avg_ref", 6).alias("avg_ref"), "top_ref", F.round("ove", 6).alias("ove"), F.round("p", 6).alias("p"))
 
 
 @query(f"with {CTE}, n as (select patient, v_gene, count(*) as n from rep group by 1, 2), k as (select *, sum(n) over (partition by patient) as a from n) select patient, round(exp(sum(ln(n / a::double))), 9) as score, max(a) as members from k group by 1")

@@ -17,7 +17,7 @@ from clonoscape.operators import sample as sa
 from clonoscape.operators import scoring as sc
 from clonoscape.operators import similarity as si
 
-from .catalogue import _BIN, _DEPTH, _ENRICH, _MC, _NEXT, _S, CH, EDGES, REACH, REP, _binary, _edges, _groups, _label_pairs, chains, query, t, unique_sequences
+from .catalogue import _BIN, _ENRICH, _MC, _NEXT, _S, CH, EDGES, REACH, REP, _binary, _edges, _enriched, _groups, _label_pairs, chains, query, t, unique_sequences
 from .repertoire import CTE, repertoire
 
 # cleaning and reshaping
@@ -342,11 +342,7 @@ def stratified_resamples(spark, sf):
 
 @query(f"select motif, n from ({_ENRICH}) where p < 0.2 and ove >= 1.05 and n >= 3")
 def selected_motifs(spark, sf):
-    u = unique_sequences(spark, sf)
-    smp = u.join(repertoire(spark, sf).where("patient = 'BUILDING'").select("cdr3").distinct(), "cdr3", "left_semi")
-    observed, size = mf.kmer_counts(smp, "region", (3,)), smp.count()
-    log = mf.resample_log(mf.resamples(u, "cdr3", size, _DEPTH), "region", observed, (3,))
-    return mf.select_motifs(mf.enrichment(observed, log, _DEPTH, size), 0.2, 1.05, 3).select("motif", "n")
+    return mf.select_motifs(_enriched(spark, sf), 0.2, 1.05, 3).select("motif", "n")
 
 
 @query("with n as (select p_type, count(*) as n from part group by 1), f as (select p_type, sum(n) over (order by p_type) / (sum(n) over ())::double as high from n) select p_type, round(coalesce(lag(high) over (order by p_type), 0), 9) as low, round(high, 9) as high from f")
