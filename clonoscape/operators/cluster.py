@@ -143,7 +143,7 @@ def gene_split(members: DataFrame, key: str, cluster: str = "cluster", gene: str
         x, y = genes.alias("x"), genes.alias("y")
         pairs = x.join(y, (F.col(f"x.{cluster}") == F.col(f"y.{cluster}")) & (F.col(f"x.{gene}") < F.col(f"y.{gene}"))).select(F.col("x.head").alias("src"), F.col("y.head").alias("dst"), F.col(f"x.{gene}").alias("g1"), F.col(f"y.{gene}").alias("g2"))
         s = scores.select(F.least("v1", "v2").alias("g1"), F.greatest("v1", "v2").alias("g2"), "score").distinct()
-        edges = edges.unionByName(pairs.join(F.broadcast(s), ["g1", "g2"]).where(F.col("score") >= least).select("src", "dst"))
+        edges = edges.unionByName(pairs.join(s, ["g1", "g2"]).where(F.col("score") >= least).select("src", "dst"))
     found = connected_components(edges.where("src <> dst")).withColumnRenamed("node", key)
     joined = members.join(found, key, "left")
     alone = F.col(multiplicity) > 0 if multiplicity else F.lit(False)

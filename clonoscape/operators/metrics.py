@@ -117,7 +117,7 @@ def silhouette(df: DataFrame, key: str, label: str, vector: str, within: list[st
 
     codes = F.dense_rank().over(Window.orderBy(label))
     labels = known.select(label).distinct().withColumn("code_", codes)  # one row a label
-    rows = known.join(F.broadcast(labels), label).select(F.col(key).cast("long").alias("a"), F.concat(F.col(vector).cast("array<double>"), F.array(F.col("code_").cast("double"))).alias("x"), *within)
+    rows = known.join(labels, label).select(F.col(key).cast("long").alias("a"), F.concat(F.col(vector).cast("array<double>"), F.array(F.col("code_").cast("double"))).alias("x"), *within)
     sums = vector_cells(rows, rows.select(F.col("a").alias("b"), F.col("x").alias("y"), *within), list(within), run, "a long, la int, lb int, total double, n long")
     mean = sums.groupBy("a", "la", "lb").agg((F.sum("total") / F.sum("n")).alias("m"), F.sum("n").alias("n")).where("n > 0")
     per = mean.groupBy("a").agg(F.min(F.when(F.col("la") == F.col("lb"), F.col("m"))).alias("own"), F.min(F.when(F.col("la") != F.col("lb"), F.col("m"))).alias("other"))

@@ -84,12 +84,10 @@ def unmarked_lines(spark, sf):
 
 @query(f"with {CTE} select cdr3, v_gene, concat(patient, chr(9), counts) as info from rep where id % 6 <> 5")
 def repertoire_file(spark, sf):
-    """Sequences with a stop are left out, and the header is found."""
+    """Sequences with a stop are left out, and the header of each file is found."""
     cdr3 = F.when(F.col("id") % 6 == 5, F.concat("cdr3", F.lit("*"))).otherwise(F.col("cdr3"))
-    rows = repertoire(spark, sf).select(tabs(cdr3, "v_gene", "patient", "counts").alias("value"), F.lit(1).alias("at"))
-    head = spark.createDataFrame([("aminoAcid\tvMaxResolved\tinfo\tcounts", 0)], "value string, at int")
     path = fresh(spark, "repertoire")
-    head.unionByName(rows).coalesce(1).sortWithinPartitions("at").select("value").write.text(path)
+    sk.write_delimited(repertoire(spark, sf).select(cdr3.alias("aminoAcid"), F.col("v_gene").alias("vMaxResolved"), F.col("patient").alias("info"), "counts"), path)
     return rd.read_repertoire(spark, path).drop("file")
 
 

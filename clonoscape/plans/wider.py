@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from clonoscape.functions import alignment as al
@@ -244,12 +245,16 @@ def masked_mean(spark, sf):
     return t(spark, sf, "embeddings").select("vec_id", _tokens().alias("tokens")).select("vec_id", F.round(F.aggregate(p, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
-@query(f"with {CTE}, c as (select id, substring(cdr3, greatest(instr(cdr3, 'SS') - 3, 1)::int, (instr(cdr3, 'SS') - greatest(instr(cdr3, 'SS') - 3, 1) + 5)::int) as s from rep) select id, length(s)::double as a, (length(s) - length(replace(s, 'S', '')))::double as b from c")
+_VECTORS = ", ".join(f"('{a}', [{', '.join(repr(x) for x in v[:2])}]::double[])" for a, v in sorted(residue_vectors().items()))
+
+
+@query(f"with {CTE}, v(aa, x) as (values {_VECTORS}), c as (select id, substring(cdr3, greatest(instr(cdr3, 'SS') - 3, 1)::int, (instr(cdr3, 'SS') - greatest(instr(cdr3, 'SS') - 3, 1) + 5)::int) as s from rep) select id, round(sum(x[1]) / any_value(length(s)), 6) as a, round(sum(x[2]) / any_value(length(s)), 6) as b from (select id, s, substring(s, unnest(range(1, length(s) + 1))::int, 1) as aa from c) join v using (aa) group by 1")
 def embedded_crops(spark, sf):
-    """Crops around a motif, embedded by a function of batches of texts."""
+    """Crops around a motif, embedded as the mean of their residues' vectors by a function of batches of texts."""
+    vectors = {a: np.array(v[:2]) for a, v in residue_vectors().items()}
     crops = repertoire(spark, sf).select("id", st.crop_around("cdr3", F.lit("SS"), 3).alias("cdr3"))
-    e = en.embed(crops, lambda texts: [[float(len(x)), float(x.count("S"))] for x in texts])
-    return e.select("id", F.col("embedding")[0].alias("a"), F.col("embedding")[1].alias("b"))
+    e = en.embed(crops, lambda texts: [np.mean([vectors[x] for x in t], axis=0).tolist() for t in texts])
+    return e.select("id", F.round(F.col("embedding")[0], 6).alias("a"), F.round(F.col("embedding")[1], 6).alias("b"))
 
 
 # pairs, clusters and alignment
@@ -260,10 +265,11 @@ def two_mismatch_kmer_pairs(spark, sf):
     return si.shared_kmer_pairs(unique_sequences(spark, sf), "cdr3", "cdr3", 5, 4, mismatches=2)
 
 
-@query(f"with {CTE}, c as (select distinct substring(cdr3, 1, 7) as clone from rep where v_gene = 'TRBV1' union select distinct substring(cdr3, 1, 8) from rep where v_gene = 'TRBV2') select clone, id from c join rep on starts_with(cdr3, clone)")
+@query(f"with {CTE}, c as (select distinct substring(cdr3, 1, (8 + id % 3)::int) as clone from rep) select clone, id from c join rep on starts_with(cdr3, clone)")
 def prefix_annotations(spark, sf):
+    """Records of every clone that is known by its first eight to ten residues."""
     r = repertoire(spark, sf)
-    c = r.where("v_gene = 'TRBV1'").select(F.substring("cdr3", 1, 7).alias("clone")).union(r.where("v_gene = 'TRBV2'").select(F.substring("cdr3", 1, 8))).distinct()
+    c = r.select(F.substring("cdr3", F.lit(1), (8 + F.col("id") % 3).cast("int")).alias("clone")).distinct()
     return si.prefix_annotations(c, r.select("id", "cdr3"), "clone", "cdr3", exact=False).select("clone", "id")
 
 
