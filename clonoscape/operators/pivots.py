@@ -33,6 +33,9 @@ def squared_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def matrix(vectors) -> np.ndarray:
+    """Rows of vectors, which are lists at first and then travel as bytes."""
+    if len(vectors) and isinstance(vectors.iloc[0], bytes):
+        return np.frombuffer(b"".join(vectors), float).reshape(len(vectors), -1)
     return np.array(list(vectors), float).reshape(len(vectors), -1)
 
 
@@ -56,17 +59,19 @@ def choose_pivots(rows: DataFrame, n: int, cell_rows: int) -> np.ndarray:
 
 
 def placed(rows: DataFrame, within: list[str], pivots: np.ndarray) -> DataFrame:
-    """The rows with cell (nearest pivot) and away (distance from it)."""
+    """The rows with v as bytes, cell (nearest pivot) and away (distance from it)."""
     sent = rows.sparkSession.sparkContext.broadcast(pivots)  # at most MOST_PIVOTS vectors
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                d = np.sqrt(squared_distances(matrix(b["v"]), sent.value))
+                x = matrix(b["v"])
+                d = np.sqrt(squared_distances(x, sent.value))
                 cell = d.argmin(1)
-                yield b.assign(cell=cell, away=d[np.arange(len(b)), cell])
+                yield b.assign(v=[r.tobytes() for r in x], cell=cell, away=d[np.arange(len(b)), cell])
 
-    return rows.mapInPandas(run, f"{_schema(rows, [*within, 'id', 'v'])}, cell int, away double")
+    own = f"{_schema(rows, within)}, " if within else ""
+    return rows.select(*within, "id", "v").mapInPandas(run, f"{own}id {dict(rows.dtypes)['id']}, v binary, cell int, away double")
 
 
 def _schema(df: DataFrame, columns: list[str]) -> str:
