@@ -187,8 +187,8 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int, text
             return pa.RecordBatch.from_arrays(row, ["shard", "piece", "path", "documents", "tokens"])
 
         for b in slices(batches, "text_"):
-            for doc_id, raw in zip(b.column(0).to_pylist(), cache.ids([t or "" for t in b.column(1).to_pylist()]), strict=True):
-                ids = np.concatenate([np.frombuffer(raw, np.uint32), end])
+            for doc_id, own in zip(b.column(0).to_pylist(), cache.column_ids(b.column(1)), strict=True):
+                ids = np.concatenate([own, end])
                 if out is not None and (total + len(ids) > file_tokens or len(writer.docs) >= file_docs):
                     yield ended()
                     out, piece, total = None, piece + 1, 0

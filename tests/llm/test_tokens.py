@@ -2,6 +2,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.fs as pafs
 import pytest
 from hypothesis import given, settings
@@ -89,3 +90,12 @@ def test_file_format(tmp_path):
     (tmp_path / "y.zst").write_bytes(raw)
     with fs.open_input_file(f"{base}/y.zst") as src, pytest.raises(Exception):  # noqa: B017
         list(tokenfile.FileReader(src).documents())
+
+
+@settings(max_examples=150, deadline=None)
+@given(hs.lists(hs.none() | hs.text("ab é\n\t\x0b\u00a0\u3000漢'1", max_size=30), max_size=12))
+def test_ids_of_a_column_are_those_of_its_texts(texts):
+    cache, _ = tokenfile.library_encoder(PATH)
+    column = pa.array(["cut off", *texts], pa.string()).slice(1)
+    got = cache.column_ids(column)
+    assert [g.tolist() for g in got] == [TOK.encode(t or "", add_special_tokens=False).ids for t in texts]
