@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -32,11 +32,14 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
 
 
 def _signed(edges: DataFrame) -> tuple[DataFrame, tuple[int, ...]]:
-    """The edges, staged, and numbers that are equal for equal edge sets, whatever their order."""
-    seen, mixed = Observation(), F.xxhash64("src", "dst")
-    sums = [F.coalesce(F.sum(F.pmod(mixed, F.lit(m))), F.lit(0)).alias(f"s{m}") for m in (1 << 40, (1 << 40) - 87)]
-    out = staged(edges.observe(seen, F.count(F.lit(1)).alias("n"), *sums), "components")
-    return out, tuple(int(x) for _, x in sorted(seen.get.items()))
+    """The edges, staged, and numbers that are equal for equal edge sets, whatever their order.
+
+    They are summed over what was written: an Observation would keep its session
+    from being sent along with a model, which some estimators of MLlib do.
+    """
+    out, mixed = staged(edges, "components"), F.xxhash64("src", "dst")
+    sums = [F.coalesce(F.sum(F.pmod(mixed, F.lit(m))), F.lit(0)) for m in (1 << 40, (1 << 40) - 87)]
+    return out, tuple(int(x) for x in out.agg(F.count(F.lit(1)), *sums).first())
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
