@@ -179,13 +179,15 @@ def bpe_decode(tokens: DataFrame, path: str, id_col: str = "doc_id") -> DataFram
     return tokens.select(id_col, "ids").mapInArrow(run, f"`{id_col}` {kind}, text string")
 
 
-def bpe_digests(docs: DataFrame, path: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def bpe_digests(docs: DataFrame, path: str, text_col: str = "text", id_col: str = "doc_id", release: bool = False) -> DataFrame:
     """Encode every whole text, decode its ids again, and return digests of both.
 
     Columns ``id_col``, n_tokens, ids_sha256 (decimal ids joined by commas),
     decoded_sha256 (UTF-8).  A null text reads as empty: no ids, the digest of
     the empty string.  Repeated rows are encoded each, very long texts whole; an
-    empty table gives no rows; other columns are not read; no shuffle.
+    empty table gives no rows; other columns are not read; no shuffle.  With
+    ``release`` a task drops the cache of chunks at its end, for workers that go
+    on to other work.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,6 +200,8 @@ def bpe_digests(docs: DataFrame, path: str, text_col: str = "text", id_col: str
                 ids_sha.append(hashlib.sha256(",".join(map(bpe.text_of.__getitem__, ids)).encode()).hexdigest())
                 text_sha.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+        if release:
+            bpe.cache.held = {}
 
     kind = dict(docs.dtypes)[id_col]
     return docs.selectExpr(f"`{id_col}`", f"`{text_col}` as text_").mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
