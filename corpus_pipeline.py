@@ -57,7 +57,7 @@ def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text has no tokens and the digest of the empty string; repeated rows
     are encoded each, very long texts whole; an empty table gives no rows.
     """
-    return bpe.bpe_digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return bpe.bpe_digests(docs, public_tokenizers.path("byte_bpe_50k.json"), release=True)  # the workers go on to other stages
 
 
 STAGES = [("language", language), ("quality", rated), ("near_duplicates", distinct), ("decontamination", decontaminated), ("bpe", tokenised)]
