@@ -1,7 +1,6 @@
 """What is sent, held or compared must not outgrow the input."""
 
 import numpy as np
-import pandas as pd
 
 from clonoscape.operators import pivots
 from clonoscape.operators import similarity as si
@@ -20,3 +19,16 @@ def test_edges_and_components_are_not_broadcast(spark):
     named = df.join(connected_components(edges.selectExpr("a as src", "b as dst")).withColumnRenamed("node", "cdr3"), "cdr3", "left")
     assert plan(named).count("BroadcastHashJoin") <= 1
     assert {r["cdr3"]: r["component"] for r in named.collect()} == {"CASS": "CASS", "CAST": "CASS", "CGSS": "CASS", "XXXX": None}
+
+
+def test_only_the_least_are_sorted():
+    rng = np.random.default_rng(3)
+    d = rng.integers(0, 6, (40, 30)) / 7.0  # many ties
+    d[0], d[1, 4] = np.inf, np.inf
+    for m in (1, 4, 30, 50):
+        i, j = pivots.least_of(d, m, np.full(40, np.inf))
+        for r in range(40):
+            want = [c for c in np.argsort(np.round(d[r], 12), kind="stable")[:m] if np.isfinite(d[r, c])]
+            assert j[i == r].tolist() == want
+    i, j = pivots.least_of(d, 5, np.full(40, 1 / 7))
+    assert (d[i, j] <= 1 / 7 + 1e-11).all() and len(i)
