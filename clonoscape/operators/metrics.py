@@ -108,12 +108,13 @@ def silhouette(df: DataFrame, key: str, label: str, vector: str, within: list[st
         # The label rides along as the vector's last number.
         lx, ly = x[:, -1].astype(int), y[:, -1].astype(int)
         d = np.sqrt(squared_distances(x[:, :-1], y[:, :-1]))
-        other = a[:, None] != b[None, :]
-        out = []
-        for c in np.unique(ly):
-            m = other & (ly == c)[None, :]
-            out.append(pd.DataFrame({"a": a, "la": lx, "lb": c, "total": np.where(m, d, 0).sum(1), "n": m.sum(1)}))
-        return pd.concat(out)
+        own = a[:, None] == b[None, :]
+        d[own] = 0
+        c, at = np.unique(ly, return_inverse=True)
+        of = np.zeros((len(ly), len(c)))
+        of[np.arange(len(ly)), at] = 1
+        n = of.sum(0)[None, :] - own @ of
+        return pd.DataFrame({"a": np.repeat(a, len(c)), "la": np.repeat(lx, len(c)), "lb": np.tile(c, len(a)), "total": (d @ of).ravel(), "n": np.rint(n).astype(np.int64).ravel()})
 
     codes = F.dense_rank().over(Window.orderBy(label))
     labels = known.select(label).distinct().withColumn("code_", codes)  # one row a label

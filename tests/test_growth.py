@@ -1,6 +1,7 @@
 """What is sent, held or compared must not outgrow the input."""
 
 import numpy as np
+import pandas as pd
 
 from clonoscape.operators import pivots
 from clonoscape.operators import similarity as si
@@ -21,6 +22,14 @@ def test_edges_and_components_are_not_broadcast(spark):
     assert {r["cdr3"]: r["component"] for r in named.collect()} == {"CASS": "CASS", "CAST": "CASS", "CGSS": "CASS", "XXXX": None}
 
 
+def test_blocks_grow_with_the_table(spark):
+    """5,000 vectors meet in one cell; smaller blocks send every row several times."""
+    rows = spark.range(5000).selectExpr("id as a", "array(cast(id as double)) as x")
+    run = lambda a, x, b, y: pd.DataFrame({"a": a, "n": len(b)})
+    got = si.vector_cells(rows, rows.selectExpr("a as b", "x as y"), [], run, "a long, n long").toPandas()
+    assert len(got) == 5000 and set(got["n"]) == {5000}
+
+
 def test_only_the_least_are_sorted():
     rng = np.random.default_rng(3)
     d = rng.integers(0, 6, (40, 30)) / 7.0  # many ties
