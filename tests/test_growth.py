@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 
+from clonoscape.functions import alignment as al
 from clonoscape.operators import pivots
 from clonoscape.operators import similarity as si
 from clonoscape.operators.graph import connected_components
@@ -41,3 +42,10 @@ def test_only_the_least_are_sorted():
             assert j[i == r].tolist() == want
     i, j = pivots.least_of(d, 5, np.full(40, 1 / 7))
     assert (d[i, j] <= 1 / 7 + 1e-11).all() and len(i)
+
+
+def test_one_gap_scores_of_batches_are_those_of_columns(spark):
+    rows = [("CASSF", "CASF"), ("CASF", "CASSF"), ("CAXXF", "CAXF"), ("C-SSF", "CSSF"), ("CAS", "CAS"), ("CASSF", "CAS"), (None, "CAS"), ("ÄAS", "AS"), ("ACDEFG", "WCDEF"), ("", "A")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    got = df.select(al.one_gap_score("a", "b").cast("long").alias("one"), al.one_gap_scores()("a", "b").alias("many")).collect()
+    assert [r["many"] for r in got] == [r["one"] for r in got]
