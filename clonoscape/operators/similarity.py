@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -152,20 +155,59 @@ def records_of_pairs(pairs: DataFrame, records: DataFrame, node: str, record: st
 def shared_kmer_pairs(df: DataFrame, key: str, seq: str, k: int = 5, least: int = 1, mismatches: int = 1, trim: tuple[int, int] = (3, 2)) -> DataFrame:
     """Pairs a < b of equal length with so many k-mers in common, each up to so many substitutions.
 
-    A k-mer of one row counts if the other has one that agrees with it.
+    A k-mer of one row counts if the other has one that agrees with it.  A row of so
+    many k-mers can spare all but ``least`` - 1 of them: only its rarest others,
+    by how many share their patterns, look for partners, and k-mers are counted once
+    two rows have met.
     """
     region = trim_ends(seq, *trim)
-    rows = df.select(F.col(key).alias("k"), F.length(seq).alias("n"), F.explode(F.array_distinct(kmers(region, k))).alias("m"))
-    pattern = F.col("m")
-    if mismatches:
-        masked = wildcards("m")
-        for _ in range(mismatches - 1):
-            masked = F.array_distinct(F.flatten(F.transform(masked, lambda p: wildcards(p))))
-        pattern = F.explode(masked)
-    keyed = rows.select("k", "n", "m", pattern.alias("p"))
-    x, y = keyed.alias("x"), keyed.alias("y")
-    hits = x.join(y, (F.col("x.n") == F.col("y.n")) & (F.col("x.p") == F.col("y.p")) & (F.col("x.k") < F.col("y.k"))).select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), F.col("x.m").alias("m")).distinct()
-    return hits.groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    some = df.select(F.col(key).alias("k"), F.length(seq).alias("n"), region.alias("r"))
+    rows = staged(spread(some, "k").withColumn("ms", F.array_distinct(kmers("r", k))).where(F.size("ms") > 0), "k-mers")
+    masks = [[F.lit(j + 1) for j in c] for c in combinations(range(k), min(mismatches, k))]
+
+    def patterns(m: Column) -> Column:
+        out = []
+        for i, c in enumerate(masks):
+            p = m
+            for at in c:
+                p = F.overlay(p, F.lit("*"), at)
+            out.append(F.struct(F.lit(i).alias("mask"), p.alias("p")))
+        return F.explode(F.array(*out))
+
+    each = rows.select("n", F.explode("ms").alias("m")).groupBy("n", "m").agg(F.count("*").alias("c"))
+    shares = staged(each.select("n", "m", "c", patterns(F.col("m")).alias("p")), "patterns")
+    mass = shares.join(shares.groupBy("n", "p").agg(F.sum("c").alias("c_p")).hint("merge"), ["n", "p"]).groupBy("n", "m").agg(F.sum("c_p").alias("mass"))
+    told = rows.where(F.size("ms") >= least).select("k", "n", "r", (F.size("ms") - max(0, least - 1)).alias("kept"), F.explode("ms").alias("m")).join(mass.hint("merge"), ["n", "m"])
+    ranked = told.groupBy("k", "n", "r", "kept").agg(F.array_sort(F.collect_list(F.struct("mass", "m"))).alias("by"))  # the k-mers of a row
+    looking = ranked.select("k", "n", "r", F.explode(F.slice("by", F.lit(1), F.greatest(F.col("kept"), F.lit(1)))).alias("x")).select(F.col("k").alias("a"), "n", F.col("r").alias("x"), patterns(F.col("x.m")).alias("p")).distinct()
+    held = rows.select("k", "n", "r", F.explode("ms").alias("m")).select(F.col("k").alias("b"), "n", F.col("r").alias("y"), patterns(F.col("m")).alias("p")).distinct()
+    met = looking.join(held.hint("merge"), ["n", "p"]).where("a < b").select("a", "b", "x", "y").distinct()
+    return met.select("a", "b", shared_kmers(k, mismatches)("x", "y").alias("shared")).where(F.col("shared") >= max(1, least))
+
+
+def shared_kmers(k: int, mismatches: int):
+    """A pandas UDF: how many distinct k-mers of the first text the second one has, up to so many substitutions. Texts are of equal length."""
+
+    @F.pandas_udf("long")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = np.zeros(len(a), np.int64)
+        sizes = a.str.len().to_numpy()
+        for size in np.unique(sizes[sizes >= k]):
+            at = np.flatnonzero(sizes == size)
+            x, y = (np.frombuffer("".join(t.iloc[at]).encode("utf-32-le"), np.uint32).reshape(len(at), -1) for t in (a, b))
+            places = range(size - k + 1)
+            window = lambda t, i: t[:, i : i + k]
+            for i in places:
+                fresh = np.ones(len(at), bool)
+                for j in range(i):
+                    fresh &= (window(x, i) != window(x, j)).any(1)
+                hit = np.zeros(len(at), bool)
+                for j in places:
+                    hit |= (window(x, i) != window(y, j)).sum(1) <= mismatches
+                out[at] += fresh & hit
+        return pd.Series(out)
+
+    return run
 
 
 #: Least and most rows of a block of vectors, and least blocks of larger tables: a row travels once for each block. A cell compares two blocks within one task, SLICE rows at a time.
@@ -287,3 +329,4 @@ def gene_pair_scores(genes: DataFrame, score: Column) -> DataFrame:
     """Scores of all pairs v1 <= v2 of a gene table (a reference of some hundred genes)."""
     x, y = genes.alias("x"), genes.alias("y")
     return x.join(y, F.col("x.name") <= F.col("y.name")).select(F.col("x.name").alias("v1"), F.col("y.name").alias("v2"), score.alias("score"))
+
