@@ -67,13 +67,51 @@ def _candidates(asks: DataFrame, rows: DataFrame, radius: int) -> DataFrame:
     return x.join(keyed(rows).select(F.col("k").alias("b"), F.col("s").alias("y"), "n", "piece"), ["n", "piece"])
 
 
+#: Most patterns of a sequence; where more places vary, sequences meet by interleaved pieces instead.
+MOST_MASKS = 256
+
+
+def _varying(rows: DataFrame) -> dict[int, list[int]]:
+    """Of each length of ``s``, the places (from 1) at which sequences differ: a row a length."""
+    letters = rows.select(F.length("s").alias("n"), F.posexplode(F.split("s", "")).alias("at", "letter")).groupBy("n", "at").agg(F.min("letter").alias("low"), F.max("letter").alias("high"))
+    places = letters.groupBy("n").agg(F.array_sort(F.collect_list(F.when(F.col("low") != F.col("high"), F.col("at") + 1))).alias("places")).collect()
+    return {r["n"]: r["places"] for r in places}
+
+
+def _masks(spark, places: dict[int, list[int]], most: int) -> DataFrame | None:
+    """n, masks: of each length the ways to leave out ``most`` varying places; None if these are too many.
+
+    A mask is its number, its places, and for each whether it and all varying places before it are the first of the mask.
+    """
+    if any(comb(len(at), most) > MOST_MASKS for at in places.values()):
+        return None
+    out = []
+    for n, at in places.items():
+        some = [list(c) for c in combinations(range(len(at)), min(most, len(at)))]
+        fill = lambda c, x: c + [x] * (most - len(c))
+        out.append((n, [(i, fill([at[r] for r in c], n + 1), fill([r == k for k, r in enumerate(c)], True)) for i, c in enumerate(some)]))
+    return spark.createDataFrame(out, "n int, masks array<struct<mask: int, places: array<int>, first: array<boolean>>>")
+
+
+def _masked(rows: DataFrame, masks: DataFrame, most: int) -> DataFrame:
+    """k, s, n, mask, places, first, p: rows of ``k`` and ``s`` once for each mask of their length, with the pattern that it leaves."""
+    x = spread(rows.select("k", "s"), "k").join(F.broadcast(masks), F.length("s") == F.col("n")).select("k", "s", "n", F.explode("masks").alias("m")).select("k", "s", "n", "m.*")  # a row a length
+    p = F.concat("s", F.lit(" "))  # the last place stands for none
+    for t in range(most):
+        p = F.overlay(p, F.lit("*"), F.element_at("places", t + 1))
+    return x.withColumn("p", p)
+
+
 def hamming_pairs(df: DataFrame, key: str, seq: str, most: int | None = None) -> DataFrame:
     """Pairs a < b of equal length with their Hamming distance; up to ``most`` if given.
 
-    For one substitution use one_mismatch_pairs.  For more, sequences are first
-    joined on one of ``most + 1`` interleaved pieces that two close sequences must
-    share; without a bound, all pairs of a length are a matrix that grows with its
-    square (for the nearest only, see nearest_hamming).
+    For one substitution use one_mismatch_pairs.  For more, sequences are joined on
+    the patterns that are left when ``most`` of the places that vary are masked, so
+    that only pairs of the result meet; of the masks that a pair shares, the first
+    one tells of it.  Where too many places vary, they meet by ``most + 1``
+    interleaved pieces, one of which two close sequences must share.  Without a
+    bound, all pairs of a length are a matrix that grows with its square (for the
+    nearest only, see nearest_hamming).
     """
     rows = df.select(F.col(key).alias("k"), F.col(seq).alias("s"))
     if most is None:
@@ -81,8 +119,19 @@ def hamming_pairs(df: DataFrame, key: str, seq: str, most: int | None = None) ->
         x, y = sized.alias("x"), sized.alias("y")
         pairs = x.join(y, (F.col("x.n") == F.col("y.n")) & (F.col("x.k") < F.col("y.k")))
         return pairs.select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), hamming("x.s", "y.s").alias("d"))
-    pairs = _candidates(rows, rows, most).where("a < b").select("a", "b", hamming("x", "y").alias("d"))
-    return pairs.where(F.col("d") <= most).distinct()
+    rows = rows.where("s is not null")
+    masks = _masks(df.sparkSession, _varying(rows), most)
+    if masks is None:
+        pairs = _candidates(rows, rows, most).where("a < b").select("a", "b", hamming("x", "y").alias("d"))
+        return pairs.where(F.col("d") <= most).distinct()
+    told = _masked(rows, masks, most)
+    x = told.select("n", "mask", "p", "places", "first", F.col("k").alias("a"), F.col("s").alias("x"))
+    met = x.join(told.select("n", "mask", "p", F.col("k").alias("b"), F.col("s").alias("y")).hint("merge"), ["n", "mask", "p"]).where("a < b")
+    differ = [F.substring("x", F.element_at("places", t + 1), F.lit(1)) != F.substring("y", F.element_at("places", t + 1), F.lit(1)) for t in range(most)]
+    d, first = F.lit(0), F.lit(True)
+    for t, x in enumerate(differ):
+        d, first = d + x.cast("int"), first & (x | F.element_at("first", t + 1))
+    return met.where(first).select("a", "b", d.alias("d"))
 
 
 def nearest_hamming(df: DataFrame, key: str, seq: str) -> DataFrame:
