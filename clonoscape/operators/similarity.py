@@ -69,6 +69,8 @@ def _candidates(asks: DataFrame, rows: DataFrame, radius: int) -> DataFrame:
 
 #: Most patterns of a sequence; where more places vary, sequences meet by interleaved pieces instead.
 MOST_MASKS = 256
+#: Up to so many sequences that still ask are sent to all tasks.
+FEW_ASKING = 20_000
 
 
 def _varying(rows: DataFrame) -> dict[int, list[int]]:
@@ -137,19 +139,32 @@ def hamming_pairs(df: DataFrame, key: str, seq: str, most: int | None = None) ->
 def nearest_hamming(df: DataFrame, key: str, seq: str) -> DataFrame:
     """key, d: each sequence's distance to the nearest other of equal length; those alone in their length are left out.
 
-    Sequences look within radius 1, 2 and so on; only those without a hit go on.
+    Sequences look within radius 0, 1, 2 and so on; only those without a hit go on. A
+    hit is a pattern, with so many places masked, that another one has too: no pairs are made.
     """
     rows = df.select(F.col(key).alias("k"), F.col(seq).alias("s")).where("s is not null")
     sizes = rows.groupBy(F.length("s").alias("n")).agg(F.count("*").alias("count")).where("count > 1")
-    asks = staged(rows.join(F.broadcast(sizes.select("n")), F.length("s") == F.col("n"), "left_semi"), "asking")  # a row for each length
+    rows = staged(rows.join(F.broadcast(sizes.select("n")), F.length("s") == F.col("n"), "left_semi"), "rows")  # a row for each length
+    asks, places = rows, _varying(rows)
     longest = sizes.agg(F.max("n").alias("n")).first()["n"] or 0
-    done, radius = None, 0
-    while radius < longest and not asks.isEmpty():
+    done, radius, left = None, -1, rows.count()
+    while radius < longest and left:
         radius += 1
-        near = _candidates(asks, rows, radius).where("a <> b").select("a", hamming("x", "y").alias("d")).where(F.col("d") <= radius).groupBy("a").agg(F.min("d").alias("d"))
+        masks = _masks(df.sparkSession, places, radius)
+        if masks is None:
+            near = _candidates(asks, rows, radius).where("a <> b").select("a", hamming("x", "y").alias("d")).where(F.col("d") <= radius).groupBy("a").agg(F.min("d").alias("d"))
+        else:
+            on = ["n", "mask", "p"]
+            asking, every = _masked(asks, masks, radius).select("k", *on), _masked(rows, masks, radius).select("k", *on)
+            if done is not None:
+                wanted = asking.select(*on).distinct()
+                every = every.join(F.broadcast(wanted) if left <= FEW_ASKING else wanted.hint("merge"), on, "left_semi")
+            met = every.groupBy(*on).agg(F.min("k").alias("low"), F.max("k").alias("high")).where("low <> high").select(*on)
+            near = asking.join(met.hint("merge"), on, "left_semi").select(F.col("k").alias("a")).distinct().withColumn("d", F.lit(radius))
         found = staged(near, "nearest")
         done = found if done is None else done.unionByName(found)
         asks = staged(asks.join(found.select(F.col("a").alias("k")), "k", "left_anti"), "asking")
+        left = asks.count()
     out = rows.select("k", F.lit(0).alias("d")).limit(0) if done is None else done.withColumnRenamed("a", "k")
     return out.select(F.col("k").alias(key), "d")
 
