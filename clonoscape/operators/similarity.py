@@ -176,12 +176,15 @@ def distance_histogram(nearest: DataFrame) -> DataFrame:
 def motif_pairs(df: DataFrame, key: str, region: str, motifs: DataFrame, positional: bool = False, also: list[str] = ()) -> DataFrame:
     """Pairs a < b of rows that both hold a selected motif (``motif`` column; a dot stands for any residue).
 
-    With ``positional`` the first place of the motif must agree.
+    With ``positional`` the first place of the motif must agree.  Of the motifs that
+    two rows share the first one tells of the pair, so that pairs are not shuffled.
     """
     held = motif_members(df, key, region, motifs, also)
     on = ["motif", *also] + (["at"] if positional else [])
-    x, y = held.select(*on, F.col(key).alias("a")), held.select(*on, F.col(key).alias("b"))
-    return x.join(y, on).where("a < b").select("a", "b").distinct()
+    every = held.groupBy(key).agg(F.array_sort(F.collect_set(F.struct(*on))).alias("every"))
+    each = staged(every.select(key, F.posexplode("every").alias("place", "on"), "every").select(key, "on", F.slice("every", F.lit(1), F.col("place")).alias("before")), "motifs")
+    x, y = each.select("on", F.col(key).alias("a"), F.col("before").alias("x")), each.select("on", F.col(key).alias("b"), F.col("before").alias("y"))
+    return x.join(y.hint("merge"), "on").where("a < b").where(~F.arrays_overlap("x", "y")).select("a", "b")
 
 
 def motif_members(df: DataFrame, key: str, region: str, motifs: DataFrame, also: list[str] = ()) -> DataFrame:
@@ -393,4 +396,3 @@ def gene_pair_scores(genes: DataFrame, score: Column) -> DataFrame:
     """Scores of all pairs v1 <= v2 of a gene table (a reference of some hundred genes)."""
     x, y = genes.alias("x"), genes.alias("y")
     return x.join(y, F.col("x.name") <= F.col("y.name")).select(F.col("x.name").alias("v1"), F.col("y.name").alias("v2"), score.alias("score"))
-
