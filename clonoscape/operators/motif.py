@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,48 +30,47 @@ def draw_order(key, sim, seed: str = "") -> Column:
     return F.md5(F.concat_ws("|", F.lit(seed), sim.cast("string"), key.cast("string")))
 
 
-def first_drawn(sims: DataFrame, size: int, n: int) -> DataFrame:
-    """Of n rows a draw (sim, order_) those that may be among the first ``size``, as their order is so low: the rest needs no sorting."""
-    share = (size + 8 * size**0.5 + 20) / max(1, n)
-    return sims if share >= 0.5 else sims.where(F.col("order_") < format(int(share * 16**8), "08x"))
+def drawn_to(sims: DataFrame, by: list[str], key: str, wanted: str) -> DataFrame:
+    """by, last: the order and key of the last of the first ``wanted`` rows of each group, or of its last row; none where none are wanted.
+
+    Rows (by, order_, key, wanted) are counted by the first digits of their order, and
+    only those that share them with the last one are put in order.
+    """
+    digits = F.substring("order_", 1, 2)
+    counts = sims.groupBy(*by, digits.alias("digits_")).agg(F.count("*").alias("n_"), F.max(wanted).alias("wanted_"))
+    place = Window.partitionBy(*by).orderBy("digits_")  # at most 256 rows
+    told = counts.withColumn("to_", F.sum("n_").over(place)).withColumn("all_", F.sum("n_").over(Window.partitionBy(*by)))
+    told = told.withColumn("at_", F.least("wanted_", "all_") - (F.col("to_") - F.col("n_"))).where((F.col("at_") > 0) & (F.col("at_") <= F.col("n_")))
+    bounds = staged(told.select(*by, "digits_", "at_"), "digits")
+    near = sims.withColumn("digits_", digits).join(F.broadcast(bounds), [*by, "digits_"])  # a row for each group
+    order = Window.partitionBy(*by).orderBy("order_", key)
+    return staged(near.withColumn("place_", F.row_number().over(order)).where("place_ = at_").select(*by, F.struct("order_", key).alias("last_")), "last")
 
 
 def resamples(reference: DataFrame, key: str, size: int, depth: int, strata: list[str] = (), quotas: DataFrame | None = None, seed: str = "") -> DataFrame:
-    """``depth`` samples without replacement: the reference's columns and sim (from 1).
+    """``depth`` samples without replacement: the reference's columns and sim (from 1). ``key`` tells rows apart.
 
     With strata, ``quotas`` (strata, quota) says how many each gives; if strata are
-    too small the sample is topped up from all that is left, in the same order.  Only
-    rows whose order is so low that they may be drawn are ranked.
+    too small the sample is topped up from all that is left, in the same order.  The
+    last row of each draw is found first (drawn_to), so that a row is drawn or not by
+    its order alone, and drawn rows are not shuffled.
     """
     sims = reference.crossJoin(F.broadcast(reference.sparkSession.range(1, depth + 1).select(F.col("id").cast("int").alias("sim"))))  # ``depth`` rows
     sims = sims.withColumn("order_", draw_order(F.col(key), F.col("sim"), seed))
+    row = F.struct("order_", key)
     if not strata:
-        n = reference.count()
-        ranked = lambda rows: rows.withColumn("at_", F.row_number().over(Window.partitionBy("sim").orderBy("order_", key))).where(F.col("at_") <= size).select(*reference.columns, "sim")
-        drawn = staged(ranked(first_drawn(sims, size, n)), "drawn")
-        return drawn if drawn.count() == depth * min(size, n) else ranked(sims)  # the latter if a draw fell below its bound, which hardly ever happens
-    sizes = reference.groupBy(*strata).agg(F.count("*").alias("n_")).join(quotas.select(*strata, "quota"), strata)
-    share = F.least((F.col("quota") + 8 * F.sqrt("quota") + 20) / F.col("n_"), F.lit(1.0))
-    bounds = staged(sizes.withColumn("below_", F.when(share < 1, F.lpad(F.lower(F.hex(F.floor(share * 16**8).cast("long"))), 8, "0")).otherwise("g")), "quotas")
-    few = sims.join(bounds, list(strata)).where(F.col("order_") < F.col("below_"))
-    got = few.groupBy("sim", *strata).agg(F.count("*").alias("got_")).join(bounds, list(strata))
-    wanted = F.least("quota", "n_")
-    if got.where(F.col("got_") >= wanted).count() < depth * bounds.count():  # a draw fell below its bound, which hardly ever happens
-        few = sims.join(bounds, list(strata))
-    part = Window.partitionBy("sim", *strata).orderBy("order_", key)  # little more than the quota
-    taken = few.withColumn("at_", F.row_number().over(part)).where(F.col("at_") <= F.col("quota")).select(*reference.columns, "sim")
-    missing = size - int(bounds.agg(F.sum(wanted).alias("n")).first()["n"] or 0)
+        last = drawn_to(sims.select("sim", "order_", key, F.lit(size).alias("quota_")), ["sim"], key, "quota_")
+        return sims.join(F.broadcast(last), "sim").where(row <= F.col("last_")).select(*reference.columns, "sim")
+    sizes = staged(reference.groupBy(*strata).agg(F.count("*").alias("n_")).join(quotas.select(*strata, "quota"), strata), "quotas")  # a row a stratum
+    wanted = sims.select("sim", *strata, "order_", key).join(F.broadcast(sizes.select(*strata, F.col("quota").alias("quota_"))), list(strata))
+    last = drawn_to(wanted, ["sim", *strata], key, "quota_")
+    told = sims.join(F.broadcast(last), ["sim", *strata], "left")  # a row for each draw and stratum
+    mine = F.coalesce(row <= F.col("last_"), F.lit(False))
+    missing = size - int(sizes.agg(F.sum(F.least("quota", "n_")).alias("n")).first()["n"] or 0)
     if missing <= 0:
-        return taken
-    rest = sims.join(staged(taken, "taken").select(key, "sim"), [key, "sim"], "left_anti")
-    return taken.unionByName(smallest(rest, ["sim"], ["order_", key], missing).select(*reference.columns, "sim"))
-
-
-def smallest(df: DataFrame, by: list[str], order: list[str], most: int, parts: int = 32) -> DataFrame:
-    """The first ``most`` rows of each group: the first of each of its parts, and then of those."""
-    part = F.pmod(F.xxhash64(*order), F.lit(parts))
-    own = df.withColumn("part_", part).withColumn("at_", F.row_number().over(Window.partitionBy(*by, "part_").orderBy(*order))).where(F.col("at_") <= most)
-    return own.withColumn("at_", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("at_") <= most).drop("at_", "part_")
+        return told.where(mine).select(*reference.columns, "sim")
+    rest = drawn_to(told.where(~mine).select("sim", "order_", key, F.lit(missing).alias("quota_")), ["sim"], key, "quota_").withColumnRenamed("last_", "rest_")
+    return told.join(F.broadcast(rest), "sim", "left").where(mine | F.coalesce(row <= F.col("rest_"), F.lit(False))).select(*reference.columns, "sim")
 
 
 def stratum_quotas(sample: DataFrame, strata: list[str]) -> DataFrame:
@@ -163,3 +163,4 @@ def edge_count_null(edges: DataFrame, sequences: DataFrame) -> DataFrame:
     told = counts.withColumn("mean", 9.786049e-06 * n * n).withColumn("sd", 1.421e-07 * n * n + 3.176e-03 * n)
     told = told.withColumn("z", F.when(F.col("sd") > 0, (F.col("edges") - F.col("mean")) / F.col("sd")))
     return told.withColumn("p", normal_tail("z"))
+
