@@ -101,38 +101,78 @@ def _enriched(observed: DataFrame, stats: DataFrame, depth: int, n_sequences: in
 def resample_enrichment(sample: DataFrame, reference: DataFrame, key: str, region: str, depth: int = 1000, lengths: tuple[int, ...] = (2, 3, 4), gapped: bool = False, seed: str = "") -> DataFrame:
     """enrichment of a sample's motifs against ``depth`` samples of its size from the reference.
 
-    Motifs are numbered once and each reference row keeps the numbers of its own, so
-    that a draw carries numbers.  A task counts one draw at a time, in one array as
-    long as there are motifs, and hands on three numbers for each motif it met, not a row a draw.
-    There are at most 20 ** k motifs of k residues (some more with a gap), which are sent to the tasks.
+    Each reference row is hashed once for all draws and keeps a bit a draw, so that a
+    motif that it holds travels with ``depth`` / 8 bytes, not with a row for each draw
+    it is in.  A task counts one motif at a time. Draws of which the last row isn't known yet
+    keep the order of the few rows about it.
     """
-    size = sample.count()
+    size, n = sample.count(), reference.count()
     observed = staged(numbered(kmer_counts(sample, region, lengths, gapped), ["motif"], "number", 0), "motifs")
     every = [kmers(region, k) for k in lengths] + ([masked_kmers(region, k + 1) for k in lengths] if gapped else [])
-    known = reference.select(key, F.explode(F.concat(*every)).alias("motif")).join(observed.select("motif", "number"), "motif").groupBy(key).agg(F.collect_list(F.col("number").cast("int")).alias("motifs"))
-    rows = staged(reference.select(key).join(known, key, "left"), "reference")
-    seen = np.array([r["n"] for r in observed.select("number", "n").orderBy("number").collect()], np.int64)  # a number for each motif
-    sent = sample.sparkSession.sparkContext.broadcast(seen)
+    known = reference.select(key, F.explode(F.concat(*every)).alias("motif")).join(observed.select("motif", "number"), "motif").groupBy(key).agg(F.collect_list("number").alias("motifs"))
+    rows = reference.select(key).join(known, key, "left").select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("k"), F.col(key).isNull().alias("none"), "motifs")
+    rows = staged(rows.repartition(max(1, int(reference.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "k"), "reference")
+    wanted, wide = min(size, n), 8 * size**0.5 + 20
+    bounds = max(0, int((size - wide) / max(1, n) * 16**8)), min(16**8, int((size + wide) / max(1, n) * 16**8) + 1)
+    heads = [f"{seed}|{sim}".encode() for sim in range(1, depth + 1)]
+
+    def order(low: int, high: int):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros(depth, np.int64)
+            for b in batches:
+                out = []
+                for k, none in zip(b["k"], b["none"], strict=True):
+                    tail = b"" if none else b"|" + k.encode()
+                    told = b"".join([hashlib.md5(h + tail).digest() for h in heads])
+                    first = np.frombuffer(told, ">u4")[::4]
+                    near = np.flatnonzero((first >= low) & (first < high))
+                    total += first < low
+                    out.append((np.packbits(first < low).tobytes(), near.tolist(), [told[16 * i : 16 * i + 16] for i in near]))
+                yield pd.DataFrame({"motifs": b["motifs"], "bits": [x[0] for x in out], "near": [x[1] for x in out], "orders": [x[2] for x in out], "total": None})
+            yield pd.DataFrame({"motifs": [None], "bits": None, "near": None, "orders": None, "total": [total.tolist()]})
+
+        return run
+
+    for low, high in (bounds, (0, 16**8)):
+        told = staged(rows.mapInPandas(order(low, high), "motifs array<long>, bits binary, near array<int>, orders array<binary>, total array<long>"), "drawn")
+        sure = told.where("total is not null").select(F.posexplode("total").alias("sim", "n")).groupBy("sim").agg(F.sum("n").alias("n"))
+        near = told.where("bits is not null").select(F.explode(F.arrays_zip("near", "orders")).alias("x")).select(F.col("x.near").alias("sim"), F.col("x.orders").alias("order"))
+        placed = near.withColumn("at", F.row_number().over(Window.partitionBy("sim").orderBy("order"))).join(F.broadcast(sure), "sim")  # a row a draw
+        last = {r["sim"]: bytes(r["order"]) for r in placed.where(F.col("at") + F.col("n") == wanted).select("sim", "order").collect()}
+        if len(last) == depth or not wanted:
+            break  # else a draw fell outside its bounds, which hardly ever happens
+    seen = np.array([r["n"] for r in observed.select("number", "n").orderBy("number").collect()], np.int64)  # at most 20 ** k motifs of k residues, some more with a gap
+    sent, lasts = sample.sparkSession.sparkContext.broadcast(seen), [last.get(i, b"") for i in range(depth)]
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for bits, near, orders in zip(b["bits"], b["near"], b["orders"], strict=True):
+                own = np.unpackbits(np.frombuffer(bits, np.uint8), count=depth)
+                own[[i for i, x in zip(near, orders, strict=True) if bytes(x) <= lasts[i]]] = 1
+                out.append(np.packbits(own).tobytes())
+            yield pd.DataFrame({"motifs": b["motifs"], "bits": out})
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = sent.value
-        total, top, reached, now = (np.zeros(len(seen), np.int64) for _ in range(4))
-        sim = None
+        seen, number, now = sent.value, None, np.zeros(depth, np.int64)
+        stats = lambda: (number, int(now.sum()), int(now.max()), int((now >= seen[number]).sum()))
         for b in batches:
-            for k, g in b.groupby("sim", sort=False):
-                if k != sim:
-                    total, top, reached = total + now, np.maximum(top, now), reached + (now >= seen)
-                    now, sim = np.zeros(len(seen), np.int64), k
-                some = [x for x in g["motifs"] if x is not None]
-                if some:
-                    now = now + np.bincount(np.concatenate(some), minlength=len(seen))
-        total, top, reached = total + now, np.maximum(top, now), reached + (now >= seen)
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"number": at, "total": total[at], "top": top[at], "reached": reached[at]})
-
-    drawn = resamples(rows, key, size, depth, seed=seed).repartition("sim").sortWithinPartitions("sim")
-    parts = drawn.select("sim", "motifs").mapInPandas(count, "number long, total long, top long, reached long")
-    stats = parts.groupBy("number").agg(F.sum("total").alias("total"), F.max("top").alias("top"), F.sum("reached").alias("reached")).join(observed.select("number", "motif"), "number").drop("number")
+            numbers, out = b["number"].to_numpy(), []
+            bits = np.unpackbits(np.frombuffer(b"".join(b["bits"]), np.uint8).reshape(len(b), -1), axis=1, count=depth)
+            starts = np.flatnonzero(np.r_[True, numbers[1:] != numbers[:-1]]) if len(b) else []
+            for at, sums in zip(starts, np.add.reduceat(bits, starts, axis=0, dtype=np.int64) if len(b) else [], strict=True):
+                if numbers[at] != number:
+                    if number is not None:
+                        out.append(stats())
+                    number, now = int(numbers[at]), np.zeros(depth, np.int64)
+                now = now + sums
+            yield pd.DataFrame(out, columns=["number", "total", "top", "reached"])
+        if number is not None:
+            yield pd.DataFrame([stats()], columns=["number", "total", "top", "reached"])
+
+    drawn = told.where("motifs is not null").select("motifs", "bits", "near", "orders").mapInPandas(draw, "motifs array<long>, bits binary")
+    held = drawn.select(F.explode("motifs").alias("number"), "bits").repartition("number").sortWithinPartitions("number")
+    stats = held.mapInPandas(count, "number long, total long, top long, reached long").where("total > 0").join(observed.select("number", "motif"), "number").drop("number")
     return _enriched(observed.select("motif", "n"), stats, depth, size, True)
 
 
@@ -163,4 +203,3 @@ def edge_count_null(edges: DataFrame, sequences: DataFrame) -> DataFrame:
     told = counts.withColumn("mean", 9.786049e-06 * n * n).withColumn("sd", 1.421e-07 * n * n + 3.176e-03 * n)
     told = told.withColumn("z", F.when(F.col("sd") > 0, (F.col("edges") - F.col("mean")) / F.col("sd")))
     return told.withColumn("p", normal_tail("z"))
-
