@@ -63,10 +63,14 @@ def paired(*parts: Column) -> Column:
 
 
 def one_hot(c, length: int, alphabet: str = ALPHABET) -> Column:
-    """0/1 for each place up to ``length`` and each letter of the alphabet."""
-    s = col(c)
-    letters = F.array(*[F.lit(a) for a in alphabet])
-    return F.flatten(F.transform(F.sequence(F.lit(1), F.lit(length)), lambda i: F.transform(letters, lambda a: (F.substring(s, i, F.lit(1)) == a).cast("int"))))
+    """0/1 for each place up to ``length`` and each letter of the alphabet.
+
+    Letters are split off once: an expression named in a lambda is worked out anew for each element.
+    """
+    letters = F.split(F.rpad(F.substring(col(c), 1, length), length, "\0"), "")
+    rows = F.array(*[F.array(*[F.lit(int(a == b)) for b in alphabet]) for a in ["", *alphabet]])  # none of the alphabet's letters, and each
+    none = F.array(*[F.lit(None).cast("int")] * (length * len(alphabet)))
+    return F.coalesce(F.flatten(F.transform(letters, lambda a: F.element_at(rows, F.call_function("locate", a, F.lit(alphabet)) + 1))), none)
 
 
 def label_codes(df: DataFrame, label: str, code: str = "code") -> DataFrame:
