@@ -4,7 +4,8 @@ Preference pairs join a document labelled good with one labelled bad.  The
 score of a document is linear in its features, and the weights minimise the
 logistic loss on feature differences.  A monotone curve turns scores into
 probabilities, and a quantile of the training scores gives the filter's
-threshold.
+threshold.  All labelled documents are learned from: each is in several pairs, and
+curve and threshold come from counts of all their scores.
 """
 
 from __future__ import annotations
@@ -14,14 +15,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, table
+from .common import fold, staged, table
 from .textbatch import buffers, slices, words
 
-#: Documented bounds: labelled documents of each label that are learned from, pairs drawn from them, and the longest text among them.
-SAMPLE_DOCS, PAIRS = 4000, 60_000
+#: Training rows that a task pairs (all of them are paired in one task or another), pairs of each, most Newton steps, ridge, and steps of the curve.
+PART_ROWS, PAIRINGS, STEPS, RIDGE, BINS = 16_384, 4, 15, 1e-3, 4096
 #: Bytes of text that a task looks at together.
 SLICE = 1 << 19
 #: predicted = 1 from this score on (fixed value).
@@ -88,79 +89,120 @@ class Quality:
         return np.interp(self.rank(x), self.knots, self.curve)
 
 
-def monotone(y: np.ndarray) -> np.ndarray:
-    """Pool adjacent violators: the closest rising curve to 0/1 labels in order of score."""
+def monotone(y: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
+    """Pool adjacent violators: the closest rising curve to 0/1 labels (or shares with weights) in order of score."""
     level: list[list[float]] = []
-    for v in y:
-        level.append([float(v), 1.0])
+    for v, n in zip(y, np.ones(len(y)) if weight is None else weight, strict=True):
+        level.append([float(v), float(n), 1])
         while len(level) > 1 and level[-2][0] >= level[-1][0]:
-            v2, n2 = level.pop()
-            v1, n1 = level.pop()
-            level.append([(v1 * n1 + v2 * n2) / (n1 + n2), n1 + n2])
-    return np.concatenate([np.full(int(n), v) for v, n in level]) if level else np.zeros(0)
-
-
-def fit_pairs(x: np.ndarray, y: np.ndarray, share_good: float, seed: int = 8, steps: int = 400, ridge: float = 1e-3) -> Quality:
-    """Weights by logistic loss on feature differences of drawn (good, bad) pairs."""
-    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    mean, scale = (x.mean(0), x.std(0) + 1e-6) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
-    q = Quality(mean, scale, np.zeros(x.shape[1]), np.array([0.0]), np.array([share_good]))
-    if not len(good) or not len(bad):
-        return q
-    z = np.clip((x - mean) / scale, -8, 8)
-    rng = np.random.default_rng(seed)
-    diff = z[rng.choice(good, PAIRS)] - z[rng.choice(bad, PAIRS)]
-    w, m, v = q.weights, np.zeros(x.shape[1]), np.zeros(x.shape[1])
-    for t in range(1, steps + 1):
-        some = diff[rng.integers(0, PAIRS, 4096)]
-        p = 1 / (1 + np.exp(np.clip(some @ w, -30, 30)))
-        g = -(some * p[:, None]).mean(0) + ridge * w
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        w = w - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-    q.weights = w
-    # The sample holds as many of either label as it may; weights bring back their shares among all labelled rows.
-    r = q.rank(x)
-    order = np.argsort(r, kind="stable")
-    rising = monotone(y[order])  # share of good documents within the sample
-    odds = (share_good / max(1e-9, 1 - share_good)) / (len(good) / len(bad))
-    prob = rising * odds / (rising * odds + 1 - rising)
-    prob = np.clip(prob, 0.002, 0.998)
-    knots, at = np.unique(r[order], return_index=True)
-    tilt = 1e-3 * (knots - knots[0]) / max(1e-9, knots[-1] - knots[0])  # keeps apart the scores of a level
-    q.knots, q.curve = knots, np.minimum(prob[at] + tilt, 0.999)
-    s = q.score(x)
-    weight = np.where(y == 1, share_good / len(good), (1 - share_good) / len(bad))
-    by = np.argsort(s, kind="stable")
-    below = np.cumsum(weight[by])
-    q.threshold = min(CUT, float(s[by][min(len(by) - 1, int(np.searchsorted(below, 1 - share_good)))]))  # the quantile at the share of bad documents, never above the cut
-    return q
+            v2, n2, k2 = level.pop()
+            v1, n1, k1 = level.pop()
+            level.append([(v1 * n1 + v2 * n2) / (n1 + n2), n1 + n2, k1 + k2])
+    return np.concatenate([np.full(int(k), v) for v, _, k in level]) if level else np.zeros(0)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, training: Column) -> tuple[np.ndarray, np.ndarray, float]:
-    """Features and labels of a bounded sample of training rows, and the share of label 1 among all of them."""
-    known = labels.where(training & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    share = known.agg(F.avg("quality")).first()[0]
-    h = F.xxhash64("doc_id", F.lit(8))
-    part, by = Window.partitionBy("quality", F.pmod(h, F.lit(64))).orderBy(h, "doc_id"), Window.partitionBy("quality").orderBy(h, "doc_id")
-    few = known.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= SAMPLE_DOCS).drop("rank")  # so that a label isn't ranked in one task
-    chosen = few.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= SAMPLE_DOCS).select("doc_id", "quality")
+def labelled_features(docs: DataFrame, labels: DataFrame, training: Column) -> tuple[DataFrame, float]:
+    """part, labels y and features x of every training row, a row for each part of some thousand, and the share of label 1 among them. No text is shuffled."""
+    known = labels.where(training & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
+    n, share = known.agg(F.count("*"), F.avg("quality")).first()
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text_", SLICE):
             x = features(*buffers(b.column(1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x.tolist(), pa.list_(pa.float64()))], ["quality", "x"])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists], ["doc_id", "x"])
+
+    def packed(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("h", "ascending"), ("quality", "ascending")])
+        return pa.table({"part": t["part"].slice(0, 1), "y": [t["quality"].to_numpy().astype(np.int8).tobytes()], "x": [t["x"].combine_chunks().flatten().to_numpy().tobytes()]})
+
+    told = docs.select("doc_id", F.col("text").alias("text_")).mapInArrow(run, f"doc_id {kind}, x array<double>")
+    h = F.xxhash64("doc_id", F.lit(8))
+    rows = told.join(known.hint("merge"), "doc_id").select("quality", "x", h.alias("h"), F.pmod(h, F.lit(max(1, -(-n // PART_ROWS)))).alias("part"))
+    return staged(rows.groupBy("part").applyInArrow(packed, "part long, y binary, x binary"), "quality"), 0.5 if share is None else float(share)
 
-    one = docs.select("doc_id", F.col("text").alias("text_")).join(F.broadcast(chosen), "doc_id")  # whole texts, read by the executors
-    rows = one.select("quality", "text_").mapInArrow(run, "quality int, x array<double>").toArrow()  # bounded: 2 * SAMPLE_DOCS ids
+
+def _summed(rows: DataFrame, f) -> dict[str, np.ndarray]:
+    """Sums over the parts of the rows of f(x, y): arrays by name, of bounded size whatever the number of rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, y, x in zip(*(b.column(i) for i in range(3)), strict=True):
+                y = np.frombuffer(y.as_buffer(), np.int8)
+                told = f(np.frombuffer(x.as_buffer(), float).reshape(len(y), -1), y)
+                yield pa.RecordBatch.from_arrays([pa.array(list(told)), pa.array([part.as_py()] * len(told), pa.int64()), pa.array([np.ravel(v).astype(float).tolist() for v in told.values()], pa.list_(pa.float64()))], ["name", "part", "total"])
+
+    parts = rows.select("part", "y", "x").mapInArrow(run, "name string, part long, total array<double>")
+    sums = parts.select("name", "part", F.posexplode("total").alias("at", "v")).groupBy("name", "at").agg(F.array_sort(F.collect_list(F.struct("part", "v"))).alias("v"))  # in the order of the parts, so that sums repeat
+    sums = sums.select("name", "at", F.aggregate("v", F.lit(0.0), lambda s, x: s + x["v"]).alias("v"), F.array_min(F.transform("v", lambda x: x["v"])).alias("low"), F.array_max(F.transform("v", lambda x: x["v"])).alias("high"))
+    out: dict[str, list] = {}
+    for r in sums.orderBy("name", "at").collect():
+        out.setdefault(r["name"], []).append(r["low"] if r["name"] == "low" else r["high"] if r["name"] == "high" else r["v"])
+    return {k: np.array(v) for k, v in out.items()}
+
+
+def fit_pairs(rows: DataFrame, share_good: float) -> Quality:
+    """Weights by logistic loss on feature differences of (good, bad) pairs of all rows; curve and threshold by all their scores."""
     width = features(np.zeros(0, np.uint8), np.zeros(1, np.int64)).shape[1]
-    x = np.array(rows["x"].to_pylist(), float).reshape(rows.num_rows, width)
-    order = np.lexsort([*x.T[:4], rows["quality"].to_numpy()]) if len(x) else np.zeros(0, int)
-    return x[order], rows["quality"].to_numpy()[order], 0.5 if share is None else float(share)
+    s = _summed(rows, lambda x, y: {"n": [len(y), y.sum()], "x": x.sum(0), "xx": (x * x).sum(0)})
+    n, good = s.get("n", (0, 0))
+    mean, scale = np.zeros(width), np.ones(width)
+    if n:
+        mean = s["x"] / n
+        scale = np.sqrt(np.maximum(s["xx"] / n - mean**2, 0)) + 1e-6
+    q = Quality(mean, scale, np.zeros(width), np.array([0.0]), np.array([share_good]))
+    if not good or good == n:
+        return q
+
+    def slope(w: np.ndarray):
+        def run(x: np.ndarray, y: np.ndarray) -> dict:
+            z = np.clip((x - mean) / scale, -8, 8)
+            one, other = z[y == 1], z[y == 0]
+            count, g, h = 0, np.zeros(width), np.zeros((width, width))
+            for k in range(PAIRINGS if len(one) and len(other) else 0):  # every row of either label comes in each of these
+                at = np.arange(max(len(one), len(other)))
+                d = one[at % len(one)] - other[(at + k * (len(other) // PAIRINGS + 1)) % len(other)]
+                p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
+                count, g, h = count + len(at), g - p @ d, h + (d * (p * (1 - p))[:, None]).T @ d
+            return {"count": [count], "g": g, "h": h}
+
+        return run
+
+    w = q.weights
+    for _ in range(STEPS):
+        s = _summed(rows, slope(w))
+        m = max(1.0, s["count"][0])
+        step = np.linalg.solve(s["h"].reshape(width, width) / m + RIDGE * np.eye(width), s["g"] / m + RIDGE * w)
+        w = w - step * min(1.0, 4 / max(1e-9, np.abs(step).max()))
+        if np.abs(step).max() < 1e-3:
+            break
+    q.weights = w
+    ends = _summed(rows, lambda x, y: {"low": [q.rank(x).min()], "high": [q.rank(x).max()]})
+    low, wide = ends["low"][0], max(1e-9, ends["high"][0] - ends["low"][0])
+
+    def counts(x: np.ndarray, y: np.ndarray) -> dict:
+        r = q.rank(x)
+        at = np.clip(((r - low) / wide * BINS).astype(np.int64), 0, BINS - 1)
+        return {"all": np.bincount(at, minlength=BINS), "good": np.bincount(at, y, BINS), "rank": np.bincount(at, r, BINS)}
+
+    s = _summed(rows, counts)
+    some = s["all"] > 0
+    every, of, knots = s["all"][some], s["good"][some], (s["rank"] / np.maximum(s["all"], 1))[some]
+    rising = monotone(of / every, every)
+    # The labels' shares among documents may differ from those among all labelled rows, to which weights bring them back.
+    odds = (share_good / max(1e-9, 1 - share_good)) / (good / (n - good))
+    prob = np.clip(rising * odds / (rising * odds + 1 - rising), 0.002, 0.998)
+    tilt = 1e-3 * (knots - knots[0]) / max(1e-9, knots[-1] - knots[0])  # keeps apart the scores of a level
+    q.knots, q.curve = knots, np.minimum(prob + tilt, 0.999)
+    below = np.cumsum(of * share_good / good + (every - of) * (1 - share_good) / (n - good))
+    q.threshold = min(CUT, float(q.curve[min(len(knots) - 1, int(np.searchsorted(below, 1 - share_good)))]))  # the quantile at the share of bad documents, never above the cut
+    return q
 
 
 def train(docs: DataFrame, labels: DataFrame, training: Column) -> Quality:
-    """A model from the training rows of ``labels`` (documented bounds above); without two labels every score is their share."""
-    return fit_pairs(*labelled_sample(docs, labels, training))
+    """A model from all training rows of ``labels``; without two labels every score is their share."""
+    return fit_pairs(*labelled_features(docs, labels, training))
 
 
 def score_quality(docs: DataFrame, q: Quality, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -171,7 +213,7 @@ def score_quality(docs: DataFrame, q: Quality, keep: tuple[str, ...] = ("doc_id"
     No shuffle.
     """
     kinds = dict(docs.dtypes)
-    sent = docs.sparkSession.sparkContext.broadcast(q)  # bounded by the training sample
+    sent = docs.sparkSession.sparkContext.broadcast(q)  # some thousand numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = sent.value

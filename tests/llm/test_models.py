@@ -193,3 +193,17 @@ def test_seatings_of_many_customers(monkeypatch):
     for sweep in range(2, 5):
         steps = pitmanyor.reseat(c, theta, p, d, key, sweep, steps)
     assert steps.mean() == pytest.approx(drawn.mean(), rel=0.02) and steps.std() == pytest.approx(drawn.std(), rel=0.06)
+
+
+def test_quality_learns_from_every_labelled_row(spark):
+    """More labelled rows than a former bound on a sample; the last ones carry what tells labels apart."""
+    rows = [(i, "words of a text " * 3 if i % 3 else "W!?# 77 " * 9, i % 3 > 0) for i in range(9000)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(y)) for i, _, y in rows], "doc_id long, quality int")
+    parts, share = quality.labelled_features(docs, labels, F.col("doc_id") >= 0)
+    assert sum(len(r["y"]) for r in parts.collect()) == 9000 and abs(share - 2 / 3) < 1e-9
+    q = quality.fit_pairs(parts, share)
+    got = {r["doc_id"]: r["score"] for r in quality.score_quality(docs, q).collect()}
+    assert min(got[i] for i, _, y in rows if y) > 0.9 and max(got[i] for i, _, y in rows if not y) < 0.1
+    none = quality.train(docs, labels.limit(0), F.col("doc_id") >= 0)
+    assert none.curve.tolist() == [0.5]
