@@ -16,7 +16,7 @@ from clonoscape.functions.vectors import midpoint
 from .encode import isometric
 from .graph import connected_components, staged
 from .ordered import numbered
-from .similarity import nearest_vectors, shared_kmer_pairs, vectors_within
+from .similarity import core_links, nearest_vectors, shared_kmer_pairs
 
 
 # groups of a graph
@@ -184,17 +184,20 @@ def alignment_refined(members: DataFrame, key: str, seq: str = "cdr3", cluster:
 # clusters of vectors
 
 
-def dbscan(df: DataFrame, key: str, vector: str, eps: float = 0.5, least: int = 5, within: list[str] = ()) -> DataFrame:
-    """key, cluster (smallest core key; null for noise). Border points go to the cluster of their smallest core neighbour."""
-    near = staged(vectors_within(df, key, vector, eps * eps + 1e-12, list(within)), "near")
-    both = near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    core = both.groupBy("a").agg((F.count("*") + 1).alias("n")).where(F.col("n") >= least).select("a")
-    core_edges = near.select("a", "b").join(core, "a", "left_semi").join(core.withColumnRenamed("a", "b"), "b", "left_semi").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    found = connected_components(core_edges)
-    cores = core.join(found, core["a"] == found["node"], "left").select("a", F.coalesce("component", "a").alias("cluster"))
-    border = both.join(core, "a", "left_anti").join(cores.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min_by("cluster", "b").alias("cluster"))
-    assigned = cores.unionByName(border)
-    return df.select(key).join(assigned, F.col(key) == F.col("a"), "left").select(key, "cluster")
+def dbscan(df: DataFrame, key: str, vector: str, eps: float = 0.5, least: int = 5, within: list[str] = (), **sizes: int) -> DataFrame:
+    """key, cluster (smallest core key; null for noise). Border points go to the cluster of their smallest core neighbour.
+
+    Neighbours are counted, and core rows linked by a forest, where blocks meet; pairs are not written.
+    """
+    found = core_links(df, key, vector, eps * eps + 1e-12, least, list(within), **sizes)
+    if found is None:
+        return df.select(key, F.lit(None).cast("long").alias("cluster"))
+    core, links = found
+    edges = connected_components(links.where("not border").select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    cores = staged(core.join(edges, F.col("id") == F.col("node"), "left").select(F.col("id").alias("a"), F.coalesce("component", "id").alias("cluster")), "cores")
+    nearest = links.where("border").groupBy("a").agg(F.min("b").alias("b"))
+    border = nearest.join(cores.withColumnRenamed("a", "b").hint("merge"), "b").select("a", "cluster")
+    return df.select(key).join(cores.unionByName(border).hint("merge"), F.col(key) == F.col("a"), "left").select(key, "cluster")
 
 
 def vector_column(df: DataFrame, vector: str, out: str = "features") -> DataFrame:

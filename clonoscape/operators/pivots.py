@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 
 from .graph import staged
 
-#: Rows a cell is meant for, rows of a block, and most pivots (they are sent to every task) and sampled rows for each of them.
-CELL_ROWS, BLOCK_ROWS, MOST_PIVOTS, SAMPLED = 512, 2048, 2048, 4
-#: The same for nearest rows. A row travels once for each block that it meets, so larger cells send less; a task compares SLICE rows at a time.
-NEAREST_CELL_ROWS, NEAREST_BLOCK_ROWS, SLICE = 8192, 16384, 512
+#: Rows a cell is meant for, rows of a block, and most pivots (they are sent to every task) and sampled rows for each of them. A row travels once for each block that it meets, so large cells send less.
+CELL_ROWS, BLOCK_ROWS, MOST_PIVOTS, SAMPLED = 8192, 16384, 2048, 4
+#: Rows that are compared with pivots at a time, rows with their vectors that a task hands on at a time, and distances that it holds.
+SLICE, SENT, HELD = 512, 8192, 1 << 20
 #: Distances are compared with this relative slack, so that rounding never drops a cell.
 SLACK = 1e-9
 
@@ -119,27 +119,27 @@ def block_of(blocks: Column) -> Column:
     return F.pmod(F.xxhash64("id"), blocks.cast("long")).cast("int")
 
 
-def targets(asks: DataFrame, cells: DataFrame, within: list[str], pivots: np.ndarray, radius: float | None, k: int = 0) -> DataFrame:
+def targets(asks: DataFrame, cells: DataFrame, within: list[str], pivots: np.ndarray, radius: float | None, k: int = 0, mark: str | None = None) -> DataFrame:
     """The asks, a row for each cell (``to``) that may hold a row within ``radius``, or else within their ``bound``.
 
     Without a bound, the cells say within what distance k rows surely lie.  A task
     gets the cells of a group first, at most MOST_PIVOTS, then asks of that group,
-    which are dealt out as it may hold most of them.
+    which are dealt out as it may hold most of them.  ``mark`` names a column that travels along.
     """
     spark = asks.sparkSession
     sent = spark.sparkContext.broadcast(pivots)
     salts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    columns, stats = ["id", "v", "cell", "block", "bound"], ["n", "low", "high"]
+    also, stats = ["block", "bound"] + ([mark] if mark else []), ["n", "low", "high"]
+    columns = ["id", "v", "cell", *also]
     kinds = dict(asks.dtypes) | dict(cells.dtypes)
     none = lambda names: [F.lit(None).cast(kinds[c]).alias(c) for c in names]
-    told = cells.select(*within, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("kind"), *none(["id", "v"]), "cell", *none(["block", "bound"]), *stats)
+    told = cells.select(*within, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("kind"), *none(["id", "v"]), "cell", *none(also), *stats)
     asking = asks.select(*within, F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("kind"), *columns, *none(stats))
     rows = told.unionByName(asking).repartition(*within, "salt").sortWithinPartitions(*within, "salt", "kind")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         group, known, reach = None, [], None
         for b in batches:
-            out = []
             for key, g in b.groupby([*within, "salt"], dropna=False, sort=False):
                 if group != (key := tuple(map(str, key))):
                     group, known, reach = key, [], None
@@ -155,33 +155,46 @@ def targets(asks: DataFrame, cells: DataFrame, within: list[str], pivots: np.nda
                     to, least = reach.bounds(matrix(some["v"]))
                     limit = np.full(len(some), radius) if radius is not None else np.minimum(some["bound"].fillna(np.inf).to_numpy(float), reach.surely(to, k))
                     i, j = np.nonzero(least <= (limit * (1 + SLACK) + SLACK)[:, None])
-                    out.append(some[[*within, *columns]].iloc[i].assign(to=reach.cell[j]))
-            yield from out
+                    for n in range(0, len(i), SENT):
+                        yield some[[*within, *columns]].iloc[i[n : n + SENT]].assign(to=reach.cell[j[n : n + SENT]])
 
     return rows.mapInPandas(run, f"{_schema(rows, [*within, *columns])}, to int")
 
 
-def meet(asks: DataFrame, rows: DataFrame, within: list[str], run, schema: str) -> DataFrame:
-    """Groups of an ask block (cell, block) and a row block (to, to_block): ``run(a, x, far, b, y)`` gets ids and matrices of one, and the asks' bounds.
+def meet(asks: DataFrame, rows: DataFrame, within: list[str], run, schema: str, mark: str | None = None) -> DataFrame:
+    """Groups of an ask block (cell, block) and a row block (to, to_block): ``run(left, right, home)`` gets the asks and the rows (id, v, bound), both by id, and whether a block meets itself, and yields columns of ``schema``.
 
-    Rows are sent once for each ask block that meets theirs, asks once for each row block.
+    Rows are sent once for each ask block that meets theirs, asks once for each row
+    block; ``mark`` names a column of both that travels along.
     """
-    pair = [*within, "cell", "block", "to", "to_block"]
-    left = asks.select(*pair, "id", "v", F.col("bound").cast("double").alias("bound"), F.lit(True).alias("asks"))
+    pair, also = [*within, "cell", "block", "to", "to_block"], [mark] if mark else []
+    left = asks.select(*pair, "id", "v", *also, F.col("bound").cast("double").alias("bound"), F.lit(True).alias("asks"))
     pairs = left.select(*pair).distinct()
-    right = rows.select(*within, F.col("cell").alias("to"), F.col("block").alias("to_block"), "id", "v").join(pairs.hint("merge"), [*within, "to", "to_block"]).select(*pair, "id", "v", F.lit(None).cast("double").alias("bound"), F.lit(False).alias("asks"))
-    names = [f.split()[0] for f in schema.split(", ")]
+    right = rows.select(*within, F.col("cell").alias("to"), F.col("block").alias("to_block"), "id", "v", *also).join(pairs.hint("merge"), [*within, "to", "to_block"]).select(*pair, "id", "v", *also, F.lit(None).cast("double").alias("bound"), F.lit(False).alias("asks"))
 
-    def group(t: pd.DataFrame) -> pd.DataFrame:
-        asking = t["asks"].to_numpy(bool)
+    def group(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        t = pd.concat(list(batches))
         t = t.iloc[np.argsort(t["id"].to_numpy(), kind="stable")]
         asking = t["asks"].to_numpy(bool)
-        left, right = t[asking], t[~asking]
-        if not len(left) or not len(right):
-            return pd.DataFrame({c: [] for c in names})
-        return run(left["id"].to_numpy(), matrix(left["v"]), left["bound"].fillna(np.inf).to_numpy(float), right["id"].to_numpy(), matrix(right["v"]))
+        home = t["cell"].iloc[0] == t["to"].iloc[0] and t["block"].iloc[0] == t["to_block"].iloc[0]
+        if asking.any() and not asking.all():
+            yield from run(t[asking], t[~asking], home)
+
+    return spread(left.unionByName(right), pair).groupBy(*pair).applyInPandas(group, schema)
+
+
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows over as many partitions as shuffles have: blocks that meet are work, not bytes, and few of them shouldn't share a task."""
+    return df.repartition(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
 
-    return left.unionByName(right).groupBy(*pair).applyInPandas(group, schema)
+def distances(left: pd.DataFrame, right: pd.DataFrame, held: int | None = None) -> Iterator[tuple[slice, np.ndarray]]:
+    """Squared distances of all rows of two tables, for a slice of the left one at a time."""
+    x, y = matrix(left["v"]), matrix(right["v"])
+    step = max(1, (held or HELD) // len(y))
+    for at in range(0, len(x), step):
+        s = slice(at, min(len(x), at + step))
+        yield s, squared_distances(x[s], y)
 
 
 def indexed(df: DataFrame, within: list[str], cell_rows: int, block_rows: int) -> tuple[np.ndarray, DataFrame, DataFrame] | None:
@@ -221,22 +234,19 @@ def least_of(d: np.ndarray, m: int, most: np.ndarray) -> tuple[np.ndarray, np.nd
     return i[kept], j[kept]
 
 
-def nearest(df: DataFrame, queries: DataFrame | None, k: int, within: list[str], cell_rows: int = NEAREST_CELL_ROWS, block_rows: int = NEAREST_BLOCK_ROWS) -> DataFrame:
+def nearest(df: DataFrame, queries: DataFrame | None, k: int, within: list[str], cell_rows: int = CELL_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """a, b, d (squared, to 12 places), rank: the k nearest other rows of (id, v) in the same group for each query, ties to the smaller id.
 
     A first meeting with its own block bounds how far a query has to look; then
     it meets the blocks of all cells within that bound.
     """
 
-    def run(a, x, far, b, y) -> pd.DataFrame:
-        out = []
-        for at in range(0, len(a), SLICE):
-            s = slice(at, at + SLICE)
-            d = squared_distances(x[s], y)
+    def run(left: pd.DataFrame, right: pd.DataFrame, home: bool) -> Iterator[pd.DataFrame]:
+        a, b, far = left["id"].to_numpy(), right["id"].to_numpy(), left["bound"].fillna(np.inf).to_numpy(float)
+        for s, d in distances(left, right):
             d[a[s, None] == b[None, :]] = np.inf
             i, j = least_of(d, k, far[s] ** 2 * (1 + SLACK) + SLACK)  # b is sorted, so ties keep the smaller id
-            out.append(pd.DataFrame({"a": a[s][i], "b": b[j], "d": np.round(d[i, j], 12)}))
-        return pd.concat(out)
+            yield pd.DataFrame({"a": a[s][i], "b": b[j], "d": np.round(d[i, j], 12)})
 
     schema = "a long, b long, d double"
     known = indexed(df, within, cell_rows, block_rows)
@@ -257,19 +267,96 @@ def nearest(df: DataFrame, queries: DataFrame | None, k: int, within: list[str],
     return first.unionByName(second).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _asked(rows: DataFrame, cells: DataFrame, within: list[str], pivots: np.ndarray, radius: float, mark: str | None = None) -> DataFrame:
+    """Asks such that each pair of rows within the (squared) radius meets once, or in a block that meets itself. Of two cells the lower asks."""
+    asked = targets(rows.withColumn("bound", F.lit(None).cast("double")), cells, within, pivots, float(np.sqrt(radius)), mark=mark)
+    return _to_blocks(asked, cells, within).where("cell < to or cell = to and block <= to_block")
+
+
 def near_pairs(df: DataFrame, radius: float, within: list[str], cell_rows: int = CELL_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """a < b, d: pairs of rows (id, v) of a group whose squared distance is below ``radius``. Of two cells the lower asks."""
+    """a < b, d: pairs of rows (id, v) of a group whose squared distance is below ``radius``."""
 
-    def run(a, x, far, b, y) -> pd.DataFrame:
-        d = squared_distances(x, y)
-        home = np.array_equal(a, b)  # a block that meets itself
-        i, j = np.nonzero((d < radius) & ((a[:, None] < b[None, :]) | (not home)))
-        return pd.DataFrame({"a": np.minimum(a[i], b[j]), "b": np.maximum(a[i], b[j]), "d": d[i, j]})
+    def run(left: pd.DataFrame, right: pd.DataFrame, home: bool) -> Iterator[pd.DataFrame]:
+        a, b = left["id"].to_numpy(), right["id"].to_numpy()
+        for s, d in distances(left, right):
+            i, j = np.nonzero((d < radius) & (a[s, None] < b[None, :] if home else True))
+            yield pd.DataFrame({"a": np.minimum(a[s][i], b[j]), "b": np.maximum(a[s][i], b[j]), "d": d[i, j]})
 
     schema = "a long, b long, d double"
     known = indexed(df, within, cell_rows, block_rows)
     if known is None:
         return df.sparkSession.createDataFrame([], schema)
     pivots, rows, cells = known
-    asked = _to_blocks(targets(rows.withColumn("bound", F.lit(None).cast("double")), cells, within, pivots, float(np.sqrt(radius))), cells, within)
-    return meet(asked.where("cell < to or cell = to and block <= to_block"), rows, within, run, schema)
+    return meet(_asked(rows, cells, within, pivots, radius), rows, within, run, schema)
+
+
+class Forest:
+    """Components of numbered nodes, and the edges that made them: one less than nodes at most."""
+
+    def __init__(self, n: int):
+        self.root, self.edges = np.arange(n), []
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        x, y = self.root[i], self.root[j]
+        while (apart := x != y).any():
+            i, j, x, y = i[apart], j[apart], x[apart], y[apart]
+            high, at = np.unique(np.maximum(x, y), return_index=True)
+            self.edges.append((i[at], j[at]))
+            up = np.arange(len(self.root))
+            up[high] = np.minimum(x, y)[at]  # always to a smaller root, so without circles
+            while ((further := up[up]) != up).any():
+                up = further
+            self.root, x, y = up[self.root], up[x], up[y]
+
+
+def near_counts_and_links(df: DataFrame, radius: float, least: int, within: list[str], cell_rows: int = CELL_ROWS, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame] | None:
+    """Core rows (id) of (id, v), which have ``least`` rows at least of their group within the radius, themselves counted; and links (a, b, border).
+
+    Blocks meet twice and pairs never leave them.  First they hand on how many
+    near rows each row has; then, of core rows, the edges of a forest of theirs
+    (border is false), and for each other row a its smallest core row b.  None for no rows.
+    """
+    known = indexed(df, within, cell_rows, block_rows)
+    if known is None:
+        return None
+    pivots, rows, cells = known
+
+    def count(left: pd.DataFrame, right: pd.DataFrame, home: bool) -> Iterator[pd.DataFrame]:
+        a, b = left["id"].to_numpy(), right["id"].to_numpy()
+        one, other = np.zeros(len(left), np.int64), np.zeros(len(right), np.int64)
+        for s, d in distances(left, right):
+            near = (d < radius) & (a[s, None] != b[None, :] if home else True)
+            one[s] = near.sum(1)
+            other += near.sum(0)
+        for ids, n in ((a, one),) if home else ((a, one), (b, other)):
+            yield pd.DataFrame({"id": ids[n > 0], "n": n[n > 0]})
+
+    core = rows.select("id")
+    if least > 1:
+        counts = meet(_asked(rows, cells, within, pivots, radius), rows, within, count, "id long, n long")
+        core = staged(counts.groupBy("id").agg((F.sum("n") + 1).alias("n")).where(F.col("n") >= least).select("id"), "core")
+
+    def link(left: pd.DataFrame, right: pd.DataFrame, home: bool) -> Iterator[pd.DataFrame]:
+        a, b, p, q = left["id"].to_numpy(), right["id"].to_numpy(), left["core"].to_numpy(bool), right["core"].to_numpy(bool)
+        nodes = b if home else np.concatenate([b, a])
+        forest, shift, none = Forest(len(nodes)), 0 if home else len(b), np.iinfo(np.int64).max
+        one, other = np.full(len(a), none), np.full(len(b), none)
+        for s, d in distances(left, right):
+            near = d < radius
+            i, j = np.nonzero(near & p[s, None] & q[None, :])
+            forest.add(i + s.start + shift, j)
+            for some, least_, rows_, by, axis in ((~p[s], one[s], near, b[q], 1), (~q, other, near, a[s][p[s]], 0)):
+                if some.any() and len(by):
+                    mine = rows_[some][:, q] if axis else rows_[p[s]][:, some].T
+                    first = by[mine.argmax(1)]  # ids are in order
+                    least_[some] = np.where(mine.any(1), np.minimum(least_[some], first), least_[some])
+        if forest.edges:
+            i, j = (nodes[np.concatenate(x)] for x in zip(*forest.edges, strict=True))
+            yield pd.DataFrame({"a": i, "b": j, "border": False})
+        for ids, least_ in ((a, one),) if home else ((a, one), (b, other)):
+            yield pd.DataFrame({"a": ids[least_ < none], "b": least_[least_ < none], "border": True})
+
+    told = core.select("id", F.lit(True).alias("core_")).hint("merge")
+    marked = staged(rows.join(told, "id", "left").withColumn("core", F.coalesce("core_", F.lit(False))).drop("core_"), "marked")
+    links = meet(_asked(marked, cells, within, pivots, radius, "core"), marked, within, link, "a long, b long, border boolean", "core")
+    return core, staged(links, "links")

@@ -331,6 +331,11 @@ def vectors_within(df: DataFrame, key: str, vector: str, radius: float, within:
     return pivots.near_pairs(_vectors(df, key, vector, within), radius, [f"group {i}" for i in range(len(within))], **sizes)
 
 
+def core_links(df: DataFrame, key: str, vector: str, radius: float, least: int, within: list[str] = (), **sizes: int) -> tuple[DataFrame, DataFrame] | None:
+    """Core rows and their links (``pivots.near_counts_and_links``) for squared distances below the radius."""
+    return pivots.near_counts_and_links(_vectors(df, key, vector, within), radius, least, [f"group {i}" for i in range(len(within))], **sizes)
+
+
 def submatrix(distances: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Long distances with both ends among the ids."""
     some = ids.select(key).distinct()
