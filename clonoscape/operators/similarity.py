@@ -37,9 +37,10 @@ def one_mismatch_pairs(df: DataFrame, key: str, region: str, also: list[str] = (
         return near.select(F.col("r").alias("a"), F.col("s").alias("b"), F.lit(1).alias("d")).hint("merge")
     rows = df.select(F.col(key), col(region).alias("r"), *also)
     same = rows.select("r", F.col("r").alias("s"), *also).where(F.length("r") > 0).distinct()
-    pairs = near.unionByName(near.select(F.col("s").alias("r"), F.col("r").alias("s"), *also)).unionByName(same).hint("merge")
+    pairs = near.unionByName(same).hint("merge")  # different regions one way round only; their rows are put in order after the joins
     left, right = rows.withColumnRenamed(key, "a"), rows.select(F.col(key).alias("b"), F.col("r").alias("s"), *also).hint("merge")
-    return left.join(pairs, ["r", *also]).join(right, ["s", *also]).where("a < b").select("a", "b", (F.col("r") != F.col("s")).cast("int").alias("d")).hint("merge")
+    met = left.join(pairs, ["r", *also]).join(right, ["s", *also]).where("a < b or a > b and r <> s")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("r") != F.col("s")).cast("int").alias("d")).hint("merge")
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
