@@ -206,16 +206,17 @@ def additive_encoding(spark, sf):
     return u.select("cdr3", F.posexplode(en.additive("cdr3")).alias("dim", "value")).select("cdr3", F.col("dim").cast("long").alias("dim"), F.round("value", 6).alias("value")).where("value <> 0")
 
 
-def _hot_sql(c: str, n: int) -> str:
+def _hot_sql(c: str, n: str) -> str:
     return f"array_to_string(list_transform(range(0, 20 * {n}), lambda i: case when substring({c}, (i // 20 + 1)::int, 1) = substring('{ALPHABET}', (i % 20 + 1)::int, 1) then 1 else 0 end), '')"
 
 
-@query(f"with {CTE} select id, {_hot_sql('cdr3', 8)} || {_hot_sql('v_gene', 4)} || " + " || ".join(f"(patient = '{p}')::int" for p in ("BUILDING", "MACHINERY")) + " as code from rep")
+@query(f"with {CTE}, wide as (select max(length(cdr3)) as s, max(length(v_gene)) as g from rep) select id, {_hot_sql('cdr3', 'wide.s')} || {_hot_sql('v_gene', 'wide.g')} || " + " || ".join(f"(patient = '{p}')::int" for p in ("BUILDING", "MACHINERY")) + " as code from rep, wide")
 def features_joined(spark, sf):
-    """Chains, genes and categories side by side."""
+    """Chains, genes and categories side by side, whole: as many places as the longest has."""
+    rows = repertoire(spark, sf)
     patient = F.array(*[(F.col("patient") == p).cast("int") for p in ("BUILDING", "MACHINERY")])
-    every = en.paired(en.one_hot("cdr3", 8), en.one_hot("v_gene", 4), patient)
-    return repertoire(spark, sf).select("id", F.array_join(F.transform(every, lambda x: x.cast("int")), "").alias("code"))
+    every = en.paired(*[en.one_hot(c, n) for c, n in en.longest(rows, "cdr3", "v_gene").items()], patient)
+    return rows.select("id", F.array_join(F.transform(every, lambda x: x.cast("int")), "").alias("code"))
 
 
 @query("select o_orderkey, " + ", ".join(f"(o_orderstatus = '{s}')::int as o_orderstatus_{s}" for s in "FOP") + " from orders")
