@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +48,37 @@ def isometric(c, vectors: dict[str, list[float]] | None = None, trim: tuple[int,
     return F.when(known, F.concat(*parts))
 
 
+def isometric_regions(c, vectors: dict[str, list[float]] | None = None, trim: tuple[int, int] = (3, 2)) -> Column:
+    """The letters that ``isometric`` encodes, as bytes; null where it is null. ``isometric_vectors`` makes vectors of them."""
+    s = trim_ends(c, *trim) if trim != (0, 0) else col(c)
+    return F.when(s.rlike(f"^[{''.join(sorted(vectors or residue_vectors()))}]+$"), F.encode(s, "UTF-8"))
+
+
+def isometric_vectors(vectors: dict[str, list[float]] | None = None):
+    """A function from a series of ``isometric_regions`` to a matrix of encodings: rows of one length at once, place by place.
+
+    A region is a tenth of its vector at most, so regions are what should travel.
+    """
+    vectors = vectors or residue_vectors()
+    table = np.zeros((256, len(next(iter(vectors.values())))))
+    for a, v in vectors.items():
+        table[ord(a)] = v
+
+    def decode(regions: pd.Series) -> np.ndarray:
+        out = np.zeros((len(regions), 6, table.shape[1]))
+        sizes = regions.str.len().to_numpy()
+        for n in np.unique(sizes):
+            at = np.flatnonzero(sizes == n)
+            letters = np.frombuffer(b"".join(regions.iloc[at]), np.uint8).reshape(len(at), n)
+            total = np.zeros((len(at), 6, table.shape[1]))
+            for i in range(n):
+                total[:, BLOCKS[(n - i) % 6]] += table[letters[:, i]]
+            out[at] = total
+        return out.reshape(len(regions), -1)
+
+    return decode
+
+
 def additive(c, vectors: dict[str, list[float]] | None = None) -> Column:
     """Sum of the residue vectors, whatever their order, without the zeros that end it."""
     vectors = vectors or residue_vectors()
@@ -73,6 +106,12 @@ def one_hot(c, length: int, alphabet: str = ALPHABET) -> Column:
     return F.coalesce(F.flatten(F.transform(letters, lambda a: F.element_at(rows, F.call_function("locate", a, F.lit(alphabet)) + 1))), none)
 
 
+def longest(df: DataFrame, *columns: str) -> dict[str, int]:
+    """The length of the longest text of each column (0 without any): how many places ``one_hot`` needs to leave nothing out."""
+    found = df.agg(*[F.max(F.length(c)).alias(c) for c in columns]).first()
+    return {c: found[c] or 0 for c in columns}
+
+
 def label_codes(df: DataFrame, label: str, code: str = "code") -> DataFrame:
     """Codes from 0 in the order of the labels."""
     ranked = numbered(df.where(col(label).isNotNull()).select(label).distinct(), [label], code, 0).withColumn(code, F.col(code).cast("int"))
@@ -106,12 +145,6 @@ def wide_totals(df: DataFrame, key: list[str], label: str, sums: list[str] = (),
     first = F.min_by if order else None
     return df.groupBy(*key).agg(
         F.array_sort(F.collect_set(label)).alias("labels"), *[F.sum(c).alias(c) for c in sums], *[(first(c, order) if first else F.min(c)).alias(c) for c in firsts]
-def longest(df: DataFrame, *columns: str) -> dict[str, int]:
-    """The length of the longest text of each column (0 without any): how many places ``one_hot`` needs to leave nothing out."""
-    found = df.agg(*[F.max(F.length(c)).alias(c) for c in columns]).first()
-    return {c: found[c] or 0 for c in columns}
-
-
     )
 
 

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import staged
+from .graph import parts, staged
 
 #: Rows a cell is meant for, rows of a block, and most pivots (they are sent to every task) and sampled rows for each of them. A row travels once for each block that it meets, so large cells send less.
 CELL_ROWS, BLOCK_ROWS, MOST_PIVOTS, SAMPLED = 8192, 16384, 2048, 4
@@ -53,26 +53,27 @@ def farthest_first(x: np.ndarray, k: int) -> np.ndarray:
     return x[chosen]
 
 
-def choose_pivots(rows: DataFrame, n: int, cell_rows: int) -> np.ndarray:
+def choose_pivots(rows: DataFrame, n: int, cell_rows: int, decode=matrix) -> np.ndarray:
     """Pivots for n rows (id, v) from the first rows by a hash of the id; at most MOST_PIVOTS * SAMPLED rows come to the driver."""
     k = min(MOST_PIVOTS, -(-n // cell_rows))
     few = rows.orderBy(F.xxhash64("id"), "id").limit(k * SAMPLED).select("v").toPandas()
-    return farthest_first(matrix(few["v"]), k) if len(few) else np.zeros((0, 0))
+    return farthest_first(decode(few["v"]), k) if len(few) else np.zeros((0, 0))
 
 
-def placed(rows: DataFrame, within: list[str], pivots: np.ndarray) -> DataFrame:
-    """The rows with v as bytes, cell (nearest pivot) and away (distance from it)."""
+def placed(rows: DataFrame, within: list[str], pivots: np.ndarray, decode=matrix) -> DataFrame:
+    """The rows with v as bytes (as it is, if it is bytes), cell (nearest pivot) and away (distance from it)."""
     sent = rows.sparkSession.sparkContext.broadcast(pivots)  # at most MOST_PIVOTS vectors
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                x = matrix(b["v"])
+                x = decode(b["v"])
                 cell, away = np.zeros(len(x), np.int64), np.zeros(len(x))
                 for at in range(0, len(x), SLICE):
                     d = squared_distances(x[at : at + SLICE], sent.value)
                     cell[at : at + SLICE], away[at : at + SLICE] = d.argmin(1), np.sqrt(d.min(1))
-                yield b.assign(v=[r.tobytes() for r in x], cell=cell, away=away)
+                told = b if isinstance(b["v"].iloc[0], bytes) else b.assign(v=[r.tobytes() for r in x])
+                yield told.assign(cell=cell, away=away)
 
     own = f"{_schema(rows, within)}, " if within else ""
     return rows.select(*within, "id", "v").mapInPandas(run, f"{own}id {dict(rows.dtypes)['id']}, v binary, cell int, away double")
@@ -119,7 +120,7 @@ def block_of(blocks: Column) -> Column:
     return F.pmod(F.xxhash64("id"), blocks.cast("long")).cast("int")
 
 
-def targets(asks: DataFrame, cells: DataFrame, within: list[str], pivots: np.ndarray, radius: float | None, k: int = 0, mark: str | None = None) -> DataFrame:
+def targets(asks: DataFrame, cells: DataFrame, within: list[str], pivots: np.ndarray, radius: float | None, k: int = 0, mark: str | None = None, decode=matrix) -> DataFrame:
     """The asks, a row for each cell (``to``) that may hold a row within ``radius``, or else within their ``bound``.
 
     Without a bound, the cells say within what distance k rows surely lie.  A task
@@ -128,7 +129,7 @@ def targets(asks: DataFrame, cells: DataFrame, within: list[str], pivots: np.nda
     """
     spark = asks.sparkSession
     sent = spark.sparkContext.broadcast(pivots)
-    salts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    salts = parts(spark)
     also, stats = ["block", "bound"] + ([mark] if mark else []), ["n", "low", "high"]
     columns = ["id", "v", "cell", *also]
     kinds = dict(asks.dtypes) | dict(cells.dtypes)
@@ -152,7 +153,7 @@ def targets(asks: DataFrame, cells: DataFrame, within: list[str], pivots: np.nda
                 reach = reach or Reach(sent.value, pd.concat(known))
                 for at in range(0, len(g), SLICE):  # a slice has a row of numbers for each cell, several times over
                     some = g.iloc[at : at + SLICE]
-                    to, least = reach.bounds(matrix(some["v"]))
+                    to, least = reach.bounds(decode(some["v"]))
                     limit = np.full(len(some), radius) if radius is not None else np.minimum(some["bound"].fillna(np.inf).to_numpy(float), reach.surely(to, k))
                     i, j = np.nonzero(least <= (limit * (1 + SLACK) + SLACK)[:, None])
                     for n in range(0, len(i), SENT):
@@ -184,8 +185,8 @@ def meet(asks: DataFrame, rows: DataFrame, within: list[str], run, schema: str,
 
 
 def spread(df: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows over as many partitions as shuffles have: blocks that meet are work, not bytes, and few of them shouldn't share a task."""
-    return df.repartition(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
+    """The rows over several partitions a core: blocks that meet are work, not bytes, and few of them shouldn't share a task."""
+    return df.repartition(parts(df.sparkSession), *keys)
 
 
 def distances(left: pd.DataFrame, right: pd.DataFrame, held: int | None = None) -> Iterator[tuple[slice, np.ndarray]]:
@@ -197,14 +198,14 @@ def distances(left: pd.DataFrame, right: pd.DataFrame, held: int | None = None)
         yield s, squared_distances(x[s], y)
 
 
-def indexed(df: DataFrame, within: list[str], cell_rows: int, block_rows: int) -> tuple[np.ndarray, DataFrame, DataFrame] | None:
+def indexed(df: DataFrame, within: list[str], cell_rows: int, block_rows: int, decode=matrix) -> tuple[np.ndarray, DataFrame, DataFrame] | None:
     """Pivots, the rows (id, v) with cell, away and block, and the cells; None for no rows."""
     rows = df.where("v is not null")
     n = rows.count()
     if not n:
         return None
-    pivots = choose_pivots(rows, n, cell_rows)
-    at = staged(placed(rows, within, pivots), "cells")
+    pivots = choose_pivots(rows, n, cell_rows, decode)
+    at = staged(placed(rows, within, pivots, decode), "cells")
     cells = staged(cells_of(at, within, block_rows), "cells")
     return pivots, _blocked(at, cells, within), cells
 
@@ -234,37 +235,115 @@ def least_of(d: np.ndarray, m: int, most: np.ndarray) -> tuple[np.ndarray, np.nd
     return i[kept], j[kept]
 
 
-def nearest(df: DataFrame, queries: DataFrame | None, k: int, within: list[str], cell_rows: int = CELL_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+#: Candidates whose distances are worked out at a time, and the share of a block's variance that its leading axes hold.
+EXACT, AXES = 1 << 14, 0.9
+
+
+def least_pairs(x: np.ndarray, y: np.ndarray, k: int, most: np.ndarray, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows, columns and squared distances (to 12 places) of the k least of each row of x, none above ``most``; ties to the smaller column. ``own`` is the column that is the row itself, or -1.
+
+    All distances come of one product of single precision first. Those that its error leaves
+    among the least are worked out anew, so that what is told is exact.  Where ``most`` bounds all
+    rows, leading axes and the length of what they leave tell how near two rows are at least.
+    """
+    centre = y.mean(0)
+    p, q = x - centre, y - centre
+    pp, qq = (p * p).sum(1), (q * q).sum(1)
+    top = qq.max()
+    plain = not (pp.max() + top < 1e30)  # numbers that single precision can't hold, or no numbers
+    error = (x.shape[1] + 8) * 2.0**-22 * (pp + top) + 1e-30
+    bounded = not plain and np.isfinite(most).all()
+    if bounded:
+        worth, axes = np.linalg.eigh(q.T @ q)
+        n = int(np.searchsorted(np.cumsum(worth[::-1]), AXES * worth.sum())) + 1
+        if n < x.shape[1] // 2:
+            short = [t @ axes[:, ::-1][:, :n] for t in (p, q)]
+            p, q = (np.column_stack([t, np.sqrt(np.maximum(tt - (t * t).sum(1), 0))]) for t, tt in zip(short, (pp, qq), strict=True))
+    if not plain:
+        wide, tall = np.column_stack([p, pp, np.ones(len(p))]).astype(np.float32), np.column_stack([-2 * q, np.ones(len(q)), qq]).astype(np.float32).T.copy()
+    m, step = min(k, len(y)), max(1, HELD // len(y))
+    for at in range(0, len(x), step):
+        s = slice(at, min(len(x), at + step))
+        d = squared_distances(x[s], y) if plain else wide[s] @ tall
+        mine = np.flatnonzero(own[s] >= 0)
+        d[mine, own[s][mine]] = np.inf
+        if plain:
+            d[np.isnan(d)] = np.inf
+            i, j = least_of(d, k, most[s])
+            yield i + at, j, np.round(d[i, j], 12)
+            continue
+        far = most[s]
+        if not bounded:
+            far = np.minimum((d.min(1) if m == 1 else np.partition(d, m - 1, axis=1)[:, m - 1]) + error[s], far)
+        i, j = np.nonzero(d <= (far + error[s]).astype(np.float32)[:, None])
+        some = np.isfinite(d[i, j])
+        i, j = i[some] + at, j[some]
+        near = np.empty(len(i))
+        for c in range(0, len(i), EXACT):
+            near[c : c + EXACT] = ((x[i[c : c + EXACT]] - y[j[c : c + EXACT]]) ** 2).sum(1)
+        near = np.round(near, 12)
+        order = np.lexsort((j, near, i))
+        order = order[near[order] <= most[i[order]]]
+        i, j, near = i[order], j[order], near[order]
+        kept = np.arange(len(i)) - np.searchsorted(i, i) < k
+        yield i[kept], j[kept], near[kept]
+
+
+#: Blocks up to which all meet, without pivots.
+FEW_BLOCKS = 4
+
+
+def _all_blocks(df: DataFrame, queries: DataFrame | None, within: list[str], run, schema: str, blocks: int) -> DataFrame:
+    """Every block of queries (of all rows without) meets every block of rows of its group, by ``run`` as in ``meet``."""
+    block, every = block_of(F.lit(blocks)), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    rows = df.where("v is not null").select(*within, every.alias("block"), block.alias("to_block"), "id", "v", F.lit(False).alias("asks"))
+    asks = (df if queries is None else queries).where("v is not null").select(*within, block.alias("block"), every.alias("to_block"), "id", "v", F.lit(True).alias("asks"))
+    pair = [*within, "block", "to_block"]
+
+    def group(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        t = pd.concat(list(batches)).assign(bound=np.nan)
+        t = t.iloc[np.argsort(t["id"].to_numpy(), kind="stable")]
+        asking = t["asks"].to_numpy(bool)
+        if asking.any() and not asking.all():
+            yield from run(t[asking], t[~asking], False)
+
+    return spread(asks.unionByName(rows), pair).groupBy(*pair).applyInPandas(group, schema)
+
+
+def nearest(df: DataFrame, queries: DataFrame | None, k: int, within: list[str], cell_rows: int = CELL_ROWS, block_rows: int = BLOCK_ROWS, decode=matrix) -> DataFrame:
     """a, b, d (squared, to 12 places), rank: the k nearest other rows of (id, v) in the same group for each query, ties to the smaller id.
 
     A first meeting with its own block bounds how far a query has to look; then
-    it meets the blocks of all cells within that bound.
+    it meets the blocks of all cells within that bound.  Of a few blocks, all meet at once.
+    ``decode`` makes a matrix of a series of v.
     """
 
     def run(left: pd.DataFrame, right: pd.DataFrame, home: bool) -> Iterator[pd.DataFrame]:
         a, b, far = left["id"].to_numpy(), right["id"].to_numpy(), left["bound"].fillna(np.inf).to_numpy(float)
-        for s, d in distances(left, right):
-            d[a[s, None] == b[None, :]] = np.inf
-            i, j = least_of(d, k, far[s] ** 2 * (1 + SLACK) + SLACK)  # b is sorted, so ties keep the smaller id
-            yield pd.DataFrame({"a": a[s][i], "b": b[j], "d": np.round(d[i, j], 12)})
+        own = np.minimum(np.searchsorted(b, a), len(b) - 1)  # b is sorted, so ties keep the smaller id
+        for i, j, d in least_pairs(decode(left["v"]), decode(right["v"]), k, far**2 * (1 + SLACK) + SLACK, np.where(b[own] == a, own, -1)):
+            yield pd.DataFrame({"a": a[i], "b": b[j], "d": d})
 
     schema = "a long, b long, d double"
-    known = indexed(df, within, cell_rows, block_rows)
+    order = Window.partitionBy("a").orderBy("d", "b")
+    ranked = lambda found: found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    n = df.count()
+    if n <= FEW_BLOCKS * min(cell_rows, block_rows):
+        return ranked(_all_blocks(df, queries, within, run, schema, max(1, -(-n // min(cell_rows, block_rows)))))
+    known = indexed(df, within, cell_rows, block_rows, decode)
     if known is None:
         return df.sparkSession.createDataFrame([], f"{schema}, rank int")
     pivots, rows, cells = known
     asking = rows
     if queries is not None:
-        at = staged(placed(queries.where("v is not null"), within, pivots), "asking")
+        at = staged(placed(queries.where("v is not null"), within, pivots, decode), "asking")
         asking = _blocked(at, cells, within)
     home = asking.withColumns({"to": F.col("cell"), "to_block": F.col("block"), "bound": F.lit(None).cast("double")})
     first = staged(meet(home, rows, within, run, schema), "nearest")
     bound = first.groupBy("a").agg(F.count("*").alias("n"), F.max("d").alias("far")).where(F.col("n") >= k).select(F.col("a").alias("id"), F.sqrt("far").alias("bound"))
     bounded = asking.join(bound.hint("merge"), "id", "left")
-    asked = _to_blocks(targets(bounded, cells, within, pivots, None, k + 1), cells, within).where("not (cell = to and block = to_block)")
-    second = meet(asked, rows, within, run, schema)
-    order = Window.partitionBy("a").orderBy("d", "b")
-    return first.unionByName(second).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    asked = _to_blocks(targets(bounded, cells, within, pivots, None, k + 1, decode=decode), cells, within).where("not (cell = to and block = to_block)")
+    return ranked(first.unionByName(meet(asked, rows, within, run, schema)))
 
 
 def _asked(rows: DataFrame, cells: DataFrame, within: list[str], pivots: np.ndarray, radius: float, mark: str | None = None) -> DataFrame:

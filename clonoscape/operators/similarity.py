@@ -15,7 +15,7 @@ from clonoscape.functions.alignment import local_score_slices, one_gap_slices
 from clonoscape.functions.strings import col, dotted, hamming, kmers, trim_ends, wildcards
 
 from . import pivots
-from .graph import staged
+from .graph import parts, staged
 from .ordered import numbered
 from .pivots import squared_distances  # noqa: F401
 
@@ -44,8 +44,8 @@ def one_mismatch_pairs(df: DataFrame, key: str, region: str, also: list[str] = (
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """The rows over as many partitions as shuffles have, by keys: steps that make many rows of each one shouldn't run in the few tasks of a small table."""
-    return df.repartition(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
+    """The rows over several partitions a core, by keys: steps that make many rows of each one shouldn't run in the few tasks of a small table."""
+    return df.repartition(parts(df.sparkSession), *keys)
 
 
 def masked_at_varying(rows: DataFrame, seq: str, masks) -> DataFrame:
@@ -314,17 +314,19 @@ def vector_cells(asks: DataFrame, rows: DataFrame, within: list[str], run, schem
 
 
 def _vectors(df: DataFrame, key: str, vector: str, within: list[str]) -> DataFrame:
-    return df.select(*[F.col(c).alias(f"group {i}") for i, c in enumerate(within)], F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    v = F.col(vector) if dict(df.dtypes)[vector] == "binary" else F.col(vector).cast("array<double>")  # bytes as ``decode`` takes them, or numbers
+    return df.select(*[F.col(c).alias(f"group {i}") for i, c in enumerate(within)], F.col(key).cast("long").alias("id"), v.alias("v"))
 
 
-def nearest_vectors(df: DataFrame, key: str, vector: str, k: int = 1, within: list[str] = (), queries: DataFrame | None = None, **sizes: int) -> DataFrame:
+def nearest_vectors(df: DataFrame, key: str, vector: str, k: int = 1, within: list[str] = (), queries: DataFrame | None = None, decode=pivots.matrix, **sizes: int) -> DataFrame:
     """Exact k nearest rows of the same ``within`` group: a, b, d (squared distance), rank; ties to the smaller key.
 
     With ``queries`` only those ask.  Rows meet by cells around pivots (``pivots``);
-    rows without a vector or a group take no part.
+    rows without a vector or a group take no part.  ``decode`` makes vectors of the
+    column where they are compared, if it holds something shorter (as bytes).
     """
     groups = [f"group {i}" for i in range(len(within))]
-    return pivots.nearest(_vectors(df, key, vector, within), None if queries is None else _vectors(queries, key, vector, within), k, groups, **sizes)
+    return pivots.nearest(_vectors(df, key, vector, within), None if queries is None else _vectors(queries, key, vector, within), k, groups, decode=decode, **sizes)
 
 
 def vectors_within(df: DataFrame, key: str, vector: str, radius: float, within: list[str] = (), **sizes: int) -> DataFrame:

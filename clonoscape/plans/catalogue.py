@@ -19,7 +19,7 @@ from clonoscape.operators import motif as mf
 from clonoscape.operators import sample as sa
 from clonoscape.operators import scoring as sc
 from clonoscape.operators import similarity as si
-from clonoscape.operators.graph import connected_components
+from clonoscape.operators.graph import connected_components, parts, staged
 
 from .repertoire import CTE, repertoire
 
@@ -293,20 +293,32 @@ _ISO_NN = _iso_sql(
 )
 
 
+#: Sequences travel as letters, so large cells cost little: each row is sent once for each cell that it meets.
+_ISO = {"decode": en.isometric_vectors(), "cell_rows": 65536}
+
+
 def _iso_rows(spark, sf):
     u = repertoire(spark, sf).groupBy("cdr3").agg(F.min("id").alias("id"), F.bool_or(F.col("patient") == "BUILDING").alias("query"))
-    return u.select("id", "cdr3", F.length("cdr3").alias("n"), en.isometric("cdr3").alias("x"), "query")
+    rows = u.select("id", "cdr3", F.length("cdr3").alias("n"), en.isometric_regions("cdr3").alias("x"), "query")
+    return staged(rows.repartition(parts(spark)), "regions")  # so few bytes would all be read by one task
 
 
 @query(_ISO_NN)
 def iso_nearest_neighbour(spark, sf):
-    return si.nearest_vectors(_iso_rows(spark, sf), "id", "x", 1, ["n"]).select("a", F.round("d", 6).alias("d"))
+    return si.nearest_vectors(_iso_rows(spark, sf), "id", "x", 1, ["n"], **_ISO).select("a", F.round("d", 6).alias("d"))
 
 
 @query(_ISO_NN.replace("select a, d from k where rank = 1", "select a, d from k where rank = 1 and a in (select id from w where query)"))
 def iso_query_mode(spark, sf):
     rows = _iso_rows(spark, sf)
-    return si.nearest_vectors(rows, "id", "x", 1, ["n"], queries=rows.where("query")).select("a", F.round("d", 6).alias("d"))
+    return si.nearest_vectors(rows, "id", "x", 1, ["n"], queries=rows.where("query"), **_ISO).select("a", F.round("d", 6).alias("d"))
+
+
+def _iso_members(spark, sf):
+    """The members of isometric clusters."""
+    u = repertoire(spark, sf).groupBy("cdr3", "v_gene").agg(F.min("id").alias("id"), (F.count("*") - 1).alias("extra"))
+    u = staged(u, "receptors")
+    return staged(cl.isometric_clusters(u, "id", base=40.0).join(u, "id"), "members")  # the vectors by rule lie wider apart than those that 7 was set for
 
 
 @query()

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from clonoscape.operators.graph import parts
+
 #: Runs unchanged on Spark and DuckDB.
 VIEW = """
 select id, v_gene, patient, counts,
@@ -30,8 +32,7 @@ def repertoire(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Rows are dealt out first, for so small a file is read by few tasks.
     """
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").repartition(n, "c_custkey")
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").repartition(parts(spark), "c_custkey")
     return spark.sql(VIEW.replace("{customer}", "{c}"), c=customer).hint("merge")
 
 
