@@ -357,10 +357,11 @@ def mean_pair_distance(distances: DataFrame, labels: DataFrame, key: str, label:
     return x.groupBy(label).agg((F.sum("d") / F.count("*")).alias("mean_distance"), F.count("*").alias("pairs"))
 
 
-def _meeting(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+def meeting(rows: DataFrame, blocks: DataFrame) -> DataFrame:
     """The rows of ``own`` once for each of the blocks (``other``), by pair of blocks: row <= column. Pairs of blocks are work, not bytes, so they are dealt out by number."""
     met = rows.crossJoin(F.broadcast(blocks))  # a row for each block of rows
-    return spread(met.withColumns({"row": F.least("own", "other"), "column": F.greatest("own", "other")}).drop("other"), "row", "column")
+    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return met.withColumns({"row": F.least("own", "other"), "column": F.greatest("own", "other")}).drop("other").repartition(n, "row", "column")
 
 
 def pair_alignments(members: DataFrame, cluster: str, key: str, seq: str, match: int = 3, mismatch: int = -3, gap: int = -2, block: int = 512) -> DataFrame:
@@ -382,7 +383,7 @@ def pair_alignments(members: DataFrame, cluster: str, key: str, seq: str, match:
             x, y = own.iloc[i], right.iloc[j]
             yield pd.DataFrame({"ca": x["c"].to_numpy(), "cb": y["c"].to_numpy(), "i": x["k"].to_numpy(), "j": y["k"].to_numpy(), "score": scores[i, j].astype(np.int64)})
 
-    return _meeting(met, met.select(F.col("own").alias("other")).distinct()).groupBy("row", "column").applyInPandas(run, f"ca {kinds[cluster]}, cb {kinds[cluster]}, i {kinds[key]}, j {kinds[key]}, score long")
+    return meeting(met, met.select(F.col("own").alias("other")).distinct()).groupBy("row", "column").applyInPandas(run, f"ca {kinds[cluster]}, cb {kinds[cluster]}, i {kinds[key]}, j {kinds[key]}, score long")
 
 
 #: Least and most sequences of a block of cluster_alignments, and least blocks of larger tables.
@@ -440,7 +441,7 @@ def cluster_alignments(members: DataFrame, cluster: str = "cluster", seq: str =
             kept = own, sums, counts
         yield table(*kept)
 
-    met = _meeting(told, told.select(F.col("own").alias("other")).distinct())
+    met = meeting(told, told.select(F.col("own").alias("other")).distinct())
     scored = lambda some: met.where(some).groupBy("row", "column").applyInPandas(run, f"ca {kind}, cb {kind}, total long, pairs long")
     cut = (F.col("row") % 2 == 1) | (F.col("column") % 2 == 1)
     out = scored(~cut)
